@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import url_filters
+from inkwarden.llm import quality_rules, url_filters
 
 QUERIES = {
+    "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES = {
+    "op8_quality_rules": quality_rules.SQL,
     "op10_url_filters": url_filters.SQL,
 }
