@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import quality_rules, url_filters
+from inkwarden.llm import mixing, quality_rules, url_filters
 
 QUERIES = {
+    "op2_mixing": mixing.op2_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
 }
