@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import mixing, quality_rules, url_filters
+from inkwarden.llm import line_dedup, mixing, quality_rules, simhash, url_filters
 
 QUERIES = {
+    "op4_simhash": simhash.op4_simhash,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
 }
 
 ORACLES = {
+    "op9_line_dedup": line_dedup.SQL,
     "op8_quality_rules": quality_rules.SQL,
     "op10_url_filters": url_filters.SQL,
 }
