@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import line_dedup, mixing, quality_rules, simhash, url_filters
+from inkwarden.llm import bpe, line_dedup, mixing, quality_rules, simhash, url_filters
 
 QUERIES = {
+    "op5_bpe": bpe.op5_bpe,
     "op4_simhash": simhash.op4_simhash,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op2_mixing": mixing.op2_mixing,
