@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import bpe, content_store, line_dedup, mixing, quality_rules, simhash, url_filters
+from inkwarden.llm import bpe, content_store, line_dedup, media, mixing, quality_rules, simhash, url_filters
 
 QUERIES = {
+    "op1_media": media.op1_media,
     "op6_content_store": content_store.op6_content_store,
     "op5_bpe": bpe.op5_bpe,
     "op4_simhash": simhash.op4_simhash,
