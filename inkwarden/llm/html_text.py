@@ -212,7 +212,7 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
     """Small pages with a label for each of their blocks, made by rule."""
     rng = random.Random(seed)
     words = lambda k: " ".join("".join(rng.choice("aeioutnrsldmpchgb") for _ in range(rng.randint(2, 9))) for _ in range(k))
-    link = lambda k: f'<a href="/x">{words(k)}</a>'
+    link = lambda k: f'<a href="/x">{words(k)}{rng.choice(["", "", "", ".", ",", "!"])}</a>'
     pages = []
     for i in range(n):
         style = ("semantic", "named", "bare")[i % 3]
