@@ -223,7 +223,7 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
             """One part of the page; items: (element, content, main text)."""
             tag = element if style == "semantic" else "div"
             mark = f' class="{name}"' if style == "named" or element == "div" and style != "bare" else ""
-            body.append(f"<{tag}{mark}>" + "".join(f"<{t}>{c}</{t}>" for t, c, _ in items) + f"</{tag}>")
+            body.append(f"<{tag}{mark}>" + "".join(f"<{t}>{c}</{t.split()[0]}>" for t, c, _ in items) + f"</{tag}>")
             labels.extend(m for _, _, m in items)
 
         def menu(k: int) -> list[tuple[str, str, bool]]:
@@ -245,6 +245,8 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
             elif not bare and rng.random() < 0.1:
                 text = link(rng.randint(1, 8))
             article.append((rng.choice(["p", "p", "p", "h2", "li", "blockquote"]), text + rng.choice([".", ".", ".", ""]), True))
+            if not bare and rng.random() < 0.15:
+                article.append((rng.choice(['div class="ad"', 'aside class="related"', 'div class="comment"', "form", 'div class="newsletter notice"', "nav", 'section class="comments"']), link(rng.randint(1, 8)) if rng.random() < 0.4 else words(rng.randint(1, 40)) + ".", False))
         part("article", rng.choice(["article", "story", "post-content", "entry"]), article)
         if not bare and rng.random() < 0.5:
             part("aside", rng.choice(["sidebar", "related", "widget"]), [("h3", words(2), False), *menu(rng.randint(1, 5)), ("p", words(rng.randint(5, 60)) + ".", False)])
