@@ -298,21 +298,23 @@ def encoded(docs: DataFrame, columns: list[str], path: str | None = None) -> Dat
     return _each(docs, columns, "ids array<int>", path, compiled(docs, path), arrays)
 
 
-def digests(docs: DataFrame, columns: list[str], path: str | None = None) -> DataFrame:
-    """``columns``, n_tokens, ids_sha256 and decoded_sha256: each text encoded, then decoded again."""
+def digests(docs: DataFrame, columns: list[str], path: str | None = None, with_ids: bool = False) -> DataFrame:
+    """``columns``, n_tokens, ids_sha256 and decoded_sha256: each text encoded, then decoded again; ``ids`` if asked for."""
     path = path or vocabulary_path()
 
     def arrays(bpe: Bpe, found: Iterator[np.ndarray]) -> dict[str, pa.Array]:
         decimal = [str(i) for i in range(len(bpe.bytes_of))]
-        n, ids_sha, text_sha = [], [], []
+        n, ids_sha, text_sha, kept = [], [], [], []
         for x in found:
             ids = x.tolist()
+            if with_ids:
+                kept.append(x.astype(np.int32))
             n.append(len(ids))
             ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
             text_sha.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())}
+        return {"n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()), "decoded_sha256": pa.array(text_sha, pa.string())} | ({"ids": pa.array(kept, pa.list_(pa.int32()))} if with_ids else {})
 
-    return _each(docs, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string", path, compiled(docs, path), arrays)
+    return _each(docs, columns, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids, path, compiled(docs, path), arrays)
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
