@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import bpe, content_store, html_text, line_dedup, media, mixing, quality_rules, simhash, url_filters
+from inkwarden.llm import bpe, content_store, html_text, line_dedup, media, mixing, pitman_yor, quality_rules, simhash, url_filters
 
 QUERIES = {
+    "op7_pitman_yor": pitman_yor.op7_pitman_yor,
     "op3_html_text": html_text.op3_html_text,
     "op1_media": media.op1_media,
     "op6_content_store": content_store.op6_content_store,
