@@ -1,6 +1,5 @@
 """Names of the engine's queries, and SQL that must give the same rows."""
 
-from __future__ import annotations
+from inkwarden.plans.queries import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
