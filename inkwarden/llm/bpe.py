@@ -37,10 +37,11 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwarden.llm.lexicon import Lexicon, compile_lexicon
 from inkwarden.llm.text import read
-from inkwarden.session import fresh_path
+from inkwarden.session import fresh_path, stage
 
 #: Fixed value: the pre-tokenizer's pattern of this family of vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -49,6 +50,8 @@ UNCUT = re.compile(r"\s \s|\s \Z")
 LEXICON_WORDS, WORD_BYTES, COUNTERS = 65_536, 48, 65_536
 #: Bytes of text looked up together, and entries of a memo before it starts anew.
 SLICE_BYTES, MEMO = 4 << 20, 200_000
+#: Above any merge.
+NEVER = 1 << 63
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -94,10 +97,10 @@ class Bpe:
         for token, i in special.items():
             self.bytes_of[i] = token.encode()
         self.byte_ids = [vocab[c] for c, _ in sorted(to_byte.items(), key=lambda x: x[1])]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.merges: dict[int, int] = {}  # (left << 32 | right): rank << 32 | what they become
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a] << 32 | vocab[b]] = rank << 32 | vocab[a + b]
         self.pattern = regex.compile(PATTERN)
         self.library = None
         self.words, self.chunks = Memo(), Memo()
@@ -105,20 +108,17 @@ class Bpe:
     def merged(self, word: bytes) -> list[int]:
         """The ids of one pre-token: the lowest-ranked pair merges first, the leftmost of equals."""
         ids = [self.byte_ids[b] for b in word]
-        merges = self.merges
-        while len(ids) > 1:
-            best = min((merges[p] for p in zip(ids, ids[1:], strict=False) if p in merges), default=None)
-            if best is None:
-                break
-            goal, out, i = best, [], 0
-            while i < len(ids):
-                if i + 1 < len(ids) and merges.get((ids[i], ids[i + 1])) == goal:
-                    out.append(goal[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        get = self.merges.get
+        # what each neighbouring pair becomes, by rank; two neighbours change with a merge
+        goals = [get(a << 32 | b, NEVER) for a, b in zip(ids, ids[1:], strict=False)]
+        while goals and (best := min(goals)) != NEVER:
+            i = goals.index(best)
+            ids[i] = best & 0xFFFFFFFF
+            del ids[i + 1], goals[i]
+            if i < len(goals):
+                goals[i] = get(ids[i] << 32 | ids[i + 1], NEVER)
+            if i:
+                goals[i - 1] = get(ids[i - 1] << 32 | ids[i], NEVER)
         return ids
 
     def split(self, text: str) -> list[str]:
@@ -259,7 +259,12 @@ def compiled(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> str:
     The driver holds at most ``words`` chunks of at most ``WORD_BYTES`` bytes.
     """
     spark = docs.sparkSession
-    top = [bytes(r["word"]) for r in chunk_counts(docs).orderBy(F.desc("n"), "word").limit(words).collect()]
+    counts = stage(chunk_counts(docs), "chunk-counts")
+    # the least count that leaves at most ``words``: a count with its chunks is one row, and counts are few
+    sizes = counts.groupBy("n").agg(F.count("*").alias("chunks"))
+    upto = F.sum("chunks").over(Window.orderBy(F.desc("n")))
+    least = sizes.withColumn("upto", upto).where(F.col("upto") <= words).agg(F.min("n")).first()[0]
+    top = [] if least is None else sorted(bytes(r["word"]) for r in counts.where(F.col("n") >= least).select("word").collect())
     bpe = Bpe(path)
     where = fresh_path(spark, "lexicon") + ".bin"
     write_bytes(spark, where, compile_lexicon(top, [bpe.pretokens(w.decode()) for w in top]))
