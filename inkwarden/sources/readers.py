@@ -104,7 +104,7 @@ ASSIGNMENT = r"^\s*window\.YTD\.(?:tweets?|posts?)(?:_part\d+)?\.part\d+\s*=\s*"
 def assigned(text: Column) -> Column:
     """The JSON of an archive's assignment; nothing is executed, and other text fails."""
     inner = F.regexp_replace(F.regexp_replace(text, ASSIGNMENT, ""), r"\s*;?\s*$", "")
-    return F.when(text.rlike(ASSIGNMENT), inner).otherwise(F.raise_error(F.lit("not an archive assignment")).cast("string"))
+    return F.when(text.isNull() | text.rlike(ASSIGNMENT), inner).otherwise(F.raise_error(F.lit("not an archive assignment")).cast("string"))
 
 
 def json_records(texts: DataFrame) -> DataFrame:
@@ -113,7 +113,7 @@ def json_records(texts: DataFrame) -> DataFrame:
     listed = lambda *path: F.try_variant_get("v", "$" + "".join(path), "array<variant>")
     single = F.coalesce(*[F.try_variant_get("v", f"$.{k}", "variant") for k in ("text", "full_text", "tweet")]).isNotNull()
     rows = F.coalesce(listed(), listed(".posts"), listed(".records"), listed(".tweets"), F.when(single, F.array("v")))
-    checked = value.withColumn("rows", F.when(rows.isNull(), F.raise_error(F.concat(F.lit("no records in "), "file")).cast("array<variant>")).otherwise(rows))
+    checked = value.withColumn("rows", F.when(rows.isNull() & F.col("text").isNotNull(), F.raise_error(F.concat(F.lit("no records in "), "file")).cast("array<variant>")).otherwise(rows))
     return checked.select("file", F.posexplode("rows").alias("row_no", "item")).select("file", "row_no", unwrapped("item").alias("record"))
 
 
@@ -308,13 +308,18 @@ def read_records(spark: SparkSession, path: str, limits: Limits = Limits(), know
     suffix = PurePosixPath(path).suffix.lower()
     if suffix == ".zip":
         posts = zip_members(spark, [path], limits).where("kind = 'post'").select(F.col("member").alias("file"), decoded(F.col("content")).alias("text"))
-        by = lambda *ends: posts.where(F.lower("file").rlike(f"\\.(?:{'|'.join(ends)})$"))
+
+
+        def by(end: str) -> DataFrame:
+            # the text goes with the filter: whatever is evaluated first, other files have none
+            own = F.lower("file").endswith(f".{end}")
+            return posts.where(own).withColumn("text", F.when(own, F.col("text")))
+
         found = records_of(by("json"), "json").unionByName(records_of(by("js"), "js")).unionByName(records_of(by("csv"), "csv")).unionByName(records_of(by("md"), "md"))
         return ordered(found)
-    texts = read_texts(spark, [path], limits)
     if suffix.lstrip(".") not in ("js", "json", "csv", "tsv", "md"):
         raise ValueError(f"no reader for {suffix or 'files without a suffix'}")
-    return ordered(records_of(texts, suffix.lstrip("."), known or KNOWN))
+    return ordered(records_of(read_texts(spark, [path], limits), suffix.lstrip("."), known or KNOWN))
 
 
 def records_of(texts: DataFrame, kind: str, known: frozenset[str] | None = None) -> DataFrame:
