@@ -156,7 +156,7 @@ def nonduplicate_ratio(spark, sf_dir):
 
 
 @query("""WITH $POSTS, $FINDINGS, $STATUS, o AS (SELECT *, row_number() OVER (PARTITION BY clean ORDER BY contributed DESC, least(length(clean), 2000) DESC, ord) AS k FROM stat WHERE type IN ('original', 'article', 'quote') AND status = 'low_signal' AND length(clean) >= 40)
-SELECT row_number() OVER (ORDER BY contributed DESC, least(length(clean), 2000) DESC, ord) AS rank, id, url, text FROM o WHERE k = 1 ORDER BY rank LIMIT 10""")
+SELECT (row_number() OVER (ORDER BY contributed DESC, least(length(clean), 2000) DESC, ord))::INT AS rank, id, url, text FROM o WHERE k = 1 ORDER BY rank LIMIT 10""")
 def candidate_topk(spark, sf_dir):
     return posts.candidates(fixture_status(spark, sf_dir))
 
@@ -292,19 +292,19 @@ def upsert_results(spark, sf_dir):
     return posts.upsert(old, new).select("id", "status")
 
 
-@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS place, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE place <= 4""")
+@query("""SELECT * FROM (SELECT o_custkey, o_orderkey, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))::INT AS place, count(*) OVER (PARTITION BY o_custkey) AS total FROM orders) WHERE place <= 4""")
 def evidence_bounded(spark, sf_dir):
     return posts.bounded(table(spark, sf_dir, "orders"), ["o_custkey"], ["o_orderdate", "o_orderkey"], 4).select("o_custkey", "o_orderkey", "place", "total")
 
 
 @query("""WITH f AS (SELECT l_orderkey AS id, l_partkey AS url, min(struct_pack(r := l_linenumber, q := l_linenumber % 2)) AS spot FROM lineitem GROUP BY ALL)
-SELECT * FROM (SELECT id, url, row_number() OVER (PARTITION BY id ORDER BY spot, url) AS place FROM f) WHERE place <= 5""")
+SELECT * FROM (SELECT id, url, (row_number() OVER (PARTITION BY id ORDER BY spot, url))::INT AS place FROM f) WHERE place <= 5""")
 def rank_interleave(spark, sf_dir):
     hits = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("url"), F.col("l_linenumber").alias("rank"), (F.col("l_linenumber") % 2).alias("query_no"))
     return posts.interleaved(hits)
 
 
-@query("""SELECT * FROM (SELECT l_orderkey AS id, l_partkey AS url, l_discount AS score, row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, l_discount DESC, l_partkey) AS place, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) WHERE place <= 3""")
+@query("""SELECT * FROM (SELECT l_orderkey AS id, l_partkey AS url, l_discount AS score, (row_number() OVER (PARTITION BY l_orderkey ORDER BY (l_returnflag = 'R') DESC, l_discount DESC, l_partkey))::INT AS place, count(*) OVER (PARTITION BY l_orderkey) AS total FROM lineitem) WHERE place <= 3""")
 def match_ordering(spark, sf_dir):
     m = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("url"), F.col("l_discount").alias("score"), F.when(F.col("l_returnflag") == "R", "page_body").otherwise("snippet").alias("source_kind"))
     return posts.ordered_matches(m).select("id", "url", "score", "place", "total")
