@@ -31,7 +31,8 @@ import hashlib
 import os
 import zlib
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,8 +49,8 @@ END_ID = 0
 #: Ids: least and most of a chunk, and the mean length beyond the least as a power of two.
 LEAST, MOST, MEAN_BITS, WINDOW = 64, 2048, 8, 32
 DIGEST = 16
-#: Entries of a worker's memo before it starts anew.
-MEMO = 300_000
+#: Entries of a worker's memo before the next generation begins.
+MEMO = 400_000
 
 
 def digest(data: bytes) -> bytes:
@@ -91,6 +92,28 @@ def cuts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int
     return out
 
 
+class Known:
+    """Ids of chunks in two generations: what a full one held and was asked for again goes to the next."""
+
+    def __init__(self) -> None:
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def of(self, want: set[str], encode: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
+        """A dict that has all of ``want``."""
+        if len(self.young) + len(want.difference(self.young)) > MEMO:
+            self.young, self.old = {}, self.young
+        new = []
+        for x in want.difference(self.young):
+            if (ids := self.old.get(x)) is None:
+                new.append(x)
+            else:
+                self.young[x] = ids
+        for at in range(0, len(new), 50_000):
+            self.young.update(zip(new[at : at + 50_000], encode(new[at : at + 50_000]), strict=True))
+        return self.young
+
+
 class Encoder:
     """The tokenizers library, asked once for each chunk of text between spaces.
 
@@ -104,10 +127,15 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
+        self.first, self.rest = Known(), Known()
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, self.kind).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _ids(self, texts: list[str]) -> Iterator[bytes]:
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        data, width, at = np.fromiter(chain.from_iterable(found), self.kind).tobytes(), self.kind.itemsize, 0
+        for ids in found:
+            to = at + width * len(ids)
+            yield data[at:to]
+            at = to
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
@@ -116,14 +144,8 @@ class Encoder:
         for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
             out[i] = ids
         cut = [(i, texts[i].split(" ")) for i in sorted(set(range(len(texts))) - set(whole))]
-        first, rest = self.known
-        for memo, want, lead in ((first, {p[0] for _, p in cut}, ""), (rest, {x for _, p in cut for x in p[1:]}, " ")):
-            new = [x for x in want if x not in memo]
-            if len(memo) + len(new) > MEMO:
-                memo.clear()
-                new = list(want)
-            for at in range(0, len(new), 50_000):
-                memo.update(zip(new[at : at + 50_000], self._ids([lead + x for x in new[at : at + 50_000]]), strict=True))
+        first = self.first.of({p[0] for _, p in cut}, self._ids)
+        rest = self.rest.of({x for _, p in cut for x in p[1:]}, lambda new: self._ids([f" {x}" for x in new]))
         for i, p in cut:
             out[i] = first[p[0]] + b"".join(map(rest.__getitem__, p[1:]))
         return out
