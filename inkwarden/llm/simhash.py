@@ -18,6 +18,10 @@ whose keys are all of one component already is not descended.
 Components come from alternating large-star and small-star steps over staged
 tables; no links or components reach the driver.
 
+``representatives``, a stage of the pipeline, does not use fingerprints: most texts of
+Jaccard similarity 0.8 differ in more than three bits. It joins the sets of
+5-word shingles exactly, by prefixes.
+
 Defined results: null and empty texts, and texts of white space, have the
 fingerprint zero and link like any other; texts of one or two words have one
 shingle, the whole sequence; repeated rows share a component; a null doc_id
@@ -40,6 +44,8 @@ from inkwarden.operators.graph import components
 from inkwarden.session import stage
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
+#: Words of a shingle where similarity is exact (``representatives``).
+NEAR_SHINGLE = 5
 #: Node pairs that one step of the traversal holds at most.
 STEP = 1 << 20
 
@@ -213,13 +219,81 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
+def shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, sid (hash of the set, 0 if empty), n and hs: the sorted distinct shingles of ``NEAR_SHINGLE`` words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)).view(np.int64) for t in batch.column("text")]
+            n = np.fromiter(map(len, sets), np.int32, len(sets))
+            sid = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
+            hs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sid), pa.array(n), hs], names=["doc_id", "sid", "n", "hs"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid long, n int, hs array<long>")
+
+
+def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs a, b of sets whose Jaccard similarity is 0.8 at least: 9 * both >= 4 * (na + nb)."""
+    x, y = (sets.select(F.col("sid").alias(k), F.col("n").alias(f"n{k}"), F.col("hs").alias(f"h{k}")) for k in "ab")
+    both = F.size(F.array_intersect("ha", "hb"))
+    return pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
+
+
+def jaccard_links(sets: DataFrame) -> DataFrame:
+    """a and b: links between distinct sets (``sid``, ``n``, ``hs``) that join all pairs of similarity 0.8 or more.
+
+    Two such sets share a shingle in their prefixes, the first n - ceil(0.8 n) + 1
+    shingles in any order common to all sets. Sets that share none in the order of
+    hashes are left out first; the rest are ordered by frequency, rarest first, so
+    that shingles of common passages stay out of prefixes. Every candidate is
+    compared in full. The members of a prefix shingle are compared with one of
+    them first, and then across the components found only, so that a dense group
+    is not paired with itself.
+    """
+    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
+    heads = sets.select("sid", F.explode(F.slice("hs", 1, prefix)).alias("h"))
+    met = stage(heads.groupBy("h").count().where("count > 1").select("h"), "met")
+    some = stage(sets.join(heads.join(met, "h").select("sid").distinct(), "sid"), "some")
+    rows = some.select("sid", "n", F.explode("hs").alias("h"))
+    often = stage(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
+    ranked = rows.join(often, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    left = prefix - (F.col("n") - F.size("shared"))  # shingles of one set only come first
+    heads = stage(ranked.where(left > 0).select("sid", "n", F.explode(F.slice("shared", 1, left)).alias("s")).select("sid", "n", F.col("s.h").alias("h")), "heads")
+
+    hubs = heads.groupBy("h").agg(F.min("sid").alias("a"), F.count("*").alias("m")).where("m > 1").select("h", "a")
+    star = heads.join(hubs, "h").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
+    first = stage(near(star, some), "star")
+    joined = stage(components(first).select(F.col("node").alias("sid"), "root"), "joined")
+    labelled = stage(heads.join(joined, "sid", "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("root")), "labelled")
+    mixed = labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
+    apart = stage(labelled.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("sid", "n")).alias("members")), "apart")
+    x, y = (apart.select("h", F.col("root").alias(f"r{k}"), F.col("members").alias(f"m{k}")) for k in "ab")
+    across = x.join(y, "h").where("ra < rb").select(F.explode("ma").alias("x"), "mb").select("x", F.explode("mb").alias("y"))
+    sized = across.where("5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n").select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    return first.unionByName(near(sized, some))
+
+
+def near_classes(docs: DataFrame) -> DataFrame:
+    """doc_id and component_id by exact Jaccard similarity of ``NEAR_SHINGLE``-word shingles, over any chain of links."""
+    found = stage(shingled(docs), "shingled")
+    sets = stage(found.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
+    linked = components(stage(jaccard_links(sets), "links"))
+    smallest = found.groupBy("sid").agg(F.min("doc_id").alias("first"))
+    members = stage(smallest.join(linked, smallest["sid"] == linked["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "members")
+    roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
+    labels = stage(members.join(roots, "root").select("sid", "component_id"), "labels")
+    return found.select("doc_id", "sid").join(labels, "sid").select("doc_id", "component_id")
+
+
 def representatives(docs: DataFrame) -> DataFrame:
-    """One document of each class stays: the one whose id is the class id. Columns as they came.
+    """One document of each class of ``near_classes`` stays: the one whose id is the class id. Columns as they came.
 
     Rows that repeat that id stay together: they are one document. Rows with
     null ids cannot be named and stay.
     """
-    gone = classes(docs).groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).alias("stays")).where("NOT stays").select("doc_id")
+    gone = near_classes(docs).groupBy("doc_id").agg(F.bool_or(F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True))).alias("stays")).where("NOT stays").select("doc_id")
     return docs.join(stage(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
 
 
