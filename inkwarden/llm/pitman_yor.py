@@ -8,9 +8,9 @@ table is a customer, and the parent falls back to a uniform choice of the V + 1
 training tokens and the unknown. Discounts come from the counts of counts.
 
 Seating is sampled by Gibbs. For each dish of each restaurant the state is its
-customers and tables; a move opens or closes a table by the ratio of the two
-seatings' probabilities given everything else (generalised Stirling numbers,
-tabulated to 256 customers and by their asymptotic ratio beyond). Dishes are
+customers and tables; a move draws the tables anew from their distribution given
+everything else, over the whole range (generalised Stirling numbers, tabulated to
+256 customers; beyond, Metropolis steps of all scales by a saddle point). Dishes are
 dealt by token, so a dish's tables in all restaurants and its seating in the
 parent meet in one task; the restaurants' table totals, ``CONTEXTS`` numbers,
 are exchanged between sweeps. Chains are seeded by bucket, so a task replays
@@ -57,6 +57,8 @@ FOLDS, HELD_OUT = 7, 2
 SWEEPS, MOVES, SAMPLES = 5, 3, 3
 CONCENTRATION = 1.0
 STIRLING = 256
+#: Metropolis steps of a move for dishes beyond the table.
+STEPS = 12
 #: Text and documents packed together, and buckets at most.
 SLICE_CHARS, SLICE_DOCS, BUCKETS = 24 << 20, 1 << 16, 4096
 END = b"\n"  # no word holds a line feed
@@ -168,39 +170,99 @@ def log_stirling(discount: float) -> np.ndarray:
     return table
 
 
-def log_opening(c: np.ndarray, t: np.ndarray, discount: float) -> np.ndarray:
-    """log S(c, t + 1) - log S(c, t) for 1 <= t < c."""
-    out = np.empty(len(c))
-    near = c <= STIRLING
-    if near.any():
-        table = log_stirling(discount)
-        out[near] = table[c[near], t[near] + 1] - table[c[near], t[near]]
-    far = ~near
-    if far.any():
-        # S(c, t) ~ G(c) / G(1 - d) * c**-d / (d**(t - 1) * G(t)) * (1 - c**-d)**(t - 1)
-        out[far] = np.log1p(-c[far].astype(float) ** -discount) - math.log(discount) - np.log(t[far])
-    return out
+def _lgamma(x: np.ndarray) -> np.ndarray:
+    """log Gamma for x > 0: Stirling's series at x + 7."""
+    x = np.asarray(x, float)
+    z = x + 7
+    down = np.log(x * (x + 1) * (x + 2)) + np.log((x + 3) * (x + 4)) + np.log((x + 5) * (x + 6))
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - down
+
+
+def _saddle(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) for t < c by the saddle point of c! / (t! d**t) [x**c] (1 - (1 - x)**d)**t."""
+    aim = np.log(c / t)
+    low, high = np.full(len(c), -690.0), np.full(len(c), -1e-12)
+    v = np.clip((math.log(d) - aim) / (1 - d), low, -1e-6)  # log(1 - x)
+
+    def at(v: np.ndarray) -> tuple[np.ndarray, ...]:
+        x, g, y = -np.expm1(v), -np.expm1(d * v), np.exp(v)
+        return x, g, y, d * np.exp((d - 1) * v) / g
+
+    for _ in range(14):  # Newton on the log of the mean, which falls in v, kept inside a bracket
+        x, g, y, slope = at(v)
+        off = np.log(x) + np.log(slope) - aim
+        low, high = np.where(off > 0, v, low), np.where(off > 0, high, v)
+        step = v + off / (y / x + (1 - d) - slope * y)
+        v = np.where((step > low) & (step < high), step, (low + high) / 2)
+    x, g, y, slope = at(v)
+    spread = x * (c / t) * (1 / x + (1 - d) / y - slope)
+    return t * np.log(g) - c * np.log(x) - 0.5 * np.log(2 * np.pi * t * spread) - _lgamma(t + 1) - t * math.log(d) + _lgamma(c + 1)
+
+
+@lru_cache(maxsize=8)
+def _edge(discount: float) -> np.ndarray:
+    """What the saddle point misses of the table's last row, by t from 1."""
+    t = np.arange(1.0, STIRLING)
+    return log_stirling(discount)[STIRLING, 1:STIRLING] - _saddle(np.full(len(t), float(STIRLING)), t, discount)
+
+
+def log_far(c: np.ndarray, t: np.ndarray, d: float) -> np.ndarray:
+    """log S(c, t) beyond the table: the saddle point, mended by the table's last row at the same log t / log c.
+
+    Against exact numbers at c = 3,000 the error changes by 0.1 over all t for
+    discounts to 0.7, 0.2 at 0.8 and 0.6 at 0.9, where log S spans thousands.
+    """
+    c, t = np.asarray(c, float), np.asarray(t, float)
+    ones = np.ones(len(c))
+    edge = _edge(d)
+    first = _lgamma(c - d) - math.lgamma(1 - d) - _saddle(c, ones, d)  # S(c, 1) is known
+    inner = np.minimum(t, c - 1)
+    mend = np.interp(STIRLING ** (np.log(inner) / np.log(c)), np.arange(1, STIRLING), edge) * (first / edge[0])
+    return np.where(t >= c, 0.0, _saddle(c, inner, d) + mend)
 
 
 def discount_of(ones: float, twos: float) -> float:
     return min(0.95, max(0.05, ones / (ones + 2 * twos))) if ones + twos > 0 else 0.5
 
 
-def gibbs(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, discount: float, tables: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """One move of each dish: one table more or fewer, by the ratio of the seatings.
+def gibbs(rng: np.random.Generator, c: np.ndarray, t: np.ndarray, discount: float, others: np.ndarray, base: np.ndarray) -> np.ndarray:
+    """The tables of each dish given everything else, over the whole range from 1 to c.
 
-    ``tables``: of its restaurant; ``base``: the parent's probability of the dish.
+    ``others``: the tables of other dishes in its restaurant; ``base``: the parent's
+    probability of the dish. Up to ``STIRLING`` customers the conditional is drawn
+    from in full; beyond, by ``STEPS`` Metropolis steps of all scales up to c.
     """
     t = t.copy()
-    free = np.flatnonzero(c > 1)
-    up = rng.random(len(free)) < 0.5
-    t0 = np.where(up, t[free], t[free] - 1)  # the lower of the two states
-    able = (t0 >= 1) & (t0 < c[free])
-    free, up, t0 = free[able], up[able], t0[able]
-    others = tables[free] - t[free]
-    ratio = log_opening(c[free], t0, discount) + np.log(CONCENTRATION + discount * (others + t0)) + np.log(base[free])
-    opened = rng.random(len(free)) < 1 / (1 + np.exp(-np.clip(ratio, -700, 700)))
-    t[free] = t0 + opened
+    free = CONCENTRATION + discount * others
+    table = log_stirling(discount)
+    near = np.flatnonzero((c > 1) & (c <= STIRLING))
+    near = near[np.argsort(c[near], kind="stable")]
+    sizes, starts = np.unique(c[near], return_index=True)
+    for n, rows in zip(sizes.tolist(), np.split(near, starts[1:]), strict=False):
+        k = np.arange(n)
+        for at in np.array_split(rows, max(1, len(rows) * n >> 20)):
+            each = (free[at] + discount * k[:, None]) * base[at]  # by table and dish
+            if n <= 16:  # products stay within a double
+                w = np.cumprod(each, axis=0) * np.exp(table[n, 1 : n + 1])[:, None]
+            else:
+                w = np.cumsum(np.log(each), axis=0) + table[n, 1 : n + 1, None]
+                w = np.exp(w - w.max(axis=0))
+            w = np.cumsum(w, axis=0)
+            t[at] = 1 + (w[:-1] < rng.random(len(at)) * w[-1]).sum(axis=0)
+    far = np.flatnonzero(c > STIRLING)
+    if len(far):
+        n, a, low = c[far].astype(float), free[far] / discount, np.log(base[far]) + math.log(discount)
+        weight = lambda x: log_far(n, x, discount) + _lgamma(a + x) + x * low
+        now = t[far].astype(float)
+        is_ = weight(now)
+        for _ in range(STEPS):
+            reach = np.exp(rng.random(len(far)) * np.log(n))
+            to = now + np.rint(reach * rng.standard_normal(len(far)))
+            able = (to >= 1) & (to <= n)
+            would = weight(np.where(able, to, now))
+            go = able & (np.log(rng.random(len(far))) < would - is_)
+            now, is_ = np.where(go, to, now), np.where(go, would, is_)
+        t[far] = now.astype(np.int64)
     return t
 
 
@@ -305,9 +367,10 @@ class Exchange:
     def root_mass(self) -> float:
         return (CONCENTRATION + self.root_discount * self.root_tables) / (CONCENTRATION + self.root_customers)
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """The parent's probability of each dish."""
-        return (customers - self.root_discount * tables) / (CONCENTRATION + self.root_customers) + self.root_mass() / (self.types + 1)
+    def root(self, customers: np.ndarray, tables: np.ndarray, more: np.ndarray | int = 0, opened: np.ndarray | int = 0) -> np.ndarray:
+        """The parent's probability of each dish; ``more`` and ``opened`` are its own customers and tables since the exchange."""
+        room = CONCENTRATION + self.root_customers + more
+        return (customers - self.root_discount * tables + (CONCENTRATION + self.root_discount * (self.root_tables + opened)) / (self.types + 1)) / room
 
 
 def chain(d: Dishes, history: list[Exchange]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -318,12 +381,15 @@ def chain(d: Dishes, history: list[Exchange]) -> Iterator[tuple[np.ndarray, np.n
     r = np.ones(len(d.hashes), np.int64)
     yield t, own(t), r
     for now in history:
+        # what the exchange counted of a dish is its state at the start of the sweep
+        others, others_root, c0, r0 = now.tables[d.contexts] - t, now.root_tables - r, own(t), r
         for _ in range(MOVES):
-            base = now.root(own(t), r)[token]
-            t = gibbs(rng, d.customers, t, now.discount, now.tables[d.contexts], base)
+            c = own(t)
+            base = now.root(c, r, c - c0, r - r0)[token]
+            t = gibbs(rng, d.customers, t, now.discount, others, base)
             c = own(t)
             r = np.minimum(r, c)
-            r = gibbs(rng, c, r, now.root_discount, np.full(len(c), now.root_tables), np.full(len(c), 1 / (now.types + 1)))
+            r = gibbs(rng, c, r, now.root_discount, others_root, np.full(len(c), 1 / (now.types + 1)))
         yield t, own(t), r
 
 
