@@ -3,11 +3,14 @@
 Each metric of a document is an integer. Histograms with 32 buckets to a power
 of two (exact below 64, a relative error of at most 1/32 above) are the
 quantile sketches: their counts add up, so sketches of partitions, sources and
-languages merge exactly and in any order. A document's fence for a metric is
-the median plus (or minus) ``spread`` times the distance to the quartile, where
-a floor keeps uniform groups from rejecting mild deviations. Groups of fewer
-than ``min_group`` documents borrow the merged sketch of their language, or of
-all documents. The fences are joined back and applied.
+languages merge exactly and in any order. The high fence of a metric is the
+median plus ``spread`` times the distance from the median up to an upper quantile
+of the group, the low fence the same downwards with the mirrored quantile. Only
+where a group hardly varies on that side, so that the distance is under
+``least``, does ``least`` stand in for it. Groups of fewer than ``min_group``
+documents borrow the merged sketch of their language, or of all documents, as
+their own quantiles would rest on single documents. The fences are joined back
+and applied.
 
 Defined results: a null or empty text has no words and fails the base rule;
 null languages and sources form groups of their own; repeated rows are judged
@@ -17,6 +20,7 @@ are carried through by ``filtered`` unless they bear a result's name.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,14 +30,27 @@ from pyspark.sql.window import Window
 from inkwarden.llm.text import GAPS, WORD, read, words
 from inkwarden.session import stage
 
-#: metric: (side, floor of the distance between median and quartile)
+
+
+@dataclass(frozen=True)
+class Fence:
+    """How a metric's fences follow from its sketch; quantiles are in permille."""
+
+    high: int  # upper quantile; its mirror is the lower one
+    spread: int
+    least: int
+    low: bool = False  # whether there is a low fence
+
+
+#: Symbols are judged by the quartile, which a quarter of junk documents does not move; repeats have a
+#: long tail in clean text too, so their quantile is higher.
 METRICS = {
-    "symbol_pct": ("high", 5),
-    "repeat_permille": ("high", 50),
-    "dup_line_permille": ("high", 75),
-    "mean_chars_x100": ("both", 25),
+    "symbol_pct": Fence(750, 6, 5),
+    "repeat_permille": Fence(950, 10, 30),
+    "dup_line_permille": Fence(950, 10, 45),
+    "mean_chars_x100": Fence(750, 6, 25, low=True),
 }
-SPREAD, MIN_GROUP = 6, 30
+MIN_GROUP = 30
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -66,7 +83,7 @@ def features(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
         *keys,
         let(words(body), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"))).alias("c"),
         F.length(F.regexp_replace(body, GAPS, "")).cast("long").alias("word_chars"),
-        F.regexp_count(body, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        (F.length(body) - F.length(F.regexp_replace(body, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("d"),
     ).select(*keys, "c.n_words", "word_chars", "n_symbols", "d.n_dup_lines", "c.n_repeat_words", "d.n_lines")
     per = lambda part, whole, times: F.when(F.col(whole) > 0, F.expr(f"{times} * {part} div {whole}")).otherwise(0).cast("long")
@@ -95,18 +112,20 @@ def sketches(found: DataFrame) -> DataFrame:
 
 
 def fences(found: DataFrame) -> DataFrame:
-    """level, lang, source, docs, and low and high bounds of every metric."""
+    """level, lang, source, docs, and low and high bounds of every metric; a low bound is null where the metric has none."""
     at = Window.partitionBy("level", "lang", "source", "metric")
     ranked = sketches(found).withColumns({"upto": F.sum("n").over(at.orderBy("bucket")), "docs": F.sum("n").over(at)})
-    quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("docs"), F.col("bucket")))
-    q = ranked.groupBy("level", "lang", "source", "metric").agg(F.max("docs").alias("docs"), *[quartile(k).alias(f"q{k}") for k in (1, 2, 3)])
-    bounds = []
-    for name, (side, floor) in METRICS.items():
-        own = lambda x, name=name: F.max(F.when(F.col("metric") == name, x))
-        bounds.append(own(F.col("q2") + SPREAD * F.greatest(F.col("q2") - F.col("q1"), F.lit(floor))).alias(f"high_{name}"))
-        low = F.col("q2") - SPREAD * F.greatest(F.col("q3") - F.col("q2"), F.lit(floor)) if side == "both" else F.lit(0)
-        bounds.append(own(low).alias(f"low_{name}"))
-    return q.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *bounds)
+    metric, upto, docs = F.col("metric"), F.col("upto"), F.col("docs")
+    quantile = lambda m, k: F.min(F.when((metric == m) & (1000 * upto >= k * docs), F.col("bucket")))
+    found_at = {(m, k): f"{m}_{k}" for m, rule in METRICS.items() for k in (500, rule.high, *([1000 - rule.high] if rule.low else []))}
+    q = ranked.groupBy("level", "lang", "source").agg(F.max("docs").alias("docs"), *[quantile(*key).alias(name) for key, name in found_at.items()])
+    limits = {}
+    for m, rule in METRICS.items():
+        middle = F.col(found_at[m, 500])
+        away = lambda x, rule=rule: rule.spread * F.greatest(x, F.lit(rule.least))
+        limits[f"high_{m}"] = middle + away(F.col(found_at[m, rule.high]) - middle)
+        limits[f"low_{m}"] = middle - away(middle - F.col(found_at[m, 1000 - rule.high])) if rule.low else F.lit(None).cast("long")
+    return q.select("level", "lang", "source", "docs", *[x.alias(name) for name, x in limits.items()])
 
 
 def bounds(found: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
@@ -129,7 +148,7 @@ def bounds(found: DataFrame, min_group: int = MIN_GROUP) -> DataFrame:
 
 def apply_bounds(found: DataFrame, limits: DataFrame) -> DataFrame:
     """``found`` with ``kept``. Rows of a hot group stay where they are: the small side moves."""
-    inside = reduce(lambda a, b: a & b, [F.col(m).between(F.col(f"f.low_{m}"), F.col(f"f.high_{m}")) for m in METRICS])
+    inside = reduce(lambda a, b: a & b, [(F.col(m) <= F.col(f"f.high_{m}")) & (F.col(m) >= F.col(f"f.low_{m}") if rule.low else F.lit(True)) for m, rule in METRICS.items()])
     out = found.join(limits, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop("f_lang", "f_source", "f")
 
@@ -145,11 +164,16 @@ def judged(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The documents that are kept, with the columns and values they came with."""
+    """The documents that are kept, with the columns and values they came with.
+
+    Each text is analysed once: documents that pass the base rule are written with
+    their metrics, the sketches read the metrics alone, and the fences are applied
+    to what was written.
+    """
     whole = _with_groups(docs).select(F.struct(*docs.columns).alias("row"), "lang", "source", "text")
-    found = features(whole, ["row", "lang", "source"])
-    limits = bounds(stage(features(whole, ["lang", "source"]), "quality"))
-    return apply_bounds(found.where(~F.col("base_failed")), stage(limits, "fences")).where("kept").select("row.*")
+    able = stage(features(whole, ["row", "lang", "source"]).where(~F.col("base_failed")), "quality")
+    limits = stage(bounds(able.drop("row")), "fences")
+    return apply_bounds(able, limits).where("kept").select("row.*")
 
 
 def op8_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -185,18 +209,24 @@ feats AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_
 
 def verdict_sql(table: str = "documents") -> str:
     """WITH terms that end in ``judged``: ``feats`` with ``kept``."""
-    low = lambda m, side: f"q2 - {SPREAD} * greatest(q3 - q2, {METRICS[m][1]})" if side == "both" else "0"
-    limits = ", ".join(f"max(CASE WHEN metric = '{m}' THEN q2 + {SPREAD} * greatest(q2 - q1, {floor}) END) AS high_{m}, max(CASE WHEN metric = '{m}' THEN {low(m, side)} END) AS low_{m}" for m, (side, floor) in METRICS.items())
-    inside = " AND ".join(f"{m} BETWEEN coalesce(g.low_{m}, l.low_{m}, a.low_{m}) AND coalesce(g.high_{m}, l.high_{m}, a.high_{m})" for m in METRICS)
+    quantiles, limits, inside = {}, [], []
+    for m, rule in METRICS.items():
+        for k in (500, rule.high, 1000 - rule.high):
+            quantiles[f"{m}_{k}"] = f"min(CASE WHEN metric = '{m}' AND 1000 * upto >= {k} * docs THEN b END) AS {m}_{k}"
+        limits.append(f"{m}_500 + {rule.spread} * greatest({m}_{rule.high} - {m}_500, {rule.least}) AS high_{m}")
+        inside.append(f"{m} <= coalesce(g.high_{m}, l.high_{m}, a.high_{m})")
+        if rule.low:
+            limits.append(f"{m}_500 - {rule.spread} * greatest({m}_500 - {m}_{1000 - rule.high}, {rule.least}) AS low_{m}")
+            inside.append(f"{m} >= coalesce(g.low_{m}, l.low_{m}, a.low_{m})")
     cells = " UNION ALL ".join(f"SELECT {lv} AS level, {lang} AS lang, {src} AS source, '{m}' AS metric, {m} AS v FROM feats WHERE NOT base_failed" for m in METRICS for lv, lang, src in ((2, "lang", "source"), (1, "lang", "NULL"), (0, "NULL", "NULL")))
     return feature_sql(table) + f""",
 cells AS ({cells}),
 hist AS (SELECT level, lang, source, metric, (v >> greatest(0, length(bin(v)) - 6)) << greatest(0, length(bin(v)) - 6) AS b, count(*) AS n FROM cells GROUP BY ALL),
 ranked AS (SELECT *, sum(n) OVER (PARTITION BY level, lang, source, metric ORDER BY b) AS upto, sum(n) OVER (PARTITION BY level, lang, source, metric) AS docs FROM hist),
-q AS (SELECT level, lang, source, metric, max(docs) AS docs, min(CASE WHEN 4 * upto >= docs THEN b END) AS q1, min(CASE WHEN 4 * upto >= 2 * docs THEN b END) AS q2, min(CASE WHEN 4 * upto >= 3 * docs THEN b END) AS q3 FROM ranked GROUP BY ALL),
-fence AS (SELECT level, lang, source, max(docs) AS docs, {limits} FROM q GROUP BY ALL),
+q AS (SELECT level, lang, source, max(docs) AS docs, {", ".join(quantiles.values())} FROM ranked GROUP BY ALL),
+fence AS (SELECT level, lang, source, docs, {", ".join(limits)} FROM q),
 judged AS (
-  SELECT feats.*, NOT base_failed AND coalesce({inside}, true) AS kept FROM feats
+  SELECT feats.*, NOT base_failed AND coalesce({" AND ".join(inside)}, true) AS kept FROM feats
   LEFT JOIN (SELECT * FROM fence WHERE level = 2 AND docs >= {MIN_GROUP}) g ON feats.lang IS NOT DISTINCT FROM g.lang AND feats.source IS NOT DISTINCT FROM g.source
   LEFT JOIN (SELECT * FROM fence WHERE level = 1 AND docs >= {MIN_GROUP}) l ON feats.lang IS NOT DISTINCT FROM l.lang
   LEFT JOIN (SELECT * FROM fence WHERE level = 0) a ON true

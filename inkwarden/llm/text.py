@@ -21,7 +21,9 @@ def words(text: Column) -> Column:
 
 
 def n_words(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
+    """The number of words, without an array of them: each word and the gap behind it become one character."""
+    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(" \t\n\x0b\x0c\r"))
+    return F.length(F.regexp_replace(trimmed, r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "a")).cast("long")
 
 
 def read(spark, sf_dir: str, table: str):

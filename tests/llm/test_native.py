@@ -158,3 +158,26 @@ def test_url_rules_against_brute_force(spark):
         assert (got[i]["host"], got[i]["path"], got[i]["rule"], got[i]["verdict"]) == (host, path, rule, verdict), u
     assert url_filters.judge(pages, rules.limit(0)).where("verdict = 'allow' AND rule IS NULL").count() == len(URLS)
     assert url_filters.judge(pages.limit(0), rules).count() == 0
+
+
+def test_every_fence_follows_its_group(spark):
+    """The same rule gives each group bounds of its own, on the side where its documents lie."""
+    found = []
+    for g, scale in (("calm", 1), ("wild", 4)):
+        for i in range(200):
+            found.append((i, "en", g, 5 * scale * (i % 9), 9 * scale * (i % 23), 7 * scale * (i % 31), 500 + scale * 8 * ((i % 21) - 10), False))
+    rows = spark.createDataFrame(found, "doc_id long, lang string, source string, symbol_pct long, repeat_permille long, dup_line_permille long, mean_chars_x100 long, base_failed boolean")
+    calm, wild = (quality_rules.fences(rows).where(f"level = 2 AND source = '{g}'").first() for g in ("calm", "wild"))
+    for m, rule in quality_rules.METRICS.items():
+        values = sorted(r[3 + list(quality_rules.METRICS).index(m)] for r in found if r[2] == "wild")
+        assert wild[f"high_{m}"] > calm[f"high_{m}"] > 0 and wild[f"high_{m}"] >= values[-1]
+        assert (wild[f"low_{m}"] < calm[f"low_{m}"]) if rule.low else wild[f"low_{m}"] is None
+
+
+def test_a_long_tail_above_does_not_lower_the_floor(spark):
+    """Only lengths above the median vary: the high fence widens, the low one stays."""
+    rows = [(i, "en", "s", 0, 0, 0, 500 + max(0, i - 60) * 4, False) for i in range(100)]
+    f = quality_rules.fences(spark.createDataFrame(rows, "doc_id long, lang string, source string, symbol_pct long, repeat_permille long, dup_line_permille long, mean_chars_x100 long, base_failed boolean")).where("level = 2").first()
+    rule = quality_rules.METRICS["mean_chars_x100"]
+    middle = 496  # the bucket of 500
+    assert f["low_mean_chars_x100"] == middle - rule.spread * rule.least and f["high_mean_chars_x100"] > middle + rule.spread * rule.least
