@@ -5,29 +5,31 @@ list. They share ``share`` times all words by weight; a target stops at ``cap``
 times its source's words and what is over goes to the others by weight (water
 filling, solved in closed form over the sorted saturation points). A source's
 documents are permuted by a seeded hash and cut into blocks of at most
-``block_words`` words; each pass over a source takes a prefix of that order, so
-a source gives exactly its target, rounded to whole words, and at most one
+``block_words`` words; a pass over a source has a quota of blocks, so that a
+source gives exactly its target, rounded to whole words, and at most one
 document a pass is cut. The exact block quotas of all sources and passes are
 the root of a binary tree over the output shards: at each node a multivariate
 hypergeometric draw, seeded by the node, splits every quota between the halves.
-A shard's share of a source is thus a disjoint range of permuted blocks, which
-is shuffled inside the shard.
+A shard draws the next so many of a source's permuted blocks, so draws are
+disjoint, and shuffles what it drew by a seeded hash. A document's words in the
+mix are the sum of its draws. The number of shards grows with the mix.
 
 Everything is a function of the seed, the ids and the texts: reruns agree,
 whatever the partitioning. Permuted positions come from per-bucket counts and a
 window inside each hash bucket, so a source with a third of all rows never
-meets in one task.
+meets in one task; draws meet documents by stretches of a source's blocks. One
+row holds the quotas of a node, so sources are counted in millions at most.
 
 Defined results: null and empty texts have no words, are never taken and count
 nothing; the null source is a source like any other; repeated rows are rows of
-their own; an empty table gives an empty mix; a source without words has target
-zero; columns beyond doc_id, source and text are ignored by ``plan`` and
-carried by ``mixed_documents``.
+their own, each with a place in the permutation; an empty table gives an empty
+mix; a source without words has target zero; columns beyond doc_id, source and
+text are ignored by ``plan`` and carried by ``mixed_documents``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,9 +46,13 @@ class Mix:
     share: float = 1.5
     cap: int = 2
     block_words: int = 256
-    shards: int = 64  # a power of two
-    buckets: int = 1024  # windows inside a source; more for larger sources
+    shards: int | None = None  # a power of two; None: as many as ``shard_words`` asks for
+    shard_words: int = 1 << 22
+    buckets: int = 1024  # windows inside a source
+    stretch: int = 4096  # blocks of a source that meet their draws under one key
     seed: int = 20_240_517
+    #: Bytes of the places of shards that may be broadcast to the texts; beyond, they are joined.
+    broadcast_bytes: int = 32 << 20
 
 
 def _permutation(mix: Mix) -> Column:
@@ -160,51 +166,105 @@ def splitting_tree(quotas: DataFrame, mix: Mix) -> DataFrame:
     return leaves.withColumn("first", F.sum("n").over(order) - F.col("n"))
 
 
-def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """Each document with its target and its draws: pass, shard, first block, blocks and words of each."""
-    sizes = stage(sized(docs, mix), "mix-sizes")
-    at = stage(placed(sizes, mix), "mix-placed")
+def sharded(at: DataFrame, mix: Mix) -> Mix:
+    """``mix`` with a number of shards."""
+    if mix.shards is not None:
+        return mix
+    words = at.agg(F.coalesce(F.sum(F.aggregate("takes", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0)).alias("n")).first()["n"]
+    return replace(mix, shards=1 << max(0, -(-words // mix.shard_words) - 1).bit_length())
+
+
+def _stretches(first: Column, n: Column, mix: Mix) -> Column:
+    return F.explode(F.sequence(F.floor(first / mix.stretch), F.floor((first + n - 1) / mix.stretch)))
+
+
+def drawn(at: DataFrame, mix: Mix) -> DataFrame:
+    """``at`` with draws: pass, shard, first block, blocks and words of each, in order."""
     used = F.transform("takes", lambda w, p: F.struct(p.alias("pass"), F.ceil(w / mix.block_words).cast("long").alias("n")))
     quotas = at.select("source", F.explode(used).alias("u")).groupBy("source", "u.pass").agg(F.sum("u.n").alias("n"))
-    ranges = splitting_tree(quotas, mix).where("n > 0").groupBy("source").agg(F.collect_list(F.struct("pass", "shard", "first", "n")).alias("ranges"))
+    ranges = splitting_tree(quotas, mix).where("n > 0").withColumn("stretch", _stretches(F.col("first"), F.col("n"), mix))
+    ranges = ranges.groupBy("source", "stretch").agg(F.collect_list(F.struct("pass", "shard", "first", "n")).alias("ranges"))
+
+    def piece(r: Column) -> Column:
+        take = F.get("takes", r["pass"])
+        # the part of the range in this stretch, in blocks of the document
+        low = F.greatest(r["first"] - F.col("rank"), F.col("stretch") * mix.stretch - F.col("rank"), F.lit(0))
+        high = F.least(r["first"] + r["n"] - F.col("rank"), (F.col("stretch") + 1) * mix.stretch - F.col("rank"), F.ceil(take / mix.block_words).cast("long"))
+        return F.struct(r["pass"].alias("pass"), r["shard"].alias("shard"), low.alias("block"), (high - low).alias("blocks"), (F.least(take, high * mix.block_words) - low * mix.block_words).alias("words"))
+
+    names = ["doc_id", "source", "size", "perm", "bucket", "source_size", "target"]
+    some = at.where("blocks > 0").withColumn("stretch", _stretches(F.col("rank"), F.col("blocks"), mix)).alias("d")
+    met = some.join(ranges.alias("r"), _same("d", "r") & (F.col("d.stretch") == F.col("r.stretch")), "left").select("d.*", "ranges")
+    met = met.withColumn("part", F.filter(F.transform("ranges", piece), lambda d: d["blocks"] > 0))
+    # a document with blocks is known by its source and rank
+    whole = F.array_sort(F.flatten(F.collect_list("part"))).alias("draws")
+    taken = met.groupBy("source", "rank").agg(*[F.first(c).alias(c) for c in names if c != "source"], whole).select(*names, "draws")
+    return taken.unionByName(at.where("blocks = 0").select(*names, F.array().cast(taken.schema["draws"].dataType).alias("draws")))
+
 
-    def piece(r: Column, p: Column, take: Column) -> Column:
-        low = F.greatest(r["first"] - F.col("rank"), F.lit(0))
-        high = F.least(r["first"] + r["n"] - F.col("rank"), F.ceil(take / mix.block_words).cast("long"))
-        return F.struct(p.alias("pass"), r["shard"].alias("shard"), low.alias("block"), (high - low).alias("blocks"), (F.least(take, high * mix.block_words) - low * mix.block_words).alias("words"))
+def plan(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
+    """Each document with its target and its draws: pass, shard, first block, blocks and words of each."""
+    at = stage(placed(stage(sized(docs, mix), "mix-sizes"), mix), "mix-placed")
+    return drawn(at, sharded(at, mix))
+
+
+def shuffled(drawn_rows: DataFrame, shards: int, *key: str) -> DataFrame:
+    """Rows dealt to their ``shard``'s partition and shuffled there by a seeded hash of ``key``."""
+    dealt = drawn_rows.repartitionById(shards, F.col("shard").cast("int"))
+    return dealt.sortWithinPartitions("shard", F.xxhash64(F.lit(Mix.seed + 1), *key), *key)
 
-    pieces = F.flatten(F.transform("takes", lambda take, p: F.filter(F.transform(F.filter(F.coalesce("ranges", F.array().cast("array<struct<pass:int,shard:int,first:bigint,n:bigint>>")), lambda r: r["pass"] == p), lambda r: piece(r, p, take)), lambda d: d["blocks"] > 0)))
-    return at.alias("d").join(ranges.alias("r"), _same("d", "r"), "left").select("d.doc_id", "d.source", "d.size", "d.perm", "d.source_size", "d.target", pieces.alias("draws"))
 
+def shards(planned: DataFrame, mix: Mix) -> DataFrame:
+    """One row per draw, dealt by shard and shuffled inside each: the order of the mix."""
+    return shuffled(planned.select("doc_id", "source", F.inline("draws")), mix.shards, "doc_id", "pass", "block")
 
-def shards(planned: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """One row per draw, dealt by shard and shuffled inside each: the mix as it is written."""
-    drawn = planned.select("doc_id", "source", F.inline("draws"))
-    return drawn.repartition(mix.shards, "shard").sortWithinPartitions("shard", F.xxhash64(F.lit(mix.seed + 1), "doc_id", "pass", "block"))
+
+def _places(planned: DataFrame) -> tuple[DataFrame, bool]:
+    """For each source and bucket, where its shards end (pass, shard, last perm), and whether repeated rows stand at a cut.
+
+    ``due`` is set at the end of a pass: the words still due from all rows that stand there.
+    """
+    opened = planned.select("source", "bucket", "perm", "size", F.inline("draws")).where("block = 0")
+    lasts = opened.groupBy("source", "bucket", "pass", "shard").agg(F.max("perm").alias("perm"))
+    words = planned.select("source", "bucket", "perm", "size", F.inline("draws")).groupBy("source", "bucket", "perm", "pass").agg(F.sum("words").alias("due"), F.max("size").alias("size"))
+    end = words.groupBy("source", "pass").agg(F.max(F.struct("bucket", "perm", "due", "size")).alias("e")).select("source", "pass", "e.*")
+    cuts = stage(end, "mix-ends")
+    found = lasts.alias("l").join(cuts.alias("c"), _same("l", "c") & (F.col("l.pass") == F.col("c.pass")) & (F.col("l.bucket") == F.col("c.bucket")) & (F.col("l.perm") == F.col("c.perm")), "left")
+    found = found.select("l.*", F.col("c.due").alias("due"))
+    listed = found.groupBy("source", "bucket").agg(F.array_sort(F.collect_list(F.struct("pass", "perm", "shard", "due"))).alias("places"))
+    repeats = planned.alias("p").join(cuts.alias("c"), _same("p", "c") & (F.col("p.bucket") == F.col("c.bucket")) & (F.col("p.perm") == F.col("c.perm"))).groupBy("c.source", "c.pass").count().where("count > 1")
+    return listed, not repeats.isEmpty()
 
 
 def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """The documents of the mix, one row for each pass that takes one, with the columns they came with.
+    """The documents of the mix with the columns they came with, one row for each pass that takes one, in the order of the mix.
 
-    The narrow plan finds the last document of each source and pass; documents
-    before it in the permutation are whole, it is cut to the words still due,
-    and its white space becomes single spaces. So the texts are not shuffled.
-    Rows equal in id and text share a place. ``n_chars`` follows a cut text.
+    A row stands in the shard that draws its document's first block, and shards
+    are shuffled inside. The texts move once, to their shards: a document finds
+    its shards by its place in the permutation. The last document of a source and
+    pass is cut to the words still due, and its white space becomes single spaces.
+    Of repeated rows at a cut the first ones stay whole. ``n_chars`` follows a cut text.
     """
-    sizes = stage(sized(docs, mix), "mix-sizes")
-    at = stage(placed(sizes, mix), "mix-placed")
-    last = at.select("source", "bucket", "perm", F.posexplode("takes").alias("pass", "take")).where("take > 0").groupBy("source", "pass").agg(F.max(F.struct("bucket", "perm", (-F.col("take")).alias("less"))).alias("end"))
-    ends = stage(last.groupBy("source").agg(F.collect_list(F.struct("pass", "end")).alias("ends")), "mix-ends")
-    place = F.struct(F.pmod(_permutation(mix), F.lit(mix.buckets)).cast("int").alias("bucket"), _permutation(mix).alias("perm"))
-    body = docs.withColumn("_row", F.struct(*docs.columns)).select("_row", "source", "text", place.alias("_place"))
-    end = lambda e: F.struct(e["end"]["bucket"].alias("bucket"), e["end"]["perm"].alias("perm"))
-    joined = body.alias("d").join(ends.alias("e"), _same("d", "e")).select("d.*", F.explode(F.filter("ends", lambda e: F.col("_place") <= end(e))).alias("_e"))
-    cut = F.when(F.col("_place") == end(F.col("_e")), F.least(-F.col("_e.end.less"), n_words(F.col("text")))).otherwise(n_words(F.col("text")))
-    taken = joined.withColumn("_cut", cut).where("_cut > 0")
-    whole = F.col("_cut") == n_words(F.col("text"))
-    text = F.when(whole, F.col("text")).otherwise(F.array_join(F.slice(words(F.col("text")), 1, F.col("_cut").cast("int")), " "))
-    out = taken.withColumn("_text", text)
-    fields = {"text": F.col("_text"), "n_chars": F.when(whole, F.col("_row.n_chars")).otherwise(F.length("_text")) if "n_chars" in docs.columns else None}
+    at = stage(placed(stage(sized(docs, mix), "mix-sizes"), mix), "mix-placed")
+    mix = sharded(at, mix)
+    listed, repeats = _places(stage(drawn(at, mix), "mix-drawn"))
+    places = stage(listed, "mix-places")
+    size = places.agg(F.coalesce(F.sum(F.size("places") * 32 + 48), F.lit(0)).alias("n")).first()["n"]
+    places = F.broadcast(places) if size <= mix.broadcast_bytes else places
+    body = docs.select(F.struct(*docs.columns).alias("_row"), "source", "text", _permutation(mix).alias("_perm"))
+    met = body.alias("d").join(places.alias("p"), _same("d", "p") & (F.pmod("_perm", F.lit(mix.buckets)).cast("int") == F.col("p.bucket"))).select("d.*", "places")
+    # in each pass the first shard whose last place is not before the document's
+    hits = F.transform(F.sequence(F.lit(0), F.lit(mix.cap - 1)), lambda p: F.get(F.filter("places", lambda x: (x["pass"] == p) & (x["perm"] >= F.col("_perm"))), 0))
+    hit = met.select("_row", "text", "source", "_perm", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("_at"))
+    hit = hit.select("_row", "text", "_perm", "source", F.col("_at.pass").alias("pass"), F.col("_at.shard").alias("shard"), F.when(F.col("_at.perm") == F.col("_perm"), F.col("_at.due")).alias("_due"))
+    if repeats:  # rows that share a place take what is due in turn
+        turn = F.row_number().over(Window.partitionBy("source", "_perm", "pass").orderBy(F.monotonically_increasing_id())) - 1
+        cut = hit.where("_due IS NOT NULL").withColumn("_due", F.greatest(F.col("_due") - turn * n_words(F.col("text")), F.lit(0)))
+        hit = hit.where("_due IS NULL").unionByName(cut).where("coalesce(_due, 1) > 0")
+    short = F.col("_due") < n_words(F.col("text"))  # null away from a cut
+    text = F.when(short, F.array_join(F.slice(words(F.col("text")), 1, F.col("_due").cast("int")), " ")).otherwise(F.col("text"))
+    out = shuffled(hit.select("_row", "shard", "pass", "_perm", text.alias("_text"), F.coalesce(short, F.lit(False)).alias("_short")), mix.shards, "_perm", "pass")
+    fields = {"text": F.col("_text"), "n_chars": F.when(F.col("_short"), F.length("_text")).otherwise(F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
     return out.select(*[fields[c].cast(docs.schema[c].dataType).alias(c) if c in fields else F.col("_row")[c].alias(c) for c in docs.columns])
 
 

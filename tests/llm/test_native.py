@@ -111,7 +111,7 @@ def test_hypergeometric_mean_and_variance(spark):
 
 
 def test_mixed_documents_agree_with_the_plan(odd):
-    small = odd.where("doc_id <> 7 AND doc_id <> 9")  # rows that repeat share a place
+    small = odd.where("doc_id <> 7")
     want = Counter()
     for r in mixing.plan(small).collect():
         want[r["doc_id"]] += sum(d["words"] for d in r["draws"])
@@ -141,6 +141,37 @@ def test_short_lines_need_more_documents(spark):
     assert rows == {0: 0, 1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 9: 0}
 
 
+def test_repeated_rows_have_places_of_their_own(spark):
+    for share, due in ((0.85, 170), (0.75, 150), (0.57, 114), (1.0, 200), (0.3, 60)):
+        docs = spark.createDataFrame([(1, " ".join(["w"] * 100), "s", k) for k in range(2)], "doc_id long, text string, source string, part int")
+        mix = mixing.Mix(share=share, block_words=32)
+        assert sum(d["words"] for r in mixing.plan(docs, mix).collect() for d in r["draws"]) == due
+        rows = mixing.mixed_documents(docs, mix).collect()
+        assert sorted((len(WORD.findall(r["text"])) for r in rows), reverse=True) == [n for n in (min(100, due), due - 100) if n > 0]
+
+
+def test_mix_is_written_by_shard_in_shuffled_order(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * (1 + i * 13 % 700)), f"s{i % 4}") for i in range(300)], "doc_id long, text string, source string")
+    mix = mixing.Mix(shards=8, block_words=32)
+    first = {}
+    for r in mixing.plan(docs, mix).collect():
+        for d in r["draws"]:
+            if d["block"] == 0:
+                first[r["doc_id"], d["pass"]] = d["shard"]
+    parts = mixing.mixed_documents(docs, mix).select("doc_id").rdd.mapPartitionsWithIndex(lambda k, rows: [(k, [r[0] for r in rows])]).collect()
+    assert Counter((k, i) for k, ids in parts for i in ids) == Counter((s, i) for (i, _), s in first.items())
+    assert all(ids != sorted(ids) for _, ids in parts if len(ids) > 9)
+
+
+def test_shards_grow_with_the_mix(spark):
+    docs = spark.createDataFrame([(i, " ".join(["w"] * 500), "s") for i in range(64)], "doc_id long, text string, source string")
+    for words, n in ((1 << 22, 1), (8000, 8), (2000, 32)):
+        mix = mixing.Mix(shard_words=words, stretch=8)
+        rows = mixing.plan(docs, mix).collect()
+        assert {d["shard"] for r in rows for d in r["draws"]} == set(range(n))
+        assert sum(d["words"] for r in rows for d in r["draws"]) == 48_000
+
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"), ("a.b.example.com", "/en/x", "block"), ("", "/", "block"), (None, "/", "block")]
 URLS = ["http://example.com/en/", "https://WWW.Example.com/en/a?b#c", "x://a.b.example.com/en/xyz", "http://net/es/", "http://q.net/fr", "http://q.net/fr/", "http://com", "http://com/", "nourl", None, "", "http://", "a://b://c", "http://notexample.com/en/", "http://e.com?x=/en/", "http://" + "a." * 300 + "com/" + "y/" * 300, "http://example.com/en/"]
 
