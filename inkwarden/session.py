@@ -42,9 +42,11 @@ def ensure_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where none is set and all runs on this machine."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="inkwarden-"))
         path = _own_dir[0]
@@ -81,4 +83,16 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     schema = df.schema
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    out = df.sparkSession.read.schema(schema).parquet(path)
+    _staged[id(out)] = out, path
+    return out
+
+
+_staged: dict[int, tuple[DataFrame, str]] = {}
+
+
+def unstage(df: DataFrame) -> None:
+    """Delete a staged table that nothing will read again. Others go with the application."""
+    kept, path = _staged.pop(id(df), (None, ""))
+    if kept is df:
+        _delete(df.sparkSession, path)
