@@ -32,6 +32,7 @@ is there); an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +42,14 @@ from pyspark.sql import functions as F
 
 from inkwarden.llm.text import read
 from inkwarden.operators.graph import components
-from inkwarden.session import stage
+from inkwarden.session import stage, unstage
 
 BITS, BUDGET, SHINGLE, SEED = 64, 3, 3, 42
 #: Words of a shingle where similarity is exact (``representatives``).
 NEAR_SHINGLE = 5
-#: Node pairs that one step of the traversal holds at most.
-STEP = 1 << 20
+#: Node pairs that one step of the traversal takes at most, fingerprints joined together, and
+#: fingerprints of one trie from which on it is dealt again.
+STEP, HELD, HOT, LEAST_FREE = 1 << 16, 1 << 19, 1 << 16, 16
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -114,12 +116,19 @@ def trie_forest(trie: np.ndarray, key: np.ndarray, budget: int = BUDGET, bits: i
     forest = Forest(n)
     if n < 2:
         return forest.up
+    # neighbours in the order of keys first: of a dense group this joins much, and joined ranges are not descended
+    near = np.flatnonzero((trie[1:] == trie[:-1]) & (np.bitwise_count(key[1:] ^ key[:-1]) <= budget))
+    forest.link(near, near + 1)
     starts = np.flatnonzero(np.r_[True, trie[1:] != trie[:-1]])
     ends = np.r_[starts[1:], n]
     many = ends - starts > 1
     a0, a1 = starts[many], ends[many]
     # a stack of node pairs (first range, second range, depth, differing bits), the deepest on top
-    stack = [(a0, a1, a0, a1, depth, np.zeros(len(a0), np.int64))]
+    a0, a1 = a0.astype(np.int32), a1.astype(np.int32)
+    stack = [(a0, a1, a0, a1, depth, np.zeros(len(a0), np.int8))]
+    places, stale = np.arange(n), 0
+    low = forest.root(places)
+    jump = np.r_[0, np.cumsum(low[1:] != low[:-1])]
     while stack:
         s, e, t, f, depth, diff = stack.pop()
         if len(s) > STEP:
@@ -130,30 +139,34 @@ def trie_forest(trie: np.ndarray, key: np.ndarray, budget: int = BUDGET, bits: i
         leaf = (e - s == 1) & (f - t == 1)
         if leaf.any():
             x, y = s[leaf], t[leaf]
-            near = (x != y) & (np.bitwise_count(key[x] ^ key[y]) <= budget)
-            forest.link(x[near], y[near])
+            close = (x != y) & (low[x] != low[y]) & (np.bitwise_count(key[x] ^ key[y]) <= budget)
+            if close.any():
+                forest.link(x[close], y[close])
+                stale += int(close.sum())
             s, e, t, f, diff = (v[~leaf] for v in (s, e, t, f, diff))
-        # pairs whose ends are joined already, over ranges that are each one component, have nothing to add
+        # ranges that are of one component already have nothing to add; the view of components may lag behind
         if len(s):
-            whole = (e - s + f - t) > 64
-            if whole.any():
-                low = forest.root(np.arange(n))
+            if stale and stale + len(s) > n >> 4:
+                low, stale = forest.root(places), 0
                 jump = np.r_[0, np.cumsum(low[1:] != low[:-1])]
-                done = whole & (jump[e - 1] == jump[s]) & (jump[f - 1] == jump[t]) & (low[s] == low[t])
-                s, e, t, f, diff = (v[~done] for v in (s, e, t, f, diff))
+            done = (jump[e - 1] == jump[s]) & (jump[f - 1] == jump[t]) & (low[s] == low[t])
+            s, e, t, f, diff = (v[~done] for v in (s, e, t, f, diff))
         if not len(s) or depth >= bits:
             continue
         bit = np.uint64(bits - 1 - depth)
         m, o = _split(key, s, e, bit), _split(key, t, f, bit)
         same = s == t
+        below = []
         for (p, q), (u, v), cost, keep in (((s, m), (o, f), 1, None), ((m, e), (t, o), 1, ~same), ((s, m), (t, o), 0, None), ((m, e), (o, f), 0, None)):
             live = (q > p) & (v > u) & (diff + cost <= budget)
             if keep is not None:
                 live &= keep
             if cost == 0:
                 live &= ~((p == u) & (q - p == 1))  # a key with itself
-            if live.any():
-                stack.append((p[live], q[live], u[live], v[live], depth + 1, diff[live] + cost))
+            below.append((p[live], q[live], u[live], v[live], diff[live] + cost))
+        p, q, u, v, diff = (np.concatenate(c) for c in zip(*below, strict=True))
+        if len(p):
+            stack.append((p, q, u, v, depth + 1, diff))
     return forest.root(np.arange(n))
 
 
@@ -168,39 +181,76 @@ def _split(key: np.ndarray, low: np.ndarray, high: np.ndarray, bit: np.uint64) -
     return low
 
 
-def _rotated(key: np.ndarray, band: np.ndarray, width: int) -> np.ndarray:
-    """Keys with their band at the top."""
-    by = (band * width).astype(np.uint64)
-    return np.where(by == 0, key, (key << by) | (key >> ((np.uint64(64) - by) & np.uint64(63))))
+def _cut(mask: int) -> list[int]:
+    """``mask`` with each of the ``BUDGET + 1`` bands of the bits that it leaves free."""
+    free = [b for b in reversed(range(BITS)) if not mask >> b & 1]
+    ends = [len(free) * i // (BUDGET + 1) for i in range(BUDGET + 2)]
+    return [mask | sum(1 << b for b in free[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def links(distinct: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, masks: list[list[int]]) -> DataFrame:
+    """fp, k and value of each fingerprint: ``masks[k]`` holds the masks that follow the one it was dealt by."""
+    signed = lambda m: m - (1 << BITS) if m >> (BITS - 1) else m
+    width = BUDGET + 1
+    held = F.array(*[F.lit(signed(m)) for of in masks for m in of])
+    each = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct((F.col("k") * width + i).alias("k"), F.col("fp").bitwiseAND(F.get(held, F.col("k") * width + i)).alias("value")))
+    return rows.select("fp", F.explode(each).alias("b")).select("fp", "b.k", "b.value")
+
+
+def tries(distinct: DataFrame, hot: int = HOT) -> DataFrame:
+    """fp, mask and value: the fingerprints of each trie, which agree in the bits of its mask.
+
+    A trie of more than ``hot`` fingerprints is dealt again, on the bits that are
+    free in it, until ``LEAST_FREE`` are left: no trie of those is large.
+    """
+    masks, found = [_cut(0)], []
+    rows = _dealt(distinct.select("fp", F.lit(0).alias("k")), masks)
+    while True:
+        flat = [m for of in masks for m in of]
+        signed = F.array(*[F.lit(m - (1 << BITS) if m >> (BITS - 1) else m) for m in flat])
+        named = lambda df, signed=signed: df.select("fp", F.get(signed, F.col("k")).alias("mask"), "value")
+        large = stage(rows.groupBy("k", "value").count().where(F.col("count") > hot).select("k", "value"), "hot-tries")
+        if max(BITS - m.bit_count() for m in flat) <= LEAST_FREE or large.isEmpty():
+            found.append(named(rows))
+            break
+        found.append(named(rows.join(large, ["k", "value"], "left_anti")))
+        masks = [_cut(m) for m in flat]
+        rows = stage(_dealt(rows.join(large, ["k", "value"]).select("fp", "k"), masks), "dealt-again")
+    return reduce(DataFrame.unionByName, found)
+
+
+def links(distinct: DataFrame, hot: int = HOT) -> DataFrame:
     """a and b: a spanning forest of the links between distinct fingerprints ``fp``."""
-    width = BITS // (BUDGET + 1)
-    bands = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("band"), F.shiftrightunsigned("fp", BITS - width * (i + 1)).bitwiseAND((1 << width) - 1).alias("value")) for i in range(BUDGET + 1)]))
-    dealt = distinct.select("fp", bands.alias("b")).select("fp", "b.band", "b.value").repartition("band", "value").sortWithinPartitions("band", "value")
+    dealt = tries(distinct, hot).repartition("mask", "value").sortWithinPartitions("mask", "value")
 
-    def joined(fp: np.ndarray, band: np.ndarray, value: np.ndarray) -> pa.RecordBatch:
-        key = _rotated(fp.view(np.uint64), band, width)
-        trie = band * (1 << width) + value
+    def joined(fp: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        trie = np.cumsum(first)
+        key = fp.view(np.uint64)
         order = np.lexsort((key, trie))
         key, trie, fp = key[order], trie[order], fp[order]
-        up = trie_forest(trie, key, depth=width)
+        up = trie_forest(trie, key)
         moved = np.flatnonzero(up != np.arange(len(up)))
         return pa.RecordBatch.from_arrays([pa.array(fp[moved]), pa.array(fp[up[moved]])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = 0
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # whole batches: fingerprints, and where a trie begins
+        size, last = 0, None
         for batch in batches:
-            held.append(tuple(batch.column(c).to_numpy() for c in ("fp", "band", "value")))
-            size += batch.num_rows
-            if size >= STEP:  # whole tries go; the last, which may continue, stays
-                fp, band, value = (np.concatenate(c) for c in zip(*held, strict=True))
-                rest = int(np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (value[1:] != value[:-1])])[-1])
-                if rest:
-                    yield joined(fp[:rest], band[:rest], value[:rest])
-                held, size = [(fp[rest:], band[rest:], value[rest:])], len(fp) - rest
+            fp, mask, value = (batch.column(c).to_numpy() for c in ("fp", "mask", "value"))
+            if not len(fp):
+                continue
+            first = np.r_[last != (mask[0], value[0]), (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])]
+            last = mask[-1], value[-1]
+            starts = np.flatnonzero(first)
+            if size + len(fp) > HELD and len(starts):  # whole tries go; the last, which may continue, stays
+                k = starts[-1]
+                held.append((fp[:k], first[:k]))
+                if size + k:
+                    yield joined(*(np.concatenate(c) for c in zip(*held, strict=True)))
+                held, size = [(fp[k:], first[k:])], len(fp) - k
+            else:
+                held.append((fp, first))
+                size += len(fp)
         if size:
             yield joined(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
@@ -219,19 +269,29 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, sid (hash of the set, 0 if empty), n and hs: the sorted distinct shingles of ``NEAR_SHINGLE`` words."""
+def head_size(n):
+    """Of n shingles in any order that all sets share, two sets of similarity 0.8 have one of so many first ones in common."""
+    return n - -(-n * 4 // 5) + 1
+
+
+def shingled(docs: DataFrame, columns: list[str], heads: bool) -> DataFrame:
+    """``columns``, sid (hash of the set, 0 if empty), n and hs: the sorted distinct shingles of ``NEAR_SHINGLE`` words, or the first of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)).view(np.int64) for t in batch.column("text")]
-            n = np.fromiter(map(len, sets), np.int32, len(sets))
-            sid = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
-            hs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sid), pa.array(n), hs], names=["doc_id", "sid", "n", "hs"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)).view(np.int64) for t in part.column("text")]
+                n = np.fromiter(map(len, sets), np.int32, len(sets))
+                sid = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
+                if heads:
+                    sets = [s[: head_size(len(s))] if len(s) else s for s in sets]
+                ends = np.r_[0, np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))].astype(np.int32)
+                hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(sid), pa.array(n), hs], names=[*columns, "sid", "n", "hs"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, sid long, n int, hs array<long>")
+    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
+    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, f"{kept}sid long, n int, hs array<long>")
 
 
 def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -241,44 +301,59 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def jaccard_links(sets: DataFrame) -> DataFrame:
+def jaccard_links(some: DataFrame) -> DataFrame:
     """a and b: links between distinct sets (``sid``, ``n``, ``hs``) that join all pairs of similarity 0.8 or more.
 
     Two such sets share a shingle in their prefixes, the first n - ceil(0.8 n) + 1
-    shingles in any order common to all sets. Sets that share none in the order of
-    hashes are left out first; the rest are ordered by frequency, rarest first, so
-    that shingles of common passages stay out of prefixes. Every candidate is
-    compared in full. The members of a prefix shingle are compared with one of
+    shingles in any order common to all sets. The order is by frequency, rarest
+    first, so that shingles of common passages stay out of prefixes. Every candidate
+    is compared in full. The members of a prefix shingle are compared with one of
     them first, and then across the components found only, so that a dense group
     is not paired with itself.
     """
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    heads = sets.select("sid", F.explode(F.slice("hs", 1, prefix)).alias("h"))
-    met = stage(heads.groupBy("h").count().where("count > 1").select("h"), "met")
-    some = stage(sets.join(heads.join(met, "h").select("sid").distinct(), "sid"), "some")
     rows = some.select("sid", "n", F.explode("hs").alias("h"))
     often = stage(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
     ranked = rows.join(often, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
     left = prefix - (F.col("n") - F.size("shared"))  # shingles of one set only come first
     heads = stage(ranked.where(left > 0).select("sid", "n", F.explode(F.slice("shared", 1, left)).alias("s")).select("sid", "n", F.col("s.h").alias("h")), "heads")
+    unstage(often)
 
     hubs = heads.groupBy("h").agg(F.min("sid").alias("a"), F.count("*").alias("m")).where("m > 1").select("h", "a")
     star = heads.join(hubs, "h").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
     first = stage(near(star, some), "star")
     joined = stage(components(first).select(F.col("node").alias("sid"), "root"), "joined")
     labelled = stage(heads.join(joined, "sid", "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("root")), "labelled")
+    unstage(heads)
     mixed = labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
     apart = stage(labelled.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("sid", "n")).alias("members")), "apart")
+    unstage(labelled)
     x, y = (apart.select("h", F.col("root").alias(f"r{k}"), F.col("members").alias(f"m{k}")) for k in "ab")
     across = x.join(y, "h").where("ra < rb").select(F.explode("ma").alias("x"), "mb").select("x", F.explode("mb").alias("y"))
     sized = across.where("5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n").select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
     return first.unionByName(near(sized, some))
 
 
+#: Bytes of keys that may be broadcast; beyond, both sides are shuffled.
+BROADCAST_BYTES = 32 << 20
+
+
 def near_classes(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id by exact Jaccard similarity of ``NEAR_SHINGLE``-word shingles, over any chain of links."""
-    found = stage(shingled(docs), "shingled")
-    sets = stage(found.where("n > 0").groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
+    """doc_id and component_id by exact Jaccard similarity of ``NEAR_SHINGLE``-word shingles, over any chain of links.
+
+    First only the smallest fifth of each set's hashes is kept: sets that share
+    none of these with another set have no link. Whole sets are made, from one text
+    of each, for the others alone.
+    """
+    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+    keyed = docs.select("doc_id", "text", key.alias("key"))
+    found = stage(shingled(keyed, ["doc_id", "key"], heads=True), "near-heads")
+    heads = found.select("sid", "key", F.explode("hs").alias("h"))
+    met = stage(heads.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h"), "met")
+    some = stage(heads.join(met, "h").groupBy("sid").agg(F.min("key").alias("key")).select("key"), "candidates")
+    few = F.broadcast(some) if 16 * some.count() <= BROADCAST_BYTES else some
+    sets = shingled(keyed.select("key", "text").join(few, "key", "left_semi"), ["key"], heads=False).where("n > 0")
+    sets = stage(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
     linked = components(stage(jaccard_links(sets), "links"))
     smallest = found.groupBy("sid").agg(F.min("doc_id").alias("first"))
     members = stage(smallest.join(linked, smallest["sid"] == linked["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "members")

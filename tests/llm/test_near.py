@@ -41,3 +41,45 @@ def test_representatives_against_jaccard(spark):
     kept = sorted(r["doc_id"] for r in simhash.representatives(docs).collect())
     assert kept == [i for i in range(len(texts)) if root(i) == i]
     assert far > 10  # links that three bits do not find
+
+
+def test_hot_tries_are_dealt_again(spark):
+    """However small a trie must be, the classes are those of all pairs."""
+    from inkwarden.operators.graph import components
+    from tests.llm.test_texts import _classes
+
+    rng = random.Random(5)
+    keys = {rng.getrandbits(64) for _ in range(30)}
+    for centre in list(keys)[:4]:
+        for _ in range(60):
+            k = centre
+            for _ in range(rng.randint(1, 6)):
+                k ^= 1 << rng.randrange(64)
+            keys.add(k)
+    keys = sorted(keys)
+    rows = spark.createDataFrame([(k - (1 << 64) if k >> 63 else k,) for k in keys], "fp long")
+    want = _classes(keys)
+    for hot in (12, 1 << 20):
+        assert hot > 12 or simhash.tries(rows, hot).select("mask").distinct().count() > 4
+        roots = {r["node"]: r["root"] for r in components(simhash.links(rows, hot)).collect()}
+        got = [roots.get(k - (1 << 64) if k >> 63 else k, k - (1 << 64) if k >> 63 else k) for k in keys]
+        assert len(set(zip(got, want))) == len(set(got)) == len(set(want))
+
+
+def test_dense_tries_end_soon():
+    import time
+
+    import numpy as np
+
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    keys = set()
+    while len(keys) < 6000:
+        k = centre
+        for _ in range(rng.randint(1, 4)):
+            k ^= 1 << rng.randrange(64)
+        keys.add(k)
+    began = time.perf_counter()
+    up = simhash.trie_forest(np.zeros(len(keys), np.int64), np.array(sorted(keys), np.uint64))
+    assert time.perf_counter() - began < 8
+    assert len(set(up.tolist())) == 1
