@@ -12,9 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwarden.functions.text import COMPARABLE, clean, containment, grams
+from inkwarden.functions.text import COMPARABLE, bound, clean, containment, grams
 from inkwarden.operators.near import PARTIAL, WHOLE
 from inkwarden.operators.posts import STATUSES
+from inkwarden.session import stage
 
 PEERS, MEANINGFUL = 8, 35
 #: Fixed value: explicit requests for interaction, as clean text.
@@ -28,13 +29,16 @@ def _finding(rows: DataFrame, level: str | None, code: str, total: Column | None
 def exact_groups(posts: DataFrame) -> DataFrame:
     """Members of groups with the same clean text: id, members and up to eight ``peers``, the first by input.
 
-    ``posts`` has clean. A group's sample is aggregated before it is joined back,
-    so a group of any size costs its members one row each.
+    ``posts`` has clean. Only digests move; a group's sample is aggregated before it
+    is joined back, so a group of any size costs its members one row each.
     """
-    able = posts.where((F.length("clean") >= COMPARABLE) & (F.col("type") != "repost"))
+    return _exact_groups(posts.select("id", "ord", "type", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("key")))
+
+
+def _exact_groups(narrow: DataFrame) -> DataFrame:
     # the first nine by input order of each text: partial top-k per task, not a whole group in one row
     place = F.row_number().over(Window.partitionBy("key").orderBy("ord"))
-    keyed = able.select("id", "ord", F.xxhash64("clean").alias("h"), F.sha2("clean", 256).alias("key"))
+    keyed = narrow.where((F.col("n_clean") >= COMPARABLE) & (F.col("type") != "repost")).select("id", "ord", "key")
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).where("members > 1")
     heads = keyed.withColumn("k", place).where(F.col("k") <= PEERS + 1).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("ord", "id"))).alias("head"))
     out = keyed.join(sizes.join(heads, "key"), "key")
@@ -75,65 +79,102 @@ def threads(posts: DataFrame) -> DataFrame:
     )
 
 
+def _held(phrases: tuple[str, ...]) -> Column:
+    return F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col("clean"), p))
+
+
 def repeated_phrases(posts: DataFrame, phrases: tuple[str, ...] = PHRASES, least: int = 3) -> DataFrame:
     """id, phrase and posts of phrases that ``least`` posts or more hold. ``posts`` has clean."""
-    held = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(F.col("clean"), p))
-    hits = posts.select("id", F.explode(held).alias("phrase")).distinct()
+    return _repeated(posts.select("id", _held(phrases).alias("held")), least)
+
+
+def _repeated(narrow: DataFrame, least: int = 3) -> DataFrame:
+    hits = narrow.select("id", F.explode("held").alias("phrase")).distinct()
     often = hits.groupBy("phrase").agg(F.count("*").alias("posts")).where(F.col("posts") >= least)
     return hits.join(often, "phrase").select("id", "phrase", "posts")
 
 
+def _source_codes() -> Column:
+    """Array of (level, code, overlap), one or two for each source of a row that has clean, contribution and sources."""
+
+    def judged(s: Column, text: Column) -> Column:
+        short = F.least(F.length("clean"), F.length(text)) < COMPARABLE
+        overlap = F.when((text != "") & ~short, F.when(F.col("clean") == text, 1.0).otherwise(containment(grams(F.col("clean")), grams(text))))
+        return bound(overlap, lambda o: coded(s, text, short, o))
+
+    def coded(s: Column, text: Column, short: Column, overlap: Column) -> Column:
+        meaningful, own = F.length(clean(F.col("contribution"))) >= MEANINGFUL, s["owner"] == "self"
+        told = lambda level, code: F.struct(F.lit(level).cast("string").alias("level"), F.lit(code).alias("code"), overlap.alias("overlap"))
+        return (
+            F.when((text == "") & (s["url"] != ""), F.array(told("review", "source_link_unchecked")))
+            .when(text == "", F.array(told("review", "source_missing")))
+            .when(short, F.array(told(None, "source_short")))
+            .when((overlap >= WHOLE) & own, F.array(told("review", "self_crosspost_claim")))
+            .when((overlap >= WHOLE) & meaningful, F.array(told("review", "source_overlap_with_contribution")))
+            .when(overlap >= WHOLE, F.array(told("high_risk", "source_overlap_no_contribution")))
+            .when(overlap >= PARTIAL, F.array(told("review", "source_partial_overlap")))
+            .when(own | meaningful, F.array(told(None, "source_no_high_overlap")))
+            .otherwise(F.array(told(None, "source_no_high_overlap"), told("review", "source_contribution_unexplained")))
+        )
+
+    return F.flatten(F.transform("sources", lambda s: bound(clean(s["text"]), lambda text: judged(s, text))))
+
+
 def source_codes(posts: DataFrame) -> DataFrame:
     """id, level, code and overlap for each source that a post names. ``posts`` has clean."""
-    rows = posts.select("id", "clean", (F.length(clean(F.col("contribution"))) >= MEANINGFUL).alias("meaningful"), F.explode("sources").alias("s")).withColumn("source", clean(F.col("s.text")))
-    short = F.least(F.length("clean"), F.length("source")) < COMPARABLE
-    overlap = F.when((F.col("source") != "") & ~short, F.when(F.col("clean") == F.col("source"), 1.0).otherwise(containment(grams(F.col("clean")), grams(F.col("source")))))
-    own = F.col("s.owner") == "self"
-    code = (
-        F.when((F.col("source") == "") & (F.col("s.url") != ""), F.array(F.struct(F.lit("review"), F.lit("source_link_unchecked"))))
-        .when(F.col("source") == "", F.array(F.struct(F.lit("review"), F.lit("source_missing"))))
-        .when(short, F.array(F.struct(F.lit(None).cast("string"), F.lit("source_short"))))
-        .when((F.col("overlap") >= WHOLE) & own, F.array(F.struct(F.lit("review"), F.lit("self_crosspost_claim"))))
-        .when((F.col("overlap") >= WHOLE) & F.col("meaningful"), F.array(F.struct(F.lit("review"), F.lit("source_overlap_with_contribution"))))
-        .when(F.col("overlap") >= WHOLE, F.array(F.struct(F.lit("high_risk"), F.lit("source_overlap_no_contribution"))))
-        .when(F.col("overlap") >= PARTIAL, F.array(F.struct(F.lit("review"), F.lit("source_partial_overlap"))))
-        .when(own | F.col("meaningful"), F.array(F.struct(F.lit(None).cast("string"), F.lit("source_no_high_overlap"))))
-        .otherwise(F.array(F.struct(F.lit(None).cast("string"), F.lit("source_no_high_overlap")), F.struct(F.lit("review"), F.lit("source_contribution_unexplained"))))
-    )
-    named = code.cast("array<struct<level:string,code:string>>")
-    return rows.withColumn("overlap", overlap).select("id", "overlap", F.explode(named).alias("c")).select("id", "c.level", "c.code", "overlap")
+    return posts.where(F.size("sources") > 0).select("id", F.explode(_source_codes()).alias("c")).select("id", "c.level", "c.code", "c.overlap")
 
 
 def findings(posts: DataFrame, near: DataFrame | None = None, phrases: tuple[str, ...] = PHRASES) -> DataFrame:
     """id, level (null: informs only), code and total of every rule that a post meets.
 
-    ``posts`` has clean; ``near`` has id and other of near-duplicate pairs.
+    ``posts`` has clean; ``near`` has id and other of near-duplicate pairs. Texts are
+    read once, into a narrow table with the codes of all rules that see one post
+    alone; the others join its digests, media, threads and phrases. A post counts its
+    near-duplicates in full; which eight are shown is for ``near_reasons``.
     """
-    repost = F.col("type") == "repost"
+    repost, told = F.col("type") == "repost", lambda test, level, code: F.when(test, F.array(F.struct(F.lit(level).cast("string").alias("level"), F.lit(code).alias("code"))))
+    alone = [
+        told(repost, "review", "repost_record"),
+        told(~repost & (F.col("clean") == ""), "insufficient", "missing_text"),
+        told(~F.coalesce(F.col("text_complete"), repost), "insufficient", "text_incomplete"),
+        told(F.size("missing_media") > 0, "insufficient", "media_missing"),
+        F.transform(F.filter("media", lambda m: m["hash"] == ""), lambda _: F.struct(F.lit("insufficient").alias("level"), F.lit("media_reference_only").alias("code"))),
+        told((F.size("media") > 0) & F.forall("media", lambda m: m["hash"] != ""), "review", "media_content_unchecked"),
+        F.transform(_source_codes(), lambda c: F.struct(c["level"].alias("level"), c["code"].alias("code"))),
+        told((F.col("type") == "quote") & (F.size("sources") == 0), "review", "quote_source_missing"),
+        told(F.col("creation_method") != "", None, "creation_method_declared"),
+        told(F.size("evidence") > 0, None, "evidence_reference"),
+    ]
+    none = F.array().cast("array<struct<level:string,code:string>>")
+    codes = F.flatten(F.array(*[F.coalesce(a, none) for a in alone]))
+    narrow = stage(posts.select("id", "ord", "type", "media", "thread_id", "thread_order", "thread_total", "thread_complete", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("key"), _held(phrases).alias("held"), codes.alias("codes")), "narrow-posts")
     rules = [
-        _finding(exact_groups(posts), "high_risk", "internal_exact", F.col("members") - 1),
-        _finding(same_media(posts), "review", "media_same_hash", F.col("posts") - 1),
-        _finding(posts.join(threads(posts).where("missing OR inconsistent OR unknown"), "thread_id"), "insufficient", "thread_incomplete", F.col("members")),
-        _finding(repeated_phrases(posts, phrases), "review", "repeated_engagement_phrase", F.col("posts")),
-        _finding(posts.where(repost), "review", "repost_record"),
-        _finding(posts.where(~repost & (F.col("clean") == "")), "insufficient", "missing_text"),
-        _finding(posts.where(~F.coalesce(F.col("text_complete"), repost)), "insufficient", "text_incomplete"),
-        _finding(posts.where(F.size("missing_media") > 0), "insufficient", "media_missing"),
-        _finding(posts.select("id", F.explode("media").alias("m")).where("m.hash = ''"), "insufficient", "media_reference_only"),
-        _finding(posts.where((F.size("media") > 0) & F.forall("media", lambda m: m["hash"] != "")), "review", "media_content_unchecked"),
-        source_codes(posts).select("id", "level", "code", F.lit(None).cast("long").alias("total")),
-        _finding(posts.where((F.col("type") == "quote") & (F.size("sources") == 0)), "review", "quote_source_missing"),
-        _finding(posts.where("creation_method <> ''"), None, "creation_method_declared"),
-        _finding(posts.where(F.size("evidence") > 0), None, "evidence_reference"),
+        narrow.select("id", F.explode("codes").alias("c")).select("id", "c.level", "c.code", F.lit(None).cast("long").alias("total")),
+        _finding(_exact_groups(narrow), "high_risk", "internal_exact", F.col("members") - 1),
+        _finding(same_media(narrow), "review", "media_same_hash", F.col("posts") - 1),
+        _finding(narrow.join(threads(narrow).where("missing OR inconsistent OR unknown"), "thread_id"), "insufficient", "thread_incomplete", F.col("members")),
+        _finding(_repeated(narrow), "review", "repeated_engagement_phrase", F.col("posts")),
     ]
     if near is not None:
-        sides = near.select("id").union(near.select(F.col("other").alias("id")))
-        rules.append(_finding(sides.groupBy("id").agg(F.count("*").alias("pairs")), "review", "internal_near", F.col("pairs")))
-    found = reduce(DataFrame.unionByName, rules)
-    clear = posts.join(found.select("id").distinct(), "id", "left_anti")
+        rules.append(_finding(_sides(near).groupBy("id").agg(F.count("*").alias("pairs")), "review", "internal_near", F.col("pairs")))
+    found = stage(reduce(DataFrame.unionByName, rules), "findings")
+    clear = narrow.join(found.select("id").distinct(), "id", "left_anti")
     return found.unionByName(_finding(clear, None, "no_supplied_text_match"))
 
 
+def _sides(near: DataFrame) -> DataFrame:
+    return near.select("id", "other", "similarity").union(near.select(F.col("other").alias("id"), F.col("id").alias("other"), "similarity"))
+
+
+def near_reasons(near: DataFrame, most: int = PEERS) -> DataFrame:
+    """id, other, similarity, place and total: the ``most`` closest near-duplicates of each post, of equals the first by id."""
+    sides = _sides(near)
+    totals = sides.groupBy("id").agg(F.count("*").alias("total"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("similarity"), "other"))
+    return sides.withColumn("place", place).where(F.col("place") <= most).join(totals, "id").select("id", "other", "similarity", "place", "total")
+
+
 def statuses(posts: DataFrame, found: DataFrame) -> DataFrame:
     """``posts`` with the status of its gravest finding."""
     level = found.where("level IS NOT NULL").groupBy("id").agg(F.min(F.array_position(F.array(*map(F.lit, STATUSES)), F.col("level"))).alias("_n"))
@@ -174,3 +215,21 @@ def coverage(posts: DataFrame, expected: int | None, invalid_dates: int = 0) ->
         "coverage": F.when((known > 0) & (F.col("analyzed") <= known) & F.lit(invalid_dates == 0), F.col("analyzed") / known),
         "media_coverage": F.when(F.col("media_references") > 0, F.col("hashed_media") / F.col("media_references")),
     })
+
+
+def account_conclusion(with_status: DataFrame) -> DataFrame:
+    """One row: posts, those with a finding to act on, and what that says of the account."""
+    out = with_status.agg(F.count("*").alias("posts"), F.count_if(F.col("status") != "low_signal").alias("to_act_on"))
+    return out.withColumn("conclusion", F.when(F.col("posts") == 0, "no_material").when(F.col("to_act_on") > 0, "needs_handling").otherwise("no_clear_risk"))
+
+
+def coverage_notes(posts: Column, invalid: Column, outside: Column, expected: Column, complete: Column, missing: Column) -> Column:
+    """What limits a result, in order: dates that cannot be read, posts outside the range, more posts than declared, a scope not declared complete, and what is declared missing."""
+    notes = [
+        F.when(invalid > 0, F.concat(F.lit("invalid_dates:"), invalid.cast("string"))),
+        F.when(outside > 0, F.concat(F.lit("outside_range:"), outside.cast("string"))),
+        F.when(posts > expected, F.lit("more_than_declared")),
+        F.when(~F.coalesce(complete, F.lit(False)), F.lit("not_declared_complete")),
+        F.when(F.coalesce(missing, F.lit("")) != "", F.concat(F.lit("known_missing:"), missing)),
+    ]
+    return F.filter(F.array(*notes), lambda n: n.isNotNull())

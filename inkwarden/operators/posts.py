@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from zoneinfo import available_timezones
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,11 +34,38 @@ def complete_schema(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- windows and filters
 
 
-def window_bucket(created_at: Column, start: str | None, end: str | None, zone: str = "Asia/Shanghai") -> Column:
+#: The zone of a blank label, and labels of it and of universal time.
+HOME_ZONE = "Asia/Shanghai"
+HOME_LABELS = ("Asia/Shanghai", "Asia/Hong_Kong", "Asia/Taipei", "北京时间", "UTC+8", "UTC+08:00")
+UNIVERSAL_LABELS = ("UTC", "Etc/UTC", "Z", "UTC+0", "UTC+00:00")
+
+
+def time_zone(label: str | None) -> str:
+    """The zone that a label names, as an offset or a region; ``ValueError`` for one that names none.
+
+    Offsets reach 14 hours either way.
+    """
+    name = (label or "").strip() or HOME_ZONE
+    if name in UNIVERSAL_LABELS:
+        return "+00:00"
+    if name in HOME_LABELS or HOME_ZONE in name:
+        return "+08:00"
+    if offset := re.fullmatch(r"UTC([+-])(\d{1,2})(?::([0-5]\d))?", name):
+        minutes = 60 * int(offset[2]) + int(offset[3] or 0)
+        if minutes <= 14 * 60:
+            return f"{offset[1]}{minutes // 60:02d}:{minutes % 60:02d}"
+    elif name in available_timezones():
+        return name
+    raise ValueError(f"{name} is no time zone")
+
+
+def window_bucket(created_at: Column, start: str | None, end: str | None, zone: str = HOME_ZONE) -> Column:
     """selected, outside or invalid for an inclusive range of local dates.
 
-    A date that cannot be read is invalid only where a bound is given.
+    A date that cannot be read is invalid only where a bound is given. ``zone`` is
+    a label that ``time_zone`` knows.
     """
+    zone = time_zone(zone)
     day = F.to_date(F.from_utc_timestamp(moment(created_at, zone), zone))
     low = day < F.lit(start).cast("date") if start else F.lit(False)
     high = day > F.lit(end).cast("date") if end else F.lit(False)

@@ -468,18 +468,32 @@ def web_check(spark, sf_dir):
     return web.checked(items, table(spark, sf_dir, "pages"))
 
 
-@query()
+_GREEDY = """WITH RECURSIVE r AS (SELECT user_id::VARCHAR AS owner, event_id AS request, epoch(ts) AS tm, $N AS n, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+s AS (SELECT owner, request, k, n <= $MOST AS granted, CASE WHEN n <= $MOST THEN [{'tm': tm, 'n': n}] ELSE [] END AS held FROM r WHERE k = 1
+  UNION ALL SELECT owner, request, k, used + n <= $MOST, CASE WHEN used + n <= $MOST THEN list_append(live, {'tm': tm, 'n': n}) ELSE live END FROM (
+    SELECT owner, request, k, tm, n, live, coalesce(list_sum([x.n FOR x IN live]), 0) AS used FROM (SELECT r.*, [x FOR x IN s.held IF x.tm > r.tm - 3600] AS live FROM s JOIN r ON r.owner = s.owner AND r.k = s.k + 1)))
+SELECT request, granted FROM s"""
+
+
+@query(_GREEDY.replace("$MOST", "4").replace("$N", "event_id % 3 + 1"))
 def greedy_budget(spark, sf_dir):
     at = F.col("ts").cast("timestamp").cast("double")
     requests = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("owner"), F.col("event_id").alias("request"), at.alias("at"), (F.col("event_id") % 3 + 1).alias("n"))
-    return budgets.greedy(requests, 4)
+    return budgets.greedy(requests, 4).select("request", "granted")
 
 
-@query()
+@query(_GREEDY.replace("$MOST", "2").replace("$N", "1"))
+def model_budget(spark, sf_dir):
+    """Two model calls an owner and hour, one reserved at a time."""
+    at = F.col("ts").cast("timestamp").cast("double")
+    return budgets.greedy(table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("owner"), F.col("event_id").alias("request"), at.alias("at"), F.lit(1).cast("long").alias("n")), 2).select("request", "granted")
+
+
+@query(r"SELECT page_id, regexp_matches(url, '^https?://([a-z0-9]([a-z0-9-]*[a-z0-9])?\.)+[a-z][a-z0-9-]*[a-z0-9](/|$|\?|#)') AND NOT regexp_matches(url, '^https?://[^/]*(localhost|\.local|\.internal)(/|$)') AS public FROM pages".replace("\\\\", "\\"))
 def public_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", web.public_url("url").alias("public"))
 
 
-@query()
+@query("SELECT event_id, json_valid(props) AND len(json_keys(props)) = len(list_distinct(json_keys(props))) AS strict FROM events")
 def strict_json(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", web.strict_json("props").alias("strict"))

@@ -176,6 +176,14 @@ def normalize(records: DataFrame, limits: Limits = Limits(), archive: bool = Fal
     return first_wins(complete_schema(within(rows, limits)))
 
 
+def over_limit(limits: Limits, posts: Column, longest: Column) -> Column:
+    """Whether so many posts, the longest text of so many characters, are refused."""
+    out = F.lit(False)
+    if limits.posts is not None:
+        out = out | (posts > limits.posts)
+    return out if limits.text_chars is None else out | (longest > limits.text_chars)
+
+
 def within(rows: DataFrame, limits: Limits) -> DataFrame:
     """``rows``, or a failure where one is over a limit."""
     if limits.text_chars is not None:
@@ -200,24 +208,60 @@ def long_text(record: str) -> tuple[Column, Column]:
     return F.coalesce(whole, short), F.when(whole.isNotNull(), True).when(cut, False).when(short != "", True)
 
 
+def _media_base(url: Column) -> Column:
+    """The file name in a link's path, percent-decoded; empty where there is none."""
+    path = F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?(?://[^/?#]*)?([^?#]*)", 1)
+    plain = F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)
+    parts = F.filter(F.split(plain, "/"), lambda p: ~p.isin("", "."))
+    last = F.coalesce(F.get(parts, F.size(parts) - 1), F.lit(""))
+    return F.when(last.isin("..") | F.contains(last, F.lit("\\")), "").otherwise(last)
+
+
+def _kind_of(v: Column) -> Column:
+    """OBJECT, ARRAY or another word for what a variant holds; null for an absent one."""
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
 def archive_media(record: str, post_id: Column) -> Column:
-    """Media references by the names that their files may have in the archive; repeated references once."""
-    refs = F.coalesce(F.try_variant_get(record, "$.extended_entities.media", "array<variant>"), F.try_variant_get(record, "$.entities.media", "array<variant>"), F.array().cast("array<variant>"))
+    """Media references by the names that their files may have in the archive; repeated references once.
 
-    def of(v: Column, i: Column) -> Column:
-        kind = F.coalesce(F.try_variant_get(v, "$.type", "string"), F.lit("unknown"))
-        variants = F.coalesce(F.try_variant_get(v, "$.video_info.variants", "array<variant>"), F.array().cast("array<variant>"))
+    A reference without a file name is named by how many references stand before it.
+    Media that are no list, or a reference that is no object, fail the whole input.
+    """
+    of_entities = lambda name: F.try_variant_get(record, f"$.{name}", "variant")
+    holder = F.when(_kind_of(of_entities("extended_entities")) == "OBJECT", of_entities("extended_entities")).otherwise(of_entities("entities"))
+    given = F.when(_kind_of(holder) == "OBJECT", F.try_variant_get(holder, "$.media", "variant"))
+    listed = F.try_variant_get(given, "$", "array<variant>")
+    none = F.array().cast("array<variant>")
+    refs = F.when(given.isNull(), none).when(_kind_of(given) == "ARRAY", listed).otherwise(F.raise_error(F.lit("an archive record's media are no list")).cast("array<variant>"))
+
+    def urls_of(v: Column, kind: Column) -> Column:
+        variants = F.coalesce(F.try_variant_get(v, "$.video_info.variants", "array<variant>"), none)
         link = lambda x: F.coalesce(F.try_variant_get(x, "$.url", "string"), F.lit(""))
         films = F.transform(F.filter(variants, lambda x: (F.try_variant_get(x, "$.content_type", "string") == "video/mp4") | F.regexp_replace(link(x), r"\?.*$", "").endswith(".mp4")), link)
         still = F.array(F.coalesce(F.try_variant_get(v, "$.media_url_https", "string"), F.try_variant_get(v, "$.media_url", "string"), F.lit("")))
-        urls = F.when(kind.isin("video", "animated_gif") & (F.size(films) > 0), films).otherwise(still)
-        bases = F.filter(F.transform(urls, lambda u: F.regexp_extract(u, r"^[a-z]+://[^/?#]+/(?:[^?#]*/)?([^/?#]+)(?:[?#].*)?$", 1)), lambda b: ~b.isin("", ".", ".."))
+        return F.when(kind.isin("video", "animated_gif") & (F.size(films) > 0), films).otherwise(still)
+
+    def named(v: Column) -> Column:
+        kind = F.coalesce(F.try_variant_get(v, "$.type", "string"), F.lit("unknown"))
+        bases = F.filter(F.transform(urls_of(v, kind), _media_base), lambda b: b != "")
         names = F.array_distinct(F.transform(bases, lambda b: F.concat(post_id, F.lit("-"), b)))
-        names = F.when(F.size(names) > 0, names).otherwise(F.array(F.concat(post_id, F.lit("-media-"), i + 1)))
-        return F.struct(names.alias("names"), F.when(kind == "photo", "image").otherwise(kind).alias("kind"))
+        told = F.struct(names.alias("names"), F.when(kind == "photo", "image").otherwise(kind).alias("kind"))
+        return F.when(_kind_of(v) == "OBJECT", told).otherwise(F.raise_error(F.lit("an archive record's media reference is no object")).cast("struct<names:array<string>,kind:string>"))
+
+    kept = "array<struct<names:array<string>,kind:string>>"
+
+    def added(found: Column, m: Column) -> Column:
+        names = F.when(F.size(m["names"]) > 0, m["names"]).otherwise(F.array(F.concat(post_id, F.lit("-media-"), (F.size(found) + 1).cast("string"))))
+        one = F.array(F.struct(names.alias("names"), m["kind"].alias("kind"))).cast(kept)
+        return F.when(F.exists(found, lambda o: o["names"] == names), found).otherwise(F.concat(found, one))
+
+    return F.aggregate(F.transform(refs, named), F.array().cast(kept), added)
+
 
-    all_ = F.transform(refs, of)
-    return F.filter(all_, lambda m, i: ~F.exists(F.slice(all_, 1, i), lambda o: o["names"] == m["names"]))
+def known_missing(record: str) -> Column:
+    """What a project's scope says is missing: a list joined, or the text itself."""
+    return F.array_join(strings(record, "known_missing"), "；")
 
 
 def archive_posts(records: DataFrame, hashes: DataFrame | None = None) -> DataFrame:

@@ -74,10 +74,15 @@ def part_number(path: Column) -> Column:
     return F.coalesce(F.regexp_extract(path, r"(?i)[-_]part(\d+)\.(?:js|json)$", 1).try_cast("int"), F.lit(0))
 
 
+def part_gaps(files: DataFrame, *by: str) -> DataFrame:
+    """``by`` and whether the parts of its files are other than 0 to their largest."""
+    n = files.select(*by, part_number(F.col("file")).alias("n")).groupBy(*by).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.countDistinct("n").alias("parts"))
+    return n.select(*by, F.coalesce((F.col("low") != 0) | (F.col("parts") != F.col("high") + 1), F.lit(False)).alias("gap"))
+
+
 def part_gap(files: DataFrame) -> DataFrame:
-    """One row: whether the parts are other than 0 to their largest."""
-    n = files.select(part_number(F.col("file")).alias("n")).agg(F.min("n").alias("low"), F.max("n").alias("high"), F.countDistinct("n").alias("parts"))
-    return n.select(F.coalesce((F.col("low") != 0) | (F.col("parts") != F.col("high") + 1), F.lit(False)).alias("gap"))
+    """One row: ``part_gaps`` of all files together."""
+    return part_gaps(files)
 
 
 # ---------------------------------------------------------------- texts
@@ -228,7 +233,7 @@ def form_records(texts: DataFrame) -> DataFrame:
     keyed = posts.select("file", "row_no", F.explode(keys).alias("target"))
     met = keyed.join(sources.withColumn("target", F.get_json_object("source", "$.target")), ["file", "target"]).groupBy("file", "row_no").agg(F.array_sort(F.collect_set(F.struct("source_no", "source"))).alias("s"))
     part = lambda name: F.filter(F.transform("s", lambda x: F.get_json_object(x["source"], f"$.{name}")), lambda v: v != "")
-    added = F.to_json(F.struct(F.transform("s", lambda x: F.from_json(x["source"], "text string, url string, owner string")).alias("sources"), F.array_join(part("contribution"), "；").alias("contribution"), F.element_at(part("method"), -1).alias("creation_method"), part("evidence").alias("evidence")))
+    added = F.to_json(F.struct(F.transform("s", lambda x: F.from_json(x["source"], "text string, url string, owner string")).alias("sources"), F.array_join(part("contribution"), "；").alias("contribution"), F.try_element_at(part("method"), F.lit(-1)).alias("creation_method"), part("evidence").alias("evidence")))
     merged = F.when(F.col("s").isNull(), F.col("json")).otherwise(F.concat(F.expr("left(json, length(json) - 1)"), F.lit(","), F.expr("substring(_added, 2)")))
     return posts.join(met, ["file", "row_no"], "left").withColumn("_added", added).select("file", "row_no", F.parse_json(merged).alias("record"))
 

@@ -200,3 +200,47 @@ def test_reports(spark):
     assert "- low_signal: " in text and "- coverage: unknown" in text and "- score: pending" in text and "> 这是" in text
     page = report.as_html("T & U", *parts)
     assert "T &amp; U" in page and "<script>" not in page
+
+
+def test_time_zones():
+    from inkwarden.operators import posts
+
+    assert [posts.time_zone(x) for x in (None, " ", "北京时间", "UTC", "UTC+8", "UTC-3:30", "UTC+14", "Europe/Paris")] == ["+08:00", "+08:00", "+08:00", "+00:00", "+08:00", "-03:30", "+14:00", "Europe/Paris"]
+    for bad in ("UTC+15", "UTC+14:30", "UTC+2:75", "nowhere"):
+        with pytest.raises(ValueError):
+            posts.time_zone(bad)
+
+
+def test_near_reasons_show_the_closest(spark):
+    from inkwarden.operators import findings
+
+    near = spark.createDataFrame([("0", str(i), 0.84 + i / 100) for i in range(1, 13)], "id string, other string, similarity double")
+    rows = findings.near_reasons(near).where("id = '0'").orderBy("place").collect()
+    assert [r["other"] for r in rows] == [str(i) for i in range(12, 4, -1)] and {r["total"] for r in rows} == {12}
+
+
+def test_media_that_are_none_fail(spark):
+    import json
+
+    from pyspark.sql import functions as F
+
+    from inkwarden.sources import normalize
+
+    for media in ({"media": "x"}, {"media": ["x"]}):
+        rows = spark.createDataFrame([(1, json.dumps({"id_str": "1", "full_text": "t", "entities": media}))], "ord long, j string").select("ord", F.parse_json("j").alias("record"))
+        with pytest.raises(Exception, match="media"):
+            normalize.archive_posts(rows).collect()
+
+
+def test_grams_of_long_texts(spark):
+    """Every block boundary, against plain slices."""
+    from pyspark.sql import functions as F
+
+    from inkwarden.functions import text as T
+
+    texts = ["", "abc", "abcd", *("".join(chr(97 + (i * i + n) % 26) for i in range(n)) for n in (511, 512, 513, 514, 515, 516, 1023, 1027, 80_000)), "𝒜bcé" * 300]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", T.grams(F.col("t")).alias("g")).collect()
+    for r in rows:
+        t = texts[r["k"]]
+        want = list(dict.fromkeys(t[i : i + 4] for i in range(len(t) - 3))) if len(t) >= 4 else [t] * bool(t)
+        assert r["g"] == want
