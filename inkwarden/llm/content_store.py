@@ -31,8 +31,7 @@ import hashlib
 import os
 import zlib
 from bisect import bisect_left
-from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwarden.llm.bpe import SLICE_BYTES, UNCUT, vocabulary_path
+from inkwarden.llm.bpe import SLICE_BYTES, Chunked, byte_characters, vocabulary_path
 from inkwarden.llm.text import read
 from inkwarden.session import fresh_path, stage
 
@@ -50,7 +49,7 @@ END_ID = 0
 LEAST, MOST, MEAN_BITS, WINDOW = 64, 2048, 8, 32
 DIGEST = 16
 #: Entries of a worker's memo before the next generation begins.
-MEMO = 400_000
+MEMO = 300_000
 
 
 def digest(data: bytes) -> bytes:
@@ -92,63 +91,49 @@ def cuts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int
     return out
 
 
-class Known:
-    """Ids of chunks in two generations: what a full one held and was asked for again goes to the next."""
-
-    def __init__(self) -> None:
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def of(self, want: set[str], encode: Callable[[list[str]], Iterable[bytes]]) -> dict[str, bytes]:
-        """A dict that has all of ``want``."""
-        if len(self.young) + len(want.difference(self.young)) > MEMO:
-            self.young, self.old = {}, self.young
-        new = []
-        for x in want.difference(self.young):
-            if (ids := self.old.get(x)) is None:
-                new.append(x)
-            else:
-                self.young[x] = ids
-        for at in range(0, len(new), 50_000):
-            self.young.update(zip(new[at : at + 50_000], encode(new[at : at + 50_000]), strict=True))
-        return self.young
-
-
 class Encoder:
-    """The tokenizers library, asked once for each chunk of text between spaces.
+    """The tokenizers library, asked once for each chunk of text between spaces that a worker has not seen lately.
 
-    Texts with special strings or runs of white space before a space go to it whole.
+    New chunks are joined into long texts: a chunk begins with a space and holds no
+    other, so its first id is the only one whose token begins with a space.
     """
 
+    JOINED = 1000
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.first, self.rest = Known(), Known()
-
-    def _ids(self, texts: list[str]) -> Iterator[bytes]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        data, width, at = np.fromiter(chain.from_iterable(found), self.kind).tobytes(), self.kind.itemsize, 0
-        for ids in found:
-            to = at + width * len(ids)
-            yield data[at:to]
-            at = to
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        n = self.tokenizer.get_vocab_size()
+        self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
+        space = next(c for c, b in byte_characters().items() if b == 32)
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
+        self.chunked = Chunked(self._chunks, self._each, special, lambda ids: (ids,), MEMO)
+
+    def _each(self, texts: list[str]) -> Iterator[bytes]:
+        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(found.ids, self.kind).tobytes()
+
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        if not chunks or chunks[0][:1] != " ":  # the first chunks of texts
+            return list(self._each(chunks))
+        parts = [chunks[i : i + self.JOINED] for i in range(0, len(chunks), self.JOINED)]
+        out: list[bytes] = []
+        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.kind)
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):
+                out += self._each(part)
+                continue
+            data, ends = ids.tobytes(), [*(starts[1:] * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
+            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        whole = [i for i, t in enumerate(texts) if UNCUT.search(t) or any(s in t for s in self.special)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
-            out[i] = ids
-        cut = [(i, texts[i].split(" ")) for i in sorted(set(range(len(texts))) - set(whole))]
-        first = self.first.of({p[0] for _, p in cut}, self._ids)
-        rest = self.rest.of({x for _, p in cut for x in p[1:]}, lambda new: self._ids([f" {x}" for x in new]))
-        for i, p in cut:
-            out[i] = first[p[0]] + b"".join(map(rest.__getitem__, p[1:]))
-        return out
+        return [ids for (ids,) in self.chunked.of(texts)]
 
 
 _encoders: dict[str, Encoder] = {}

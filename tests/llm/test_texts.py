@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -124,12 +125,29 @@ def test_bpe_against_the_library(tmp_path):
     texts += ["".join(chr(rng.choice([rng.randrange(1, 0x250), rng.randrange(0x250, 0xD800), rng.randrange(0xE000, 0x20000)])) for _ in range(30)) for _ in range(800)]
     words = [b" the", b" a", b" b'", " é".encode()]
     (tmp_path / "l").write_bytes(lexicon.compile_lexicon(words, [own.pretokens(w.decode()) for w in words]))
-    found = own.encode_many(texts, lexicon.Lexicon(str(tmp_path / "l")))
-    for text, got, want in zip(texts, found, library.encode_batch(texts, add_special_tokens=False), strict=True):
-        assert got.tolist() == want.ids, ascii(text)
+    lex = lexicon.Lexicon(str(tmp_path / "l"))
+    for limit in (64, bpe.MEMO):  # memos that hardly hold a chunk, and one that holds all
+        chunked = bpe.Chunked(lambda new: own.encode_new(new, lex), lambda ts: (np.array(own.encode(t), "<u4").tobytes() for t in ts), own.special, lambda ids: (ids,), limit)
+        for text, (got,), want in zip(texts, chunked.of(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, ascii(text)
+    encoder = content_store.Encoder(bpe.vocabulary_path())
+    for text, got, want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert np.frombuffer(got, encoder.kind).tolist() == want.ids, ascii(text)
+    for text, want in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True):
         assert own.decode(want.ids) == library.decode(want.ids, skip_special_tokens=False)
 
 
+def test_long_words_are_merged_as_the_library_does():
+    library, own, rng = _library(), bpe.Bpe(bpe.vocabulary_path()), random.Random(6)
+    for n in (97, 98, 150, 1000, 40_000):
+        for letters in ("ab", "aeionst", "aeioutnrsldmpchgb", "é漢ab"):
+            word = "".join(rng.choice(letters) for _ in range(n))
+            began = time.perf_counter()
+            got = own.merged(word.encode())
+            assert time.perf_counter() - began < 2
+            assert got == library.encode(word, add_special_tokens=False).ids
+
+
 def test_bpe_on_odd_rows(odd):
     library = _library()
     rows = bpe.digests(odd, ["doc_id"], with_ids=True).collect()
