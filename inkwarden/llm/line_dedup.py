@@ -1,24 +1,31 @@
 """Line dedup by a fixed-depth log-template tree, in native operations.
 
-A line is parsed down a tree of fixed depth: its number of tokens, then its
-first ``lead`` tokens; the rest of the line is the leaf's template. Tokens that
-hold a digit, an ``@`` or ``://`` are variable fields and become one wildcard at
-every level, so that lines which differ in numbers, dates, addresses or links
-share a template. A template found in ``min_docs`` documents (``short_docs``
-for lines under ``long_tokens`` tokens, which recur by chance) is recurring: its
-first document, by id and then text hash, keeps its lines, and every other
-document drops them.
-
-Only hashes travel: a line is known by its template hash, and its text stays in
-its document. Templates are counted once a document before the shuffle, so a
-passage in a third of all documents arrives as one partial count per task.
-
-Defined results: a null or empty text has one line without tokens and keeps it;
-lines under ``min_tokens`` tokens always stay; a line repeated inside one
-document is not a repeat across documents; rows equal in id and text are one
-document and are treated alike; an empty table gives an empty result; extra
-columns are carried through, and names that clash with working columns are safe
-because the row travels as a struct.
+A line is parsed down a tree of fixed depth: its number of tokens, then its first
+``lead`` tokens; the leaf holds the rest. Fields are generalised twice. Tokens that
+hold a digit, an ``@`` or ``://`` are variable and become one wildcard at every
+level. In a leaf where lines differ, a line of ``fields`` tokens or more is also known
+by its templates: the tokens behind the lead are cut into ``bands`` bands, and each
+template leaves out two of them, at most a fifth of the line. So two lines of a leaf
+that differ in any two fields, or in more within two bands, share a template with
+wildcards there. Templates are hashes met by equality; no pairs are formed.
+
+A template recurs if its lines, the tokens of one line times the documents, weigh
+``evidence`` tokens at least, in two documents or more: a line of eight tokens
+recurs in two documents, one of three in six. The first document, by id and then
+text hash, keeps the line; a line goes from every document that is not the first
+for each of the line's recurring templates.
+
+Only hashes travel, 128 bits wide: a line is known by two independent hashes, and
+its text stays in its document. Lines are counted once a document and added up by
+task before the shuffle, so a passage in a third of all documents arrives as one
+partial count a task; a leaf's lines meet as distinct lines.
+
+Defined results: a null or empty text has one line without tokens and keeps it, as
+every text keeps its lines without tokens; a line repeated inside one document is
+not a repeat across documents; rows equal in id and text are one document and are
+treated alike; an empty table gives an empty result; extra columns are carried
+through, and names that clash with working columns are safe because the row
+travels as a struct.
 """
 
 from __future__ import annotations
@@ -28,6 +35,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from inkwarden.llm.quality_rules import let
 from inkwarden.llm.text import GAPS, read
 from inkwarden.session import stage
 
@@ -35,10 +43,12 @@ from inkwarden.session import stage
 @dataclass(frozen=True)
 class Templates:
     lead: int = 3
-    min_tokens: int = 3
-    long_tokens: int = 8
+    evidence: int = 16  # tokens of a line times documents
     min_docs: int = 2
-    short_docs: int = 5
+    fields: int = 10  # tokens of a line from which on fields are generalised in its leaf
+    bands: int = 10
+    #: Bytes of documents' lost lines that may be broadcast to the texts; beyond, they are joined.
+    broadcast_bytes: int = 32 << 20
 
 
 WILDCARD = "<*>"
@@ -46,51 +56,113 @@ WILDCARD = "<*>"
 VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
 
 
-def tokens(line: Column) -> Column:
-    """The tokens of a line with variable fields generalised."""
-    plain = F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
-    return F.filter(F.split(plain, GAPS), lambda t: t != "")
+def plain(line: Column) -> Column:
+    """The tokens of a line, variable ones as wildcards, parted by single spaces."""
+    masked = F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
+    single = F.when(masked.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(masked, GAPS, " ")).otherwise(masked)
+    return F.trim(single)
 
 
-def tree_path(line: Column, lead: int) -> Column:
-    """(tokens, template hash) of a line: the hash chains token count, leading tokens and the leaf's rest."""
-    t = tokens(line)
-    return F.transform(F.array(t), lambda t: F.struct(F.size(t).alias("n"), F.xxhash64(F.size(t), F.array_join(F.slice(t, 1, lead), " "), F.array_join(F.slice(t, lead + 1, F.greatest(F.size(t) - lead, F.lit(0))), " ")).alias("template")))[0]
+def _key(*values: Column) -> Column:
+    """Two independent 64-bit hashes."""
+    return F.struct(F.xxhash64(F.lit(1), *values).alias("a"), F.xxhash64(F.lit(2), *values).alias("b"))
 
 
 def parsed(docs: DataFrame, rule: Templates) -> DataFrame:
-    """doc (id and text hash), line number, n and template of every line that can recur."""
+    """doc (id and text hash), line number, n (tokens), leaf and line (two hashes) of every line with tokens."""
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("hash")).alias("doc"), F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line"))
-    return lines.select("doc", "line_no", tree_path(F.col("line"), rule.lead).alias("p")).select("doc", "line_no", "p.n", "p.template").where(F.col("n") >= rule.min_tokens)
-
-
-def recurring(lines: DataFrame, rule: Templates) -> DataFrame:
-    """template, docs and first (document) of the templates that recur."""
-    once = lines.groupBy("template", "n", "doc").agg(F.lit(1).alias("one"))
-    counted = once.groupBy("template", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first"))
-    need = F.when(F.col("n") < rule.long_tokens, rule.short_docs).otherwise(rule.min_docs)
-    return counted.where(F.col("docs") >= need).select("template", "docs", "first")
+    flat = lines.select("doc", "line_no", plain(F.col("line")).alias("t")).where("t <> ''")
+    n = F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1
+    return flat.select("doc", "line_no", n.alias("n"), F.xxhash64(n, F.substring_index("t", " ", rule.lead)).alias("leaf"), _key(F.col("t")).alias("line"))
+
+
+def band_of(place: Column, n: Column, rule: Templates) -> Column:
+    """The band of a place (from 0) behind the lead."""
+    return F.floor((place - rule.lead) * rule.bands / (n - rule.lead)).cast("int")
+
+
+def templates(tokens: Column, n: Column, rule: Templates) -> Column:
+    """Hashes of a line's templates: of every two bands left out whose tokens are a fifth of the line at most.
+
+    The hash of what a template keeps is the exclusive or of the hashes of its tokens
+    with their places, so leaving out a band is one step.
+    """
+    head = F.array_join(F.slice(tokens, 1, rule.lead), " ")
+    spots = F.transform(tokens, lambda t, i: F.struct(F.when(i >= rule.lead, band_of(i, n, rule)).otherwise(-1).alias("band"), F.xxhash64(F.lit(1), t, i).alias("a"), F.xxhash64(F.lit(2), t, i).alias("b")))
+    def bands(spots: Column) -> Column:
+        def one(k: Column) -> Column:
+            mine = F.filter(spots, lambda s: s["band"] == k)
+            total = lambda name: F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, s: acc.bitwiseXOR(s[name]))
+            return F.struct(F.size(mine).alias("size"), total("a").alias("a"), total("b").alias("b"))
+
+        return F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 1)), one)
+
+    def pairs(found: Column) -> Column:
+        every = lambda name: F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, s: acc.bitwiseXOR(s[name]))
+        all_ = F.struct(every("a").alias("a"), every("b").alias("b"))
+
+        def without(i: Column, j: Column, whole: Column) -> Column:
+            x, y = F.get(found, i), F.get(found, j)
+            left = lambda name: whole[name].bitwiseXOR(x[name]).bitwiseXOR(y[name])
+            return F.when(5 * (x["size"] + y["size"]) <= n, F.struct(F.xxhash64(n, head, i, j, left("a")).alias("a"), F.xxhash64(head, j, i, n, left("b")).alias("b")))
+
+        grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(rule.bands - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+        return let(all_, lambda whole: F.filter(F.transform(grid, lambda g: without(g["i"], g["j"], whole)), lambda x: x.isNotNull()))
+
+    return let(spots, lambda s: let(bands(s), pairs))
+
+
+def recurring(lines: DataFrame, docs: DataFrame, rule: Templates) -> DataFrame:
+    """line and first: the lines that recur, and the document that keeps them."""
+    distinct = stage(_once(lines), "distinct-lines")
+    enough = (F.col("docs") >= rule.min_docs) & (F.col("docs") * F.col("n") >= rule.evidence)
+    exact = distinct.where(enough).select("line", "first")
+    # leaves in which lines differ; of each line there, the text that its first document holds
+    able = distinct.where(F.col("n") >= rule.fields)
+    leaves = able.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("leaf")
+    some = stage(able.join(leaves, "leaf").select("line", "n", "docs", "first", "last"), "varied-lines")
+    where = lines.join(some.select("line", F.col("first").alias("doc")), ["line", "doc"], "left_semi").groupBy("line", "doc").agg(F.min("line_no").alias("line_no")).groupBy("doc").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
+    texts = _matched(docs, where, "wanted", rule, "inner").dropDuplicates(["doc"])
+    held = texts.select("_lines", F.explode("wanted").alias("w")).select("w.line", F.split(plain(F.get("_lines", F.col("w.line_no"))), " ").alias("t"))
+    known = held.join(some, "line").select("line", "n", "docs", "first", "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
+    known = stage(known, "line-templates")
+    # a template's documents are two at least if a line's are, or if the first and the last of all differ
+    groups = known.groupBy("template").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("members"))
+    groups = groups.where((F.col("members") > 1) & (F.col("first") != F.col("last")))
+    alike = known.join(groups.select("template", F.col("first").alias("earliest")), "template").groupBy("line").agg(F.min("earliest").alias("first"))
+    return exact.unionByName(alike).groupBy("line").agg(F.min("first").alias("first"))
+
+
+def _once(lines: DataFrame) -> DataFrame:
+    """leaf, line, n, docs, first and last document of each distinct line."""
+    once = lines.groupBy("leaf", "line", "n", "doc").agg(F.lit(1).alias("one"))
+    return once.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+
+
+def _matched(docs: DataFrame, found: DataFrame, column: str, rule: Templates, how: str) -> DataFrame:
+    """``docs`` (row, doc_id and the lines of text) with ``column`` of ``found`` by document. Few and small lists go to the texts; else both are shuffled."""
+    found = stage(found, column)
+    size = found.agg(F.coalesce(F.sum(F.size(column) * 24 + 64), F.lit(0)).alias("n")).first()["n"]
+    small = F.broadcast(found) if size <= rule.broadcast_bytes else found
+    body = F.coalesce(F.col("text"), F.lit(""))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("hash")).alias("_key"), F.split(body, "\n", -1).alias("_lines"))
+    return keyed.alias("k").join(small.alias("g"), F.col("k._key.id").eqNullSafe(F.col("g.doc.id")) & (F.col("k._key.hash") == F.col("g.doc.hash")), how)
 
 
 def dropped_lines(docs: DataFrame, rule: Templates = Templates()) -> DataFrame:
     """doc and the numbers of the lines that it loses, for documents that lose any."""
     lines = stage(parsed(docs, rule), "lines")
-    hits = lines.join(recurring(lines, rule), "template").where(~F.col("doc").eqNullSafe(F.col("first")))
+    hits = lines.join(recurring(lines, docs, rule), "line").where(~F.col("doc").eqNullSafe(F.col("first")))
     return hits.groupBy("doc").agg(F.collect_set("line_no").alias("gone"))
 
 
 def deduplicated(docs: DataFrame, rule: Templates = Templates()) -> DataFrame:
     """``row`` (the document as it came), ``text`` (without recurring lines), ``n_lines`` and ``n_dropped``."""
-    body = F.coalesce(F.col("text"), F.lit(""))
-    gone = stage(dropped_lines(docs, rule), "gone")
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", F.xxhash64(body).alias("hash"))
-    joined = keyed.alias("k").join(gone.alias("g"), F.col("k.doc_id").eqNullSafe(F.col("g.doc.id")) & (F.col("k.hash") == F.col("g.doc.hash")), "left")
-    lines = F.split(F.coalesce(F.col("row.text"), F.lit("")), "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), "gone")
-    kept = F.transform(F.array(lines), lambda x: F.transform(stay, lambda i: F.get(x, i)))[0]
+    joined = _matched(docs, dropped_lines(docs, rule), "gone", rule, "left")
+    kept = F.filter("_lines", lambda x, i: ~F.array_contains("gone", i))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
-    return joined.select("row", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
+    return joined.select("row", text.alias("text"), F.size("_lines").cast("long").alias("n_lines"), F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_dropped"))
 
 
 def deduplicated_documents(docs: DataFrame, rule: Templates = Templates()) -> DataFrame:
@@ -109,11 +181,16 @@ def lines_sql(table: str, rule: Templates = Templates()) -> str:
     return rf"""
 ld AS (SELECT *, row_number() OVER () AS lid, coalesce(text, '') AS lbody FROM {table}),
 lx AS (SELECT lid, doc_id, lbody, k, ls[k] AS l FROM (SELECT lid, doc_id, lbody, string_split(lbody, chr(10)) AS ls, unnest(generate_series(1, len(string_split(lbody, chr(10))))) AS k FROM ld)),
-lt AS (SELECT *, regexp_extract_all(regexp_replace(l, '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '{WILDCARD}', 'g'), '[^\x20\x09-\x0D]+') AS t FROM lx),
-lr AS (SELECT t, min(struct_pack(a := doc_id IS NOT NULL, b := doc_id, c := lbody)) AS first FROM lt WHERE len(t) >= {rule.min_tokens} GROUP BY t
-       HAVING count(DISTINCT struct_pack(a := doc_id, b := lbody)) >= CASE WHEN len(t) < {rule.long_tokens} THEN {rule.short_docs} ELSE {rule.min_docs} END),
-lg AS (SELECT lid, count(lr.t) FILTER (lr.first.b IS DISTINCT FROM doc_id) AS n_dropped, count(*) AS n_lines,
-              string_agg(l, chr(10) ORDER BY k) FILTER (lr.t IS NULL OR lr.first.b IS NOT DISTINCT FROM doc_id) AS kept
+lt AS (SELECT *, struct_pack(a := doc_id IS NOT NULL, b := doc_id, c := lbody) AS doc, regexp_extract_all(regexp_replace(l, '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '{WILDCARD}', 'g'), '[^\x20\x09-\x0D]+') AS t FROM lx),
+lo AS (SELECT t, count(DISTINCT doc) AS docs, min(doc) AS first, max(doc) AS last FROM lt WHERE len(t) > 0 GROUP BY t),
+lb AS (SELECT t, first, last, x.i, x.j, [CASE WHEN p <= {rule.lead} OR ((p - 1 - {rule.lead}) * {rule.bands} // (len(t) - {rule.lead})) NOT IN (x.i, x.j) THEN t[p] END FOR p IN generate_series(1, len(t))] AS template
+       FROM lo, (SELECT i, j FROM range({rule.bands}) a(i), range({rule.bands}) b(j) WHERE i < j) x WHERE len(t) >= {rule.fields}),
+lk AS (SELECT * FROM lb WHERE 5 * len([y FOR y IN template IF y IS NULL]) <= len(template)),
+lg2 AS (SELECT template, i, j, min(first) AS first FROM lk GROUP BY ALL HAVING count(*) > 1 AND min(first) <> max(last)),
+lr AS (SELECT t, min(first) AS first FROM (SELECT t, first FROM lo WHERE docs >= {rule.min_docs} AND docs * len(t) >= {rule.evidence}
+       UNION ALL SELECT lk.t, lg2.first FROM lk JOIN lg2 ON lk.template = lg2.template AND lk.i = lg2.i AND lk.j = lg2.j) GROUP BY t),
+lg AS (SELECT lid, count(lr.t) FILTER (lr.first.b IS DISTINCT FROM doc_id OR lr.first.c <> lbody) AS n_dropped, count(*) AS n_lines,
+              string_agg(l, chr(10) ORDER BY k) FILTER (lr.t IS NULL OR (lr.first.b IS NOT DISTINCT FROM doc_id AND lr.first.c = lbody)) AS kept
        FROM lt LEFT JOIN lr USING (t) GROUP BY lid),
 deduped AS (SELECT ld.* EXCLUDE (text), CASE WHEN n_dropped = 0 THEN text ELSE coalesce(kept, '') END AS text, n_lines, n_dropped FROM ld JOIN lg USING (lid))"""
 

@@ -212,3 +212,32 @@ def test_a_long_tail_above_does_not_lower_the_floor(spark):
     rule = quality_rules.METRICS["mean_chars_x100"]
     middle = 496  # the bucket of 500
     assert f["low_mean_chars_x100"] == middle - rule.spread * rule.least and f["high_mean_chars_x100"] > middle + rule.spread * rule.least
+
+
+def test_lines_that_differ_in_fields_share_a_template(spark):
+    """Any two changed words of a long line, wherever they stand behind the lead; not three far apart, nor many."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    base = [f"word{k}" for k in range(40)]
+
+    def changed(*places):
+        return " ".join(f"other{rng.randrange(10**6)}x" if k in places else w for k, w in enumerate(base)).translate(str.maketrans("0123456789", "abcdefghij"))
+
+    pairs = [p for p in itertools.combinations(range(3, 40), 2)][::37]
+    texts = [changed()] + [changed(*p) for p in pairs] + [changed(5, 18, 33), changed(*range(10, 30)), changed(0)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    dropped = {r["doc_id"]: r["n_dropped"] for r in line_dedup.deduplicated(docs).select("row.doc_id", "n_dropped").collect()}
+    n = len(pairs)
+    assert dropped == {0: 0} | {i + 1: 1 for i in range(n)} | {n + 1: 0, n + 2: 0, n + 3: 0}
+
+
+def test_bands_cover_every_place(spark):
+    from pyspark.sql import functions as F
+
+    rule = line_dedup.Templates()
+    for n in (10, 11, 13, 23, 57, 400):
+        rows = spark.range(rule.lead, n).select(line_dedup.band_of(F.col("id"), F.lit(n), rule).alias("b")).collect()
+        assert [r["b"] for r in rows] == [(p - rule.lead) * rule.bands // (n - rule.lead) for p in range(rule.lead, n)]
+        assert all(0 <= r["b"] < rule.bands for r in rows)
