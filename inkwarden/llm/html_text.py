@@ -1,21 +1,25 @@
 """Main text of web pages from flat blocks and a decision tree.
 
-A page becomes a flat list of text blocks. Each block has its word count and
-link density, those of its two neighbours, and what the page says of its place
-(its element, and elements, roles and class words around it). A decision tree
-trained on a small labelled table tells main text from the rest; the blocks that
-it keeps are joined in page order by an empty line.
-
-The labelled table is made by a rule (``labelled_pages``): small pages in three
-styles, of semantic elements, of named divisions and of bare divisions, with a
-label for each block. Its size is a parameter, and the tree is the same on every
-run and machine.
+A page becomes a flat list of text blocks. Each block has its word count and link
+density, those of its two neighbours, its own form (heading, list item, end of a
+sentence), the elements that it stands in, and one feature for what classes, ids
+and roles around it say. A decision tree trained on a small labelled table tells
+main text from the rest; the blocks that it keeps are joined in page order by an
+empty line.
+
+The labelled table is of two parts: pages labelled by hand (``labelled``), and
+small pages made by a rule (``labelled_pages``) in three styles, of semantic
+elements, of named divisions and of bare divisions. Its size is a parameter, and
+the tree is the same on every run and machine.
 
 Defined results: a null or empty page has an empty text; unclosed elements end
 with the element around them or the page; a comment, script or style that is not
-closed reaches to the end of the page; repeated rows give repeated results; an
-empty table gives an empty result; ``main_texts`` carries the columns it is
-asked to carry, whatever others there are.
+closed reaches to the end of the page; a hidden element is left out with what it
+holds, and one that is never closed hides nothing; a class that names a state
+(``comments-enabled``, ``with-sidebar``) says nothing of its content; a page of any
+length is read in linear time; repeated rows give repeated results; an empty table
+gives an empty result; ``main_texts`` carries the columns it is asked to carry,
+whatever others there are.
 """
 
 from __future__ import annotations
@@ -31,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from inkwarden.llm.labelled import PAGES, labelled
 from inkwarden.llm.text import read
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z)", re.S)
@@ -55,7 +60,13 @@ PLACES = {
     "hint": "content post entry body text",
 }
 PLACE_OF = {word: place for place, names in PLACES.items() for word in names.split()}
-FEATURES = ("words", "link", "prev_words", "prev_link", "next_words", "next_link", "main", "nav", "side", "comment", "form", "hint", "heading", "item", "sentence")
+#: Words of a class that tell of a state of the page, not of what the element holds.
+STATES = frozenset("with without has have no not is enabled disabled open opened closed allowed active inactive on off count layout".split())
+FEATURES = ("words", "link", "prev_words", "prev_link", "next_words", "next_link", "heading", "item", "sentence", "element", "named")
+
+
+#: How often a page labelled by hand counts next to one made by rule.
+BY_HAND = 1
 
 
 @dataclass
@@ -63,13 +74,14 @@ class Block:
     text: str
     words: int
     link: float
-    places: frozenset[str]
+    elements: frozenset[str]  # what the elements around it say
+    names: frozenset[str]  # what classes, ids and roles around it say
     tag: str
 
 
 def _places(tag: str, attributes: str) -> tuple[set[str], bool]:
-    """What a start tag says of its content, and whether it is hidden."""
-    found = {PLACE_OF[tag]} if tag in PLACE_OF else set()
+    """What the attributes of a start tag say of its content, and whether it is hidden."""
+    found: set[str] = set()
     hidden = False
     if attributes and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attributes):
@@ -77,17 +89,34 @@ def _places(tag: str, attributes: str) -> tuple[set[str], bool]:
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
                 hidden = True
             elif name in ("class", "id", "role"):
-                found |= {PLACE_OF[w] for w in map(str.lower, WORDS_OF_NAME.findall(value)) if w in PLACE_OF}
+                for token in value.split():
+                    words = [w.lower() for w in WORDS_OF_NAME.findall(token)]
+                    if STATES.isdisjoint(words):
+                        found |= {PLACE_OF[w] for w in words if w in PLACE_OF}
     return found, hidden
 
 
+def _closings(page: str, tag: str) -> dict[int, int]:
+    """For each start tag of an element, by where it ends, where its end tag ends."""
+    found, open_ = {}, []
+    for m in re.finditer(rf"<(/?){re.escape(tag)}\b[^>]*>", page, re.I):
+        if not m[1]:
+            open_.append(m.end())
+        elif open_:
+            found[open_.pop()] = m.end()
+    return found
+
+
 def blocks(page: str | None) -> list[Block]:
     """The text blocks of a page in order."""
     page = page or ""
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    stack: list[tuple[str, frozenset[str]]] = []  # containers, with all places that hold inside
-    leaf, leaf_places = "", frozenset()
+    none: frozenset[str] = frozenset()
+    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []  # containers, with all that holds inside
+    leaf, leaf_names = "", none
+    closings: dict[str, dict[int, int]] = {}  # of elements that were hidden somewhere
+    endless: set[str] = set()  # elements without another end tag
     anchors, at, size = 0, 0, len(page)
 
     def flush() -> None:
@@ -97,8 +126,8 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(t).split()) for t, a in pieces if a)
-                around = stack[-1][1] if stack else frozenset()
-                out.append(Block(text, words, min(1.0, linked / words), around | leaf_places, leaf))
+                _, elements, names = stack[-1] if stack else ("", none, none)
+                out.append(Block(text, words, min(1.0, linked / words), elements, names | leaf_names, leaf))
             pieces = []
 
     while at < size:
@@ -113,7 +142,9 @@ def blocks(page: str | None) -> list[Block]:
             continue
         closing, tag = m[1] == "/", m[2].lower()
         if not closing and (tag in RAW or tag in DROPPED):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            end = None if tag in endless else re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            if end is None:
+                endless.add(tag)
             if tag in DROPPED and end is None:
                 continue  # never closed: the text behind it is kept
             at = end.end() if end else size
@@ -129,7 +160,7 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         anchors = 0
-        leaf, leaf_places = "", frozenset()
+        leaf, leaf_names = "", none
         if closing:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == tag:
@@ -138,32 +169,36 @@ def blocks(page: str | None) -> list[Block]:
             continue
         found, hidden = _places(tag, m[3])
         if hidden and tag not in VOID:
-            end = re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I)
-            depth, to = 1, at
-            while depth and (e := end.search(page, to)):
-                depth, to = depth + (-1 if e[1] else 1), e.end()
-            at = to if not depth else at
+            if tag not in closings:
+                closings[tag] = _closings(page, tag)
+            at = closings[tag].get(m.end(), at)
             continue
         if tag in CONTAINERS:
-            around = stack[-1][1] if stack else frozenset()
-            if "main" in found and tag in ("article", "main"):
-                around = around - {"nav", "form"}  # wraps or forgets to close what stands before an article
-            elif tag in ("header", "footer") and "main" in around:
-                found = found - {"nav"} if tag == "header" else found
-            stack.append((tag, around | frozenset(found)))
+            _, elements, names = stack[-1] if stack else ("", none, none)
+            own = {PLACE_OF[tag]} if tag in PLACE_OF else set()
+            if tag in ("article", "main"):  # wraps or forgets to close what stands before an article
+                elements, names = elements - {"nav", "form"}, names - {"nav", "form"}
+            elif tag == "header" and "main" in elements | names:
+                own = set()
+            stack.append((tag, elements | own, names | frozenset(found)))
         elif tag not in VOID:
-            leaf, leaf_places = tag, frozenset(found)
+            leaf, leaf_names = tag, frozenset(found)
     flush()
     return out
 
 
+def _sign(places: frozenset[str], *good: str) -> int:
+    """-1 inside anything that is no main text, else 1 inside main text, else 0."""
+    return -1 if places & {"nav", "side", "comment", "form"} else int(not places.isdisjoint(good))
+
+
 def matrix(found: list[Block]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
     out = np.zeros((len(found), len(FEATURES)))
     for i, b in enumerate(found):
         out[i, 0], out[i, 1] = b.words, b.link
-        out[i, 6:12] = [p in b.places for p in ("main", "nav", "side", "comment", "form", "hint")]
-        out[i, 12:] = len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag in ("li", "dt", "dd"), b.text[-1] in ".!?…\"'»”)"
+        out[i, 6:9] = len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag in ("li", "dt", "dd"), b.text[-1] in ".!?…\"'»”)"
+        out[i, 9:] = _sign(b.elements, "main"), _sign(b.names, "main", "hint")
     out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
     return out
 
@@ -237,7 +272,7 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
             part("nav", rng.choice(["nav", "menu", "breadcrumbs"]), menu(rng.randint(2, 8)) if bare or rng.random() < 0.8 else [("li", words(rng.randint(1, 4)), False) for _ in range(4)])
         if not bare and rng.random() < 0.6:
             part("div", rng.choice(["ad", "notice", "cookie-notice", "promo"]), [("p", words(rng.randint(4, 40)) + ".", False)])
-        article: list[tuple[str, str, bool]] = [("h1", words(rng.randint(3, 12)), True)]
+        article: list[tuple[str, str, bool]] = [("h1", words(rng.randint(1, 12)) + rng.choice(["", "", "."]), True)]
         for _ in range(rng.randint(1, 9)):
             k = rng.choice([rng.randint(1, 6), rng.randint(10, 40), rng.randint(40, 150)])
             text = words(k)
@@ -268,7 +303,7 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
 @lru_cache(maxsize=1)
 def trained() -> Node:
     x, y = [], []
-    for page, labels in labelled_pages():
+    for page, labels in [*labelled_pages(), *(labelled(p) for p in PAGES for _ in range(BY_HAND))]:
         found = blocks(page)
         if len(found) != len(labels):
             raise ValueError("a labelled page does not match its labels")
