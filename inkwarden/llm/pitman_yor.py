@@ -1,11 +1,11 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
 Tokens are the lower-cased words of a text, then one end. A token is drawn in the
-restaurant of its context, the word before it: words of at most four bytes have
-a restaurant by their own name, longer ones by their last three bytes, dealt by
-hash to ``CONTEXTS`` restaurants. All restaurants share one parent, where every
-table is a customer, and the parent falls back to a uniform choice of the V + 1
-training tokens and the unknown. Discounts come from the counts of counts.
+restaurant of its context, the whole word before it, dealt by hash to ``CONTEXTS``
+restaurants (words that share one are one context). All restaurants share one
+parent, where every table is a customer, and the parent falls back to a uniform
+choice of the V + 1 training tokens and the unknown. Discounts come from the
+counts of counts.
 
 Seating is sampled by Gibbs. For each dish of each restaurant the state is its
 customers and tables; a move draws the tables anew from their distribution given
@@ -15,6 +15,9 @@ dealt by token, so a dish's tables in all restaurants and its seating in the
 parent meet in one task; the restaurants' table totals, ``CONTEXTS`` numbers,
 are exchanged between sweeps. Chains are seeded by bucket, so a task replays
 its chain from the totals exchanged so far and no state is kept between jobs.
+There are as many buckets as the texts' characters ask for, whatever the partitions,
+and a document's sums are added up in the order of buckets: scores are the same for
+any layout of the input.
 Predictive probabilities are averaged over the samples after the burn-in, and
 the score is the sum of their logarithms.
 
@@ -24,10 +27,11 @@ of each occurrence) dealt to buckets by token. Counting first adds up inside
 each packed row, so a word in every document arrives as a few numbers per task;
 scoring splits buckets that hold more than their share. A document's score is
 the sum of its buckets' partial sums. What the driver holds is bounded by
-``CONTEXTS`` and ``BUCKETS``, whatever the corpus.
+``CONTEXTS``, whatever the corpus.
 
-Defined results: a null or empty text is its end alone; a null doc_id counts as
-the text ''; repeated rows are scored and counted as rows of their own; with no
+Defined results: a null or empty text is its end alone; a doc_id may be of any type
+and is carried as it is, and counts as its text in the choice of the fold, a null
+one as the text ''; repeated rows are scored and counted as rows of their own; with no
 training documents every token is unknown; an empty table gives an empty result;
 other columns are ignored. Token identity is a 64-bit hash.
 """
@@ -43,24 +47,26 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkwarden.llm.text import read
 from inkwarden.session import stage
 
-CONTEXTS, SHORT, TAIL = 512, 4, 3
+#: Restaurants; the last is that of the start of a text.
+CONTEXTS = 1 << 16
 #: Folds of crc32(doc_id as text): this remainder is held out.
 FOLDS, HELD_OUT = 7, 2
 #: Gibbs: sweeps, moves of each dish in a sweep, and how many of the last sweeps are samples.
-SWEEPS, MOVES, SAMPLES = 5, 3, 3
+SWEEPS, MOVES, SAMPLES = 4, 3, 3
 CONCENTRATION = 1.0
 STIRLING = 256
 #: Metropolis steps of a move for dishes beyond the table.
 STEPS = 12
-#: Text and documents packed together, and buckets at most.
-SLICE_CHARS, SLICE_DOCS, BUCKETS = 24 << 20, 1 << 16, 4096
+#: Text and documents packed together, and characters whose tokens make a bucket on average.
+SLICE_CHARS, SLICE_DOCS, BUCKET_CHARS = 24 << 20, 1 << 16, 24 << 20
 END = b"\n"  # no word holds a line feed
 START = CONTEXTS - 1
 
@@ -69,13 +75,17 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % FOLDS == HELD_OUT
 
 
+def held_out_column(doc_id: Column) -> Column:
+    return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
+
+
 def tokens(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "surrogatepass").lower().split(), END]
 
 
 def context(word: bytes) -> int:
     """The restaurant of what follows ``word``; the last is kept for the start of a text."""
-    return zlib.crc32(word if len(word) <= SHORT else b"-" + word[-TAIL:]) % (CONTEXTS - 1)
+    return zlib.crc32(word) % (CONTEXTS - 1)
 
 
 PACKED = "batch long, bucket int, hashes binary, counts binary, contexts binary, docs binary, doc_ids binary, held binary, lengths binary"
@@ -87,11 +97,10 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     hashes (sorted, distinct, uint64) and counts (occurrences of each, uint32);
     contexts (uint16) and docs (uint16, the document's place in the batch) of
     each occurrence, in the order of hashes; held (uint8) by document. In
-    bucket -1: doc_ids (int64, with nulls as their smallest value), held and
-    lengths (tokens).
+    bucket -1: doc_ids (an Arrow stream), held and lengths (tokens).
     """
 
-    def pack(ids: list, texts: list) -> Iterator[dict]:
+    def pack(ids: pa.Array, texts: list, held: np.ndarray) -> Iterator[dict]:
         known: dict[bytes, int] = {}
         flat: list[int] = []
         lengths = []
@@ -107,9 +116,8 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         doc = np.repeat(np.arange(len(texts), dtype=np.uint16), length)
         where = np.r_[np.uint16(START), after[token[:-1]]]
         where[np.r_[0, np.cumsum(length)[:-1]]] = START
-        held = np.fromiter(map(held_out, ids), np.uint8, len(ids))
         batch = random.SystemRandom().getrandbits(62)
-        yield {"batch": batch, "bucket": -1, "doc_ids": np.array([-(1 << 63) if i is None else i for i in ids], np.int64), "held": held, "lengths": length}
+        yield {"batch": batch, "bucket": -1, "doc_ids": np.frombuffer(_stream(ids), np.uint8), "held": held, "lengths": length}
         # sort distinct tokens by bucket and hash, and occurrences by that rank
         bucket = (hashed >> np.uint64(33)) % np.uint64(buckets)
         order = np.lexsort((hashed, bucket))
@@ -132,22 +140,39 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(values, names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: list = []
-        texts: list = []
-        size = 0
+        parts: list[pa.RecordBatch] = []
+        size, n = 0, 0
+
+        def whole() -> Iterator[pa.RecordBatch]:
+            ids, texts, held = (pa.chunked_array([p.column(c) for p in parts]).combine_chunks() for c in ("doc_id", "text", "held"))
+            return rows(pack(ids, texts.to_pylist(), held.to_numpy(zero_copy_only=False).astype(np.uint8)))
+
         for batch in batches:
-            for i, t in zip(batch.column("doc_id"), batch.column("text"), strict=True):
-                t = t.as_py()
-                ids.append(i.as_py())
-                texts.append(t)
-                size += len(t or "")
-                if size >= SLICE_CHARS or len(ids) == SLICE_DOCS:
-                    yield from rows(pack(ids, texts))
-                    ids, texts, size = [], [], 0
-        if ids:
-            yield from rows(pack(ids, texts))
+            begin = 0
+            for i, chars in enumerate(pc.fill_null(pc.utf8_length(batch.column("text")), 0).to_pylist()):
+                size, n = size + chars, n + 1
+                if size >= SLICE_CHARS or n == SLICE_DOCS:
+                    parts.append(batch.slice(begin, i + 1 - begin))
+                    yield from whole()
+                    parts, size, n, begin = [], 0, 0, i + 1
+            if begin < batch.num_rows:
+                parts.append(batch.slice(begin))
+        if parts:
+            yield from whole()
+
+    return docs.select("doc_id", "text", held_out_column(F.col("doc_id")).alias("held")).mapInArrow(run, PACKED)
+
+
+def _stream(ids: pa.Array) -> bytes:
+    out = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([ids], names=["doc_id"])
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACKED)
+
+def _from_stream(data: pa.Buffer) -> pa.Array:
+    return pa.ipc.open_stream(data).read_all().column("doc_id").combine_chunks()
 
 
 def _array(value, kind) -> np.ndarray:
@@ -296,55 +321,62 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.
     return h[first], c[first], np.add.reduceat(n, first) if len(first) else n
 
 
+_COUNTS = {"hashes": np.uint64, "pairs": np.uint32, "contexts": np.uint16, "customers": np.uint32}
+
+
+def _compact(h: np.ndarray, c: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Sorted (hash, context, n) as distinct hashes, pairs of each, contexts and customers."""
+    first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
+    found = h[first], np.diff(np.r_[first, len(h)]), c, n
+    return [x.astype(k).tobytes() for x, k in zip(found, _COUNTS.values(), strict=True)]
+
+
 def counted(found: DataFrame) -> DataFrame:
     """``MODEL``: training counts of each bucket's dishes."""
+    names = [f.split()[0] for f in MODEL.split(", ")]
+
+    def row(bucket: int, merged: tuple) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), *(pa.array([v], pa.binary()) for v in _compact(*merged))], names=names)
 
     def inside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for i in range(batch.num_rows):
                 get = lambda name, kind: _array(batch.column(name)[i], kind)  # noqa: B023, E731
                 counts, where, doc = get("counts", np.uint32), get("contexts", np.uint16), get("docs", np.uint16)
                 train = get("held", np.uint8)[doc] == 0
-                h, c, n = _merged([(np.repeat(get("hashes", np.uint64), counts)[train], where[train], np.ones(int(train.sum()), np.int64))])
-                rows.append((batch.column("bucket")[i].as_py(), h.tobytes(), c.tobytes(), n.tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in (1, 2, 3))], names=["bucket", "hashes", "contexts", "customers"])
+                # hashes are sorted: by their places, so that a pair is one number
+                key = np.sort((np.repeat(np.arange(len(counts)), counts) * CONTEXTS + where)[train])
+                first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+                one = key[first]
+                yield row(batch.column("bucket")[i].as_py(), (get("hashes", np.uint64)[one // CONTEXTS], one % CONTEXTS, np.diff(np.r_[first, len(key)])))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: int | None = None
         held: list[tuple] = []
         size = 0
-
-        def done() -> pa.RecordBatch:
-            h, c, n = _merged(held)
-            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.zeros(0, np.int64)
-            pairs = np.diff(np.r_[first, len(h)]).astype(np.uint32)
-            values = [x.tobytes() for x in (h[first], pairs, c, n)]
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), *(pa.array([v], pa.binary()) for v in values)], names=[f.split()[0] for f in MODEL.split(", ")])
-
         for batch in batches:
             for i in range(batch.num_rows):
                 bucket = batch.column("bucket")[i].as_py()
                 if bucket != now:
                     if held:
-                        yield done()
+                        yield row(now, _merged(held))
                     now, held, size = bucket, [], 0
-                part = tuple(_array(batch.column(n)[i], k) for n, k in (("hashes", np.uint64), ("contexts", np.uint16), ("customers", np.int64)))
-                held.append(part)
-                size += len(part[0])
+                h, pairs, c, n = (_array(batch.column(name)[i], k) for name, k in _COUNTS.items())
+                held.append((np.repeat(h, pairs), c, n.astype(np.int64)))
+                size += len(c)
                 if size > 4_000_000:
                     held = [_merged(held)]
                     size = 0
         if held:
-            yield done()
+            yield row(now, _merged(held))
 
-    pairs = found.where("bucket >= 0").select("bucket", "hashes", "counts", "contexts", "docs", "held").mapInArrow(inside, "bucket int, hashes binary, contexts binary, customers binary")
+    pairs = found.where("bucket >= 0").select("bucket", "hashes", "counts", "contexts", "docs", "held").mapInArrow(inside, MODEL)
     return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(across, MODEL)
 
 
 def _dishes(batch: pa.RecordBatch, i: int) -> Dishes:
-    kinds = {"hashes": np.uint64, "pairs": np.uint32, "contexts": np.uint16, "customers": np.int64}
-    return Dishes(batch.column("bucket")[i].as_py(), *(_array(batch.column(n)[i], k) for n, k in kinds.items()))
+    h, pairs, c, n = (_array(batch.column(name)[i], k) for name, k in _COUNTS.items())
+    return Dishes(batch.column("bucket")[i].as_py(), h, pairs, c, n.astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -478,11 +510,10 @@ class Predictor:
 def scored(found: DataFrame, model: DataFrame, history: list[Exchange]) -> DataFrame:
     """batch and, by document in it, packed sums: score, base (float64) and known tokens (int64)."""
     now = history[-1]
-    spark = found.sparkSession
     blobs = found.where("bucket >= 0")
-    weight = {r["bucket"]: r["n"] for r in blobs.groupBy("bucket").agg(F.sum(F.length("contexts")).alias("n")).collect()}  # at most BUCKETS rows
-    fair = max(1, 2 * sum(weight.values()) // max(1, len(weight)))
-    parts = F.broadcast(spark.createDataFrame([(b, max(1, -(-n // fair))) for b, n in weight.items()], "bucket int, parts int"))  # at most BUCKETS rows
+    weight = stage(blobs.groupBy("bucket").agg(F.sum(F.length("contexts")).alias("n")), "weights")  # a row a bucket
+    fair = weight.agg(F.greatest(F.lit(1), 2 * F.avg("n")).alias("fair")).first()["fair"] or 1
+    parts = weight.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("n") / fair)).cast("int").alias("parts"))
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
     work = blobs.join(parts, "bucket").select("bucket", F.pmod("batch", "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "batch", "hashes", "counts", "contexts", "docs", "held", *none("pairs", "customers"))
     told = model.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("batch"), "hashes", *none("counts"), "contexts", *none("docs", "held"), "pairs", "customers")
@@ -502,23 +533,22 @@ def scored(found: DataFrame, model: DataFrame, history: list[Exchange]) -> DataF
                 p, count = predictor.of(get("hashes", np.uint64), get("counts", np.uint32), get("contexts", np.uint16))
                 doc, n = get("docs", np.uint16), len(batch.column("held")[i].as_buffer())
                 sums = np.bincount(doc, np.log10(p), n), np.bincount(doc, np.log10((count + 1) / (now.tokens + now.types + 1)), n), np.bincount(doc, count > 0, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("batch")[i].as_py()], pa.int64()), pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())], names=["batch", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column("batch")[i].as_py()], pa.int64()), pa.array([where[0]], pa.int32()), pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())], names=["batch", "bucket", "sums"])
 
     dealt = work.unionByName(told).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind")
-    return dealt.mapInArrow(run, "batch long, sums binary")
+    return dealt.mapInArrow(run, "batch long, bucket int, sums binary")
 
 
-def gathered(found: DataFrame, sums: DataFrame, history: list[Exchange]) -> DataFrame:
-    """The documents of each batch with the sums over its buckets, in any order of batches."""
+def gathered(found: DataFrame, sums: DataFrame, history: list[Exchange], doc_id: str) -> DataFrame:
+    """The documents of each batch with the sums over its buckets, added up in the order of buckets."""
     now = history[-1]
-    docs = found.where("bucket = -1").select("batch", "doc_ids", "held", "lengths", F.lit(None).cast("binary").alias("sums"))
-    parts = sums.select("batch", *[F.lit(None).cast("binary").alias(n) for n in ("doc_ids", "held", "lengths")], "sums")
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    docs = found.where("bucket = -1").select("batch", "bucket", "doc_ids", "held", "lengths", F.lit(None).cast("binary").alias("sums"))
+    parts = sums.select("batch", "bucket", *[F.lit(None).cast("binary").alias(n) for n in ("doc_ids", "held", "lengths")], "sums")
+    kind = f"doc_id {doc_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
-    def rows(total: np.ndarray, doc_ids: np.ndarray, held: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-        n = len(doc_ids)
+    def rows(total: np.ndarray, ids: pa.Array, held: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+        n = len(ids)
         score, base, known = total[:n], total[n : 2 * n], total[2 * n :]
-        ids = pa.array(doc_ids, mask=doc_ids == -(1 << 63))
         values = [ids, pa.array(held == 1), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(np.full(n, now.tokens)), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(values, names=[f.split()[0] for f in kind.split(", ")])
 
@@ -536,20 +566,20 @@ def gathered(found: DataFrame, sums: DataFrame, history: list[Exchange]) -> Data
                     part = np.r_[np.frombuffer(raw, np.float64, 2 * n), np.frombuffer(raw, np.int64, n, 16 * n).astype(np.float64)]
                     total = part if total is None else total + part
                 else:
-                    docs = tuple(_array(batch.column(n)[i], k) for n, k in (("doc_ids", np.int64), ("held", np.uint8), ("lengths", np.int64)))
+                    docs = (_from_stream(batch.column("doc_ids")[i].as_buffer()), *(_array(batch.column(n)[i], k) for n, k in (("held", np.uint8), ("lengths", np.int64))))
         if at is not None:
             yield rows(total, *docs)
 
-    return docs.unionByName(parts).repartition("batch").sortWithinPartitions("batch").mapInArrow(run, kind)
+    return docs.unionByName(parts).repartition("batch").sortWithinPartitions("batch", "bucket").mapInArrow(run, kind)
 
 
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    buckets = min(BUCKETS, max(16, docs.rdd.getNumPartitions()))
-    found = stage(packed(docs, buckets), "packed")
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    found = stage(packed(docs, max(16, -(-chars // BUCKET_CHARS))), "packed")
     model = stage(counted(found), "dishes")
     history = sampled(model)
-    return gathered(found, scored(found, model, history), history)
+    return gathered(found, scored(found, model, history), history, docs.schema["doc_id"].dataType.simpleString())
 
 
 def perplexity(scored_docs: DataFrame, column: str = "score") -> float:
