@@ -150,6 +150,10 @@ class Component:
     blocks: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.int32))  # DC, dequantised
 
 
+#: Bytes in which the end of a scan is looked for at first.
+LOOK = 1 << 19
+
+
 @dataclass
 class Image:
     width: int
@@ -190,9 +194,14 @@ def _blocks(dc: tuple[bytes, bytes], ac: tuple[bytes, bytes]) -> tuple[np.ndarra
 
 def _intervals(data: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The scan's bytes without stuffing and markers, the start of each restart interval in them, and the scan's end."""
-    full = np.flatnonzero(data[at:-1] == 255) + at
-    after = data[full + 1]
-    other = np.flatnonzero((after != 0) & ((after < 0xD0) | (after > 0xD7)))
+    stop = at + LOOK
+    while True:  # up to the marker that ends the scan, not to the end of a stream of many images
+        full = np.flatnonzero(data[at : min(stop, len(data)) - 1] == 255) + at
+        after = data[full + 1]
+        other = np.flatnonzero((after != 0) & ((after < 0xD0) | (after > 0xD7)))
+        if len(other) or stop >= len(data):
+            break
+        stop = at + 2 * (stop - at)
     end = int(full[other[0]]) if len(other) else len(data)
     full, after = full[full < end], after[full < end]
     keep = np.ones(end - at, bool)

@@ -29,8 +29,6 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Above this many rules the join is left to the planner instead of broadcast.
-BROADCAST_RULES = 50_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -82,11 +80,10 @@ def judge(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "
     shape = known.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size(F.split("rule_host", r"\."))), F.lit(0)).alias("labels"), F.collect_set(F.length("rule_path")).alias("lengths")).first()
     if not shape["n"]:
         return named.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    # each distinct host and path once, however often a page repeats it
-    places = named.select("host", "path").distinct()
+    # each distinct host and path once, however often a page repeats it; no rule fits an empty host
+    places = named.where("host <> ''").select("host", "path").distinct()
     met = places.withColumn("expression", F.explode(expressions(F.col("host"), F.col("path"), shape["labels"], sorted(shape["lengths"])))).withColumn("digest", _digest(F.col("expression"))).withColumn("prefix", F.substring("digest", 1, 8))
     right = known.select(F.col("prefix"), F.col("digest").alias("rule_digest"), "rule", F.col("verdict").alias("rule_verdict"))
-    right = F.broadcast(right) if shape["n"] <= BROADCAST_RULES else right
     best = (
         met.join(right, "prefix")
         .where(F.col("digest") == F.col("rule_digest"))

@@ -88,3 +88,19 @@ def test_query_columns(spark):
     assert m.stored_texts(docs.limit(0), ["doc_id"]).count() == 0
     again = m.media_columns(spark.createDataFrame([(1, bytearray(m.encode_payload(m.padded("a")))), (2, None)], "id int, media binary"), ["id"]).orderBy("id").collect()
     assert again[0]["width"] == 192 and again[1]["feature"] is None
+
+
+def test_long_streams_are_read_in_linear_time(monkeypatch):
+    import time
+
+    times = []
+    for mb in (4, 16):
+        payload = media.padded("abcdefghij" * (mb << 17))
+        stream = media.encode_payload(payload)
+        began = time.perf_counter()
+        assert media.stored_payload(media.decode(stream)) == payload
+        times.append(time.perf_counter() - began)
+    assert times[1] < 8 * times[0] + 0.5
+    monkeypatch.setattr(media, "LOOK", 8)  # the window grows until the scan ends
+    small = media.padded("some text " * 500)
+    assert media.stored_payload(media.decode(media.encode_payload(small))) == small
