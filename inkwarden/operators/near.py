@@ -26,16 +26,24 @@ def distinct_texts(posts: DataFrame, least: int = NEAR) -> DataFrame:
 
 
 def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """id, n and len of each text with every gram of its prefix for a Jaccard ``threshold``.
+    """id, n, len and slack of each text with every gram of its prefix for a Jaccard ``threshold``.
 
-    A text with n grams needs its n - ceil(threshold * n) + 1 rarest.
+    A text with n grams needs its n - ceil(threshold * n) + 1 rarest. ``slack`` is what
+    may still differ at that gram: two texts that first meet in it differ in all
+    before it, and their slacks must not add up to less than zero.
     """
     grams = texts.select("id", F.size("grams").alias("n"), "len", F.explode("grams").alias("gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
     # a gram of one text joins nothing, and leaves more room: it still counts in the prefix
     rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
     keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    return grams.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= keep).where("df > 1").select("id", "n", "len", "gram")
+    slack = F.col("n") * ((1 - threshold) / (1 + threshold)) - F.col("rank") + 1
+    return grams.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= keep).where("df > 1").select("id", "n", "len", "gram", slack.alias("slack"))
+
+
+def _grammed(posts: DataFrame) -> DataFrame:
+    """id, ord, len, clean and grams of each distinct text, written once for all that compare them."""
+    return stage(distinct_texts(posts).select("id", "ord", F.length("clean").alias("len"), "clean", gram_hashes(F.col("clean")).alias("grams")), "near-texts")
 
 
 def near_pairs(posts: DataFrame, threshold: float = SIMILAR, length_ratio: float = 0.0) -> DataFrame:
@@ -44,11 +52,14 @@ def near_pairs(posts: DataFrame, threshold: float = SIMILAR, length_ratio: float
     id (the later post), other (the earlier), similarity; one pair for any number
     of exact copies, which stand for themselves by their clean text.
     """
-    base = stage(distinct_texts(posts).select("id", "ord", F.length("clean").alias("len"), gram_hashes(F.col("clean")).alias("grams")), "near-texts")
+    return _pairs(_grammed(posts), threshold, length_ratio)
+
+
+def _pairs(base: DataFrame, threshold: float, length_ratio: float = 0.0) -> DataFrame:
     first = stage(prefixes(base.select(F.col("ord").alias("id"), "len", "grams"), threshold), "near-prefixes")
     a, b = first.alias("a"), first.alias("b")
     least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    close = (least >= threshold * most - 1e-9) & (F.least("a.len", "b.len") >= length_ratio * F.greatest("a.len", "b.len"))
+    close = (least >= threshold * most - 1e-9) & (F.col("a.slack") + F.col("b.slack") >= -1e-6) & (F.least("a.len", "b.len") >= length_ratio * F.greatest("a.len", "b.len"))
     pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") > F.col("b.id")) & close).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
     sides = base.select("ord", "id", "grams")
     met = pairs.join(sides.select(F.col("ord").alias("later"), "id", F.col("grams").alias("x")), "later").join(sides.select(F.col("ord").alias("earlier"), F.col("id").alias("other"), F.col("grams").alias("y")), "earlier")
@@ -60,18 +71,18 @@ def near_pairs(posts: DataFrame, threshold: float = SIMILAR, length_ratio: float
 def near_duplicates(posts: DataFrame) -> DataFrame:
     """The near-duplicate rule: Jaccard, or the matching ratio of short texts that are similar enough to ask.
 
-    id, other and similarity, the larger of the two, from ``SIMILAR`` on.
+    id, other and similarity, the larger of the two, from ``SIMILAR`` on. The ratio is
+    asked only of pairs whose lengths allow it, and only those carry their texts.
     """
-    asked = stage(near_pairs(posts, CANDIDATE), "near-candidates")
-    texts = distinct_texts(posts).select("id", "clean")
-    unsure = asked.where(F.col("similarity") < SIMILAR).join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("clean").alias("other_clean")), "other")
-    least, most = F.least(F.length("clean"), F.length("other_clean")), F.greatest(F.length("clean"), F.length("other_clean"))
-    short = unsure.where((least >= LENGTH_RATIO * most) & (most <= RATIO_LENGTH)).withColumn("ratio", matching_ratio("clean", "other_clean"))
-    found = short.where(F.col("ratio") >= SIMILAR).select("id", "other", F.greatest("similarity", "ratio").alias("similarity"))
-    sure = asked.where(F.col("similarity") >= SIMILAR).join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("clean").alias("other_clean")), "other")
-    near = (F.least(F.length("clean"), F.length("other_clean")) >= LENGTH_RATIO * F.greatest(F.length("clean"), F.length("other_clean"))) & (F.greatest(F.length("clean"), F.length("other_clean")) <= RATIO_LENGTH)
-    both = sure.where(near).withColumn("similarity", F.greatest("similarity", matching_ratio("clean", "other_clean"))).select("id", "other", "similarity")
-    return found.union(both).union(sure.where(~near).select("id", "other", "similarity"))
+    base = _grammed(posts)
+    lengths = base.select("id", "len")
+    asked = _pairs(base, CANDIDATE).select("id", "other", "similarity").join(lengths, "id").join(lengths.select(F.col("id").alias("other"), F.col("len").alias("other_len")), "other")
+    able = (F.least("len", "other_len") >= LENGTH_RATIO * F.greatest("len", "other_len")) & (F.greatest("len", "other_len") <= RATIO_LENGTH)
+    asked = stage(asked.select("id", "other", "similarity", able.alias("able")), "near-candidates")
+    texts = base.select("id", "clean")
+    short = asked.where("able").join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("clean").alias("other_clean")), "other")
+    best = short.select("id", "other", F.greatest("similarity", matching_ratio("clean", "other_clean")).alias("similarity"))
+    return best.unionByName(asked.where("NOT able").select("id", "other", "similarity")).where(F.col("similarity") >= SIMILAR)
 
 
 def contained(posts: DataFrame, sources: DataFrame) -> DataFrame:

@@ -395,6 +395,30 @@ def review_summary(spark, sf_dir):
     return out.select(F.array_join("models", ",").alias("models"), F.array_join(F.transform("statuses", lambda s: F.concat_ws(":", s["status"], s["n"])), ",").alias("statuses"))
 
 
+@query("""SELECT doc_id, CASE WHEN doc_id % 10 IN (0, 9) THEN 'completed' ELSE 'failed' END AS status, CASE doc_id % 10 WHEN 0 THEN 'automation:unknown|intellectual_property:unknown|monetization_focus:supported|original_contribution:mixed' WHEN 9 THEN 'automation:unknown|intellectual_property:unknown|monetization_focus:supported|original_contribution:unknown' ELSE '' END AS verdicts FROM documents""")
+def validated_reviews(spark, sf_dir):
+    """Answers that are sound, and with one fault each, by the document's number."""
+    k, fault = F.col("doc_id"), lambda n: F.col("doc_id") % 10 == n
+    d = table(spark, sf_dir, "documents").select("doc_id", k.cast("string").alias("id"), F.concat(F.lit("the words of post "), k).alias("text"))
+    row = lambda name, score, word, excerpt="words", url="", source="": F.struct(F.lit(name).alias("id"), score.cast("double").alias("score"), word.alias("verdict"), F.when(fault(6), " ").otherwise("so").alias("rationale"), (F.lit(excerpt) if isinstance(excerpt, str) else excerpt).alias("post_excerpt"), (F.lit(url) if isinstance(url, str) else url).alias("source_url"), F.lit(source).alias("source_excerpt"))
+    none = F.lit(None).cast("double")
+    original = row("original_contribution", F.when(fault(3), 120.0).otherwise(50.0), F.when(fault(4), "supported").otherwise("mixed"), F.when(fault(5), "other words").otherwise("words of post"), F.when(fault(7), "https://none").otherwise("https://s"), "source")
+    money = row("monetization_focus", F.when(~fault(8), 90.0), F.when(fault(8), "unknown").otherwise("supported"))
+    closed = [row(n, none, F.lit("unknown"), "") for n in compliance.UNVERIFIABLE]
+    answers = d.select("id", F.when(fault(1), F.array(original, money, closed[0])).when(fault(2), F.array(original, money, closed[0], closed[0])).otherwise(F.array(original, money, *closed)).alias("criteria"))
+    bodies = d.where(k % 10 != 9).select("id", F.lit("https://s").alias("url"), F.lit("what the source says").alias("text"))
+    out = compliance.validated(answers, d, bodies)
+    told = F.array_join(F.array_sort(F.transform("criteria", lambda c: F.concat_ws(":", c["id"], c["verdict"]))), "|")
+    return out.select(F.col("id").cast("long").alias("doc_id"), "status", told.alias("verdicts"))
+
+
+@query("""WITH $POSTS, sc AS (SELECT id FROM posts WHERE type <> 'repost'), l AS (SELECT doc_id::VARCHAR AS id FROM labels) SELECT 'asked' AS kind, CASE WHEN l.id IS NULL THEN 'not_returned' ELSE 'completed' END AS status, count(*) AS posts FROM sc LEFT JOIN l USING (id) GROUP BY ALL
+UNION ALL SELECT 'open', CASE WHEN l.id IS NULL THEN 'not_requested' ELSE 'completed' END, count(*) FROM sc LEFT JOIN l USING (id) GROUP BY ALL""")
+def review_statuses(spark, sf_dir):
+    scope, reviews = fixture_reviews(spark, sf_dir)
+    return compliance.review_statuses(scope, reviews, True).select(F.lit("asked").alias("kind"), "status", "posts").unionByName(compliance.review_statuses(scope, reviews, False).select(F.lit("open").alias("kind"), "status", "posts"))
+
+
 def fixture_web(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Matches and per-post web results from labels."""
     rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id")
