@@ -230,3 +230,15 @@ def reply_groups(edges: DataFrame) -> DataFrame:
     real = edges.join(nodes.withColumnRenamed("node", "parent"), "parent", "left_semi").where("parent <> node")
     linked = components(real.select(F.greatest("node", "parent").alias("a"), F.least("node", "parent").alias("b")))
     return nodes.join(linked, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+
+
+def locked_selection(chosen: DataFrame, locked: DataFrame) -> DataFrame:
+    """``locked`` (id, place) once it has rows, else ``chosen``; another choice than the locked one fails.
+
+    A selection that was analysed is fixed for its archive: the same ids in the same order may be asked for again.
+    """
+    both = chosen.select(F.col("place"), F.col("id").alias("asked")).join(locked.select("place", F.col("id").alias("held")), "place", "full")
+    seen = both.agg(F.count("held").alias("n"), F.count_if(~F.col("asked").eqNullSafe(F.col("held"))).alias("other"))
+    free = both.join(F.broadcast(seen))  # one row
+    same = (F.col("n") == 0) | (F.col("other") == 0)
+    return free.select(F.when(same, F.coalesce("held", "asked")).otherwise(F.raise_error(F.lit("the selection is locked")).cast("string")).alias("id"), "place")

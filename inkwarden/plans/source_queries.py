@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from inkwarden.operators import findings, posts
+from inkwarden.operators import findings, posts, web
 from inkwarden.plans.queries import fixture_status, query, table
 from inkwarden.sources import normalize, readers
 
@@ -352,3 +353,31 @@ def account_conclusion(spark, sf_dir):
 def coverage_notes(spark, sf_dir):
     notes = findings.coverage_notes(k(), k() % 3, F.greatest(k() % 5 - 3, F.lit(0)), F.lit(500), F.when(k() % 2 == 1, True), F.when(k() % 7 == 0, "may"))
     return table(spark, sf_dir, "documents").select("doc_id", notes.alias("notes"))
+
+
+@query("""SELECT doc_id, '@a' || doc_id AS account, CASE WHEN doc_id % 2 = 0 THEN 'UTC' ELSE '' END AS timezone, '是' AS complete, doc_id::VARCHAR AS total_expected, CASE doc_id % 3 WHEN 0 THEN 'May；June' WHEN 1 THEN 'June' ELSE '' END AS known_missing,
+  CASE WHEN doc_id % 4 > 0 THEN '2026-01-02' ELSE '' END AS "start", CASE WHEN doc_id % 4 > 0 THEN '2026-03-04' ELSE '' END AS "end" FROM documents""")
+def form_scopes(spark, sf_dir):
+    n = k().cast("string")
+    line = lambda label, value: F.concat(F.lit(f"- {label}："), value, F.lit("\n"))
+    missing = F.concat(line("已知缺失", F.when(k() % 3 == 0, "May").otherwise("无")), line("缺失详情", F.when(k() % 3 < 2, "June").otherwise("未知")))
+    head = F.concat(F.lit("# form\n## 一、\n"), line("账号", F.concat(F.lit("@a"), n)), F.when(k() % 2 == 0, line("时区", F.lit("UTC"))).otherwise(""), line("是否包含该期间全部本人发帖", F.lit("是")), line("已知该期间帖子总数", n), missing, line("时间范围（含首尾）", F.when(k() % 4 > 0, "2026-01-02 to 2026-03-04").otherwise("2026-01-02")))
+    texts = table(spark, sf_dir, "documents").select(n.alias("file"), F.concat(head, F.lit("## 二、\n- 账号：@wrong\n")).alias("text"))
+    return readers.form_scopes(texts).select(F.col("file").cast("long").alias("doc_id"), "account", "timezone", "complete", "total_expected", "known_missing", "start", "end")
+
+
+@query("""WITH f AS (SELECT 'id_too_long' AS fault, doc_id % 7 = 0 AS hit FROM documents UNION ALL SELECT 'id_missing', doc_id % 11 = 3 AND doc_id % 7 <> 0 FROM documents UNION ALL SELECT 'text_missing', text IS NULL FROM documents
+UNION ALL SELECT 'text_too_long', length(text) > 50000 FROM documents UNION ALL SELECT 'url_too_long', doc_id % 5 = 0 FROM documents)
+SELECT fault, count(*) AS rows FROM f WHERE hit GROUP BY fault UNION ALL SELECT 'id_repeats', 1 FROM documents WHERE doc_id % 11 = 3 AND doc_id % 7 <> 0 HAVING count(*) > 1 UNION ALL SELECT 'posts_out_of_range', 1 FROM documents HAVING count(*) NOT BETWEEN 1 AND 10""")
+def request_faults(spark, sf_dir):
+    own = F.when(k() % 7 == 0, F.concat(F.repeat(F.lit("x"), F.lit(200)), k())).when(k() % 11 == 3, "").otherwise(k().cast("string"))
+    rows = table(spark, sf_dir, "documents").select(own.alias("id"), "text", F.when(k() % 5 == 0, F.repeat(F.lit("u"), F.lit(2049))).otherwise("u").alias("url"))
+    return web.request_faults(rows)
+
+
+@query("SELECT item_id::VARCHAR AS id, row_number() OVER (ORDER BY item_id) AS place FROM benchmark ORDER BY item_id LIMIT 10")
+def locked_selection(spark, sf_dir):
+    """The same ten asked for again: once free, then locked."""
+    ten = table(spark, sf_dir, "benchmark").orderBy("item_id").limit(10)
+    chosen = ten.select(F.col("item_id").cast("string").alias("id"), F.row_number().over(Window.orderBy("item_id")).cast("long").alias("place"))
+    return posts.locked_selection(chosen, posts.locked_selection(chosen, chosen.limit(0)))

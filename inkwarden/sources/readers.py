@@ -217,6 +217,38 @@ def parse_form(text: str) -> tuple[list[dict], list[dict]]:
     return posts, sources
 
 
+#: Labels of the form's first part, each with the names that it may have.
+SCOPE_FORM = {
+    "account": ("账号链接或 @用户名", "账号"), "timezone": ("时区（账号评估必填；仅样本初评可填“不适用”）", "时区"), "complete": ("是否包含该期间全部本人发帖",),
+    "total_expected": ("已知该期间帖子总数",), "selection": ("选择方式",),
+}
+MISSING_LABELS, RANGE_LABEL, POSTS_HEADING = ("已知缺失", "缺失详情"), "时间范围", "## 二、"
+
+
+def parse_scope(text: str) -> dict[str, str]:
+    """What a form says of the account and the range: account, timezone, complete, total_expected, selection, known_missing, start and end."""
+    head = _Section(text.partition(POSTS_HEADING)[0])
+    scope = {name: next((head.fields[k] for k in labels if k in head.fields), "") for name, labels in SCOPE_FORM.items()}
+    scope["known_missing"] = "；".join(filter(None, (_told(head.fields.get(k)) for k in MISSING_LABELS)))
+    days = next((re.findall(r"\d{4}-\d{2}-\d{2}", v) for k, v in head.fields.items() if k.startswith(RANGE_LABEL)), [])
+    return scope | dict(zip(("start", "end"), days[:2] if len(days) > 1 else ("", ""), strict=True))
+
+
+SCOPE = "account string, timezone string, complete string, total_expected string, selection string, known_missing string, start string, end string"
+
+
+def form_scopes(texts: DataFrame) -> DataFrame:
+    """file and the fields of ``SCOPE`` of Markdown forms."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [f.split()[0] for f in SCOPE.split(", ")]
+        for batch in batches:
+            found = [parse_scope(t.as_py() or "") for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("file"), *(pa.array([r[n] for r in found], pa.string()) for n in names)], names=["file", *names])
+
+    return texts.select("file", "text").mapInArrow(run, f"file string, {SCOPE}")
+
+
 def form_records(texts: DataFrame) -> DataFrame:
     """Records of Markdown forms, each with the source records that name its id, number or link."""
 
@@ -259,6 +291,14 @@ def zip_members(spark: SparkSession, paths: list[str], limits: Limits = Limits()
                     members = [m for m in archive.infolist() if not m.is_dir()]
                     if limits.zip_entries is not None and len(members) > limits.zip_entries:
                         raise ValueError("more ZIP entries than allowed")
+                    names = [m.filename.replace("\\", "/") for m in members]
+                    if len(set(names)) != len(names):
+                        raise ValueError("two ZIP members have one name")
+                    if any(m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) for m in members):
+                        raise ValueError("a ZIP member is neither stored nor deflated")
+                    spans = sorted((m.header_offset, m.header_offset + m.compress_size) for m in members)
+                    if any(end > begin for (_, end), (begin, _) in zip(spans, spans[1:], strict=False)):
+                        raise ValueError("ZIP members overlap")
                     for m in members:
                         parts = PurePosixPath(m.filename.replace("\\", "/")).parts
                         if m.filename.startswith(("/", "\\")) or ".." in parts or re.match("[A-Za-z]:", m.filename):

@@ -235,3 +235,32 @@ def test_entry_without_the_training_data_operators():
     root = Path(__file__).resolve().parent.parent
     code = "import sys, importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n in ('inkwarden.llm', 'corpus_pipeline') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert q and not [n for n in q if n[:2] == 'op' or n == 'pipeline']; assert set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=root, check=True)
+
+
+def test_snippets_and_failed_searches(spark):
+    text = "A sentence of the post that is long enough to be found on a page, word for word."
+    docs = spark.createDataFrame([("1", "", text, True), ("2", "", text + " two", False)], "id string, url string, text string, searched boolean")
+    pages = spark.createDataFrame([(1, "https://a.org/1", None, f"<b>{text}</b>"), (2, "http://127.0.0.1/x", None, text), (3, "https://b.org/", f"<p>{text}</p>", "other")], "page_id long, url string, html string, snippet string")
+    got = {r["id"]: r for r in web.checked(docs, pages).collect()}
+    assert (got["1"]["status"], got["1"]["sources_checked"], got["1"]["matched"]) == ("matched", 1, 2)
+    assert got["1"]["match_urls"] == ["https://b.org/", "https://a.org/1"] and got["2"]["status"] == "failed"
+
+
+def test_a_locked_selection_stays(spark):
+    ten = lambda first: spark.createDataFrame([(str(first + i), i + 1) for i in range(10)], "id string, place long")
+    free = posts.locked_selection(ten(0), ten(0).limit(0))
+    assert sorted(r["id"] for r in free.collect()) == [str(i) for i in range(10)]
+    assert posts.locked_selection(ten(0), ten(0)).count() == 10
+    with pytest.raises(Exception, match="locked"):
+        posts.locked_selection(ten(1), ten(0)).collect()
+
+
+def test_zip_members_of_one_name_fail(spark, tmp_path):
+    import warnings
+
+    with warnings.catch_warnings(), zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        warnings.simplefilter("ignore")
+        for _ in range(2):
+            z.writestr("data/tweets.js", "window.YTD.tweets.part0 = []")
+    with pytest.raises(Exception, match="one name"):
+        readers.zip_members(spark, [str(tmp_path / "a.zip")]).collect()
