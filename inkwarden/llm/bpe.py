@@ -10,7 +10,7 @@ lexicon decides the speed and never the ids.
 
 Chunks are counted over all documents: each task keeps Misra-Gries counters of
 bounded size, the counters are added up, and the ``words`` most frequent are
-compiled; of those equally frequent the first in byte order. The file goes to the
+compiled; of those equally frequent that do not all fit a share by hash. The file goes to the
 shared folder and from there to executors as a Spark file, also to those that join
 later.
 
@@ -41,6 +41,7 @@ import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from inkwarden.llm.lexicon import Lexicon, compile_lexicon
 from inkwarden.llm.text import read
@@ -300,11 +301,11 @@ class Known:
     """Records of chunks in two generations: what a full one held and was asked for again goes to the next."""
 
     def __init__(self, limit: int = MEMO) -> None:
-        self.young: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.young: dict = {}
+        self.old: dict = {}
         self.limit = limit
 
-    def of(self, want: set[str], make: Callable[[list[str]], Iterable[tuple]]) -> dict[str, tuple]:
+    def of(self, want: set[str], make: Callable[[list[str]], Iterable]) -> dict:
         """A dict that has all of ``want``."""
         missing = want.difference(self.young)
         if len(self.young) + len(missing) > self.limit:
@@ -325,16 +326,31 @@ class Chunked:
     """Texts by their chunks: each distinct chunk is encoded once and kept as bytes for every view.
 
     ``encode`` gives the ids of chunks, ``whole`` those of any text, and ``views``
-    makes bytes from ids that may be joined over chunks. A text goes to ``whole``
+    makes bytes from ids that may be joined over chunks; None stands for the ids alone. A text goes to ``whole``
     if it holds a special string, or white space behind a space.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], Iterable[bytes]], special: Iterable[str], views: Callable[[bytes], tuple[bytes, ...]], limit: int = MEMO):
+    def __init__(self, encode: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], Iterable[bytes]], special: Iterable[str], views: Callable[[bytes], tuple[bytes, ...]] | None = None, limit: int = MEMO):
         self.encode, self.whole, self.special, self.views = encode, whole, list(special), views
         self.first, self.rest = Known(limit), Known(limit)
 
-    def _records(self, ids: Iterable[bytes]) -> list[tuple]:
-        return list(map(self.views, ids))
+    def _records(self, ids: Iterable[bytes]) -> list:
+        return list(ids) if self.views is None else list(map(self.views, ids))
+
+    def _joined(self, found: Iterable) -> tuple[bytes, ...]:
+        if self.views is None:
+            return (b"".join(found),)
+        found = list(found)
+        return tuple(b"".join([r[k] for r in found]) for k in range(len(found[0])))
+
+    def _new(self, chunks: list[str]) -> Iterable:
+        """Records of chunks behind a space; an empty one for those that white space begins."""
+        plain = [f" {x}" for x in chunks if x and not x[0].isspace()]
+        records = self._records(self.encode(plain))
+        if len(plain) == len(chunks):
+            return records
+        found = iter(records)
+        return [next(found) if x and not x[0].isspace() else b"" for x in chunks]
 
     def of(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
         """For each text the joined bytes of each view."""
@@ -348,29 +364,18 @@ class Chunked:
     def _slice(self, texts: list[str]) -> Iterator[tuple[bytes, ...]]:
         cut = [None if any(s in t for s in self.special) else t.split(" ") for t in texts]
         first = self.first.of({p[0] for p in cut if p}, lambda new: self._records(self.encode(new)))
-        odd: set[str] = set()
-
-        def make(new: list[str]) -> Iterator[tuple]:
-            found = iter(self._records(self.encode([f" {x}" for x in new if x and not x[0].isspace()])))
-            for x in new:
-                if x and not x[0].isspace():
-                    yield next(found)
-                else:
-                    yield ()  # white space behind a space
-
         want: set[str] = set()
         for p in cut:
             if p:
                 want.update(p[1:])
-        rest = self.rest.of(want, make)
+        rest = self.rest.of(want, self._new)
         odd = {x for x in want if not rest[x]}
         for text, p in zip(texts, cut, strict=True):
             if p is None or (odd and not odd.isdisjoint(p[1:])):
                 (record,) = self._records(self.whole([text]))
-                yield record
+                yield (record,) if self.views is None else record
             else:
-                found = [first[p[0]], *map(rest.__getitem__, p[1:])]
-                yield tuple(b"".join([r[k] for r in found]) for k in range(len(found[0])))
+                yield self._joined(chain((first[p[0]],), map(rest.__getitem__, p[1:])))
 
 
 _open: dict[tuple[str, str | None], object] = {}
@@ -414,7 +419,15 @@ def compiled(docs: DataFrame, path: str, words: int = LEXICON_WORDS) -> str:
     """
     spark = docs.sparkSession
     counts = stage(chunk_counts(docs), "chunk-counts")
-    top = sorted(bytes(r["word"]) for r in counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect())
+    # counts are few: how many chunks are as frequent or more, and what part of the last count's chunks fits
+    sizes = counts.groupBy("n").agg(F.count("*").alias("chunks"))
+    ranked = sizes.withColumn("before", F.sum("chunks").over(Window.orderBy(F.desc("n"))) - F.col("chunks")).where(F.col("before") < words)
+    least = ranked.orderBy("n").limit(1).collect()
+    top: list[bytes] = []
+    if least:
+        n, share = least[0]["n"], min(1.0, (words - least[0]["before"]) / least[0]["chunks"])
+        fits = (F.col("n") > n) | ((F.col("n") == n) & (F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(share * (1 << 20))))
+        top = sorted(bytes(r["word"]) for r in counts.where(fits).select("word").collect())
     bpe = Bpe(path)
     where = fresh_path(spark, "lexicon") + ".bin"
     write_bytes(spark, where, compile_lexicon(top, [bpe.pretokens(w.decode()) for w in top]))
@@ -457,7 +470,7 @@ def encoded(docs: DataFrame, columns: list[str], path: str | None = None) -> Dat
     def arrays(found: Iterator[tuple[bytes, ...]]) -> dict[str, pa.Array]:
         return {"ids": pa.array([_ids(ids) for (ids,) in found], pa.list_(pa.int32()))}
 
-    return _each(docs, columns, "ids array<int>", path, compiled(docs, path), lambda bpe: lambda ids: (ids,), arrays)
+    return _each(docs, columns, "ids array<int>", path, compiled(docs, path), lambda bpe: None, arrays)
 
 
 def digests(docs: DataFrame, columns: list[str], path: str | None = None, with_ids: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from inkwarden.llm import bpe, content_store, html_text, lexicon, pitman_yor, simhash
 from tests.llm.conftest import ROWS
@@ -127,7 +128,7 @@ def test_bpe_against_the_library(tmp_path):
     (tmp_path / "l").write_bytes(lexicon.compile_lexicon(words, [own.pretokens(w.decode()) for w in words]))
     lex = lexicon.Lexicon(str(tmp_path / "l"))
     for limit in (64, bpe.MEMO):  # memos that hardly hold a chunk, and one that holds all
-        chunked = bpe.Chunked(lambda new: own.encode_new(new, lex), lambda ts: (np.array(own.encode(t), "<u4").tobytes() for t in ts), own.special, lambda ids: (ids,), limit)
+        chunked = bpe.Chunked(lambda new: own.encode_new(new, lex), lambda ts: (np.array(own.encode(t), "<u4").tobytes() for t in ts), own.special, None if limit > 64 else lambda ids: (ids,), limit)
         for text, (got,), want in zip(texts, chunked.of(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
             assert np.frombuffer(got, "<u4").tolist() == want.ids, ascii(text)
     encoder = content_store.Encoder(bpe.vocabulary_path())
@@ -191,6 +192,19 @@ def test_broken_chunk_is_found(spark, tmp_path):
         content_store.read_back(spark, path).collect()
 
 
+def test_every_level_of_the_tree_is_checked(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"some text of number {i}") for i in range(9)], "doc_id long, text string")
+    for name in ("recipes", "manifest", "root"):
+        path = f"{tmp_path}/{name}"
+        content_store.write_store(docs, path)
+        assert content_store.read_back(spark, path).count() == 9
+        rows = spark.read.parquet(f"{path}/{name}")
+        bad = rows.withColumn("root", F.unhex(F.lit("00" * 16))) if name != "recipes" else rows.withColumn("digests", F.reverse(F.concat("digests", "digests"))).withColumn("after", F.concat("after", "after"))
+        spark.createDataFrame(bad.collect(), rows.schema).write.mode("overwrite").parquet(f"{path}/{name}")
+        with pytest.raises(Exception, match="match"):
+            content_store.read_back(spark, path).collect()
+
+
 def test_cuts_depend_on_content_only():
     rng = np.random.default_rng(5)
     passage = rng.integers(0, 50_000, 6000)
