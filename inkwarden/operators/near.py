@@ -8,6 +8,8 @@ result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -56,11 +58,13 @@ def near_pairs(posts: DataFrame, threshold: float = SIMILAR, length_ratio: float
 
 
 def _pairs(base: DataFrame, threshold: float, length_ratio: float = 0.0) -> DataFrame:
-    first = stage(prefixes(base.select(F.col("ord").alias("id"), "len", "grams"), threshold), "near-prefixes")
-    a, b = first.alias("a"), first.alias("b")
+    # sizes of similar texts are within the threshold of each other: they fall in one band of sizes or in neighbours
+    band = F.floor(F.log("n") / -math.log(threshold)).cast("int")
+    first = stage(prefixes(base.select(F.col("ord").alias("id"), "len", "grams"), threshold).withColumn("band", band), "near-prefixes")
+    a, b = first.withColumn("beside", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("a"), first.alias("b")
     least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
     close = (least >= threshold * most - 1e-9) & (F.col("a.slack") + F.col("b.slack") >= -1e-6) & (F.least("a.len", "b.len") >= length_ratio * F.greatest("a.len", "b.len"))
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.id") > F.col("b.id")) & close).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
+    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.beside") == F.col("b.band")) & (F.col("a.id") > F.col("b.id")) & close).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
     sides = base.select("ord", "id", "grams")
     met = pairs.join(sides.select(F.col("ord").alias("later"), "id", F.col("grams").alias("x")), "later").join(sides.select(F.col("ord").alias("earlier"), F.col("id").alias("other"), F.col("grams").alias("y")), "earlier")
     shared = F.size(F.array_intersect("x", "y"))
