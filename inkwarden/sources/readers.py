@@ -175,42 +175,78 @@ def _told(value: str | None) -> str:
     return "" if value.casefold() in UNKNOWN else value
 
 
-class _Section:
-    """A part of a form: ``- label：value`` lines and ``**label**`` bodies."""
+#: The shapes of a form's lines, and what ends its posts and its sources.
+FIELD_LINE = r"[ \t]*-[ \t]*([^：:]+)[：:][ \t]*(.*)"
+BODY_LINE = r"\*\*(.+?)[：:]?\*\*(.*)"
+HEADING_LINE = r"(#{1,6})\s+(.*?)\s*"
+POST_HEADING, SOURCE_HEADING = r"P\d+", r"来源记录\s+S\d+"
+POSTS_END, SOURCES_END = "## 四、", "## 五、"
+THREAD_PLACE = r"第\s*(\d+)\s*条[，,]\s*共\s*(\d+)\s*条"
+MEDIA_SEPARATORS = r"[;；、\n]"
+
 
-    def __init__(self, text: str):
-        self.text = text
-        self.fields = {m[1].strip(): m[2].strip() for m in re.finditer(r"(?m)^[ \t]*-[ \t]*([^：:\n]+)[：:][ \t]*([^\n]*)$", text)}
+class _Section:
+    """A part of a form: the values of its labels, and the texts under its bold labels."""
+
+    def __init__(self, lines: list[str]):
+        self.fields: dict[str, str] = {}
+        self.texts: dict[str, list[str]] = {}
+        under: list[str] = []  # the text that lines go to
+        for line in lines:
+            if re.match(HEADING_LINE, line):
+                under = []
+            elif bold := re.match(BODY_LINE, line):
+                under = self.texts.setdefault(bold[1].strip(), [])
+                under.append(bold[2])
+            else:
+                under.append(line)
+            if value := re.fullmatch(FIELD_LINE, line):
+                self.fields[value[1].strip()] = value[2].strip()
 
     def field(self, labels: str | tuple[str, ...]) -> str:
         return next((v for k in ([labels] if isinstance(labels, str) else labels) if (v := _told(self.fields.get(k)))), "")
 
     def body(self, label: str) -> str:
-        m = re.search(rf"\*\*{re.escape(label)}[：:]?\*\*(.*?)(?=\n\*\*|\n#{{1,6}}\s|\Z)", self.text, re.S)
-        found = m[1].strip() if m else ""
+        found = "\n".join(self.texts.get(label, ())).strip()
         return "" if found.startswith(FORM["placeholder"]) else found
 
 
-def parse_form(text: str) -> tuple[list[dict], list[dict]]:
-    """Posts and source records of a form, not yet joined."""
+def _sections(text: str, title: str, end: str) -> Iterator[tuple[str, _Section]]:
+    """The parts under headings of the second level or lower that read ``title``, each up to the next or to ``end``."""
+    name, lines = "", []
+    for line in [*text.split("\n"), None]:
+        heading = line is not None and re.fullmatch(HEADING_LINE, line)
+        opens = heading and len(heading[1]) > 1 and re.fullmatch(title, heading[2])
+        if name and (line is None or opens or line.startswith(end)):
+            yield name, _Section(lines)
+            name = ""
+        if opens:
+            name, lines = heading[2], []
+        elif name:
+            lines.append(line)
 
-    def sections(heading: str, end: str) -> list[tuple[str, _Section]]:
-        marks = list(re.finditer(heading, text, re.M))
-        return [(m[1], _Section(text[m.end() : n.start() if n else len(text)].split(end)[0])) for m, n in zip(marks, [*marks[1:], None], strict=True)]
 
+def _thread(told: str) -> dict[str, str]:
+    """What a form says of a thread: its name, and the post's place in it after a comma."""
+    place = re.search(THREAD_PLACE, told)
+    name = re.sub(r"[，,]\s*$", "", told[: place.start()]) if place else ""
+    if place and name and name != told[: place.start()]:
+        return {"thread_id": name.strip(), "thread_order": place[1], "thread_total": place[2]}
+    return {"thread_id": told} if told else {}
+
+
+def parse_form(text: str) -> tuple[list[dict], list[dict]]:
+    """Posts and source records of a form, not yet joined."""
     posts, sources = [], []
-    for number, s in sections(r"^#{2,6}\s+(P\d+)\s*$", "## 四、"):
+    for number, s in _sections(text, POST_HEADING, POSTS_END):
         post = {"id": s.field(FORM["id"]) or number, "material_id": number, "url": s.field(FORM["url"]), "text": s.body(FORM["text"]), "created_at": s.field(FORM["date"]), "type": s.field(FORM["type"]), "text_complete": s.field(FORM["complete"]), "notes": s.body(FORM["notes"])}
-        if m := re.search(r"(.+?)[，,]\s*第\s*(\d+)\s*条[，,]\s*共\s*(\d+)\s*条", s.field(FORM["thread"])):
-            post |= {"thread_id": m[1].strip(), "thread_order": m[2], "thread_total": m[3]}
-        elif thread := s.field(FORM["thread"]):
-            post["thread_id"] = thread
-        post["media"] = [{"name": n.strip(), "kind": kind} for label, kind in MEDIA_LABELS for n in re.split(r"[;；、\n]", s.field(label)) if n.strip()]
+        post |= _thread(s.field(FORM["thread"]))
+        post["media"] = [{"name": n.strip(), "kind": kind} for label, kind in MEDIA_LABELS for n in re.split(MEDIA_SEPARATORS, s.field(label)) if n.strip()]
         if missing := s.field(FORM["missing"]):
             post["missing_media"] = [missing]
         if post["url"] or post["text"] or post["created_at"] or post["media"]:
             posts.append(post)
-    for _, s in sections(r"^#{2,6}\s+来源记录\s+(S\d+)\s*$", "## 五、"):
+    for _, s in _sections(text, SOURCE_HEADING, SOURCES_END):
         if target := s.field(FORM["target"]):
             text_ = s.body(FORM["source_text"][0]) or s.field(FORM["source_text"][1])
             sources.append({"target": target, "url": s.field(FORM["source_url"]), "text": text_, "owner": s.field(FORM["owner"]), "contribution": s.field(FORM["contribution"]), "method": s.field(FORM["method"]), "evidence": s.field(FORM["evidence"])})
@@ -227,7 +263,7 @@ MISSING_LABELS, RANGE_LABEL, POSTS_HEADING = ("已知缺失", "缺失详情"), "
 
 def parse_scope(text: str) -> dict[str, str]:
     """What a form says of the account and the range: account, timezone, complete, total_expected, selection, known_missing, start and end."""
-    head = _Section(text.partition(POSTS_HEADING)[0])
+    head = _Section(text.partition(POSTS_HEADING)[0].split("\n"))
     scope = {name: next((head.fields[k] for k in labels if k in head.fields), "") for name, labels in SCOPE_FORM.items()}
     scope["known_missing"] = "；".join(filter(None, (_told(head.fields.get(k)) for k in MISSING_LABELS)))
     days = next((re.findall(r"\d{4}-\d{2}-\d{2}", v) for k, v in head.fields.items() if k.startswith(RANGE_LABEL)), [])
