@@ -20,7 +20,7 @@ tables; no links or components reach the driver.
 
 ``representatives``, a stage of the pipeline, does not use fingerprints: most texts of
 Jaccard similarity 0.8 differ in more than three bits. It joins the sets of
-5-word shingles exactly, by prefixes.
+5-word shingles exactly, by prefixes in the order of frequency and by position.
 
 Defined results: null and empty texts, and texts of white space, have the
 fingerprint zero and link like any other; texts of one or two words have one
@@ -31,6 +31,7 @@ is there); an empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import random
 from collections.abc import Iterator
 from functools import reduce
 
@@ -269,29 +270,124 @@ def classes(docs: DataFrame) -> DataFrame:
     return found.join(labels, "fp").select("doc_id", "fp", "component_id")
 
 
-def head_size(n):
-    """Of n shingles in any order that all sets share, two sets of similarity 0.8 have one of so many first ones in common."""
-    return n - -(-n * 4 // 5) + 1
+#: Characters and documents packed together, and characters whose shingles meet in one task.
+SLICE_CHARS, SLICE_DOCS, BUCKET_CHARS = 24 << 20, 1 << 16, 8 << 20
+PACKED = "batch long, bucket int, places binary, hs binary, sids binary, sizes binary, keys binary"
 
 
-def shingled(docs: DataFrame, columns: list[str], heads: bool) -> DataFrame:
-    """``columns``, sid (hash of the set, 0 if empty), n and hs: the sorted distinct shingles of ``NEAR_SHINGLE`` words, or the first of them."""
+def shingle_set(text: str | None) -> np.ndarray:
+    """The sorted distinct shingles of ``NEAR_SHINGLE`` words."""
+    return np.unique(shingle_hashes(text, NEAR_SHINGLE))
+
+
+def set_id(shingles: np.ndarray) -> int:
+    """The set's name, a signed hash; 0 for the empty set."""
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes(), SEED)).view(np.int64)) if len(shingles) else 0
+
+
+def packed_sets(keyed: DataFrame, bits: int) -> DataFrame:
+    """``PACKED``: the shingles of some documents by the first ``bits`` bits, and in bucket -1 their sids, sizes and keys.
+
+    Of a shingle's hash the 32 bits after the bucket's travel, next to the document's
+    place in its batch: six bytes in all.
+    """
+
+    def pack(keys: list[int], texts: list) -> Iterator[list]:
+        sets = [shingle_set(t) for t in texts]
+        sizes = np.fromiter(map(len, sets), np.int32, len(sets))
+        batch = random.SystemRandom().getrandbits(62)
+        yield [batch, -1, None, None, np.fromiter(map(set_id, sets), np.int64, len(sets)).tobytes(), sizes.tobytes(), np.array(keys, np.int64).tobytes()]
+        all_ = np.concatenate(sets)
+        place = np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)
+        del sets
+        order = np.argsort(all_, kind="stable")
+        all_, place = all_[order], place[order]
+        bucket = (all_ >> np.uint64(64 - bits)).astype(np.int64)
+        low = (all_ >> np.uint64(32 - bits)).astype(np.uint32)
+        first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
+        for i, j in zip(first, np.r_[first[1:], len(bucket)], strict=True):
+            yield [batch, int(bucket[i]), place[i:j].tobytes(), low[i:j].tobytes(), None, None, None]
+
+    names = [f.split()[0] for f in PACKED.split(", ")]
+    kinds = (pa.int64(), pa.int32(), *[pa.binary()] * 5)
+
+    def rows(found: Iterator[list]) -> Iterator[pa.RecordBatch]:
+        for r in found:
+            yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(r, kinds, strict=True)], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, texts, size = [], [], 0
+        for batch in batches:
+            for k, t in zip(batch.column("key"), batch.column("text"), strict=True):
+                keys.append(k.as_py())
+                texts.append(t.as_py())
+                size += len(texts[-1] or "")
+                if size >= SLICE_CHARS or len(keys) == SLICE_DOCS:
+                    yield from rows(pack(keys, texts))
+                    keys, texts, size = [], [], 0
+        if keys:
+            yield from rows(pack(keys, texts))
+
+    return keyed.select("key", "text").mapInArrow(run, PACKED)
+
+
+def unpacked(packed: DataFrame) -> DataFrame:
+    """batch, place, sid, n and key of every document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sid, n, key = (np.frombuffer(batch.column(c)[i].as_py(), k) for c, k in (("sids", np.int64), ("sizes", np.int32), ("keys", np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sid), batch.column("batch")[i].as_py())), pa.array(np.arange(len(sid), dtype=np.int32)), pa.array(sid), pa.array(n), pa.array(key)], names=["batch", "place", "sid", "n", "key"])
+
+    return packed.where("bucket = -1").select("batch", "sids", "sizes", "keys").mapInArrow(run, "batch long, place int, sid long, n int, key long")
+
+
+def shared_shingles(packed: DataFrame) -> DataFrame:
+    """batch, place, h and df: the shingles that two documents or more have, for each of these."""
+
+    def met(bucket: int, held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        low = np.concatenate([h for _, _, h in held])
+        batch = np.repeat(np.array([b for b, _, _ in held], np.int64), [len(h) for _, _, h in held])
+        place = np.concatenate([p for _, p, _ in held]).astype(np.int32)
+        order = np.argsort(low, kind="stable")
+        low, batch, place = low[order], batch[order], place[order]
+        first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+        df = np.diff(np.r_[first, len(low)])
+        df = np.repeat(df, df)
+        many = np.flatnonzero(df > 1)
+        for at in range(0, len(many), 1 << 18):
+            k = many[at : at + (1 << 18)]
+            yield pa.RecordBatch.from_arrays([pa.array(batch[k]), pa.array(place[k]), pa.array(low[k].astype(np.int64) | np.int64(bucket) << 32), pa.array(df[k].astype(np.int64))], names=["batch", "place", "h", "df"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if (bucket := batch.column("bucket")[i].as_py()) != now:
+                    if held:
+                        yield from met(now, held)
+                    now, held = bucket, []
+                held.append((batch.column("batch")[i].as_py(), np.frombuffer(batch.column("places")[i].as_py(), np.uint16), np.frombuffer(batch.column("hs")[i].as_py(), np.uint32)))
+        if held:
+            yield from met(now, held)
+
+    dealt = packed.where("bucket >= 0").select("batch", "bucket", "places", "hs").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(run, "batch long, place int, h long, df long")
+
+
+def whole_sets(texts: DataFrame) -> DataFrame:
+    """sid, n and hs of each row's ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = [np.unique(shingle_hashes(t.as_py(), NEAR_SHINGLE)).view(np.int64) for t in part.column("text")]
+                sets = [shingle_set(t.as_py()) for t in batch.slice(at, 512).column("text")]
                 n = np.fromiter(map(len, sets), np.int32, len(sets))
-                sid = np.fromiter((xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0 for s in sets), np.uint64, len(sets)).view(np.int64)
-                if heads:
-                    sets = [s[: head_size(len(s))] if len(s) else s for s in sets]
-                ends = np.r_[0, np.cumsum(np.fromiter(map(len, sets), np.int64, len(sets)))].astype(np.int32)
-                hs = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64)))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(sid), pa.array(n), hs], names=[*columns, "sid", "n", "hs"])
+                hs = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array(n), hs], names=["sid", "n", "hs"])
 
-    kept = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in columns)
-    return docs.select(*dict.fromkeys([*columns, "text"])).mapInArrow(run, f"{kept}sid long, n int, hs array<long>")
+    return texts.select("text").mapInArrow(run, "sid long, n int, hs array<long>")
 
 
 def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -301,37 +397,47 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(9 * both >= 4 * (F.col("na") + F.col("nb"))).select("a", "b")
 
 
-def jaccard_links(some: DataFrame) -> DataFrame:
-    """a and b: links between distinct sets (``sid``, ``n``, ``hs``) that join all pairs of similarity 0.8 or more.
+def prefixes(shared: DataFrame, known: DataFrame) -> DataFrame:
+    """sid, n, h and slack: of each set the shingles by which a similar set would be met, if another document has them.
 
-    Two such sets share a shingle in their prefixes, the first n - ceil(0.8 n) + 1
-    shingles in any order common to all sets. The order is by frequency, rarest
-    first, so that shingles of common passages stay out of prefixes. Every candidate
-    is compared in full. The members of a prefix shingle are compared with one of
-    them first, and then across the components found only, so that a dense group
-    is not paired with itself.
+    Two sets of similarity 0.8 share one of their first n - ceil(0.8 n) + 1 shingles
+    in any order common to all. The order is by frequency, rarest first, so that
+    shingles of common passages stay out; those of one document alone come first and
+    are only counted. ``slack`` is n - 9 p, where p shingles stand before h: of two sets
+    that first meet in h, those differ, and at 0.8 at most a ninth of both sizes may
+    differ, so their slacks must not add up to less than zero.
     """
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    rows = some.select("sid", "n", F.explode("hs").alias("h"))
-    often = stage(rows.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "often")
-    ranked = rows.join(often, "h").groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    left = prefix - (F.col("n") - F.size("shared"))  # shingles of one set only come first
-    heads = stage(ranked.where(left > 0).select("sid", "n", F.explode(F.slice("shared", 1, left)).alias("s")).select("sid", "n", F.col("s.h").alias("h")), "heads")
-    unstage(often)
-
-    hubs = heads.groupBy("h").agg(F.min("sid").alias("a"), F.count("*").alias("m")).where("m > 1").select("h", "a")
-    star = heads.join(hubs, "h").where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    first = stage(near(star, some), "star")
+    one = known.where("n > 0").groupBy("sid", "n").agg(F.min(F.struct("batch", "place")).alias("at")).select("sid", "n", "at.*")
+    ranked = shared.join(one, ["batch", "place"]).groupBy("sid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    left = prefix - (F.col("n") - F.size("s"))
+    found = ranked.where(left > 0).select("sid", "n", (F.col("n") - F.size("s")).alias("alone"), F.posexplode(F.slice("s", 1, left)).alias("k", "s"))
+    return found.select("sid", "n", F.col("s.h").alias("h"), (F.col("n") - 9 * (F.col("alone") + F.col("k"))).alias("slack"))
+
+
+def jaccard_links(heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b: links between distinct sets (``sid``, ``n``, ``hs``) that join all pairs of similarity 0.8 or more.
+
+    Sets that meet in ``heads`` with slack enough are compared in full: the members
+    of a shingle with the one of most slack first, and then across the components
+    found only. Sets that share a common passage and little else all come near the
+    one that has least beside it, or have no slack, so a passage of many documents
+    does not pair them with each other.
+    """
+    hubs = heads.groupBy("h").agg(F.max(F.struct("slack", "sid")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
+    able = stage(heads.join(hubs, "h").where("slack + hub.slack >= 0").select("h", "sid", "n", "slack", F.col("hub.sid").alias("a")), "able")
+    star = able.where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
+    first = stage(near(star, sets), "star")
     joined = stage(components(first).select(F.col("node").alias("sid"), "root"), "joined")
-    labelled = stage(heads.join(joined, "sid", "left").select("h", "sid", "n", F.coalesce("root", "sid").alias("root")), "labelled")
-    unstage(heads)
+    labelled = stage(able.join(joined, "sid", "left").select("h", "sid", "n", "slack", F.coalesce("root", "sid").alias("root")), "labelled")
+    unstage(able)
     mixed = labelled.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("h")
-    apart = stage(labelled.join(mixed, "h").groupBy("h", "root").agg(F.collect_list(F.struct("sid", "n")).alias("members")), "apart")
+    apart = stage(labelled.join(mixed, "h").groupBy("h", "root").agg(F.max("slack").alias("most"), F.collect_list(F.struct("sid", "n", "slack")).alias("members")), "apart")
     unstage(labelled)
-    x, y = (apart.select("h", F.col("root").alias(f"r{k}"), F.col("members").alias(f"m{k}")) for k in "ab")
-    across = x.join(y, "h").where("ra < rb").select(F.explode("ma").alias("x"), "mb").select("x", F.explode("mb").alias("y"))
-    sized = across.where("5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n").select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
-    return first.unionByName(near(sized, some))
+    x, y = (apart.select("h", F.col("root").alias(f"r{k}"), F.col("most").alias(f"s{k}"), F.col("members").alias(f"m{k}")) for k in "ab")
+    across = x.join(y, "h").where("ra < rb AND sa + sb >= 0").select(F.explode("ma").alias("x"), "mb").select("x", F.explode("mb").alias("y"))
+    sized = across.where("x.slack + y.slack >= 0 AND 5 * x.n >= 4 * y.n AND 5 * y.n >= 4 * x.n").select(F.least("x.sid", "y.sid").alias("a"), F.greatest("x.sid", "y.sid").alias("b")).distinct()
+    return first.unionByName(near(sized, sets))
 
 
 #: Bytes of keys that may be broadcast; beyond, both sides are shuffled.
@@ -341,25 +447,33 @@ BROADCAST_BYTES = 32 << 20
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id and component_id by exact Jaccard similarity of ``NEAR_SHINGLE``-word shingles, over any chain of links.
 
-    First only the smallest fifth of each set's hashes is kept: sets that share
-    none of these with another set have no link. Whole sets are made, from one text
-    of each, for the others alone.
+    Frequencies of all shingles are counted over packed rows; only shingles that two
+    documents share become rows of their own, and only sets that meet in a prefix are
+    made again, from one text of each, to be compared in full.
     """
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    keyed = docs.select("doc_id", "text", key.alias("key"))
-    found = stage(shingled(keyed, ["doc_id", "key"], heads=True), "near-heads")
-    heads = found.select("sid", "key", F.explode("hs").alias("h"))
-    met = stage(heads.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h"), "met")
-    some = stage(heads.join(met, "h").groupBy("sid").agg(F.min("key").alias("key")).select("key"), "candidates")
-    few = F.broadcast(some) if 16 * some.count() <= BROADCAST_BYTES else some
-    sets = shingled(keyed.select("key", "text").join(few, "key", "left_semi"), ["key"], heads=False).where("n > 0")
-    sets = stage(sets.groupBy("sid").agg(F.first("n").alias("n"), F.first("hs").alias("hs")), "sets")
-    linked = components(stage(jaccard_links(sets), "links"))
-    smallest = found.groupBy("sid").agg(F.min("doc_id").alias("first"))
+    keyed = docs.select("doc_id", "text", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("key"))
+    chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
+    packed = stage(packed_sets(keyed, min(24, max(8, (chars // BUCKET_CHARS).bit_length()))), "packed-sets")
+    known = stage(unpacked(packed), "known-sets")
+    shared = stage(shared_shingles(packed), "shared-shingles")
+    unstage(packed)
+    heads = stage(prefixes(shared, known), "heads")
+    unstage(shared)
+    met = heads.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h")
+    heads = stage(heads.join(met, "h"), "met")
+    keys = known.join(heads.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key")
+    keys = stage(keys, "candidates")
+    few = F.broadcast(keys) if 16 * keys.count() <= BROADCAST_BYTES else keys
+    sets = stage(whole_sets(keyed.join(few, "key", "left_semi").dropDuplicates(["key"])), "sets")
+    linked = components(stage(jaccard_links(heads, sets), "links"))
+    named = known.select("key", "sid").distinct()
+    joined = keyed.select("doc_id", "key").join(named, "key")
+    smallest = joined.groupBy("sid").agg(F.min("doc_id").alias("first"))
     members = stage(smallest.join(linked, smallest["sid"] == linked["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "members")
     roots = members.groupBy("root").agg(F.min("first").alias("component_id"))
-    labels = stage(members.join(roots, "root").select("sid", "component_id"), "labels")
-    return found.select("doc_id", "sid").join(labels, "sid").select("doc_id", "component_id")
+    labels = members.join(roots, "root").select("sid", "component_id")
+    labels = stage(named.join(labels, "sid").select("key", "component_id"), "labels")
+    return keyed.select("doc_id", "key").join(labels, "key").select("doc_id", "component_id")
 
 
 def representatives(docs: DataFrame) -> DataFrame:

@@ -83,3 +83,30 @@ def test_dense_tries_end_soon():
     up = simhash.trie_forest(np.zeros(len(keys), np.int64), np.array(sorted(keys), np.uint64))
     assert time.perf_counter() - began < 8
     assert len(set(up.tolist())) == 1
+
+
+def test_common_passage_with_little_beside_it(spark):
+    """Documents that are mostly one passage, with own words of many lengths: links as by brute force, and few pairs across."""
+    rng = random.Random(12)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [" ".join(passage)]
+    for i in range(150):
+        own = [f"o{rng.randrange(10**9)}" for _ in range(rng.randrange(0, 45))]
+        texts.append(" ".join((own + passage) if i % 2 else (passage + own)))
+    for i in range(0, 20, 2):
+        texts.append(texts[i + 40] + f" z{i}")
+    sets = [_shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in combinations(range(len(texts)), 2):
+        if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+            a, b = sorted((root(i), root(j)))
+            up[b] = a
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(docs).collect()}
+    assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) > 10
