@@ -58,8 +58,8 @@ VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
 
 def plain(line: Column) -> Column:
     """The tokens of a line, variable ones as wildcards, parted by single spaces."""
-    masked = F.when(line.rlike("[0-9@]|://"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
-    single = F.when(masked.rlike(r"[\x09-\x0D]|  "), F.regexp_replace(masked, GAPS, " ")).otherwise(masked)
+    masked = F.when(line.rlike("[0-9@:]"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
+    single = F.when(F.contains(masked, F.lit("  ")) | masked.rlike(r"[\x09-\x0D]"), F.regexp_replace(masked, GAPS, " ")).otherwise(masked)
     return F.trim(single)
 
 
@@ -73,28 +73,48 @@ def parsed(docs: DataFrame, rule: Templates) -> DataFrame:
     body = F.coalesce(F.col("text"), F.lit(""))
     lines = docs.select(F.struct(F.col("doc_id").alias("id"), F.xxhash64(body).alias("hash")).alias("doc"), F.posexplode(F.split(body, "\n", -1)).alias("line_no", "line"))
     flat = lines.select("doc", "line_no", plain(F.col("line")).alias("t")).where("t <> ''")
-    n = F.length("t") - F.length(F.replace("t", F.lit(" "))) + 1
+    n = F.octet_length("t") - F.octet_length(F.replace("t", F.lit(" "))) + 1
     return flat.select("doc", "line_no", n.alias("n"), F.xxhash64(n, F.substring_index("t", " ", rule.lead)).alias("leaf"), _key(F.col("t")).alias("line"))
 
 
-def band_of(place: Column, n: Column, rule: Templates) -> Column:
-    """The band of a place (from 0) behind the lead."""
-    return F.floor((place - rule.lead) * rule.bands / (n - rule.lead)).cast("int")
+def band_start(band: Column, n: Column, rule: Templates) -> Column:
+    """The first place (from 0) of a band, in a line of ``n`` tokens; the band after the last starts at ``n``."""
+    return (F.ceil(band * (n - rule.lead) / rule.bands) + rule.lead).cast("int")
+
+
+def _spots(tokens: Column) -> Column:
+    """Two hashes of each token with its place; what a line keeps is known by their exclusive or."""
+    return F.transform(tokens, lambda t, i: F.struct(F.xxhash64(F.lit(1), t, i).alias("a"), F.xxhash64(F.lit(2), t, i).alias("b")))
+
+
+def _summed(spots: Column) -> Column:
+    start = F.struct(F.lit(0).cast("bigint").alias("a"), F.lit(0).cast("bigint").alias("b"))
+    return F.aggregate(spots, start, lambda acc, s: F.struct(acc["a"].bitwiseXOR(s["a"]).alias("a"), acc["b"].bitwiseXOR(s["b"]).alias("b")))
+
+
+def _stretch(spots: Column, begin: Column, end: Column, n: Column, rule: Templates) -> Column:
+    """The spots of the bands from ``begin`` up to ``end``."""
+    first = band_start(begin, n, rule)
+    return F.slice(spots, first + 1, band_start(end, n, rule) - first)
+
+
+def thirds(tokens: Column, n: Column, rule: Templates) -> Column:
+    """Hashes of three runs of bands: of two lines that share a template, which leaves out two bands, one run is the same."""
+    ends = [rule.bands * i // 3 for i in range(4)]
+    return let(_spots(tokens), lambda spots: F.array(*[_summed(_stretch(spots, F.lit(i), F.lit(j), n, rule)) for i, j in zip(ends, ends[1:], strict=False)]))
 
 
 def templates(tokens: Column, n: Column, rule: Templates) -> Column:
     """Hashes of a line's templates: of every two bands left out whose tokens are a fifth of the line at most.
 
-    The hash of what a template keeps is the exclusive or of the hashes of its tokens
-    with their places, so leaving out a band is one step.
+    Leaving out a band is one step on the hash of the whole line.
     """
     head = F.array_join(F.slice(tokens, 1, rule.lead), " ")
-    spots = F.transform(tokens, lambda t, i: F.struct(F.when(i >= rule.lead, band_of(i, n, rule)).otherwise(-1).alias("band"), F.xxhash64(F.lit(1), t, i).alias("a"), F.xxhash64(F.lit(2), t, i).alias("b")))
+
     def bands(spots: Column) -> Column:
         def one(k: Column) -> Column:
-            mine = F.filter(spots, lambda s: s["band"] == k)
-            total = lambda name: F.aggregate(mine, F.lit(0).cast("bigint"), lambda acc, s: acc.bitwiseXOR(s[name]))
-            return F.struct(F.size(mine).alias("size"), total("a").alias("a"), total("b").alias("b"))
+            mine = _stretch(spots, k, k + 1, n, rule)
+            return let(mine, lambda m: let(_summed(m), lambda t: F.struct(F.size(m).alias("size"), t["a"].alias("a"), t["b"].alias("b"))))
 
         return F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 1)), one)
 
@@ -110,7 +130,7 @@ def templates(tokens: Column, n: Column, rule: Templates) -> Column:
         grid = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(rule.bands - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(rule.bands - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
         return let(all_, lambda whole: F.filter(F.transform(grid, lambda g: without(g["i"], g["j"], whole)), lambda x: x.isNotNull()))
 
-    return let(spots, lambda s: let(bands(s), pairs))
+    return let(_spots(tokens), lambda s: let(bands(s), pairs))
 
 
 def recurring(lines: DataFrame, docs: DataFrame, rule: Templates) -> DataFrame:
@@ -120,12 +140,17 @@ def recurring(lines: DataFrame, docs: DataFrame, rule: Templates) -> DataFrame:
     exact = distinct.where(enough).select("line", "first")
     # leaves in which lines differ; of each line there, the text that its first document holds
     able = distinct.where(F.col("n") >= rule.fields)
-    leaves = able.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("leaf")
-    some = stage(able.join(leaves, "leaf").select("line", "n", "docs", "first", "last"), "varied-lines")
+    leaves = able.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")).where("low < high AND first < last").select("leaf")
+    some = stage(able.join(leaves, "leaf"), "varied-lines")
     where = lines.join(some.select("line", F.col("first").alias("doc")), ["line", "doc"], "left_semi").groupBy("line", "doc").agg(F.min("line_no").alias("line_no")).groupBy("doc").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
     texts = _matched(docs, where, "wanted", rule, "inner").dropDuplicates(["doc"])
     held = texts.select("_lines", F.explode("wanted").alias("w")).select("w.line", F.split(plain(F.get("_lines", F.col("w.line_no"))), " ").alias("t"))
-    known = held.join(some, "line").select("line", "n", "docs", "first", "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
+    held = stage(held.join(some, "line").withColumn("thirds", thirds(F.col("t"), F.col("n"), rule)), "varied-texts")
+    # of the lines of a leaf only those that share a third with another can share a template
+    third = held.select("leaf", "line", F.posexplode("thirds").alias("k", "third"))
+    met = third.groupBy("leaf", "k", "third").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("leaf", "k", "third")
+    near = third.join(met, ["leaf", "k", "third"]).select("line").distinct()
+    known = held.join(near, "line", "left_semi").select("line", "n", "docs", "first", "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
     known = stage(known, "line-templates")
     # a template's documents are two at least if a line's are, or if the first and the last of all differ
     groups = known.groupBy("template").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("members"))

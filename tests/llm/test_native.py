@@ -238,6 +238,8 @@ def test_bands_cover_every_place(spark):
 
     rule = line_dedup.Templates()
     for n in (10, 11, 13, 23, 57, 400):
-        rows = spark.range(rule.lead, n).select(line_dedup.band_of(F.col("id"), F.lit(n), rule).alias("b")).collect()
-        assert [r["b"] for r in rows] == [(p - rule.lead) * rule.bands // (n - rule.lead) for p in range(rule.lead, n)]
-        assert all(0 <= r["b"] < rule.bands for r in rows)
+        rows = spark.range(rule.bands + 1).select(line_dedup.band_start(F.col("id"), F.lit(n), rule).alias("b")).orderBy("id").collect()
+        starts = [r["b"] for r in rows]
+        got = [k for k in range(rule.bands) for _ in range(starts[k], starts[k + 1])]
+        assert starts[0] == rule.lead and starts[-1] == n
+        assert got == [(p - rule.lead) * rule.bands // (n - rule.lead) for p in range(rule.lead, n)]
