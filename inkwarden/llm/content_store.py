@@ -11,12 +11,13 @@ recipe part gives the part's, and the manifest holds these with a root of all.
 Layout under the store's folder, in Parquet: ``chunks`` (digest, payload),
 ``recipes`` (doc_id, row, part, start_in_part, n_tokens, digests, after, root; ``after`` counts
 the document's ids behind each chunk)
-and ``manifest`` (part, docs, ids, start, root). Payloads are little-endian, of
+``manifest`` (part, docs, ids, start, root) and ``root`` (docs, ids, root). Payloads are little-endian, of
 two bytes an id where the vocabulary allows and else of four.
 
 Writing moves each chunk once; reading checks each stored chunk against its
-digest and takes its CRC there, and a document's CRC is combined from those, so
-that no payload is moved to be checked.
+digest and takes its CRC there; a document's root is made again from the digests of
+the chunks read, its CRC is combined from theirs, and the roots of parts and of all
+are made again from those below, so that no payload is moved to be checked.
 
 Defined results: a null or empty text is its end id alone; rows that repeat a
 doc_id are rows of their own, in an order that the store keeps; null ids come
@@ -42,7 +43,7 @@ from pyspark.sql.window import Window
 
 from inkwarden.llm.bpe import SLICE_BYTES, Chunked, byte_characters, vocabulary_path
 from inkwarden.llm.text import read
-from inkwarden.session import fresh_path, stage
+from inkwarden.session import fresh_path, stage, unstage
 
 END_ID = 0
 #: Ids: least and most of a chunk, and the mean length beyond the least as a power of two.
@@ -105,12 +106,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if resize := getattr(self.tokenizer.model, "_resize_cache", None):
+            resize(0)  # no chunk is asked for twice
         special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         n = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         space = next(c for c, b in byte_characters().items() if b == 32)
         self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
-        self.chunked = Chunked(self._chunks, self._each, special, lambda ids: (ids,), MEMO)
+        self.chunked = Chunked(self._chunks, self._each, special, limit=MEMO)
 
     def _each(self, texts: list[str]) -> Iterator[bytes]:
         for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
@@ -210,15 +213,28 @@ def _part_roots(recipes: DataFrame) -> DataFrame:
     return recipes.select("part", "start_in_part", "n_tokens", "root").groupBy("part").applyInPandas(root, "part int, docs long, ids long, root binary")
 
 
+def _whole_root(parts: DataFrame) -> DataFrame:
+    """docs, ids and the Merkle root over the roots of all parts, in order: one row a part meets here."""
+
+    def root(group):
+        group = group.sort_values("part", kind="stable")
+        return group.iloc[:1][[]].assign(docs=int(group.docs.sum()), ids=int(group.ids.sum()), root=merkle(group.root.tolist()))
+
+    return parts.select("part", "docs", "ids", "root").groupBy().applyInPandas(root, "docs long, ids long, root binary")
+
+
 def write_store(docs: DataFrame, path: str, vocabulary: str | None = None, end_id: int = END_ID) -> None:
     """Encode ``docs`` (doc_id, text) and write a store to ``path``, a folder that the cluster shares."""
+    spark = docs.sparkSession
     found = stage(pieces(docs, vocabulary or vocabulary_path(), end_id), "pieces")
     chunks = found.select(F.explode(F.arrays_zip("digests", "payloads")).alias("c")).select(F.col("c.digests").alias("digest"), F.col("c.payloads").alias("payload")).where("payload IS NOT NULL")
     chunks.dropDuplicates(["digest"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
     _running(found.drop("payloads")).write.option("compression", "zstd").parquet(f"{path}/recipes")
-    roots = _part_roots(docs.sparkSession.read.parquet(f"{path}/recipes"))
+    unstage(found)
+    roots = _part_roots(spark.read.parquet(f"{path}/recipes"))
     starts = F.sum("ids").over(Window.orderBy("part")) - F.col("ids")  # one row per part
     roots.withColumn("start", starts).write.parquet(f"{path}/manifest")
+    _whole_root(spark.read.parquet(f"{path}/manifest")).write.parquet(f"{path}/root")
 
 
 def shift_tables(levels: int = 40) -> np.ndarray:
@@ -273,33 +289,50 @@ def stored_chunks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
 
 def read_back(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone."""
+    """doc_id, start, n_tokens and ids_crc32 of every document, from the files alone.
+
+    Stored chunks are checked against their digests, and each document's root is
+    made again from the digests of the chunks that were read.
+    """
     verify_manifest(spark, path)
     recipes = spark.read.parquet(f"{path}/recipes")
     parts = spark.read.parquet(f"{path}/manifest").select("part", F.col("start").alias("part_start"))
-    lines = recipes.select("row", "doc_id", "part", "start_in_part", F.explode(F.arrays_zip("digests", "after")).alias("c"))
-    lines = lines.select("row", "doc_id", "part", "start_in_part", F.col("c.digests").alias("digest"), (4 * F.col("c.after")).alias("after"))
+    whole = ["row", "doc_id", "part", "start_in_part", "root"]
+    lines = recipes.select(*whole, F.posexplode(F.arrays_zip("digests", "after")).alias("seq", "c"))
+    lines = lines.select(*whole, "seq", F.col("c.digests").alias("digest"), (4 * F.col("c.after")).alias("after"))
     met = lines.join(stored_chunks(spark, path, width), "digest", "left")
+    listed = met.groupBy(*whole).agg(F.array_sort(F.collect_list(F.struct("seq", "digest", F.coalesce("n", F.lit(-1)).alias("n"), F.coalesce("crc", F.lit(0)).alias("crc"), "after"))).alias("c"))
     tables = shift_tables()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.column("crc").null_count:
+            c = batch.column("c")
+            rows, ends = c.flatten(), np.cumsum([0, *(len(x) for x in c)])
+            n = rows.field("n").to_numpy()
+            if (n < 0).any():
                 raise ValueError("a recipe names a chunk that the store lacks")
-            share = shifted(batch.column("crc").to_numpy(), batch.column("after").to_numpy(), tables)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("row", "doc_id", "part", "start_in_part", "n")), pa.array(share.astype(np.int64))], names=["row", "doc_id", "part", "start_in_part", "n", "share"])
+            digests = rows.field("digest").to_pylist()
+            for root, i, j in zip(batch.column("root"), ends, ends[1:], strict=False):
+                if merkle(digests[i:j]) != root.as_py():
+                    raise ValueError("a document does not match its root")
+            share = shifted(rows.field("crc").to_numpy(), rows.field("after").to_numpy(), tables)
+            first = ends[:-1]
+            tokens, crc = (op.reduceat(v, first) if len(v) else v for op, v in ((np.add, n), (np.bitwise_xor, share)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "part", "start_in_part")), pa.array(tokens), pa.array(crc.astype(np.int64))], names=["doc_id", "part", "start_in_part", "n_tokens", "ids_crc32"])
 
     kind = recipes.schema["doc_id"].dataType.simpleString()
-    shares = met.select("row", "doc_id", "part", "start_in_part", "n", "crc", "after").mapInArrow(run, f"row long, doc_id {kind}, part int, start_in_part long, n long, share long")
-    docs = shares.groupBy("row", "doc_id", "part", "start_in_part").agg(F.sum("n").alias("n_tokens"), F.bit_xor("share").alias("ids_crc32"))
+    docs = listed.select("doc_id", "part", "start_in_part", "root", "c").mapInArrow(run, f"doc_id {kind}, part int, start_in_part long, n_tokens long, ids_crc32 long")
     return docs.join(parts, "part").select("doc_id", (F.col("part_start") + F.col("start_in_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def verify_manifest(spark: SparkSession, path: str) -> None:
-    """Recompute every part's root from the recipes' roots."""
+    """Make every part's root again from the recipes' roots, and the root of all from the parts'."""
     found = _part_roots(spark.read.parquet(f"{path}/recipes"))
-    named = spark.read.parquet(f"{path}/manifest").select("part", F.col("docs").alias("d"), F.col("root").alias("r"))
-    if not found.join(named, "part", "full").where("NOT (docs <=> d AND root <=> r)").isEmpty():
+    manifest = spark.read.parquet(f"{path}/manifest")
+    named = manifest.select("part", F.col("docs").alias("d"), F.col("root").alias("r"))
+    wrong = found.join(named, "part", "full").where("NOT (docs <=> d AND root <=> r)").select("part")
+    top = _whole_root(manifest).alias("a").join(spark.read.parquet(f"{path}/root").alias("b"), F.lit(True), "full").where("NOT (a.docs <=> b.docs AND a.ids <=> b.ids AND a.root <=> b.root)").select(F.lit(-1).alias("part"))
+    if not wrong.unionByName(top).isEmpty():
         raise ValueError("the recipes do not match the manifest")
 
 
