@@ -51,7 +51,7 @@ from inkwarden.session import fresh_path, stage
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LEXICON_WORDS, WORD_BYTES, COUNTERS = 65_536, 48, 65_536
 #: Characters of text looked up together, and entries of a memo before it starts anew.
-SLICE_BYTES, MEMO = 4 << 20, 200_000
+SLICE_BYTES, MEMO = 4 << 20, 400_000
 #: Bytes of a word from which on it is merged by a heap.
 LONG_WORD = 96
 #: Rows whose results are held together, and words that are merged in lockstep.
@@ -249,9 +249,12 @@ class Bpe:
         Libraries disagree on code points that younger versions of Unicode
         assign, so texts with any go to the tokenizer library's own splitter.
         """
-        if (text[1:] if text[:1] == " " else text).isalpha():  # letters alone, behind a space or not
+        plain = text[1:] if text[:1] == " " else text
+        if plain.isalpha():  # letters alone, behind a space or not
             return [text]
-        if text.isascii() or not any(unicodedata.category(c) == "Cn" for c in text):
+        if plain[-1:] in (".", ",", ";", ":", "!", "?") and plain[:-1].isalpha():
+            return [text[:-1], plain[-1]]
+        if text.isascii() or text.isprintable() or not any(unicodedata.category(c) == "Cn" for c in text):
             return self.pattern.findall(text)
         if self.library is None:
             from tokenizers.pre_tokenizers import ByteLevel
