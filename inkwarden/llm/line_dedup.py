@@ -58,9 +58,9 @@ VARIABLE = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
 
 def plain(line: Column) -> Column:
     """The tokens of a line, variable ones as wildcards, parted by single spaces."""
-    masked = F.when(line.rlike("[0-9@:]"), F.regexp_replace(line, VARIABLE, WILDCARD)).otherwise(line)
-    single = F.when(F.contains(masked, F.lit("  ")) | masked.rlike(r"[\x09-\x0D]"), F.regexp_replace(masked, GAPS, " ")).otherwise(masked)
-    return F.trim(single)
+    # most lines have neither a variable token nor a gap of more than one space: one search tells
+    masked = F.when(line.rlike(r"[0-9@:\x09-\x0D]"), F.regexp_replace(F.regexp_replace(line, VARIABLE, WILDCARD), GAPS, " "))
+    return F.trim(masked.when(F.contains(line, F.lit("  ")), F.regexp_replace(line, GAPS, " ")).otherwise(line))
 
 
 def _key(*values: Column) -> Column:
@@ -98,12 +98,6 @@ def _stretch(spots: Column, begin: Column, end: Column, n: Column, rule: Templat
     return F.slice(spots, first + 1, band_start(end, n, rule) - first)
 
 
-def thirds(tokens: Column, n: Column, rule: Templates) -> Column:
-    """Hashes of three runs of bands: of two lines that share a template, which leaves out two bands, one run is the same."""
-    ends = [rule.bands * i // 3 for i in range(4)]
-    return let(_spots(tokens), lambda spots: F.array(*[_summed(_stretch(spots, F.lit(i), F.lit(j), n, rule)) for i, j in zip(ends, ends[1:], strict=False)]))
-
-
 def templates(tokens: Column, n: Column, rule: Templates) -> Column:
     """Hashes of a line's templates: of every two bands left out whose tokens are a fifth of the line at most.
 
@@ -145,12 +139,7 @@ def recurring(lines: DataFrame, docs: DataFrame, rule: Templates) -> DataFrame:
     where = lines.join(some.select("line", F.col("first").alias("doc")), ["line", "doc"], "left_semi").groupBy("line", "doc").agg(F.min("line_no").alias("line_no")).groupBy("doc").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
     texts = _matched(docs, where, "wanted", rule, "inner").dropDuplicates(["doc"])
     held = texts.select("_lines", F.explode("wanted").alias("w")).select("w.line", F.split(plain(F.get("_lines", F.col("w.line_no"))), " ").alias("t"))
-    held = stage(held.join(some, "line").withColumn("thirds", thirds(F.col("t"), F.col("n"), rule)), "varied-texts")
-    # of the lines of a leaf only those that share a third with another can share a template
-    third = held.select("leaf", "line", F.posexplode("thirds").alias("k", "third"))
-    met = third.groupBy("leaf", "k", "third").agg(F.min("line").alias("low"), F.max("line").alias("high")).where("low < high").select("leaf", "k", "third")
-    near = third.join(met, ["leaf", "k", "third"]).select("line").distinct()
-    known = held.join(near, "line", "left_semi").select("line", "n", "docs", "first", "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
+    known = held.join(some, "line").select("line", "n", "docs", "first", "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
     known = stage(known, "line-templates")
     # a template's documents are two at least if a line's are, or if the first and the last of all differ
     groups = known.groupBy("template").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("members"))
