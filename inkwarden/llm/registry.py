@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import bpe, content_store, html_text, line_dedup, media, mixing, pitman_yor, quality_rules, simhash, url_filters
+from inkwarden.llm import bpe, content_store, html_text, line_dedup, media, mixing, pitman_yor, quality_rules, sharding, simhash, url_filters, whitening
 
 QUERIES = {
     "op7_pitman_yor": pitman_yor.op7_pitman_yor,
@@ -15,6 +15,8 @@ QUERIES = {
     "op2_mixing": mixing.op2_mixing,
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
+    "op11_whitening": whitening.op11_whitening,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
