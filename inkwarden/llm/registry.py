@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkwarden.llm import bpe, content_store, html_text, line_dedup, media, mixing, pitman_yor, quality_rules, sharding, simhash, url_filters, whitening
+from inkwarden.llm import bpe, content_store, html_text, line_dedup, manifest, media, mixing, pitman_yor, quality_rules, sharding, simhash, url_filters, whitening
 
 QUERIES = {
     "op7_pitman_yor": pitman_yor.op7_pitman_yor,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8_quality_rules,
     "op10_url_filters": url_filters.op10_url_filters,
     "op11_whitening": whitening.op11_whitening,
+    "op12_manifest": manifest.op12_manifest,
     "op13_sharding": sharding.op13_sharding,
 }
 
