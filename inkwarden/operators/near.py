@@ -1,51 +1,141 @@
 """Near-duplicate texts and source containment over character grams.
 
-Both joins are equi-joins on gram hashes with prefix filtering: grams are
-ordered from rare to frequent, and a pair that is similar enough must share a
-gram among the first few of each. Nothing is broadcast, and no budget cuts the
-result.
+Pairs of a high Jaccard similarity come from an equi-join on signatures: texts of
+near sizes cut their gram sets into the same number of pieces, one more than grams
+may differ, so that a similar pair agrees in a whole piece. Pieces hold some grams
+each, and unlike texts seldom agree in one. The matching ratio, which allows far
+smaller similarities, is asked of short texts alone: blocks of them, of lengths that
+the rule allows, meet in one task each, where bounds of the similarity and of the
+ratio leave few pairs to compare. No budget cuts any result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from inkwarden.functions.text import COMPARABLE, NEAR, clean, gram_hashes, matching_ratio
+from inkwarden.functions.text import COMPARABLE, NEAR, clean, code_points, gram_codes, matching_blocks
 from inkwarden.session import stage
 
 SIMILAR, CANDIDATE, LENGTH_RATIO, RATIO_LENGTH = 0.84, 0.4, 0.7, 2500
 WHOLE, PARTIAL = 0.88, 0.5
+#: Texts of a block that is compared with others, and bits of a text's map of grams.
+BLOCK, BITS = 2048, 8192
+#: Grams of the posts, repeats counted, up to which they are sent to the sources; beyond, both are shuffled.
+SENT_GRAMS = 1 << 21
 
 
 def distinct_texts(posts: DataFrame, least: int = NEAR) -> DataFrame:
-    """The first post of each clean text that is no repost: id, ord, clean, and how many share it."""
-    rows = posts.where(F.col("type") != "repost").withColumn("clean", clean(F.col("text"))).where(F.length("clean") >= least)
-    return rows.groupBy("clean").agg(F.min_by("id", "ord").alias("id"), F.min("ord").alias("ord"), F.count("*").alias("copies"))
+    """The first post of each clean text that is no repost: id, ord and clean."""
+    cleaned = posts if "clean" in posts.columns else posts.withColumn("clean", clean(F.col("text")))
+    rows = stage(cleaned.where((F.col("type") != "repost") & (F.length("clean") >= least)).select("id", "ord", "clean"), "near-posts")
+    # texts are told apart by two hashes, and move once
+    firsts = rows.groupBy(F.xxhash64("clean").alias("a"), F.xxhash64(F.lit(1), "clean").alias("b")).agg(F.min("ord").alias("ord"))
+    return rows.join(firsts.select("ord"), "ord", "left_semi")
 
 
-def prefixes(texts: DataFrame, threshold: float) -> DataFrame:
-    """id, n, len and slack of each text with every gram of its prefix for a Jaccard ``threshold``.
+def parity_map(grams: np.ndarray) -> np.ndarray:
+    """``BITS`` bits, each whether an odd number of the grams falls on it: two maps differ in no more bits than their grams do."""
+    odd = np.bincount((_mixed(grams) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def gram_set(text: str) -> np.ndarray:
+    return np.unique(gram_codes(code_points(text)))
+
+
+def with_grams(texts: DataFrame, parity: bool = False) -> DataFrame:
+    """``texts`` (with clean) and grams, the codes of their distinct grams; with ``parity`` also the bits of ``parity_map``."""
+    added = T.StructType.fromDDL("grams array<bigint>" + (", bits array<bigint>" if parity else ""))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 256):
+                batch = whole.slice(begin, 256)
+                sets = [gram_set(x) if x else np.zeros(0, np.uint64) for x in batch.column("clean").to_pylist()]
+                columns = [_lists(sets), *([_lists([parity_map(x) for x in sets])] if parity else [])]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *added.names])
+
+    return texts.mapInArrow(run, T.StructType([*texts.schema.fields, *added.fields]))
 
-    A text with n grams needs its n - ceil(threshold * n) + 1 rarest. ``slack`` is what
-    may still differ at that gram: two texts that first meet in it differ in all
-    before it, and their slacks must not add up to less than zero.
-    """
-    grams = texts.select("id", F.size("grams").alias("n"), "len", F.explode("grams").alias("gram"))
-    frequency = grams.groupBy("gram").agg(F.count("*").alias("df"))
-    # a gram of one text joins nothing, and leaves more room: it still counts in the prefix
-    rank = F.row_number().over(Window.partitionBy("id").orderBy("df", "gram"))
-    keep = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
-    slack = F.col("n") * ((1 - threshold) / (1 + threshold)) - F.col("rank") + 1
-    return grams.join(frequency, "gram").withColumn("rank", rank).where(F.col("rank") <= keep).where("df > 1").select("id", "n", "len", "gram", slack.alias("slack"))
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays).view(np.int64)))
 
 
 def _grammed(posts: DataFrame) -> DataFrame:
-    """id, ord, len, clean and grams of each distinct text, written once for all that compare them."""
-    return stage(distinct_texts(posts).select("id", "ord", F.length("clean").alias("len"), "clean", gram_hashes(F.col("clean")).alias("grams")), "near-texts")
+    """id, ord, len, clean, grams and bits of each distinct text, written once for all that compare them."""
+    return stage(with_grams(distinct_texts(posts).withColumn("len", F.length("clean")), parity=True), "near-texts")
+
+
+# ---------------------------------------------------------------- Jaccard similarity by pieces
+
+
+def _ratio(threshold: float) -> float:
+    """The ratio of sizes of neighbouring bands: two steps, and a little more, are the threshold."""
+    return threshold**0.499
+
+
+def pieces(low: int, high: int, threshold: float) -> int:
+    """Into how many pieces the texts of two bands of sizes are cut: one more than grams of a similar pair may differ."""
+    most = lambda band: _ratio(threshold) ** -(band + 1)
+    return int((1 - threshold) / (1 + threshold) * (most(low) + min(most(high), most(low) / threshold)) + 1e-6) + 1
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit values with every bit depending on all."""
+    x = x * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def signatures(grams: np.ndarray, threshold: float) -> np.ndarray:
+    """One key a piece, for each pair of size bands that the text may meet another in."""
+    values = _mixed(grams.astype(np.int64).view(np.uint64))
+    places, content = values >> np.uint64(32), _mixed(values + np.uint64(1))
+    band, out = math.floor(math.log(len(grams)) / -math.log(_ratio(threshold))), []
+    for low, high in [(band, band + k) for k in range(3)] + [(band - k, band) for k in (1, 2)]:
+        if low < 0:
+            continue
+        n = pieces(low, high, threshold)
+        held = np.zeros(n, dtype=np.uint64)
+        np.add.at(held, (places % np.uint64(n)).astype(np.int64), content)
+        out.append(_mixed(held ^ _mixed(np.arange(n, dtype=np.uint64) * np.uint64(65_536) + np.uint64(low * 4 + high - low))))
+    return np.concatenate(out).view(np.int64)
+
+
+def _signed(threshold: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("grams")
+            ends, grams = np.cumsum(np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+            for begin in range(0, batch.num_rows, 64):
+                rows = range(begin, min(begin + 64, batch.num_rows))
+                keys = [signatures(grams[(ends[k - 1] if k else 0) : ends[k]], threshold) for k in rows]
+                each = np.repeat(np.arange(begin, begin + len(keys)), [len(x) for x in keys])
+                part = batch.select(["ord", "n", "len"]).take(pa.array(each))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), *part.columns], names=["key", "ord", "n", "len"])
+
+    return run
+
+
+def candidate_pairs(base: DataFrame, threshold: float, length_ratio: float = 0.0) -> DataFrame:
+    """later and earlier (ord) of the pairs of ``base`` (ord, len, grams) that agree in a piece."""
+    sized = base.select("ord", F.size("grams").alias("n"), "len", "grams")
+    keyed = stage(sized.mapInArrow(_signed(threshold), f"key long, ord {base.schema['ord'].dataType.simpleString()}, n int, len int"), "near-signatures")
+    a, b = keyed.alias("a"), keyed.alias("b")
+    close = (F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9) & (F.least("a.len", "b.len") >= length_ratio * F.greatest("a.len", "b.len"))
+    return a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.ord") > F.col("b.ord")) & close).select(F.col("a.ord").alias("later"), F.col("b.ord").alias("earlier")).distinct()
 
 
 def near_pairs(posts: DataFrame, threshold: float = SIMILAR, length_ratio: float = 0.0) -> DataFrame:
@@ -58,45 +148,163 @@ def near_pairs(posts: DataFrame, threshold: float = SIMILAR, length_ratio: float
 
 
 def _pairs(base: DataFrame, threshold: float, length_ratio: float = 0.0) -> DataFrame:
-    # sizes of similar texts are within the threshold of each other: they fall in one band of sizes or in neighbours
-    band = F.floor(F.log("n") / -math.log(threshold)).cast("int")
-    first = stage(prefixes(base.select(F.col("ord").alias("id"), "len", "grams"), threshold).withColumn("band", band), "near-prefixes")
-    a, b = first.withColumn("beside", F.explode(F.array(F.col("band") - 1, "band", F.col("band") + 1))).alias("a"), first.alias("b")
-    least, most = F.least("a.n", "b.n"), F.greatest("a.n", "b.n")
-    close = (least >= threshold * most - 1e-9) & (F.col("a.slack") + F.col("b.slack") >= -1e-6) & (F.least("a.len", "b.len") >= length_ratio * F.greatest("a.len", "b.len"))
-    pairs = a.join(b, (F.col("a.gram") == F.col("b.gram")) & (F.col("a.beside") == F.col("b.band")) & (F.col("a.id") > F.col("b.id")) & close).select(F.col("a.id").alias("later"), F.col("b.id").alias("earlier")).distinct()
-    sides = base.select("ord", "id", "grams")
+    pairs = candidate_pairs(base, threshold, length_ratio)
+    maps = base.select("ord", F.size("grams").alias("n"), "bits")
+    known = pairs.join(maps.toDF("later", "n", "bits"), "later").join(maps.toDF("earlier", "m", "other_bits"), "earlier")
+    differ = F.aggregate(F.zip_with("bits", "other_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    pairs = stage(known.where(differ <= (1 - threshold) / (1 + threshold) * (F.col("n") + F.col("m")) + 1e-6).select("later", "earlier"), "near-candidates")
+    asked = pairs.select(F.explode(F.array("later", "earlier")).alias("ord")).distinct()
+    sides = base.select("ord", "id", "grams").join(asked, "ord", "left_semi")
     met = pairs.join(sides.select(F.col("ord").alias("later"), "id", F.col("grams").alias("x")), "later").join(sides.select(F.col("ord").alias("earlier"), F.col("id").alias("other"), F.col("grams").alias("y")), "earlier")
     shared = F.size(F.array_intersect("x", "y"))
     scored = met.withColumn("shared", shared).withColumn("similarity", F.col("shared") / (F.size("x") + F.size("y") - F.col("shared")))
-    return scored.where(F.col("similarity") >= threshold).select("id", "other", "similarity", F.col("later").alias("ord"), F.col("earlier").alias("other_ord"))
+    return scored.where(F.col("similarity") >= threshold).select("id", "other", "similarity")
+
+
+# ---------------------------------------------------------------- matching ratio by blocks
+
+
+def blocked(texts: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``texts`` (len and others), each once for every pair of blocks that it stands in: task, first and second.
+
+    Lengths fall in bands, of which only a text's own and the next can be within
+    ``LENGTH_RATIO``; a band has as many blocks as its texts fill.
+    """
+    band = F.floor(F.log(F.col("len").cast("double")) / (-math.log(LENGTH_RATIO) * (1 + 1e-9))).cast("int")
+    rows = texts.withColumn("band", band)
+    counts = rows.groupBy("band").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    beside = lambda step, name: counts.select((F.col("band") + step).alias("band"), F.col("blocks").alias(name))
+    sizes = counts.join(beside(-1, "above"), "band", "left").join(beside(1, "below"), "band", "left")
+    dealt = rows.join(F.broadcast(sizes), "band").withColumn("block", F.pmod(F.xxhash64("ord"), F.col("blocks")).cast("int"))  # bands: some ten a power of 40 in lengths
+    every = lambda n, task: F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), task)).otherwise(F.array().cast("array<struct<task:struct<a:int,b:int,c:int,d:int>,first:boolean,second:boolean>>"))
+
+    def task(a: Column, b: Column, c: Column, d: Column, first: Column, second: Column) -> Column:
+        return F.struct(F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")).alias("task"), first.alias("first"), second.alias("second"))
+
+    mine, own, yes, no = F.col("band"), F.col("block"), F.lit(True), F.lit(False)
+    within = every(F.col("blocks"), lambda q: task(mine, F.least(own, q), mine, F.greatest(own, q), own <= q, own >= q))
+    upward = every(F.coalesce("above", F.lit(0)), lambda q: task(mine, own, mine + 1, q, yes, no))
+    downward = every(F.coalesce("below", F.lit(0)), lambda q: task(mine - 1, q, mine, own, no, yes))
+    return dealt.withColumn("at", F.explode(F.concat(within, upward, downward))).select("at.task", "at.first", "at.second", *texts.columns)
+
+
+def _maps(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """The distinct gram codes of each text, their parity maps, and counts of characters by their code's last six bits."""
+    sets = [gram_set(t) for t in texts]
+    counts = [np.bincount((code_points(t) & np.uint64(63)).astype(np.int64), minlength=64) for t in texts]
+    return sets, np.array([parity_map(x) for x in sets], dtype=np.uint64).reshape(len(texts), BITS // 64), np.array(counts, dtype=np.int32).reshape(len(texts), 64)
+
+
+def _reachable(k: int, some: slice, lengths: np.ndarray, sizes: np.ndarray, bits: tuple, counts: tuple) -> np.ndarray:
+    """Which of ``some`` texts may reach both similarities with text ``k``.
+
+    Where two maps differ, grams do; no matching block takes more of a character
+    than both texts have.
+    """
+    differ = np.bitwise_count(bits[1][some] ^ bits[0][k]).sum(axis=1, dtype=np.int64)
+    able = differ <= (1 - CANDIDATE) / (1 + CANDIDATE) * (sizes[0][k] + sizes[1][some]) + 1e-6
+    able &= np.minimum(lengths[0][k], lengths[1][some]) >= LENGTH_RATIO * np.maximum(lengths[0][k], lengths[1][some])
+    found = np.flatnonzero(able)
+    shared = np.minimum(counts[1][some][found], counts[0][k]).sum(axis=1)
+    return found[2 * shared >= SIMILAR * (lengths[0][k] + lengths[1][some][found]) - 1e-6]
+
+
+def _compared(rows: pa.Table) -> pa.Table:
+    """later, earlier and similarity of the pairs of a task's first and second block."""
+    sides = [rows.filter(rows.column(name)).sort_by("len") for name in ("first", "second")]
+    texts = [s.column("clean").to_pylist() for s in sides]
+    maps = [_maps(t) for t in texts]
+    sets, bits, counts = zip(*maps, strict=True)
+    lengths = [np.array([len(x) for x in t], dtype=np.int64) for t in texts]
+    sizes = [np.array([len(x) for x in s], dtype=np.int64) for s in sets]
+    orders, out = [s.column("ord").to_pylist() for s in sides], []
+    lows = np.searchsorted(lengths[1], LENGTH_RATIO * lengths[0] - 1e-6)
+    highs = np.searchsorted(lengths[1], lengths[0] / LENGTH_RATIO + 1e-6, side="right")
+    both = set(orders[0]) == set(orders[1])
+    for k, (low, high) in enumerate(zip(lows.tolist(), highs.tolist(), strict=True)):
+        for j in (_reachable(k, slice(low, high), lengths, sizes, bits, counts) + low).tolist() if high > low else ():
+            a, b = orders[0][k], orders[1][j]
+            if a == b or (both and a < b):  # a block with itself: each pair once
+                continue
+            shared = len(np.intersect1d(sets[0][k], sets[1][j], assume_unique=True))
+            jaccard = shared / (len(sets[0][k]) + len(sets[1][j]) - shared)
+            left, right = (texts[0][k], texts[1][j]) if a > b else (texts[1][j], texts[0][k])
+            if jaccard >= CANDIDATE and (ratio := 2 * sum(n for _, _, n in matching_blocks(left, right)) / (len(left) + len(right))) >= SIMILAR:
+                out.append((max(a, b), min(a, b), max(jaccard, ratio)))
+    columns = list(zip(*out, strict=True)) or [[], [], []]
+    return pa.table({"later": pa.array(columns[0], pa.int64()), "earlier": pa.array(columns[1], pa.int64()), "similarity": pa.array(columns[2], pa.float64())})
+
+
+def ratio_pairs(base: DataFrame, block: int = BLOCK) -> DataFrame:
+    """id, other and similarity of the texts of ``base`` that are short and near enough for the ratio, and reach it."""
+    short = base.where(F.col("len") <= RATIO_LENGTH).select(F.col("ord").cast("long").alias("ord"), "len", "clean")
+    found = stage(blocked(short, block).groupBy("task").applyInArrow(lambda rows: _compared(rows), "later long, earlier long, similarity double"), "near-ratios")
+    names = base.select(F.col("ord").cast("long").alias("ord"), "id")
+    return found.join(names.select(F.col("ord").alias("later"), "id"), "later").join(names.select(F.col("ord").alias("earlier"), F.col("id").alias("other")), "earlier").select("id", "other", "similarity")
 
 
 def near_duplicates(posts: DataFrame) -> DataFrame:
     """The near-duplicate rule: Jaccard, or the matching ratio of short texts that are similar enough to ask.
 
-    id, other and similarity, the larger of the two, from ``SIMILAR`` on. The ratio is
-    asked only of pairs whose lengths allow it, and only those carry their texts.
+    id, other and similarity, the larger of the two, from ``SIMILAR`` on.
     """
     base = _grammed(posts)
-    lengths = base.select("id", "len")
-    asked = _pairs(base, CANDIDATE).select("id", "other", "similarity").join(lengths, "id").join(lengths.select(F.col("id").alias("other"), F.col("len").alias("other_len")), "other")
-    able = (F.least("len", "other_len") >= LENGTH_RATIO * F.greatest("len", "other_len")) & (F.greatest("len", "other_len") <= RATIO_LENGTH)
-    asked = stage(asked.select("id", "other", "similarity", able.alias("able")), "near-candidates")
-    texts = base.select("id", "clean")
-    short = asked.where("able").join(texts, "id").join(texts.select(F.col("id").alias("other"), F.col("clean").alias("other_clean")), "other")
-    best = short.select("id", "other", F.greatest("similarity", matching_ratio("clean", "other_clean")).alias("similarity"))
-    return best.unionByName(asked.where("NOT able").select("id", "other", "similarity")).where(F.col("similarity") >= SIMILAR)
+    return _pairs(base, SIMILAR).unionByName(ratio_pairs(base)).groupBy("id", "other").agg(F.max("similarity").alias("similarity"))
+
+
+# ---------------------------------------------------------------- containment
 
 
-def contained(posts: DataFrame, sources: DataFrame) -> DataFrame:
+def contained(posts: DataFrame, sources: DataFrame, sent: int = SENT_GRAMS) -> DataFrame:
     """Posts (id, text) in sources (source_id, text): the share of a post's grams, from ``PARTIAL`` on.
 
-    A post's rarest grams are few enough for one of them to be in any source
-    that has half of its grams.
+    Posts of up to ``sent`` grams go to the sources, which are read once and stay
+    where they are. More posts meet the sources by their rarest grams.
     """
-    side = lambda df, key: df.select(key, clean(F.col("text")).alias("clean")).where(F.length("clean") >= COMPARABLE).withColumn("grams", gram_hashes(F.col("clean"))).drop("clean")
-    left, right = stage(side(posts, "id"), "contained-posts"), stage(side(sources, "source_id"), "contained-sources")
+    side = lambda df, key: with_grams(df.select(key, clean(F.col("text")).alias("clean")).where(F.length("clean") >= COMPARABLE)).drop("clean")
+    left = stage(side(posts, "id"), "contained-posts")
+    if (left.agg(F.sum(F.size("grams"))).first()[0] or 0) <= sent:
+        return _counted_in_place(left, side(sources, "source_id"))
+    return _by_rare_grams(left, stage(side(sources, "source_id"), "contained-sources"))
+
+
+def _counted_in_place(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Counts, source by source, how many grams of each post it has."""
+    rows = left.select(F.monotonically_increasing_id().alias("at"), "id", "grams").orderBy("at").collect()  # within the bound on grams
+    schema = f"id {left.schema['id'].dataType.simpleString()}, source_id {right.schema['source_id'].dataType.simpleString()}, overlap double"
+    ids = pa.array([r["id"] for r in rows], to_arrow_type(left.schema["id"].dataType))
+    n = np.array([len(r["grams"]) for r in rows], dtype=np.int64)
+    grams, owners = np.concatenate([np.zeros(0, np.int64), *(np.array(r["grams"], np.int64) for r in rows)]), np.repeat(np.arange(len(rows)), n)
+    order = np.argsort(grams, kind="stable")
+    owners = owners[order]
+    keys, starts = np.unique(grams[order], return_index=True)
+    ends = np.append(starts[1:], len(grams))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(keys) or not batch.num_rows:
+                continue
+            lists = batch.column("grams")
+            limits, held = np.cumsum(np.asarray(lists.value_lengths())), np.asarray(lists.flatten())
+            found, where, shares = [], [], []
+            for k in range(batch.num_rows):
+                mine = held[(limits[k - 1] if k else 0) : limits[k]]
+                at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                at = at[keys[at] == mine]
+                many = ends[at] - starts[at]
+                spots = np.repeat(starts[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
+                share = np.bincount(owners[spots], minlength=len(n)) / np.maximum(n, 1)
+                good = np.flatnonzero(share >= PARTIAL)
+                found.append(good)
+                where.append(np.full(len(good), k))
+                shares.append(share[good])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(np.concatenate(found))), batch.column("source_id").take(pa.array(np.concatenate(where))), pa.array(np.concatenate(shares))], names=["id", "source_id", "overlap"])
+
+    return right.mapInArrow(run, schema)
+
+
+def _by_rare_grams(left: DataFrame, right: DataFrame) -> DataFrame:
+    """A post's rarest grams are few enough for one of them to be in any source that has half of its grams."""
     asked = left.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     known = asked.select("gram").distinct()
     held = right.select("source_id", F.explode("grams").alias("gram")).join(known, "gram", "left_semi")

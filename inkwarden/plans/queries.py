@@ -108,6 +108,29 @@ def near_jaccard(spark, sf_dir):
     return near.near_pairs(fixture_posts(spark, sf_dir)).select("id", "other", "similarity")
 
 
+_NEAR_SQL = """near_t AS (SELECT clean, min(ord) AS ord FROM posts WHERE type <> 'repost' AND length(clean) >= 40 GROUP BY clean),
+near_g AS (SELECT DISTINCT ord, hash(substr(clean, i, 4)) AS g FROM (SELECT ord, clean, unnest(generate_series(1, length(clean) - 3)) AS i FROM near_t)),
+near_n AS (SELECT ord, count(*) AS n FROM near_g GROUP BY ord), near_gn AS (SELECT * FROM near_g JOIN near_n USING (ord)),
+near_s AS (SELECT a.ord, b.ord AS other, a.n AS x, b.n AS y, count(*) AS shared FROM near_gn a JOIN near_gn b ON a.g = b.g AND a.ord > b.ord AND least(a.n, b.n) >= 0.84 * greatest(a.n, b.n) GROUP BY ALL),
+near_p AS (SELECT ord::VARCHAR AS id, other::VARCHAR AS other, shared / (x + y - shared) AS similarity FROM near_s WHERE shared / (x + y - shared) >= 0.84),
+near_sides AS (SELECT id, other, similarity FROM near_p UNION ALL SELECT other, id, similarity FROM near_p)"""
+
+
+@query(f"WITH $POSTS, {_NEAR_SQL}, r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS place, count(*) OVER (PARTITION BY id) AS total FROM near_sides) SELECT * FROM r WHERE place <= 8")
+def near_reasons(spark, sf_dir):
+    """The closest near-duplicates of each post, by Jaccard similarity, and how many it has."""
+    return findings.near_reasons(near.near_pairs(fixture_posts(spark, sf_dir))).select("id", "other", "place", "total")
+
+
+@query(f"WITH $POSTS, {_NEAR_SQL}, {FINDINGS_SQL.replace('found0 AS (', 'found0 AS (SELECT DISTINCT id, $REVIEW AS level, $CODE AS code FROM near_sides UNION ALL ', 1).replace('$REVIEW', chr(39) + 'review' + chr(39)).replace('$CODE', chr(39) + 'internal_near' + chr(39))}, {STATUS_SQL}, near_c AS (SELECT id, count(*) AS near FROM near_sides GROUP BY id) SELECT stat.id, status, coalesce(near, 0) AS near FROM stat LEFT JOIN near_c USING (id)")
+def near_statuses(spark, sf_dir):
+    """Statuses where near-duplicates, by Jaccard similarity, are findings too, and how many each post has."""
+    p = fixture_posts(spark, sf_dir)
+    found = findings.findings(p, near.near_pairs(p), phrases=PHRASES)
+    total = found.where("code = 'internal_near'").select("id", F.col("total").alias("near"))
+    return findings.statuses(p, found).join(total, "id", "left").select("id", "status", F.coalesce("near", F.lit(0)).alias("near"))
+
+
 @query("""WITH c AS (SELECT 'd' || doc_id AS id, regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), 'https?://\\S+', '', 'g'), '[^\\p{L}\\p{N}]+', '', 'g') AS clean FROM documents
   UNION ALL SELECT 'b' || item_id, regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), 'https?://\\S+', '', 'g'), '[^\\p{L}\\p{N}]+', '', 'g') FROM benchmark),
 g AS (SELECT DISTINCT id, hash(substr(clean, i, 4)) AS g FROM (SELECT id, clean, unnest(generate_series(1, length(clean) - 3)) AS i FROM c WHERE length(clean) >= 24)),

@@ -139,13 +139,26 @@ def csv_records(texts: DataFrame, known: frozenset[str]) -> DataFrame:
     return texts.select("file", "text").mapInArrow(run, "file string, row_no int, json string").select("file", "row_no", F.parse_json("json").alias("record"))
 
 
+#: What may part the fields of a table, of equals the first.
+DELIMITERS = (",", "\t", ";")
+
+
+def delimiter(text: str, known: frozenset[str]) -> str:
+    """What parts the header into the most known names, of equals into the most fields. Texts below the header have no say."""
+
+    def header(sign: str) -> list[str]:
+        try:
+            return [n.strip() for n in next(csv.reader(io.StringIO(text, newline=""), delimiter=sign), [])]
+        except csv.Error:
+            return []
+
+    found = {sign: header(sign) for sign in DELIMITERS}
+    return max(DELIMITERS, key=lambda sign: (len(known & set(found[sign])), len(found[sign])))
+
+
 def parse_csv(text: str, known: frozenset[str]) -> Iterator[dict[str, str]]:
-    head = text[:8192]
-    try:
-        dialect: type[csv.Dialect] | csv.Dialect = csv.Sniffer().sniff(head, ",\t;")
-    except csv.Error:
-        dialect = csv.excel
-    reader = csv.reader(io.StringIO(text, newline=""), dialect, strict=True)
+    """The rows of a table with a header, quoted by double quotes, which are doubled inside."""
+    reader = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter(text, known), strict=True)
     names = [n.strip() for n in next(reader, [])]
     if not known & set(names):
         raise ValueError("the header has no field of a post")

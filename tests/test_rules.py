@@ -46,19 +46,75 @@ def test_near_duplicates(spark):
     assert {r["id"]: r["status"] for r in out.collect()} == {"1": "review", "2": "review", "3": "low_signal"}
 
 
-def test_prefix_join_loses_no_pair(spark):
+def _varied(seed, alphabet="abcde", lengths=(60,), copies=3, rate=0.02):
     import random
 
-    rng = random.Random(5)
-    base = ["".join(rng.choice("abcde") for _ in range(60)) for _ in range(12)]
-    texts = base + ["".join(c if rng.random() > 0.02 else rng.choice("vwxyz") for c in t) for t in base * 3]
+    rng = random.Random(seed)
+    base = ["".join(rng.choice(alphabet) for _ in range(rng.choice(lengths))) for _ in range(12)]
+    texts = base + ["".join(c if rng.random() > rate else rng.choice("vwxyz") for c in t) for t in base * copies]
+    return texts + [t[: int(len(t) * 0.8)] for t in base]
+
+
+def _grams(text):
+    return {text[i : i + 4] for i in range(len(text) - 3)}
+
+
+def _pairs(texts):
+    """Earlier and later text of every pair of distinct texts, and their Jaccard similarity."""
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    return {(str(i + 1), str(k + 1)): (a, b, len(_grams(a) & _grams(b)) / len(_grams(a) | _grams(b))) for a, i in first.items() for b, k in first.items() if i > k}
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_signatures_lose_no_pair(spark, seed):
+    texts = _varied(seed, lengths=(50, 60, 120, 300))
     p = make(spark, [{"text": t} for t in texts])
-    g = lambda t: {t[i : i + 4] for i in range(len(t) - 3)}
-    for threshold in (0.4, 0.84):
+    for threshold in (0.4, 0.6, 0.84):
         got = {(r["id"], r["other"]): r["similarity"] for r in near.near_pairs(p, threshold).collect()}
-        first = {t: i for i, t in reversed(list(enumerate(texts)))}
-        want = {(str(i + 1), str(k + 1)): len(g(a) & g(b)) / len(g(a) | g(b)) for a, i in first.items() for b, k in first.items() if i > k}
-        assert got == {k: pytest.approx(v) for k, v in want.items() if v >= threshold}
+        assert got == {k: pytest.approx(j) for k, (_, _, j) in _pairs(texts).items() if j >= threshold}
+
+
+def test_pieces_of_similar_sets_agree():
+    import math
+
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 5, 40, 333, 2000):
+        for threshold in (0.5, 0.84):
+            grams = rng.integers(0, 1 << 62, size=2 * n, dtype=np.int64)
+            most = math.floor((1 - threshold) / (1 + threshold) * 2 * n + 1e-9) // 2  # so many leave one side and as many the other
+            a, b = grams[:n], grams[most : n + most]
+            assert len(a) - most >= threshold * (n + most) - 1e-9
+            assert set(near.signatures(a, threshold)) & set(near.signatures(b, threshold))
+            short = grams[: math.ceil(threshold * n)]  # a subset, as small as the threshold allows
+            assert set(near.signatures(a, threshold)) & set(near.signatures(short, threshold))
+
+
+@pytest.mark.parametrize("block", [4, 4096])
+def test_ratio_in_blocks_against_brute_force(spark, block):
+    import difflib
+
+    texts = _varied(8, alphabet="abcdefghij", lengths=(50, 70, 100, 400), rate=0.06)
+    p = make(spark, [{"text": t} for t in texts])
+    want = {}
+    for key, (a, b, j) in _pairs(texts).items():
+        ratio = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio()
+        if j >= 0.4 and min(len(a), len(b)) >= 0.7 * max(len(a), len(b)) and ratio >= 0.84:
+            want[key] = pytest.approx(max(j, ratio))
+    got = {(r["id"], r["other"]): r["similarity"] for r in near.ratio_pairs(near._grammed(p), block).collect()}
+    assert got == want and any(j < 0.84 for k, (_, _, j) in _pairs(texts).items() if k in want)
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 21])
+def test_containment_by_both_ways(spark, sent):
+    texts = _varied(9, lengths=(40, 90))
+    posts_ = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(98, None), (99, "short")], "id int, text string")
+    sources = spark.createDataFrame([(i, t + u) for i, (t, u) in enumerate(zip(texts, reversed(texts), strict=True))] + [(98, None), (99, "")], "source_id int, text string")
+    got = {(r["id"], r["source_id"]): r["overlap"] for r in near.contained(posts_, sources, sent).collect()}
+    shares = {(i, k): len(_grams(t) & _grams(s)) / len(_grams(t)) for i, t in enumerate(texts) for k, s in enumerate(a + b for a, b in zip(texts, reversed(texts), strict=True))}
+    assert got == {k: pytest.approx(v) for k, v in shares.items() if v >= 0.5}
+    assert near.contained(posts_.limit(0), sources, sent).count() == 0
 
 
 @pytest.mark.parametrize(

@@ -1,5 +1,6 @@
 """Readers and normalisation, archives, pages, streams and the entry module."""
 
+import csv
 import hashlib
 import json
 import zipfile
@@ -264,3 +265,19 @@ def test_zip_members_of_one_name_fail(spark, tmp_path):
             z.writestr("data/tweets.js", "window.YTD.tweets.part0 = []")
     with pytest.raises(Exception, match="one name"):
         readers.zip_members(spark, [str(tmp_path / "a.zip")]).collect()
+
+
+@pytest.mark.parametrize("sign", [",", "\t", ";"])
+def test_table_with_signs_and_quotes_in_its_texts(sign):
+    """Every place of the first 8 KB holds a quoted comma, tab, semicolon or doubled quote in some file."""
+    known = frozenset({"id", "text", "notes"})
+    for shift in range(11):
+        texts = [("x" * shift + ', "a",\t"";\r\n;') * 3 + "'" * k for k in range(200)]
+        body = "".join(sign.join([str(k), '"n"', '"' + t.replace('"', '""') + '"']) + "\r\n" for k, t in enumerate(texts))
+        rows = list(readers.parse_csv(sign.join(["id", "notes", "text"]) + "\r\n" + body, known))
+        assert rows == [{"id": str(k), "notes": "n", "text": t} for k, t in enumerate(texts)]
+    assert list(readers.parse_csv('"id"\n"a,b;c"\n', known)) == [{"id": "a,b;c"}]
+    with pytest.raises(ValueError):
+        list(readers.parse_csv("nothing,known\n1,2\n", known))
+    with pytest.raises(csv.Error):
+        list(readers.parse_csv(f'id{sign}text\n1{sign}"unclosed', known))
