@@ -12,8 +12,12 @@ wildcards there. Templates are hashes met by equality; no pairs are formed.
 A template recurs if its lines, the tokens of one line times the documents, weigh
 ``evidence`` tokens at least, in two documents or more: a line of eight tokens
 recurs in two documents, one of three in six. The first document, by id and then
-text hash, keeps the line; a line goes from every document that is not the first
-for each of the line's recurring templates.
+text hash, keeps the line, and it goes from the others. Where lines differ, a line
+goes only if a line that is kept shares a template with it: lines are taken in the
+order in which they first stand, and a line that shares a template with no kept one
+is kept. So no chain of small differences takes a line of which no like is left.
+These decisions are made in rounds: what leads all its templates is kept, what
+shares one with it goes, and the rest waits for the next round.
 
 Only hashes travel, 128 bits wide: a line is known by two independent hashes, and
 its text stays in its document. Lines are counted once a document and added up by
@@ -31,6 +35,7 @@ travels as a struct.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -136,22 +141,41 @@ def recurring(lines: DataFrame, docs: DataFrame, rule: Templates) -> DataFrame:
     able = distinct.where(F.col("n") >= rule.fields)
     leaves = able.groupBy("leaf").agg(F.min("line").alias("low"), F.max("line").alias("high"), F.min("first").alias("first"), F.max("last").alias("last")).where("low < high AND first < last").select("leaf")
     some = stage(able.join(leaves, "leaf"), "varied-lines")
-    where = lines.join(some.select("line", F.col("first").alias("doc")), ["line", "doc"], "left_semi").groupBy("line", "doc").agg(F.min("line_no").alias("line_no")).groupBy("doc").agg(F.collect_list(F.struct("line_no", "line")).alias("wanted"))
+    where = some.groupBy(F.col("first").alias("doc")).agg(F.collect_list(F.struct(F.col("no").alias("line_no"), "line")).alias("wanted"))
     texts = _matched(docs, where, "wanted", rule, "inner").dropDuplicates(["doc"])
     held = texts.select("_lines", F.explode("wanted").alias("w")).select("w.line", F.split(plain(F.get("_lines", F.col("w.line_no"))), " ").alias("t"))
-    known = held.join(some, "line").select("line", "n", "docs", "first", "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
+    known = held.join(some, "line").select("line", "n", "docs", F.struct("first", "no").alias("at"), "last", F.explode(templates(F.col("t"), F.col("n"), rule)).alias("template"))
     known = stage(known, "line-templates")
     # a template's documents are two at least if a line's are, or if the first and the last of all differ
-    groups = known.groupBy("template").agg(F.max("n").alias("n"), F.max("docs").alias("docs"), F.min("first").alias("first"), F.max("last").alias("last"), F.count("*").alias("members"))
+    groups = known.groupBy("template").agg(F.min("at.first").alias("first"), F.max("last").alias("last"), F.count("*").alias("members"))
     groups = groups.where((F.col("members") > 1) & (F.col("first") != F.col("last")))
-    alike = known.join(groups.select("template", F.col("first").alias("earliest")), "template").groupBy("line").agg(F.min("earliest").alias("first"))
+    alike = represented(known.join(groups.select("template"), "template", "left_semi").select("template", "line", "at"))
     return exact.unionByName(alike).groupBy("line").agg(F.min("first").alias("first"))
 
 
+def represented(linked: DataFrame) -> DataFrame:
+    """line and first of the lines that a kept line stands for: ``linked`` has the templates of each line and where it first stands.
+
+    A round decides every line that leads all its templates, and every line that
+    shares one with such a line. Most groups need one; a chain needs one for two of its lines.
+    """
+    waiting, gone = stage(linked, "linked-lines"), []
+    while not waiting.isEmpty():
+        leads = waiting.groupBy("template").agg(F.min(F.struct("at", "line")).alias("lead"))
+        led = stage(waiting.join(leads, "template").select("template", "line", "lead"), "led-lines")
+        kept = led.groupBy("line").agg(F.bool_and(F.col("lead.line") == F.col("line")).alias("kept")).where("kept").select("line")
+        decided = led.join(kept.select(F.col("line").alias("leader")), F.col("lead.line") == F.col("leader")).groupBy("line").agg(F.min("lead.at.first").alias("first"), F.bool_or(F.col("lead.line") == F.col("line")).alias("kept"))
+        decided = stage(decided, "decided-lines")
+        gone.append(decided.where("NOT kept").select("line", "first"))
+        waiting = stage(waiting.join(decided, "line", "left_anti"), "linked-lines")
+    return reduce(DataFrame.unionByName, gone) if gone else linked.select("line", F.col("at.first").alias("first")).limit(0)
+
+
 def _once(lines: DataFrame) -> DataFrame:
-    """leaf, line, n, docs, first and last document of each distinct line."""
-    once = lines.groupBy("leaf", "line", "n", "doc").agg(F.lit(1).alias("one"))
-    return once.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min("doc").alias("first"), F.max("doc").alias("last"))
+    """leaf, line, n, docs, first document and the line's number there, and last document of each distinct line."""
+    once = lines.groupBy("leaf", "line", "n", "doc").agg(F.min("line_no").alias("no"))
+    found = once.groupBy("leaf", "line", "n").agg(F.count("*").alias("docs"), F.min(F.struct("doc", "no")).alias("at"), F.max("doc").alias("last"))
+    return found.select("leaf", "line", "n", "docs", F.col("at.doc").alias("first"), F.col("at.no").alias("no"), "last")
 
 
 def _matched(docs: DataFrame, found: DataFrame, column: str, rule: Templates, how: str) -> DataFrame:
@@ -196,13 +220,18 @@ def lines_sql(table: str, rule: Templates = Templates()) -> str:
 ld AS (SELECT *, row_number() OVER () AS lid, coalesce(text, '') AS lbody FROM {table}),
 lx AS (SELECT lid, doc_id, lbody, k, ls[k] AS l FROM (SELECT lid, doc_id, lbody, string_split(lbody, chr(10)) AS ls, unnest(generate_series(1, len(string_split(lbody, chr(10))))) AS k FROM ld)),
 lt AS (SELECT *, struct_pack(a := doc_id IS NOT NULL, b := doc_id, c := lbody) AS doc, regexp_extract_all(regexp_replace(l, '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '{WILDCARD}', 'g'), '[^\x20\x09-\x0D]+') AS t FROM lx),
-lo AS (SELECT t, count(DISTINCT doc) AS docs, min(doc) AS first, max(doc) AS last FROM lt WHERE len(t) > 0 GROUP BY t),
-lb AS (SELECT t, first, last, x.i, x.j, [CASE WHEN p <= {rule.lead} OR ((p - 1 - {rule.lead}) * {rule.bands} // (len(t) - {rule.lead})) NOT IN (x.i, x.j) THEN t[p] END FOR p IN generate_series(1, len(t))] AS template
+lo AS (SELECT t, count(DISTINCT doc) AS docs, min(doc) AS first, max(doc) AS last, min(struct_pack(doc := doc, k := k)) AS place FROM lt WHERE len(t) > 0 GROUP BY t),
+lb AS (SELECT t, first, last, place, x.i, x.j, [CASE WHEN p <= {rule.lead} OR ((p - 1 - {rule.lead}) * {rule.bands} // (len(t) - {rule.lead})) NOT IN (x.i, x.j) THEN t[p] END FOR p IN generate_series(1, len(t))] AS template
        FROM lo, (SELECT i, j FROM range({rule.bands}) a(i), range({rule.bands}) b(j) WHERE i < j) x WHERE len(t) >= {rule.fields}),
 lk AS (SELECT * FROM lb WHERE 5 * len([y FOR y IN template IF y IS NULL]) <= len(template)),
 lg2 AS (SELECT template, i, j, min(first) AS first FROM lk GROUP BY ALL HAVING count(*) > 1 AND min(first) <> max(last)),
-lr AS (SELECT t, min(first) AS first FROM (SELECT t, first FROM lo WHERE docs >= {rule.min_docs} AND docs * len(t) >= {rule.evidence}
-       UNION ALL SELECT lk.t, lg2.first FROM lk JOIN lg2 ON lk.template = lg2.template AND lk.i = lg2.i AND lk.j = lg2.j) GROUP BY t),
+ln AS (SELECT lk.t, lk.first, lk.place, dense_rank() OVER (ORDER BY lk.template, lk.i, lk.j) AS g FROM lk JOIN lg2 ON lk.template = lg2.template AND lk.i = lg2.i AND lk.j = lg2.j),
+lm AS (SELECT t, first, list(g) AS gs, row_number() OVER (ORDER BY place) AS k FROM ln GROUP BY t, first, place),
+lw AS (WITH RECURSIVE w AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS held, false AS kept UNION ALL
+       SELECT lm.k, CASE WHEN list_has_any(held, gs) THEN held ELSE list_concat(held, gs) END, NOT list_has_any(held, gs) FROM w JOIN lm ON lm.k = w.k + 1) SELECT k FROM w WHERE kept),
+lv AS (SELECT k, first, unnest(gs) AS g FROM lm JOIN lw USING (k)),
+lu AS (SELECT lm.t, lv.first FROM (SELECT t, k, unnest(gs) AS g FROM lm) lm JOIN lv ON lv.g = lm.g AND lv.k < lm.k),
+lr AS (SELECT t, min(first) AS first FROM (SELECT t, first FROM lo WHERE docs >= {rule.min_docs} AND docs * len(t) >= {rule.evidence} UNION ALL SELECT t, first FROM lu) GROUP BY t),
 lg AS (SELECT lid, count(lr.t) FILTER (lr.first.b IS DISTINCT FROM doc_id OR lr.first.c <> lbody) AS n_dropped, count(*) AS n_lines,
               string_agg(l, chr(10) ORDER BY k) FILTER (lr.t IS NULL OR (lr.first.b IS NOT DISTINCT FROM doc_id AND lr.first.c = lbody)) AS kept
        FROM lt LEFT JOIN lr USING (t) GROUP BY lid),

@@ -233,6 +233,82 @@ def test_lines_that_differ_in_fields_share_a_template(spark):
     assert dropped == {0: 0} | {i + 1: 1 for i in range(n)} | {n + 1: 0, n + 2: 0, n + 3: 0}
 
 
+def _kept_lines(texts, rule):
+    """Documents' texts after a plain pass over lines in order, each against all lines kept so far."""
+    import itertools
+
+    def tokens(line):
+        return tuple(line_dedup.WILDCARD if re.search(r"[0-9@]|://", w) else w for w in WORD.findall(line))
+
+    def keys(t):
+        n, out = len(t), []
+        if n >= rule.fields:
+            band = [(p - rule.lead) * rule.bands // (n - rule.lead) if p >= rule.lead else -1 for p in range(n)]
+            for pair in itertools.combinations(range(rule.bands), 2):
+                key = tuple(None if b in pair else w for w, b in zip(t, band, strict=True))
+                if 5 * sum(w is None for w in key) <= n:
+                    out.append((pair, key))
+        return out
+
+    holders, place = {}, {}
+    for doc, text in sorted(texts):
+        for k, line in enumerate(text.split("\n")):
+            t = tokens(line)
+            if t:
+                holders.setdefault(t, set()).add(doc)
+                place.setdefault(t, (doc, k))
+    groups = {}
+    for t in holders:
+        for key in keys(t):
+            groups.setdefault(key, set()).add(t)
+    good = {key for key, ts in groups.items() if len(ts) > 1 and len(set().union(*(holders[t] for t in ts))) > 1}
+    keeper = {t: place[t][0] for t, docs in holders.items() if len(docs) >= rule.min_docs and len(docs) * len(t) >= rule.evidence}
+    kept = {}
+    for t in sorted(holders, key=place.get):
+        mine = [key for key in keys(t) if key in good]
+        like = [kept[key] for key in mine if key in kept]
+        if like:
+            keeper[t] = min(like)
+        else:
+            kept |= {key: place[t][0] for key in mine}
+    return {doc: "\n".join(x for x in text.split("\n") if keeper.get(tokens(x), doc) == doc) for doc, text in texts}
+
+
+def test_a_chain_of_lines_keeps_what_no_kept_line_is_like(spark):
+    base = [f"word{chr(97 + k)}" for k in range(23)]
+
+    def step(k):  # each differs from the one before in two fields
+        return " ".join(f"{w}x" if i in range(3, 3 + 4 * k, 2) else w for i, w in enumerate(base))
+
+    texts = [(d, step(k)) for k, d in enumerate((2, 5, 7, 9))]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).select("row.doc_id", "text").collect()}
+    assert got == {2: texts[0][1], 5: "", 7: texts[2][1], 9: ""} == _kept_lines(texts, line_dedup.Templates())
+    # a long chain needs many rounds
+    line = " ".join(f"w{chr(97 + k // 20)}{chr(97 + k % 20)}" for k in range(103)).split()
+    texts = [(d, " ".join(w + "x" if 3 <= i < 3 + 9 * d else w for i, w in enumerate(line))) for d in range(11)]
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(spark.createDataFrame(texts, "doc_id long, text string")).select("row.doc_id", "text").collect()}
+    assert got == _kept_lines(texts, line_dedup.Templates()) and 2 < sum(t != "" for t in got.values()) < 11
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_line_dedup_against_brute_force(spark, seed):
+    import random
+
+    rng = random.Random(seed)
+    lines = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.choice([3, 9, 10, 14, 25]))) for _ in range(12)]
+
+    def line():
+        words_ = rng.choice(lines).split()
+        for _ in range(rng.choice([0, 0, 1, 2, 3])):
+            words_[rng.randrange(len(words_))] = rng.choice(["q", "rr", "7", "a@b", "sss"])
+        return " ".join(words_)
+
+    texts = [(d, "\n".join(line() for _ in range(rng.randint(1, 6)))) for d in range(60)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(docs).select("row.doc_id", "text").collect()}
+    assert got == _kept_lines(texts, line_dedup.Templates())
+
+
 def test_bands_cover_every_place(spark):
     from pyspark.sql import functions as F
 
