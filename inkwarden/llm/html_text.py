@@ -3,9 +3,13 @@
 A page becomes a flat list of text blocks. Each block has its word count and link
 density, those of its two neighbours, its own form (heading, list item, end of a
 sentence), the elements that it stands in, and one feature for what classes, ids
-and roles around it say. A decision tree trained on a small labelled table tells
-main text from the rest; the blocks that it keeps are joined in page order by an
-empty line.
+and roles around it say. A name made of nothing but words of places counts wherever
+it stands; one that has other words beside them, or stands beside a name of main text,
+counts only on an element that holds half of the page's unlinked words at most, and a
+form around more than that is a frame. What follows a heading of comments is comments,
+up to the end of its element or the next heading of its rank. A decision tree trained
+on a small labelled table tells main text from the rest; the blocks that it keeps are
+joined in page order by an empty line.
 
 The labelled table is of two parts: pages labelled by hand (``labelled``), and
 small pages made by a rule (``labelled_pages``) in three styles, of semantic
@@ -27,6 +31,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -59,6 +64,8 @@ PLACES = {
     "form": "form login signin signup register search",
     "hint": "content post entry body text",
 }
+#: Places that hold no main text, and those that do.
+BAD, GOOD = frozenset({"nav", "side", "comment", "form"}), frozenset({"main", "hint"})
 PLACE_OF = {word: place for place, names in PLACES.items() for word in names.split()}
 #: Words of a class that tell of a state of the page, not of what the element holds.
 STATES = frozenset("with without has have no not is enabled disabled open opened closed allowed active inactive on off count layout".split())
@@ -69,19 +76,45 @@ FEATURES = ("words", "link", "prev_words", "prev_link", "next_words", "next_link
 BY_HAND = 1
 
 
+#: Words of a name that say nothing of what an element holds, beside a word that does.
+STRUCTURE = frozenset("list lists wrapper wrap box section container area block item items inner outer left right top bottom bar site page col row panel group unit slot zone region module holder primary secondary global local sub link links button buttons icon icons title count meta thread single".split())
+#: A heading that opens readers' comments, with nothing beside it but their number and the like.
+COMMENTS_HEADING = re.compile(r"\W*(?:(?:\d+|no|all|the|a|your|our|reader|readers|user|visitor|leave|post|add|write|join|view|show|discussion|and|from|to|s|deine?|ihre?|alle|keine|les|vos|des|laisser|un|los|tus|de|deja|dejar|un)\W+)*(?:comments?|replies|reply|responses|discussion|kommentare?|antworten|commentaires?|réponses|comentarios?|respuestas)(?:\W+(?:\d+|section|so|far|on|this|article|post))*\W*", re.I)
+
+
 @dataclass
 class Block:
     text: str
     words: int
     link: float
-    elements: frozenset[str]  # what the elements around it say
-    names: frozenset[str]  # what classes, ids and roles around it say
+    inside: int  # its container, -1 for none
+    names: tuple[frozenset[str], frozenset[str]]  # what its own class, id and role say, surely and maybe
+    tag: str
+
+
+@dataclass
+class Container:
+    """An element with the blocks and containers inside it, as ranges."""
+
     tag: str
+    parent: int
+    element: str  # what the element says of its content, or nothing
+    names: tuple[frozenset[str], frozenset[str]]
+    blocks: list[int]
+    last: int = -1  # the last container inside
+
+
+NO_NAMES: tuple[frozenset[str], frozenset[str]] = (frozenset(), frozenset())
 
 
-def _places(tag: str, attributes: str) -> tuple[set[str], bool]:
-    """What the attributes of a start tag say of its content, and whether it is hidden."""
-    found: set[str] = set()
+def _places(tag: str, attributes: str) -> tuple[tuple[frozenset[str], frozenset[str]], bool]:
+    """What the attributes of a start tag say of its content, surely and maybe, and whether it is hidden.
+
+    A token says surely what it says with nothing but words of places and structure;
+    beside other words, or beside a token that speaks of main text, only maybe.
+    """
+    sure: set[str] = set()
+    maybe: set[str] = set()
     hidden = False
     if attributes and tag not in ("html", "body"):
         for name, value in ATTRIBUTE.findall(attributes):
@@ -92,8 +125,12 @@ def _places(tag: str, attributes: str) -> tuple[set[str], bool]:
                 for token in value.split():
                     words = [w.lower() for w in WORDS_OF_NAME.findall(token)]
                     if STATES.isdisjoint(words):
-                        found |= {PLACE_OF[w] for w in words if w in PLACE_OF}
-    return found, hidden
+                        found = {PLACE_OF[w] for w in words if w in PLACE_OF}
+                        plain = all(w in PLACE_OF or w in STRUCTURE for w in words) and found.isdisjoint(GOOD)
+                        (sure if plain else maybe).update(found)
+    if not sure.isdisjoint(BAD) and not maybe.isdisjoint(GOOD):
+        maybe, sure = maybe | sure, set()
+    return (frozenset(sure), frozenset(maybe)), hidden
 
 
 def _closings(page: str, tag: str) -> dict[int, int]:
@@ -107,14 +144,15 @@ def _closings(page: str, tag: str) -> dict[int, int]:
     return found
 
 
-def blocks(page: str | None) -> list[Block]:
-    """The text blocks of a page in order."""
+def parsed(page: str | None) -> tuple[list[Block], list[Container]]:
+    """The text blocks of a page in order, and its containers in the order of their start tags."""
     page = page or ""
     out: list[Block] = []
+    held: list[Container] = []
     pieces: list[tuple[str, bool]] = []
-    none: frozenset[str] = frozenset()
-    stack: list[tuple[str, frozenset[str], frozenset[str]]] = []  # containers, with all that holds inside
-    leaf, leaf_names = "", none
+    stack: list[int] = []  # containers that are open
+    open_ = Counter[str]()  # their tags
+    leaf, leaf_names = "", NO_NAMES
     closings: dict[str, dict[int, int]] = {}  # of elements that were hidden somewhere
     endless: set[str] = set()  # elements without another end tag
     anchors, at, size = 0, 0, len(page)
@@ -126,10 +164,15 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(t).split()) for t, a in pieces if a)
-                _, elements, names = stack[-1] if stack else ("", none, none)
-                out.append(Block(text, words, min(1.0, linked / words), elements, names | leaf_names, leaf))
+                out.append(Block(text, words, min(1.0, linked / words), stack[-1] if stack else -1, leaf_names, leaf))
             pieces = []
 
+    def close() -> None:
+        c = held[stack.pop()]
+        open_[c.tag] -= 1
+        c.blocks.append(len(out))
+        c.last = len(held)
+
     while at < size:
         m = TAG.search(page, at)
         if m is None:
@@ -160,45 +203,92 @@ def blocks(page: str | None) -> list[Block]:
             continue
         flush()
         anchors = 0
-        leaf, leaf_names = "", none
+        leaf, leaf_names = "", NO_NAMES
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
+            while open_[tag]:
+                done = held[stack[-1]].tag == tag
+                close()
+                if done:
                     break
             continue
-        found, hidden = _places(tag, m[3])
+        names, hidden = _places(tag, m[3])
         if hidden and tag not in VOID:
             if tag not in closings:
                 closings[tag] = _closings(page, tag)
             at = closings[tag].get(m.end(), at)
             continue
         if tag in CONTAINERS:
-            _, elements, names = stack[-1] if stack else ("", none, none)
-            own = {PLACE_OF[tag]} if tag in PLACE_OF else set()
-            if tag in ("article", "main"):  # wraps or forgets to close what stands before an article
-                elements, names = elements - {"nav", "form"}, names - {"nav", "form"}
-            elif tag == "header" and "main" in elements | names:
-                own = set()
-            stack.append((tag, elements | own, names | frozenset(found)))
+            held.append(Container(tag, stack[-1] if stack else -1, PLACE_OF.get(tag, ""), names, [len(out)]))
+            stack.append(len(held) - 1)
+            open_[tag] += 1
         elif tag not in VOID:
-            leaf, leaf_names = tag, frozenset(found)
+            leaf, leaf_names = tag, names
     flush()
+    while stack:
+        close()
+    return out, held
+
+
+def blocks(page: str | None) -> list[Block]:
+    return parsed(page)[0]
+
+
+def _known(names: tuple[frozenset[str], frozenset[str]], most: bool, whole: bool) -> frozenset[str]:
+    """What a name says where the element holds most of the page's unlinked words, and where it holds its title or article as well."""
+    sure, maybe = names
+    return (sure - BAD if whole else sure) | (maybe - BAD if most else maybe)
+
+
+def places(found: list[Block], held: list[Container]) -> list[tuple[frozenset[str], frozenset[str]]]:
+    """What elements and what names say of each block. The share of the page's words in an element outweighs a doubtful name."""
+    free = np.cumsum([0.0, *(b.words * (1 - b.link) for b in found)])
+    titles = np.cumsum([0, *(b.tag == "h1" for b in found)])
+    mains = np.cumsum([0, *(c.tag in ("article", "main") for c in held)])
+    none: frozenset[str] = frozenset()
+    said: list[tuple[frozenset[str], frozenset[str]]] = []
+    for k, c in enumerate(held):
+        elements, names = said[c.parent] if c.parent >= 0 else (none, none)
+        begin, end = c.blocks
+        most = free[end] - free[begin] > free[-1] / 2
+        whole = bool(most and (titles[end] > titles[begin] or mains[c.last] > mains[k]))
+        own = frozenset({c.element}) - {""}
+        if c.tag in ("article", "main"):  # wraps or forgets to close what stands before an article
+            elements, names = elements - {"nav", "form"}, names - {"nav", "form"}
+        elif c.tag == "header" and "main" in elements | names or c.tag == "form" and most:  # a form around a whole page
+            own = none
+        said.append((elements | own, names | _known(c.names, bool(most), whole)))
+    out = []
+    for k, b in enumerate(found):
+        elements, names = said[b.inside] if b.inside >= 0 else (none, none)
+        out.append((elements, names | _known(b.names, bool(free[k + 1] - free[k] > free[-1] / 2), False)))
+    return out
+
+
+def under_comments(found: list[Block], held: list[Container]) -> list[bool]:
+    """Blocks behind a heading of comments, up to the end of its container or the next heading of its rank."""
+    out, end, rank = [False] * len(found), 0, ""
+    for k, b in enumerate(found):
+        heading = b.tag[:1] == "h" and b.tag[1:].isdigit()
+        if (heading or b.words <= 3) and COMMENTS_HEADING.fullmatch(b.text):
+            end, rank = held[b.inside].blocks[1] if b.inside >= 0 else len(found), b.tag if heading else "h"
+        elif heading and rank and (rank == "h" or b.tag <= rank):
+            end = min(end, k)
+        out[k] = k < end
     return out
 
 
-def _sign(places: frozenset[str], *good: str) -> int:
+def _sign(said: frozenset[str], *good: str) -> int:
     """-1 inside anything that is no main text, else 1 inside main text, else 0."""
-    return -1 if places & {"nav", "side", "comment", "form"} else int(not places.isdisjoint(good))
+    return -1 if said & BAD else int(not said.isdisjoint(good))
 
 
-def matrix(found: list[Block]) -> np.ndarray:
+def matrix(found: list[Block], held: list[Container]) -> np.ndarray:
     """A row of ``FEATURES`` for each block."""
     out = np.zeros((len(found), len(FEATURES)))
-    for i, b in enumerate(found):
+    for i, (b, (elements, names), comment) in enumerate(zip(found, places(found, held), under_comments(found, held), strict=True)):
         out[i, 0], out[i, 1] = b.words, b.link
         out[i, 6:9] = len(b.tag) == 2 and b.tag[0] == "h" and b.tag[1].isdigit(), b.tag in ("li", "dt", "dd"), b.text[-1] in ".!?…\"'»”)"
-        out[i, 9:] = _sign(b.elements, "main"), _sign(b.names, "main", "hint")
+        out[i, 9:] = _sign(elements, "main"), -1 if comment else _sign(names, "main", "hint")
     out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
     return out
 
@@ -304,17 +394,17 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
 def trained() -> Node:
     x, y = [], []
     for page, labels in [*labelled_pages(), *(labelled(p) for p in PAGES for _ in range(BY_HAND))]:
-        found = blocks(page)
+        found, held = parsed(page)
         if len(found) != len(labels):
             raise ValueError("a labelled page does not match its labels")
-        x.append(matrix(found))
+        x.append(matrix(found, held))
         y.append(np.array(labels, float))
     return fit(np.concatenate(x), np.concatenate(y))
 
 
 def main_text(page: str | None, tree: Node) -> str:
-    found = blocks(page)
-    return "\n\n".join(b.text for b, row in zip(found, matrix(found).tolist(), strict=True) if judge(tree, row)) if found else ""
+    found, held = parsed(page)
+    return "\n\n".join(b.text for b, row in zip(found, matrix(found, held).tolist(), strict=True) if judge(tree, row)) if found else ""
 
 
 def main_texts(pages: DataFrame, columns: list[str], source: str = "html", tree: Node | None = None) -> DataFrame:
