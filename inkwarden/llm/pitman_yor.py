@@ -66,7 +66,9 @@ STIRLING = 256
 #: Metropolis steps of a move for dishes beyond the table.
 STEPS = 12
 #: Text and documents packed together, and characters whose tokens make a bucket on average.
-SLICE_CHARS, SLICE_DOCS, BUCKET_CHARS = 24 << 20, 1 << 16, 24 << 20
+SLICE_CHARS, SLICE_DOCS, BUCKET_CHARS = 24 << 20, 1 << 15, 24 << 20
+#: The bit of an occurrence's document that says that it is held out.
+HELD_BIT = SLICE_DOCS
 END = b"\n"  # no word holds a line feed
 START = CONTEXTS - 1
 
@@ -95,9 +97,10 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
     """Occurrences by token bucket, and a row of bucket -1 with the documents of each batch.
 
     hashes (sorted, distinct, uint64) and counts (occurrences of each, uint32);
-    contexts (uint16) and docs (uint16, the document's place in the batch) of
-    each occurrence, in the order of hashes; held (uint8) by document. In
-    bucket -1: doc_ids (an Arrow stream), held and lengths (tokens).
+    contexts (uint16) and docs (uint16, the document's place in the batch, and
+    whether it is held out) of each occurrence, in the order of hashes. In
+    bucket -1: doc_ids (an Arrow stream), held (uint8) and lengths (tokens). So
+    what is written grows with the occurrences, whatever the number of buckets.
     """
 
     def pack(ids: pa.Array, texts: list, held: np.ndarray) -> Iterator[dict]:
@@ -113,7 +116,7 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         del flat
         hashed = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
         after = np.fromiter(map(context, known), np.uint16, len(known))
-        doc = np.repeat(np.arange(len(texts), dtype=np.uint16), length)
+        doc = np.repeat(np.arange(len(texts), dtype=np.uint16) | held.astype(np.uint16) * np.uint16(HELD_BIT), length)
         where = np.r_[np.uint16(START), after[token[:-1]]]
         where[np.r_[0, np.cumsum(length)[:-1]]] = START
         batch = random.SystemRandom().getrandbits(62)
@@ -130,7 +133,7 @@ def packed(docs: DataFrame, buckets: int) -> DataFrame:
         first = np.flatnonzero(np.r_[True, np.diff(bucket[order].astype(np.int64)) != 0])
         for a, b in zip(first, np.r_[first[1:], len(order)], strict=True):
             at = by[ends[a] : ends[b]]
-            yield {"batch": batch, "bucket": int(bucket[order[a]]), "hashes": hashed[order[a:b]], "counts": counts[a:b], "contexts": where[at], "docs": doc[at], "held": held}
+            yield {"batch": batch, "bucket": int(bucket[order[a]]), "hashes": hashed[order[a:b]], "counts": counts[a:b], "contexts": where[at], "docs": doc[at]}
 
     names = [f.split()[0] for f in PACKED.split(", ")]
 
@@ -342,8 +345,8 @@ def counted(found: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 get = lambda name, kind: _array(batch.column(name)[i], kind)  # noqa: B023, E731
-                counts, where, doc = get("counts", np.uint32), get("contexts", np.uint16), get("docs", np.uint16)
-                train = get("held", np.uint8)[doc] == 0
+                counts, where = get("counts", np.uint32), get("contexts", np.uint16)
+                train = get("docs", np.uint16) < HELD_BIT
                 # hashes are sorted: by their places, so that a pair is one number
                 key = np.sort((np.repeat(np.arange(len(counts)), counts) * CONTEXTS + where)[train])
                 first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
@@ -370,7 +373,7 @@ def counted(found: DataFrame) -> DataFrame:
         if held:
             yield row(now, _merged(held))
 
-    pairs = found.where("bucket >= 0").select("bucket", "hashes", "counts", "contexts", "docs", "held").mapInArrow(inside, MODEL)
+    pairs = found.where("bucket >= 0").select("bucket", "hashes", "counts", "contexts", "docs").mapInArrow(inside, MODEL)
     return pairs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(across, MODEL)
 
 
@@ -508,15 +511,15 @@ class Predictor:
 
 
 def scored(found: DataFrame, model: DataFrame, history: list[Exchange]) -> DataFrame:
-    """batch and, by document in it, packed sums: score, base (float64) and known tokens (int64)."""
+    """batch and bucket, the documents (uint16) that have tokens there, and packed sums of each: score, base (float64) and known tokens (int64)."""
     now = history[-1]
     blobs = found.where("bucket >= 0")
     weight = stage(blobs.groupBy("bucket").agg(F.sum(F.length("contexts")).alias("n")), "weights")  # a row a bucket
     fair = weight.agg(F.greatest(F.lit(1), 2 * F.avg("n")).alias("fair")).first()["fair"] or 1
     parts = weight.select("bucket", F.greatest(F.lit(1), F.ceil(F.col("n") / fair)).cast("int").alias("parts"))
     none = lambda *names: [F.lit(None).cast("binary").alias(n) for n in names]
-    work = blobs.join(parts, "bucket").select("bucket", F.pmod("batch", "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "batch", "hashes", "counts", "contexts", "docs", "held", *none("pairs", "customers"))
-    told = model.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("batch"), "hashes", *none("counts"), "contexts", *none("docs", "held"), "pairs", "customers")
+    work = blobs.join(parts, "bucket").select("bucket", F.pmod("batch", "parts").cast("int").alias("part"), F.lit(1).alias("kind"), "batch", "hashes", "counts", "contexts", "docs", *none("pairs", "customers"))
+    told = model.join(parts, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("batch"), "hashes", *none("counts"), "contexts", *none("docs"), "pairs", "customers")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, predictor = None, None
@@ -531,24 +534,25 @@ def scored(found: DataFrame, model: DataFrame, history: list[Exchange]) -> DataF
                 predictor = predictor or Predictor(None, history)
                 get = lambda name, kind: _array(batch.column(name)[i], kind)  # noqa: B023, E731
                 p, count = predictor.of(get("hashes", np.uint64), get("counts", np.uint32), get("contexts", np.uint16))
-                doc, n = get("docs", np.uint16), len(batch.column("held")[i].as_buffer())
-                sums = np.bincount(doc, np.log10(p), n), np.bincount(doc, np.log10((count + 1) / (now.tokens + now.types + 1)), n), np.bincount(doc, count > 0, n).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column("batch")[i].as_py()], pa.int64()), pa.array([where[0]], pa.int32()), pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())], names=["batch", "bucket", "sums"])
+                doc = get("docs", np.uint16) & np.uint16(HELD_BIT - 1)
+                here = np.flatnonzero(np.bincount(doc))
+                sums = np.bincount(doc, np.log10(p))[here], np.bincount(doc, np.log10((count + 1) / (now.tokens + now.types + 1)))[here], np.bincount(doc, count > 0)[here].astype(np.int64)
+                values = [pa.array([batch.column("batch")[i].as_py()], pa.int64()), pa.array([where[0]], pa.int32()), pa.array([here.astype(np.uint16).tobytes()], pa.binary()), pa.array([b"".join(x.tobytes() for x in sums)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(values, names=["batch", "bucket", "here", "sums"])
 
     dealt = work.unionByName(told).repartition("bucket", "part").sortWithinPartitions("bucket", "part", "kind")
-    return dealt.mapInArrow(run, "batch long, bucket int, sums binary")
+    return dealt.mapInArrow(run, "batch long, bucket int, here binary, sums binary")
 
 
 def gathered(found: DataFrame, sums: DataFrame, history: list[Exchange], doc_id: str) -> DataFrame:
     """The documents of each batch with the sums over its buckets, added up in the order of buckets."""
     now = history[-1]
-    docs = found.where("bucket = -1").select("batch", "bucket", "doc_ids", "held", "lengths", F.lit(None).cast("binary").alias("sums"))
-    parts = sums.select("batch", "bucket", *[F.lit(None).cast("binary").alias(n) for n in ("doc_ids", "held", "lengths")], "sums")
+    docs = found.where("bucket = -1").select("batch", "bucket", "doc_ids", "held", "lengths", *[F.lit(None).cast("binary").alias(n) for n in ("here", "sums")])
+    parts = sums.select("batch", "bucket", *[F.lit(None).cast("binary").alias(n) for n in ("doc_ids", "held", "lengths")], "here", "sums")
     kind = f"doc_id {doc_id}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def rows(total: np.ndarray, ids: pa.Array, held: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
-        n = len(ids)
-        score, base, known = total[:n], total[n : 2 * n], total[2 * n :]
+        (score, base, known), n = total, len(ids)
         values = [ids, pa.array(held == 1), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(np.full(n, now.tokens)), pa.array(base), pa.array(score)]
         return pa.RecordBatch.from_arrays(values, names=[f.split()[0] for f in kind.split(", ")])
 
@@ -559,14 +563,15 @@ def gathered(found: DataFrame, sums: DataFrame, history: list[Exchange], doc_id:
                 if (b := batch.column("batch")[i].as_py()) != at:
                     if at is not None:
                         yield rows(total, *docs)
-                    at, total, docs = b, None, None
+                    at = b
                 if batch.column("sums")[i].is_valid:
-                    raw = batch.column("sums")[i].as_buffer()
-                    n = len(raw) // 24
-                    part = np.r_[np.frombuffer(raw, np.float64, 2 * n), np.frombuffer(raw, np.int64, n, 16 * n).astype(np.float64)]
-                    total = part if total is None else total + part
-                else:
+                    raw, here = batch.column("sums")[i].as_buffer(), _array(batch.column("here")[i], np.uint16)
+                    n = len(here)
+                    total[:2, here] += np.frombuffer(raw, np.float64, 2 * n).reshape(2, n)
+                    total[2, here] += np.frombuffer(raw, np.int64, n, 16 * n)
+                else:  # bucket -1: the first of the batch
                     docs = (_from_stream(batch.column("doc_ids")[i].as_buffer()), *(_array(batch.column(n)[i], k) for n, k in (("held", np.uint8), ("lengths", np.int64))))
+                    total = np.zeros((3, len(docs[0])))
         if at is not None:
             yield rows(total, *docs)
 

@@ -131,3 +131,15 @@ def test_restaurants_against_enumerated_seatings():
     p /= p.sum()
     want = sum(q * np.array(s) for q, s in zip(p, states))
     assert np.abs(mean - want).max() < 0.12
+
+
+def test_what_is_packed_grows_with_the_occurrences_alone(spark):
+    """Neither batches nor buckets repeat what is known of documents."""
+    from pyspark.sql import functions as F
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(2000)).cast("string")) for k in range(30)]).alias("text"))
+    size = sum((F.coalesce(F.length(c), F.lit(0)) for c in ("docs", "contexts", "held", "lengths")), F.lit(0))
+    bytes_ = {n: pitman_yor.packed(docs.coalesce(1), n).agg(F.sum(size)).first()[0] for n in (16, 256, 4096)}
+    assert len(set(bytes_.values())) == 1  # four bytes an occurrence, nine a document
+    occurrences = 3000 * 31
+    assert bytes_[16] == 4 * occurrences + 9 * 3000
