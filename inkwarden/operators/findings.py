@@ -233,3 +233,48 @@ def coverage_notes(posts: Column, invalid: Column, outside: Column, expected: Co
         F.when(F.coalesce(missing, F.lit("")) != "", F.concat(F.lit("known_missing:"), missing)),
     ]
     return F.filter(F.array(*notes), lambda n: n.isNotNull())
+
+
+#: What a result over a whole archive names as its reasons, in order, and how much of a post its examples show.
+ARCHIVE_REASONS = ("internal_exact", "internal_near", "repost_record", "quote_source_missing", "text_incomplete", "missing_text", "media_reference_only", "media_same_hash", "media_content_unchecked", "repeated_engagement_phrase")
+EXAMPLES, EXAMPLE_CHARS, EXAMPLE_REASONS = 12, 240, 4
+
+
+def archive_result(posts: DataFrame, found: DataFrame) -> DataFrame:
+    """One row over an archive of any size: counts, shares, reasons with the posts that they hold for, and the gravest posts as examples.
+
+    Findings become one row a post with its codes, which is written; every count is one
+    aggregate over it, and the examples are the first of a partial top-k. Without a
+    reason, ``no_internal_match`` holds for all comparable posts. Shares are null of none.
+    """
+    codes = found.groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    narrow = statuses(posts, found).join(codes, "id", "left").select(
+        "id", "ord", "url", "type", "status", F.coalesce("codes", F.array().cast("array<string>")).alias("codes"), F.substring("text", 1, EXAMPLE_CHARS).alias("text"),
+        F.size("media").alias("media"), F.size(F.filter("media", lambda m: m["hash"] != "")).alias("hashed"),
+        ((F.col("type") != "repost") & F.coalesce("text_complete", F.lit(False)) & (F.length("clean") >= COMPARABLE)).alias("able"),
+    )
+    rows = stage(narrow, "archive-posts")
+    has = lambda code: F.array_contains("codes", code)
+    counted = rows.agg(
+        F.count("*").alias("total"),
+        *[F.count_if(F.col("type").isin(*kinds)).alias(name) for name, kinds in (("posts", ("original", "article")), ("replies", ("reply",)), ("reposts", ("repost",)), ("quotes", ("quote",)))],
+        *[F.count_if(F.col("status") == s).alias(s) for s in STATUSES],
+        F.count_if("able").alias("nonduplicate_denominator"),
+        F.count_if(F.col("able") & ~has("internal_exact") & ~has("internal_near")).alias("nonduplicate_numerator"),
+        F.count_if((F.col("type") != "repost") & ~F.col("able")).alias("comparison_excluded"),
+        F.coalesce(F.sum("media"), F.lit(0)).alias("media_references"),
+        F.coalesce(F.sum("hashed"), F.lit(0)).alias("hashed_media"),
+        *[F.count_if(has(c)).alias(f"_{c}") for c in ARCHIVE_REASONS],
+    )
+    told = F.filter(F.array(*[F.struct(F.lit(c).alias("code"), F.col(f"_{c}").alias("posts")) for c in ARCHIVE_REASONS]), lambda r: r["posts"] > 0)
+    none = F.array(F.struct(F.lit("no_internal_match").alias("code"), F.col("nonduplicate_denominator").alias("posts")))
+    share = lambda part, whole: F.when(F.col(whole) > 0, F.round(100 * F.col(part) / F.col(whole), 1))
+    summed = counted.withColumns({
+        "nonduplicate_percent": share("nonduplicate_numerator", "nonduplicate_denominator"),
+        "media_completeness_percent": share("hashed_media", "media_references"),
+        "reasons": F.when(F.size(told) > 0, told).otherwise(none),
+    })
+    grave = F.array_position(F.array(*map(F.lit, STATUSES)), F.col("status"))
+    first = rows.orderBy(grave, "ord").limit(EXAMPLES).select(F.struct(grave.alias("grave"), "ord", "id", "url", "status", "text", F.slice("codes", 1, EXAMPLE_REASONS).alias("codes")).alias("e"))
+    examples = first.agg(F.transform(F.array_sort(F.collect_list("e")), lambda e: F.struct(e["id"].alias("id"), e["url"].alias("url"), e["status"].alias("status"), e["text"].alias("text"), e["codes"].alias("codes"))).alias("examples"))
+    return summed.drop(*[f"_{c}" for c in ARCHIVE_REASONS]).crossJoin(examples)  # one row each

@@ -256,20 +256,25 @@ def near_duplicates(posts: DataFrame) -> DataFrame:
 
 
 def contained(posts: DataFrame, sources: DataFrame, sent: int = SENT_GRAMS) -> DataFrame:
-    """Posts (id, text) in sources (source_id, text): the share of a post's grams, from ``PARTIAL`` on.
+    """Posts (id, text) in sources (source_id, text): the share of a post's grams, from ``PARTIAL`` on."""
+    side = lambda df, key: df.select(key, clean(F.col("text")).alias("clean")).where(F.length("clean") >= COMPARABLE)
+    return shares(side(posts, "id"), side(sources, "source_id"), PARTIAL, sent)
 
-    Posts of up to ``sent`` grams go to the sources, which are read once and stay
-    where they are. More posts meet the sources by their rarest grams.
+
+def shares(asked: DataFrame, sources: DataFrame, least: float, sent: int = SENT_GRAMS) -> DataFrame:
+    """id, source_id and overlap: the share of the grams of ``asked`` (id, clean) that each of ``sources`` (source_id, clean) has, from ``least`` on.
+
+    Texts of up to ``sent`` grams go to the sources, which are read once and stay
+    where they are. More of them meet the sources by their rarest grams.
     """
-    side = lambda df, key: with_grams(df.select(key, clean(F.col("text")).alias("clean")).where(F.length("clean") >= COMPARABLE)).drop("clean")
-    left = stage(side(posts, "id"), "contained-posts")
+    left = stage(with_grams(asked).drop("clean"), "contained-posts")
     if (left.agg(F.sum(F.size("grams"))).first()[0] or 0) <= sent:
-        return _counted_in_place(left, side(sources, "source_id"))
-    return _by_rare_grams(left, stage(side(sources, "source_id"), "contained-sources"))
+        return _counted_in_place(left, with_grams(sources).drop("clean"), least)
+    return _by_rare_grams(left, stage(with_grams(sources).drop("clean"), "contained-sources"), least)
 
 
-def _counted_in_place(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Counts, source by source, how many grams of each post it has."""
+def _counted_in_place(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """Counts, source by source, how many grams of each text it has."""
     rows = left.select(F.monotonically_increasing_id().alias("at"), "id", "grams").orderBy("at").collect()  # within the bound on grams
     schema = f"id {left.schema['id'].dataType.simpleString()}, source_id {right.schema['source_id'].dataType.simpleString()}, overlap double"
     ids = pa.array([r["id"] for r in rows], to_arrow_type(left.schema["id"].dataType))
@@ -294,7 +299,7 @@ def _counted_in_place(left: DataFrame, right: DataFrame) -> DataFrame:
                 many = ends[at] - starts[at]
                 spots = np.repeat(starts[at] - np.r_[0, np.cumsum(many)[:-1]], many) + np.arange(many.sum()) if len(at) else np.zeros(0, np.int64)
                 share = np.bincount(owners[spots], minlength=len(n)) / np.maximum(n, 1)
-                good = np.flatnonzero(share >= PARTIAL)
+                good = np.flatnonzero((share >= least) & (n > 0))
                 found.append(good)
                 where.append(np.full(len(good), k))
                 shares.append(share[good])
@@ -303,14 +308,14 @@ def _counted_in_place(left: DataFrame, right: DataFrame) -> DataFrame:
     return right.mapInArrow(run, schema)
 
 
-def _by_rare_grams(left: DataFrame, right: DataFrame) -> DataFrame:
-    """A post's rarest grams are few enough for one of them to be in any source that has half of its grams."""
+def _by_rare_grams(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """A text's rarest grams, so many that one of them is in any source with enough of its grams."""
     asked = left.select("id", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     known = asked.select("gram").distinct()
     held = right.select("source_id", F.explode("grams").alias("gram")).join(known, "gram", "left_semi")
     frequency = held.groupBy("gram").agg(F.count("*").alias("df"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), "gram"))
-    first = asked.join(frequency, "gram", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * PARTIAL) + 1).select("id", "gram")
+    first = asked.join(frequency, "gram", "left").withColumn("rank", rank).where(F.col("rank") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1).select("id", "gram")
     pairs = first.join(held, "gram").select("id", "source_id").distinct()
     met = pairs.join(left, "id").join(right.withColumnRenamed("grams", "other"), "source_id")
-    return met.select("id", "source_id", (F.size(F.array_intersect("grams", "other")) / F.size("grams")).alias("overlap")).where(F.col("overlap") >= PARTIAL)
+    return met.select("id", "source_id", (F.size(F.array_intersect("grams", "other")) / F.size("grams")).alias("overlap")).where(F.col("overlap") >= least)

@@ -122,7 +122,10 @@ def near_reasons(spark, sf_dir):
     return findings.near_reasons(near.near_pairs(fixture_posts(spark, sf_dir))).select("id", "other", "place", "total")
 
 
-@query(f"WITH $POSTS, {_NEAR_SQL}, {FINDINGS_SQL.replace('found0 AS (', 'found0 AS (SELECT DISTINCT id, $REVIEW AS level, $CODE AS code FROM near_sides UNION ALL ', 1).replace('$REVIEW', chr(39) + 'review' + chr(39)).replace('$CODE', chr(39) + 'internal_near' + chr(39))}, {STATUS_SQL}, near_c AS (SELECT id, count(*) AS near FROM near_sides GROUP BY id) SELECT stat.id, status, coalesce(near, 0) AS near FROM stat LEFT JOIN near_c USING (id)")
+_NEAR_FINDINGS_SQL = FINDINGS_SQL.replace("found0 AS (", "found0 AS (SELECT DISTINCT id, 'review' AS level, 'internal_near' AS code FROM near_sides UNION ALL ", 1)
+
+
+@query(f"WITH $POSTS, {_NEAR_SQL}, {_NEAR_FINDINGS_SQL}, {STATUS_SQL}, near_c AS (SELECT id, count(*) AS near FROM near_sides GROUP BY id) SELECT stat.id, status, coalesce(near, 0) AS near FROM stat LEFT JOIN near_c USING (id)")
 def near_statuses(spark, sf_dir):
     """Statuses where near-duplicates, by Jaccard similarity, are findings too, and how many each post has."""
     p = fixture_posts(spark, sf_dir)
@@ -131,6 +134,27 @@ def near_statuses(spark, sf_dir):
     return findings.statuses(p, found).join(total, "id", "left").select("id", "status", F.coalesce("near", F.lit(0)).alias("near"))
 
 
+_REASONS_SQL = ", ".join(f"({k}, '{c}')" for k, c in enumerate(findings.ARCHIVE_REASONS))
+
+
+@query(f"""WITH $POSTS, {_NEAR_SQL}, {_NEAR_FINDINGS_SQL}, {STATUS_SQL},
+able AS (SELECT id, id IN (SELECT id FROM found WHERE code IN ('internal_exact', 'internal_near')) AS dup FROM posts WHERE type <> 'repost' AND text_complete AND length(clean) >= 24),
+told AS (SELECT k, code, count(DISTINCT id) AS n FROM found JOIN (VALUES {_REASONS_SQL}) v(k, code) USING (code) GROUP BY ALL),
+ex AS (SELECT stat.id, status, row_number() OVER (ORDER BY CASE status WHEN 'high_risk' THEN 1 WHEN 'insufficient' THEN 2 WHEN 'review' THEN 3 ELSE 4 END, ord) AS k, list_sort(list(DISTINCT found.code))[1:4] AS codes FROM stat LEFT JOIN found USING (id) GROUP BY stat.id, status, ord)
+SELECT (SELECT count(*) FROM posts) AS total, (SELECT count(*) FROM posts WHERE type IN ('original', 'article')) AS posts, (SELECT count(*) FROM posts WHERE type = 'reply') AS replies, (SELECT count(*) FROM posts WHERE type = 'repost') AS reposts, (SELECT count(*) FROM posts WHERE type = 'quote') AS quotes,
+  (SELECT count(*) FROM stat WHERE status = 'high_risk') AS high_risk, (SELECT count(*) FROM stat WHERE status = 'insufficient') AS insufficient, (SELECT count(*) FROM stat WHERE status = 'review') AS review, (SELECT count(*) FROM stat WHERE status = 'low_signal') AS low_signal,
+  (SELECT count(*) FROM able) AS nonduplicate_denominator, (SELECT count(*) FROM able WHERE NOT dup) AS nonduplicate_numerator, (SELECT count(*) FROM posts WHERE type <> 'repost') - (SELECT count(*) FROM able) AS comparison_excluded,
+  0::BIGINT AS media_references, 0::BIGINT AS hashed_media, (SELECT round(100 * count(*) FILTER (NOT dup) / nullif(count(*), 0), 1) FROM able) AS nonduplicate_percent, NULL::DOUBLE AS media_completeness_percent,
+  (SELECT string_agg(code || ':' || n, ',' ORDER BY k) FROM told) AS reasons, (SELECT string_agg(id || ':' || status || ':' || array_to_string(codes, '+'), ',' ORDER BY k) FROM ex WHERE k <= 12) AS examples""")
+def archive_result(spark, sf_dir):
+    """The compact result over all posts, near-duplicates by Jaccard similarity among its reasons."""
+    p = fixture_posts(spark, sf_dir)
+    out = findings.archive_result(p, findings.findings(p, near.near_pairs(p), phrases=PHRASES))
+    reasons = F.array_join(F.transform("reasons", lambda r: F.concat(r["code"], F.lit(":"), r["posts"].cast("string"))), ",")
+    examples = F.array_join(F.transform("examples", lambda e: F.concat_ws(":", e["id"], e["status"], F.array_join(e["codes"], "+"))), ",")
+    return out.withColumns({"reasons": reasons, "examples": examples})
+
+
 @query("""WITH c AS (SELECT 'd' || doc_id AS id, regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), 'https?://\\S+', '', 'g'), '[^\\p{L}\\p{N}]+', '', 'g') AS clean FROM documents
   UNION ALL SELECT 'b' || item_id, regexp_replace(regexp_replace(replace(lower(text), 'ß', 'ss'), 'https?://\\S+', '', 'g'), '[^\\p{L}\\p{N}]+', '', 'g') FROM benchmark),
 g AS (SELECT DISTINCT id, hash(substr(clean, i, 4)) AS g FROM (SELECT id, clean, unnest(generate_series(1, length(clean) - 3)) AS i FROM c WHERE length(clean) >= 24)),
@@ -340,13 +364,17 @@ _FLAT = r"trim(regexp_replace(regexp_replace(text, 'https?://\S+', '', 'g'), '\s
 _CL = r"length(regexp_replace(replace(lower(regexp_replace({}, 'https?://\S+', '', 'g')), 'ß', 'ss'), '[^\p{{L}}\p{{N}}]+', '', 'g'))"
 
 
-@query(rf"""WITH f AS (SELECT doc_id, {_FLAT} AS flat FROM documents), p AS (SELECT doc_id, flat, i, trim(ps[i]) AS p FROM (SELECT doc_id, flat, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT *, string_split_regex(flat, '[。！？.!?\n]') AS ps FROM f))),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {_CL.format('p')} DESC, i) AS k FROM p WHERE {_CL.format('p')} >= 24),
-c AS (SELECT f.doc_id, f.flat, coalesce(list(p ORDER BY i) FILTER (k <= 2), [f.flat]) AS ps FROM f LEFT JOIN r USING (doc_id) GROUP BY f.doc_id, f.flat),
-q AS (SELECT doc_id, flat, [y for y in [array_to_string(string_split_regex(trim(substr(x, 1, 180)), '\s+')[1:24], ' ') for x in ps] if y <> ''] AS qs FROM c),
-u AS (SELECT doc_id, flat, CASE WHEN len(qs) = 2 AND qs[1] = qs[2] THEN qs[1:1] ELSE qs END AS qs FROM q),
-v AS (SELECT doc_id, CASE WHEN len(qs) = 1 AND length(flat) > 300 THEN list_concat(qs, [substr(flat, length(flat) // 2 + 1, 180)]) ELSE qs END AS qs FROM u)
-SELECT doc_id, len(qs)::INT AS n, array_to_string(qs, '|') AS queries FROM v""")
+def _fragments_sql(table: str, key: str) -> str:
+    """WITH terms that end in v: ``key`` and qs, the search queries of each row of ``table``."""
+    return rf"""f AS (SELECT {key}, {_FLAT} AS flat FROM {table}), p AS (SELECT {key}, flat, i, trim(ps[i]) AS p FROM (SELECT {key}, flat, ps, unnest(generate_series(1, len(ps))) AS i FROM (SELECT *, string_split_regex(flat, '[。！？.!?\n]') AS ps FROM f))),
+r AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {_CL.format('p')} DESC, i) AS k FROM p WHERE {_CL.format('p')} >= 24),
+c AS (SELECT f.{key}, f.flat, coalesce(list(p ORDER BY i) FILTER (k <= 2), [f.flat]) AS ps FROM f LEFT JOIN r USING ({key}) GROUP BY f.{key}, f.flat),
+q AS (SELECT {key}, flat, [y for y in [array_to_string(string_split_regex(trim(substr(x, 1, 180)), '\s+')[1:24], ' ') for x in ps] if y <> ''] AS qs FROM c),
+u AS (SELECT {key}, flat, CASE WHEN len(qs) = 2 AND qs[1] = qs[2] THEN qs[1:1] ELSE qs END AS qs FROM q),
+v AS (SELECT {key}, CASE WHEN len(qs) = 1 AND length(flat) > 300 THEN list_concat(qs, [substr(flat, length(flat) // 2 + 1, 180)]) ELSE qs END AS qs FROM u)"""
+
+
+@query(f"WITH {_fragments_sql('documents', 'doc_id')} SELECT doc_id, len(qs)::INT AS n, array_to_string(qs, '|') AS queries FROM v")
 def search_fragments(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.search_fragments(F.col("text")).alias("q")).select("doc_id", F.size("q").alias("n"), F.array_join("q", "|").alias("queries"))
 
@@ -485,6 +513,50 @@ def excerpt_authentication(spark, sf_dir):
     return web.authenticated(excerpts, p.select(key.alias("url"), F.col("html").alias("text"))).select("page_id", "excerpt", "authentic")
 
 
+_CLEANED = _CL.replace("length(", "(", 1)
+
+
+@query(rf"""WITH {_fragments_sql('benchmark', 'item_id')},
+t AS (SELECT 'q' || item_id || ':' || i AS k, item_id, i, {_CLEANED.format('q')} AS c FROM (SELECT item_id, unnest(generate_series(0, len(qs) - 1)) AS i, unnest(qs) AS q FROM v)),
+d AS (SELECT 'd' || doc_id AS k, {_CLEANED.format('substr(text, 1, 100000)')} AS c FROM documents),
+g AS (SELECT DISTINCT k, hash(CASE WHEN length(c) >= 4 THEN substr(c, x, 4) ELSE c END) AS g FROM (SELECT k, c, unnest(generate_series(1, greatest(length(c) - 3, 1))) AS x FROM (SELECT k, c FROM t UNION ALL SELECT k, c FROM d) WHERE c <> '')),
+n AS (SELECT k, count(*) AS n FROM g GROUP BY k),
+s AS (SELECT a.k, b.k AS page, count(*) / n AS share FROM g a JOIN n USING (k) JOIN g b ON a.g = b.g AND b.k[1] = 'd' WHERE a.k[1] = 'q' GROUP BY a.k, b.k, n),
+o AS (SELECT k, page, row_number() OVER (PARTITION BY k ORDER BY share DESC, substr(page, 2)::BIGINT) AS rank FROM s WHERE share >= 0.4),
+m AS (SELECT t.item_id AS id, substr(page, 2)::BIGINT AS page_id, min({{'rank': rank, 'i': i}}) AS turn FROM o JOIN t USING (k) WHERE rank <= 5 GROUP BY ALL)
+SELECT * FROM (SELECT id, page_id, (row_number() OVER (PARTITION BY id ORDER BY turn))::INT AS place FROM m) WHERE place <= 5""")
+def search_sources(spark, sf_dir):
+    """Benchmark items as posts, documents as the pages that a search knows."""
+    pages = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
+    return web.retrieved(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text"), pages)
+
+
+#: Fixed link forms of the address rule: usual and wrong ports, user data, private and odd hosts, other schemes.
+_LINKS = ("https://{}.example.org/a", "http://{}.example.org:80/", "https://{}.example.org:8443/", "https://u:p@{}.example.org/", "http://10.0.0.{}/x", "http://127.0.0.1/{}", "https://{}.internal/x", "http://localhost:80/{}", "ftp://{}.example.org/", "http://93.184.216.{}/", "https://{}", "http://[::1]/{}", "http://169.254.1.{}/")
+_LINK_PUBLIC = (True, True, False, False, False, False, False, False, False, True, False, False, False)
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(_LINKS)} {' '.join(f'WHEN {k} THEN {str(v).lower()}' for k, v in enumerate(_LINK_PUBLIC))} END AS public FROM documents")
+def link_rules(spark, sf_dir):
+    """Links of every form, numbered by their documents."""
+    forms = F.get(F.array(*map(F.lit, _LINKS)), F.pmod("doc_id", F.lit(len(_LINKS))).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", web.public_url(F.replace(forms, F.lit("{}"), F.concat(F.lit(""), (F.col("doc_id") % 200 + 1).cast("string")))).alias("public"))
+
+
+#: Fixed JSON forms, by whether they are strict.
+_JSON = ('{{"a": 1, "b": {t}}}', '{{"a": 1, "a": {t}}}', '[NaN, {t}]', '{{"a": {{"x": 1, "x": 2}}, "b": {t}}}', '[Infinity]', '[{t}, {t}]', '{{"a": {t},}}', '-Infinity', '{t}')
+_JSON_STRICT = (True, False, False, False, False, True, False, False, True)
+
+
+@query(f"SELECT doc_id, CASE doc_id % {len(_JSON)} {' '.join(f'WHEN {k} THEN {str(v).lower()}' for k, v in enumerate(_JSON_STRICT))} END AS strict FROM documents WHERE text IS NOT NULL")
+def json_rules(spark, sf_dir):
+    """Documents' texts as values in JSON with repeated keys, numbers that are none, and broken ends."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL")
+    value = F.expr("substring(to_json(array(text)), 2, length(to_json(array(text))) - 2)")
+    forms = F.get(F.array(*[F.lit(f.format(t="{t}")) for f in _JSON]), F.pmod("doc_id", F.lit(len(_JSON))).cast("int"))
+    return d.select("doc_id", web.strict_json(F.replace(forms, F.lit("{t}"), value)).alias("strict"))
+
+
 # ---------------------------------------------------------------- rows only
 
 

@@ -300,3 +300,55 @@ def test_grams_of_long_texts(spark):
         t = texts[r["k"]]
         want = list(dict.fromkeys(t[i : i + 4] for i in range(len(t) - 3))) if len(t) >= 4 else [t] * bool(t)
         assert r["g"] == want
+
+
+def test_archive_result_counts_and_examples(spark):
+    near_copy = LONG.replace("背景说明", "背景资料")
+    rows = [{"text": LONG}, {"text": LONG}, {"text": LONG + near_copy}, {"text": LONG, "type": "repost"}, {"text": "短"}, {"text": "", "type": "quote"}]
+    rows += [{"text": f"第{i}条完全不同的文字，" + "".join(chr(0x4E00 + (i * 37 + k * k) % 5000) for k in range(40))} for i in range(20)]
+    p = make(spark, rows)
+    pairs = spark.createDataFrame([("3", "1", 0.9)], "id string, other string, similarity double")
+    r = findings.archive_result(p, findings.findings(p, pairs)).first()
+    assert (r["total"], r["posts"], r["reposts"], r["quotes"]) == (26, 24, 1, 1)
+    assert (r["nonduplicate_denominator"], r["nonduplicate_numerator"], r["comparison_excluded"], r["nonduplicate_percent"]) == (23, 20, 2, 87.0)
+    assert [tuple(x) for x in r["reasons"]] == [("internal_exact", 2), ("internal_near", 2), ("repost_record", 1), ("quote_source_missing", 1), ("missing_text", 1)]
+    assert len(r["examples"]) == 12 and [e["id"] for e in r["examples"][:5]] == ["1", "2", "6", "3", "4"] and r["media_completeness_percent"] is None
+    clear = make(spark, rows[6:])
+    assert [tuple(x) for x in findings.archive_result(clear, findings.findings(clear)).first()["reasons"]] == [("no_internal_match", 20)]
+    empty = findings.archive_result(p.limit(0), findings.findings(p.limit(0))).first()
+    assert empty["total"] == 0 and empty["nonduplicate_percent"] is None and empty["examples"] == []
+
+
+@pytest.mark.parametrize("sent", [0, 1 << 21])
+def test_search_against_exhaustive_ranking(spark, sent):
+    import random
+
+    from inkwarden.functions import text as T
+    from inkwarden.operators import web
+
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 8))) for _ in range(60)]
+    sentence = lambda: " ".join(rng.choice(words) for _ in range(9))
+    items = [". ".join(sentence() for _ in range(4)) + "." for _ in range(8)]
+    pages = [" ".join(sentence() for _ in range(rng.randint(2, 60))) for _ in range(40)]
+    for i, text in enumerate(items):  # a page with half an item word for word, the rest of other words
+        pages[i] = pages[i][:200] + " " + text[: len(text) // 2 + 20] + " " + pages[i][:100]
+    posts_ = spark.createDataFrame(list(enumerate(items)), "id int, text string")
+    held = spark.createDataFrame(list(enumerate(pages)), "page_id int, text string")
+    fragments = {r["id"]: r["q"] for r in posts_.select("id", T.search_fragments(F.col("text")).alias("q")).collect()}
+    want = {}
+    for i, queries in fragments.items():
+        ranked = []
+        for k, q in enumerate(queries):
+            g = _grams(T.clean_value(q))
+            shares = sorted((-len(g & _grams(T.clean_value(p))) / len(g), j) for j, p in enumerate(pages))
+            ranked += [(rank, k, j) for rank, (s, j) in enumerate(x for x in shares if x[0] <= -0.4) if rank < 5]
+        order = []
+        for _, _, j in sorted(ranked):
+            if j not in order:
+                order.append(j)
+        want |= {(i, j): k + 1 for k, j in enumerate(order[:5])}
+    got = {(r["id"], r["page_id"]): r["place"] for r in web.retrieved(posts_, held, sent=sent).collect()}
+    assert got == want
+    held_whole = [i for i in range(8) if any(q in pages[i] for q in fragments[i])]
+    assert len(held_whole) > 3 and all((i, i) in got for i in held_whole)
