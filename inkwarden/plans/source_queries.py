@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from inkwarden.operators import findings, posts, web
 from inkwarden.plans.queries import fixture_status, query, table
 from inkwarden.sources import normalize, readers
+from inkwarden.streaming import budgets
 
 def k() -> Column:
     return F.col("doc_id")
@@ -131,13 +132,14 @@ def path_rules(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", readers.safe_path(path).alias("safe"), readers.private_path(path).alias("private"), readers.public_path(path).alias("public"), readers.archive_path(path).alias("archive"))
 
 
-@query("SELECT count(*) > 150 AS refused, count(*) AS posts, max(length(text)) AS longest FROM documents")
+@query("SELECT count(*) > 150 AS refused, sum(length(text)) > 1000000 AS too_much, count(*) AS posts, max(length(text)) AS longest, sum(length(text))::BIGINT AS total FROM documents")
 def input_limits(spark, sf_dir):
-    """Whether a limit on posts refuses the input as a whole, next to what it is held against."""
+    """Whether limits on posts and on all their texts refuse the input as a whole, next to what they are held against."""
     rows = records(spark, sf_dir, id=k().cast("string"), text=F.col("text"))
     texts = rows.select(F.coalesce(normalize.field("record", "text"), F.lit("")).alias("text"))
-    found = texts.agg(F.count("*").alias("posts"), F.max(F.length("text")).cast("long").alias("longest"))
-    return found.select(normalize.over_limit(readers.Limits(posts=150), posts=F.col("posts"), longest=F.col("longest")).alias("refused"), "posts", "longest")
+    found = texts.agg(F.count("*").alias("posts"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text")).alias("total"))
+    refused = lambda limits: normalize.over_limit(limits, posts=F.col("posts"), longest=F.col("longest"), total=F.col("total"))
+    return found.select(refused(readers.Limits(posts=150)).alias("refused"), refused(readers.Limits(total_chars=1_000_000)).alias("too_much"), "posts", "longest", "total")
 
 
 # ---------------------------------------------------------------- fields
@@ -292,6 +294,38 @@ def form_files(spark, sf_dir):
     return out.select("id", "url", "text", "type", "thread_id", "thread_order", listed(F.transform("sources", lambda s: s["text"])).alias("sources"), "contribution")
 
 
+@query("""SELECT 'f' || doc_id || '.md' AS file, place::INT AS place, 'https://x.com/u' || doc_id || '/status/' || (doc_id * 10 + place) AS url FROM documents, range(3) r(place) WHERE place < doc_id % 4""")
+def form_candidates(spark, sf_dir):
+    """Up to three candidates a form, between links that are none and links of other parts."""
+    n = k().cast("string")
+    links = F.array_join(F.transform(F.slice(F.array(F.lit(0), F.lit(1), F.lit(2)), 1, (k() % 4).cast("int")), lambda p: F.concat(F.lit("1. https://x.com/u"), n, F.lit("/status/"), (k() * 10 + p).cast("string"), F.lit(" and https://e.org/status/1"))), "\n")
+    text = F.concat(F.lit("## 一、\nhttps://x.com/other/status/1\n## 二、申请候选\n"), links, F.lit("\n## 三、\nhttps://x.com/other/status/2\n"))
+    return readers.form_candidates(table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), n, F.lit(".md")).alias("file"), text.alias("text")))
+
+
+@query("""SELECT 'f' || doc_id || '.md' AS file, CASE WHEN doc_id % 5 = 0 THEN 'blank_form' ELSE 'source_unmatched' END AS fault, CASE WHEN doc_id % 5 <> 0 THEN 'https://x.org/none' || doc_id END AS target FROM documents WHERE doc_id % 5 = 0 OR doc_id % 3 = 1""")
+def form_faults(spark, sf_dir):
+    """Forms without a post that is filled in, and source records that name no post."""
+    n = k().cast("string")
+    body = F.when(k() % 5 == 0, F.lit("")).otherwise(F.concat(F.lit("- 帖子链接：https://x.org/"), n, F.lit("\n")))
+    target = F.concat(F.when(k() % 3 == 1, F.lit("https://x.org/none")).otherwise("https://x.org/"), n)
+    text = F.concat(F.lit("#### P1\n"), body, F.lit("### 来源记录 S1\n- 对应帖子链接或编号："), target, F.lit("\n"))
+    return readers.form_faults(table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), n, F.lit(".md")).alias("file"), text.alias("text")))
+
+
+@query("""WITH p AS (SELECT doc_id, doc_id::VARCHAR AS id, length(text) AS chars FROM documents WHERE doc_id % 3 <> 2)
+SELECT id, CASE WHEN doc_id % 4 = 0 THEN 'matched' WHEN doc_id % 6 < 3 THEN 'failed' ELSE 'waiting' END AS status, CASE WHEN doc_id % 4 <> 0 AND doc_id % 6 < 3 THEN 'batch_response_unknown,cancelled' ELSE '' END AS issues, chars AS original_chars FROM p""")
+def abandoned_batches(spark, sf_dir):
+    """Planned posts: those with a result, those of a batch that was given up, and those still to send."""
+    planned = table(spark, sf_dir, "documents").where(k() % 3 != 2).select(k().cast("string").alias("id"), F.length("text").cast("long").alias("original_chars"), F.lit(False).alias("text_truncated"))
+    number = F.col("id").cast("long")
+    done = planned.where(number % 4 == 0).select("id", F.lit("matched").alias("status"), "original_chars")
+    lost = budgets.abandoned(done, planned, table(spark, sf_dir, "documents").where(k() % 6 < 3).select(k().cast("string").alias("id")), "cancelled")
+    every = done.withColumn("issues", F.lit("")).unionByName(lost.select("id", "status", "original_chars", F.array_join("issues", ",").alias("issues")))
+    left = budgets.remaining(planned, every)
+    return every.unionByName(left.select("id", F.lit("waiting").alias("status"), "original_chars", F.lit("").alias("issues")))
+
+
 # ---------------------------------------------------------------- findings that need media, sources, threads and evidence
 
 

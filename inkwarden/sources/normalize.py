@@ -176,9 +176,11 @@ def normalize(records: DataFrame, limits: Limits = Limits(), archive: bool = Fal
     return first_wins(complete_schema(within(rows, limits)))
 
 
-def over_limit(limits: Limits, posts: Column, longest: Column) -> Column:
-    """Whether so many posts, the longest text of so many characters, are refused."""
+def over_limit(limits: Limits, posts: Column, longest: Column, total: Column | None = None) -> Column:
+    """Whether so many posts, the longest text of so many characters and all together of ``total``, are refused."""
     out = F.lit(False)
+    if limits.total_chars is not None and total is not None:
+        out = out | (total > limits.total_chars)
     if limits.posts is not None:
         out = out | (posts > limits.posts)
     return out if limits.text_chars is None else out | (longest > limits.text_chars)
@@ -188,9 +190,11 @@ def within(rows: DataFrame, limits: Limits) -> DataFrame:
     """``rows``, or a failure where one is over a limit."""
     if limits.text_chars is not None:
         rows = rows.where(F.assert_true(F.length("text") <= limits.text_chars, F.lit("a text is over the limit")).isNull())
-    if limits.posts is not None:
-        count = rows.agg(F.assert_true(F.count("*") <= limits.posts, F.lit("more posts than the limit")).alias("_ok"))
-        rows = rows.join(F.broadcast(count)).where("_ok IS NULL").drop("_ok")
+    whole = [(limits.posts, F.count("*"), "more posts than the limit"), (limits.total_chars, F.coalesce(F.sum(F.length("text")), F.lit(0)), "the texts together are over the limit")]
+    for most, measured, fault in whole:
+        if most is not None:
+            one = rows.agg(F.assert_true(measured <= most, F.lit(fault)).alias("_ok"))
+            rows = rows.join(F.broadcast(one)).where("_ok IS NULL").drop("_ok")
     return rows
 
 

@@ -30,6 +30,7 @@ class Limits:
     zip_entries: int | None = 5000
     posts: int | None = None
     text_chars: int | None = None
+    total_chars: int | None = None  # of all texts together
 
 
 # ---------------------------------------------------------------- paths
@@ -266,6 +267,32 @@ def parse_form(text: str) -> tuple[list[dict], list[dict]]:
     return posts, sources
 
 
+#: Where a form lists its candidates, and what a candidate's link looks like.
+CANDIDATES_HEADING, CANDIDATES_END = "## 二、申请候选", "## 三、"
+CANDIDATE_LINK = r"https?://(?:www\.)?(?:x|twitter)\.com/[^\s\u3000]+/status/\d+"
+
+
+def form_candidates(texts: DataFrame) -> DataFrame:
+    """file, place and url of the posts that a form puts forward, in its order."""
+    part = F.when(F.contains("text", F.lit(CANDIDATES_HEADING)), F.split_part(F.split_part("text", F.lit(CANDIDATES_HEADING), F.lit(2)), F.lit(CANDIDATES_END), F.lit(1))).otherwise("")
+    return texts.select("file", F.posexplode(F.regexp_extract_all(part, F.lit(CANDIDATE_LINK), F.lit(0))).alias("place", "url"))
+
+
+def form_faults(texts: DataFrame) -> DataFrame:
+    """file, fault and target: ``blank_form`` where no post is filled in, ``source_unmatched`` for a source record that names no post of its form."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                posts, sources = parse_form(text or "")
+                named = {p[k] for p in posts for k in ("id", "material_id", "url")}
+                rows += [(file, "blank_form", None)] if not posts else [(file, "source_unmatched", s["target"]) for s in sources if s["target"] not in named]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.string()) for k in range(3)], names=["file", "fault", "target"])
+
+    return texts.select("file", "text").mapInArrow(run, "file string, fault string, target string")
+
+
 #: Labels of the form's first part, each with the names that it may have.
 SCOPE_FORM = {
     "account": ("账号链接或 @用户名", "账号"), "timezone": ("时区（账号评估必填；仅样本初评可填“不适用”）", "时区"), "complete": ("是否包含该期间全部本人发帖",),

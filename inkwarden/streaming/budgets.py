@@ -34,6 +34,22 @@ class Budget:
         return granted
 
 
+def _folded(limit: int, span: float):
+    """Grants over a stream sorted by owner and time: what an owner was granted in the last span is all that is kept."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, budget = object(), Budget(limit, span)
+        for rows in frames:
+            granted = []
+            for owner, at, n in zip(rows["owner"], rows["at"], rows["n"], strict=True):
+                if owner != now:
+                    now, budget = owner, Budget(limit, span)
+                granted.append(budget.reserve(at, int(n)))
+            yield rows.assign(granted=granted)
+
+    return run
+
+
 def _granted(budget: Budget, rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values(["at", "request"], kind="stable")
     return rows.assign(granted=[budget.reserve(t, int(n)) for t, n in zip(rows["at"], rows["n"], strict=True)])
@@ -45,10 +61,11 @@ REQUESTS = "owner string, request long, at double, n long, granted boolean"
 def greedy(requests: DataFrame, limit: int, span: float = HOUR) -> DataFrame:
     """``requests`` (owner, request, at in seconds, n) with ``granted``, each owner in order of time.
 
-    The fold carries a deque over an owner's requests, which a group brings to
-    one task; owners are many and an owner's rate is what the budget bounds.
+    An owner's requests stream by in order of time, sorted on disk where they are
+    many; memory holds the grants of the last span alone, which ``limit`` bounds.
     """
-    return requests.groupBy("owner").applyInPandas(lambda rows: _granted(Budget(limit, span), rows)[["owner", "request", "at", "n", "granted"]], REQUESTS)
+    ordered = requests.select("owner", "request", "at", "n").repartition("owner").sortWithinPartitions("owner", "at", "request")
+    return ordered.mapInPandas(_folded(limit, span), REQUESTS)
 
 
 def greedy_stream(requests: DataFrame, limit: int, span: float = HOUR) -> DataFrame:
@@ -77,23 +94,53 @@ def rolling_usage(events: DataFrame, by: str, ts: str = "ts", span: str = "INTER
 def upserting(table_path: str, key: str = "id"):
     """A ``foreachBatch`` function that keeps the newest result of each key in alternating Parquet folders.
 
-    A batch that was written already is not applied again.
+    A batch that was written already is not applied again: a folder counts from the
+    moment that its ``_SUCCESS`` is there. A batch that was stopped midway is written
+    anew. Folders older than the last two are removed.
     """
 
     def apply(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table_path)
         fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = sorted(int(s.getPath().getName().removeprefix("v")) for s in fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v*/_SUCCESS/..")) or []) if fs.exists(path) else []
+        marks = fs.globStatus(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v*/_SUCCESS")) or [] if fs.exists(path) else []
+        done = sorted(int(m.getPath().getParent().getName().removeprefix("v")) for m in marks)
         if number in done:
             return
         last = [n for n in done if n < number]
         old = spark.read.parquet(f"{table_path}/v{last[-1]}") if last else batch.limit(0)
         upsert(old, batch, key).write.mode("overwrite").parquet(f"{table_path}/v{number}")
+        for n in last[:-1]:  # the one before stays, for readers that began with it
+            fs.delete(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table_path}/v{n}"), True)
 
     return apply
 
 
+#: Why a batch that was sent out may be given up.
+GIVEN_UP = ("response_unknown", "cancelled")
+
+
+def abandoned(results: DataFrame, planned: DataFrame, batch: DataFrame, reason: str) -> DataFrame:
+    """Results of a batch that was sent out and of which nothing is known: failed, with ``issues``.
+
+    ``results`` has id; ``planned`` id, original_chars and text_truncated; ``batch`` id.
+    Only planned posts without a result get one: what arrived before stays.
+    """
+    if reason not in GIVEN_UP:
+        raise ValueError(f"a batch is given up for one of {GIVEN_UP}")
+    open_ = planned.join(batch.select("id").distinct(), "id", "left_semi").join(results.select("id"), "id", "left_anti")
+    zero = F.lit(0).cast("long")
+    return open_.select(
+        "id", F.lit("failed").alias("status"), F.lit("unknown").alias("execution_status"), F.array(F.lit("batch_response_unknown"), F.lit(reason)).alias("issues"),
+        "original_chars", zero.alias("checked_chars"), "text_truncated", zero.alias("sources_checked"), zero.alias("matched"), F.lit(None).cast("double").alias("max_similarity"),
+    )
+
+
+def remaining(planned: DataFrame, results: DataFrame) -> DataFrame:
+    """The planned posts that a resumed check still has to send: those without any result, given up or not."""
+    return planned.join(results.select("id").distinct(), "id", "left_anti")
+
+
 def tumbling_counts(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     """Events by type and window with a watermark; an extension that the rules do not need."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("events")).select(F.col("window.start").alias("start"), "event_type", "events")

@@ -51,6 +51,9 @@ def test_limits_fail_as_a_whole(spark):
         normalize.normalize(records(spark, [{"text": "x" * 11}]), readers.Limits(text_chars=10)).collect()
     with pytest.raises(Exception, match="more posts"):
         normalize.normalize(records(spark, [{"text": "a"}, {"text": "b"}]), readers.Limits(posts=1)).collect()
+    with pytest.raises(Exception, match="together"):
+        normalize.normalize(records(spark, [{"text": "abc"}, {"text": "bcd"}]), readers.Limits(total_chars=5)).collect()
+    assert normalize.normalize(records(spark, [{"text": "abc"}, {"text": "bcd"}]), readers.Limits(total_chars=6)).count() == 2
 
 
 def test_files(spark, tmp_path):
@@ -281,3 +284,47 @@ def test_table_with_signs_and_quotes_in_its_texts(sign):
         list(readers.parse_csv("nothing,known\n1,2\n", known))
     with pytest.raises(csv.Error):
         list(readers.parse_csv(f'id{sign}text\n1{sign}"unclosed', known))
+
+
+def test_form_candidates_and_faults(spark):
+    form = "## 一、\nhttps://x.com/a/status/9\n## 二、申请候选\n- https://twitter.com/a/status/1 https://www.x.com/b/status/2\n- https://e.org/status/3\n## 三、\nhttps://x.com/a/status/8"
+    texts = spark.createDataFrame([("a", form), ("b", "#### P1\n- 帖子链接：https://x.org/1\n### 来源记录 S1\n- 对应帖子链接或编号：P2\n### 来源记录 S2\n- 对应帖子链接或编号：P1\n"), ("c", None)], "file string, text string")
+    assert [(r["file"], r["place"], r["url"]) for r in readers.form_candidates(texts).orderBy("place").collect()] == [("a", 0, "https://twitter.com/a/status/1"), ("a", 1, "https://www.x.com/b/status/2")]
+    assert sorted((r["file"], r["fault"], r["target"]) for r in readers.form_faults(texts).collect()) == [("a", "blank_form", None), ("b", "source_unmatched", "P2"), ("c", "blank_form", None)]
+
+
+def test_a_hot_owner_streams_by(spark):
+    rows = [("hot", i, float(i * 7 % 40_000), 1 + i % 2) for i in range(3000)] + [(f"o{i % 5}", 10_000 + i, float(i), 1) for i in range(100)]
+    got = {r["request"]: r["granted"] for r in budgets.greedy(spark.createDataFrame(rows, "owner string, request long, at double, n long"), 6).collect()}
+    want, held = {}, {}
+    for owner, request, at, n in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        held.setdefault(owner, budgets.Budget(6))
+        want[request] = held[owner].reserve(at, n)
+    assert got == want
+
+
+def test_batches_that_are_given_up_keep_what_arrived(spark):
+    planned = spark.createDataFrame([(str(i), 100 + i, i == 2) for i in range(6)], "id string, original_chars long, text_truncated boolean")
+    results = spark.createDataFrame([("1", "matched")], "id string, status string")
+    batch = spark.createDataFrame([("1",), ("2",), ("2",), ("9",)], "id string")
+    lost = budgets.abandoned(results, planned, batch, "response_unknown").collect()
+    assert [(r["id"], r["status"], r["issues"], r["text_truncated"], r["max_similarity"]) for r in lost] == [("2", "failed", ["batch_response_unknown", "response_unknown"], True, None)]
+    left = budgets.remaining(planned, results.select("id").union(batch.where("id = '2'")))
+    assert {r["id"] for r in left.collect()} == {"0", "3", "4", "5"}
+    with pytest.raises(ValueError):
+        budgets.abandoned(results, planned, batch, "bored")
+
+
+def test_stopped_and_repeated_batches_give_one_result(spark, tmp_path):
+    apply = budgets.upserting(f"{tmp_path}/t")
+    part = lambda *rows: spark.createDataFrame(list(rows), "id string, status string, ord long")
+    apply(part(("a", "matched", 1)), 0)
+    (tmp_path / "t" / "v1").mkdir()  # a batch that was stopped: a folder without its mark
+    (tmp_path / "t" / "v1" / "part-0.parquet").write_bytes(b"half a file")
+    for _ in range(2):
+        apply(part(("b", "failed", 2), ("a", "abandoned", 3)), 1)
+    apply(part(("c", "matched", 4)), 2)
+    apply(part(("b", "matched", 5)), 3)
+    got = {(r["id"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/t/v3").collect()}
+    assert got == {("a", "matched"), ("b", "matched"), ("c", "matched")}
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v3"]
