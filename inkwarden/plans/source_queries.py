@@ -6,6 +6,7 @@ fields bear one of their names, with values of one of their forms, by its number
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +14,7 @@ from pyspark.sql.window import Window
 from inkwarden.operators import findings, posts, web
 from inkwarden.plans.queries import fixture_status, query, table
 from inkwarden.sources import normalize, readers
+from inkwarden.session import fresh_path
 from inkwarden.streaming import budgets
 
 def k() -> Column:
@@ -94,6 +96,36 @@ def decoded_texts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(readers.decoded(content)).alias("text"))
 
 
+@query("SELECT doc_id, md5(coalesce(text, '')) AS text, doc_id // 50 AS archive FROM documents")
+def zip_archives(spark, sf_dir):
+    """Archives of fifty documents each, written to the shared folder: two post files, a private one and a picture."""
+    base = fresh_path(spark, "archives").removeprefix("file:")
+
+    def write(batches):
+        import os
+        import zipfile
+
+        os.makedirs(os.path.dirname(base), exist_ok=True)
+        for rows in batches:
+            for row in rows.to_pylist():
+                path = f"{base}-{row['archive']}.zip"
+                with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+                    for part in (0, 1):
+                        z.writestr(f"data/tweets-part{part}.js", f"window.YTD.tweets.part{part} = [{','.join(x['json'] for x in row['items'] if x['doc_id'] % 2 == part)}]")
+                    z.writestr("data/direct-messages.js", "never read")
+                    z.writestr("media/p.png", path)
+                yield pa.RecordBatch.from_arrays([pa.array([path])], names=["path"])
+
+    item = F.to_json(F.struct(F.struct(k().cast("string").alias("id_str"), F.coalesce("text", F.lit("")).alias("full_text")).alias("tweet")))
+    files = table(spark, sf_dir, "documents").groupBy(F.floor(k() / 50).alias("archive")).agg(F.collect_list(F.struct("doc_id", item.alias("json"))).alias("items"))
+    paths = sorted(r["path"] for r in files.mapInArrow(write, "path string").collect())  # a name an archive
+    posts_ = readers.zip_members(spark, paths).where("kind = 'post'")
+    found = readers.records_of(posts_.select(F.concat_ws("#", "file", "member").alias("file"), F.decode("content", "UTF-8").alias("text")), "js")
+    archive = F.regexp_extract("file", r"-(\d+)\.zip#", 1).cast("long")
+    rows = found.select(F.coalesce(normalize.at("record", "$.id_str"), normalize.at("record", "$.tweet.id_str")).cast("long").alias("doc_id"), F.md5(F.coalesce(normalize.at("record", "$.full_text"), normalize.at("record", "$.tweet.full_text"))).alias("text"), archive.alias("archive"))
+    return rows
+
+
 _PART_NAMES = "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'data/tweets.js' WHEN 1 THEN 'data/tweets-part' || doc_id || '.js' WHEN 2 THEN 'posts_Part' || doc_id % 7 || '.JSON' ELSE 'part9/posts.json' END AS file FROM documents"
 
 

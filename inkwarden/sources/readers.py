@@ -10,7 +10,6 @@ import csv
 import io
 import json
 import re
-import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import PurePosixPath
@@ -348,60 +347,18 @@ def form_records(texts: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- ZIP
 
-MEDIA_SUFFIXES = (".jpg", ".jpeg", ".png", ".gif", ".webp", ".mp4", ".mov", ".webm", ".m4v")
-
 
 def zip_members(spark: SparkSession, paths: list[str], limits: Limits = Limits()) -> DataFrame:
     """file, member, size, kind (post or media) and content (text of posts) or sha256 (of media), read without unpacking to disk.
 
-    Private members are never opened. Parent paths, encryption, broken checksums
-    and sizes over the limits fail. ZIP64 and deflate are the library's.
+    Private members are never opened. Parent paths, encryption, broken checksums, headers
+    that differ from the directory and sizes over the limits fail. See ``zips``.
     """
-    import hashlib
+    from inkwarden.sources.zips import ZipMembers
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows = []
-                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive:
-                    members = [m for m in archive.infolist() if not m.is_dir()]
-                    if limits.zip_entries is not None and len(members) > limits.zip_entries:
-                        raise ValueError("more ZIP entries than allowed")
-                    names = [m.filename.replace("\\", "/") for m in members]
-                    if len(set(names)) != len(names):
-                        raise ValueError("two ZIP members have one name")
-                    if any(m.compress_type not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED) for m in members):
-                        raise ValueError("a ZIP member is neither stored nor deflated")
-                    spans = sorted((m.header_offset, m.header_offset + m.compress_size) for m in members)
-                    if any(end > begin for (_, end), (begin, _) in zip(spans, spans[1:], strict=False)):
-                        raise ValueError("ZIP members overlap")
-                    for m in members:
-                        parts = PurePosixPath(m.filename.replace("\\", "/")).parts
-                        if m.filename.startswith(("/", "\\")) or ".." in parts or re.match("[A-Za-z]:", m.filename):
-                            raise ValueError(f"unsafe member path {m.filename}")
-                    named = [m for m in members if not any(re.search(PRIVATE_PART, p) for p in PurePosixPath(m.filename.replace("\\", "/")).parts)]
-                    posts = [m for m in named if re.fullmatch(PUBLIC_FILE, PurePosixPath(m.filename.replace("\\", "/")).name)]
-                    media = [m for m in named if m.filename.lower().endswith(MEDIA_SUFFIXES)]
-                    if not posts:
-                        raise ValueError("no public post file in the ZIP")
-                    if limits.zip_bytes is not None and sum(m.file_size for m in posts) > limits.zip_bytes:
-                        raise ValueError("post files unpack beyond the limit")
-                    for m in [*posts, *media]:
-                        if m.flag_bits & 1:
-                            raise ValueError(f"{m.filename} is encrypted")
-                        if m in posts:
-                            rows.append((m.filename, m.file_size, "post", archive.read(m), None))
-                        else:
-                            digest = hashlib.sha256()
-                            with archive.open(m) as stream:
-                                while block := stream.read(1 << 16):
-                                    digest.update(block)
-                            rows.append((m.filename, m.file_size, "media", None, digest.hexdigest()))
-                kinds = (pa.string(), pa.int64(), pa.string(), pa.binary(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array([file.as_py()] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=["file", "member", "size", "kind", "content", "sha256"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "file string, member string, size long, kind string, content binary, sha256 string")
+    spark.dataSource.register(ZipMembers)
+    most = {k: str(v) for k, v in (("zip_entries", limits.zip_entries), ("zip_bytes", limits.zip_bytes)) if v is not None}
+    return spark.read.format("zip_members").options(paths=json.dumps(paths), **most).load()
 
 
 def link_media(posts: DataFrame, members: DataFrame) -> DataFrame:

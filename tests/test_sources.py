@@ -328,3 +328,36 @@ def test_stopped_and_repeated_batches_give_one_result(spark, tmp_path):
     got = {(r["id"], r["status"]) for r in spark.read.parquet(f"{tmp_path}/t/v3").collect()}
     assert got == {("a", "matched"), ("b", "matched"), ("c", "matched")}
     assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["v2", "v3"]
+
+
+def test_archive_beyond_four_gigabytes(spark, tmp_path):
+    """A sparse file whose members lie behind 5 GB of nothing, with 64-bit places."""
+    path = tmp_path / "far.zip"
+    with open(path, "wb") as file:
+        file.truncate(5 << 30)
+        file.seek(5 << 30)
+        with zipfile.ZipFile(file, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("data/tweets.js", 'window.YTD.tweets.part0 = [{"tweet": {"id_str": "1", "full_text": "far"}}]')
+            z.writestr("media/p.jpg", b"picture" * 1000)
+    rows = {r["member"]: r for r in readers.zip_members(spark, [str(path)]).collect()}
+    assert b"far" in bytes(rows["data/tweets.js"]["content"]) and rows["media/p.jpg"]["sha256"] == hashlib.sha256(b"picture" * 1000).hexdigest()
+    assert readers.zip_members(spark, [str(path)]).rdd.getNumPartitions() == 2
+    raw = bytearray((end := path.open("rb")).seek(5 << 30) and end.read())
+    at = raw.rindex(b"PK\x06\x07")  # the locator of the 64-bit directory
+    with open(path, "r+b") as file:
+        file.seek((5 << 30) + at + 8)
+        file.write(b"\x00" * 8)
+    with pytest.raises(Exception, match="locator"):
+        readers.zip_members(spark, [str(path)]).collect()
+
+
+@pytest.mark.parametrize("place", [8, 14, 18, 22, 30])  # method, checksum, packed and plain size, name
+def test_headers_that_differ_from_the_directory_fail(spark, tmp_path, place):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("data/tweets.js", "window.YTD.tweets.part0 = []")
+    raw = bytearray(path.read_bytes())
+    raw[place] ^= 1
+    path.write_bytes(raw)
+    with pytest.raises(Exception, match="own header|File name|Bad CRC"):
+        readers.zip_members(spark, [str(path)]).collect()
