@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwarden.functions import text
 from inkwarden.operators import findings, posts, web
 from inkwarden.plans.queries import fixture_status, query, table
 from inkwarden.sources import normalize, readers
@@ -393,6 +394,34 @@ c AS (SELECT k, 'missing_text' AS code FROM rich WHERE empty UNION ALL SELECT k,
   UNION ALL SELECT k, 'source_no_high_overlap' FROM rich WHERE NOT empty AND k % 9 IN (5, 6) UNION ALL SELECT k, 'source_contribution_unexplained' FROM rich WHERE NOT empty AND k % 9 = 5 AND NOT told)"""
 
 
+@query(r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(replace(lower(coalesce(text, '')), 'ß', 'ss'), 'https?://\S+', '', 'g'), '[^\p{L}\p{N}]+', '', 'g') AS c,
+  regexp_replace(regexp_replace(replace(lower(substr(coalesce(text, ''), 1, length(text) * (doc_id % 5 + 1) // 5)), 'ß', 'ss'), 'https?://\S+', '', 'g'), '[^\p{L}\p{N}]+', '', 'g') AS s FROM documents),
+g AS (SELECT DISTINCT doc_id, side, hash(substr(x, i, 4)) AS g FROM (SELECT doc_id, side, x, unnest(generate_series(1, length(x) - 3)) AS i FROM (SELECT doc_id, 0 AS side, c AS x FROM t UNION ALL SELECT doc_id, 1, s FROM t))),
+o AS (SELECT doc_id, count(*) FILTER (n = 2) / nullif(count(*) FILTER (mine), 0) AS share FROM (SELECT doc_id, g, count(*) AS n, bool_or(side = 0) AS mine FROM g GROUP BY ALL) GROUP BY doc_id),
+v AS (SELECT doc_id, CASE WHEN s = '' THEN 'source_missing' WHEN least(length(c), length(s)) < 24 THEN 'source_short' WHEN c = s OR share >= 0.88 THEN 'source_overlap_no_contribution' WHEN share >= 0.5 THEN 'source_partial_overlap' ELSE 'source_no_high_overlap' END AS code FROM t LEFT JOIN o USING (doc_id))
+SELECT doc_id::VARCHAR AS id, code, CASE code WHEN 'source_missing' THEN 'review' WHEN 'source_overlap_no_contribution' THEN 'high_risk' WHEN 'source_partial_overlap' THEN 'review' END AS level FROM v
+UNION ALL SELECT doc_id::VARCHAR, 'source_contribution_unexplained', 'review' FROM v WHERE code = 'source_no_high_overlap'""")
+def source_overlaps(spark, sf_dir):
+    """Each document with its own first fifths as the text of its source."""
+    d = table(spark, sf_dir, "documents")
+    part = F.expr("substring(coalesce(text, ''), 1, cast(length(text) * (doc_id % 5 + 1) div 5 as int))")
+    source = F.array(F.struct(part.alias("text"), F.lit("").alias("url"), F.lit("other").alias("owner"), F.lit("").alias("notes")))
+    rows = d.select(k().cast("string").alias("id"), k().alias("ord"), "text", source.alias("sources"), F.lit("").alias("contribution"))
+    return findings.source_codes(posts.with_clean(posts.complete_schema(rows))).select("id", "code", "level")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 IN (0, 3, 4) THEN (doc_id % 101)::DOUBLE END AS score, CASE WHEN doc_id % 7 IN (0, 3, 4) THEN CASE WHEN doc_id % 101 < 40 THEN 'concern' WHEN doc_id % 101 < 70 THEN 'mixed' ELSE 'supported' END ELSE 'unknown' END AS verdict FROM documents""")
+def score_validity(spark, sf_dir):
+    """Scores in range, and missing ones, NaN, infinities and numbers out of range, which stay unknown."""
+    score = (k() % 101).cast("double")
+    odd = {1: F.lit(None).cast("double"), 2: F.lit(float("nan")), 5: -score - 1, 6: F.when(k() % 2 == 0, F.lit(float("inf"))).otherwise(score + 101)}
+    given = F.when(F.lit(False), score)
+    for at, value in odd.items():
+        given = given.when(k() % 7 == at, value)
+    valid = text.valid_score(given.otherwise(score), 100)
+    return table(spark, sf_dir, "documents").select("doc_id", valid.alias("score"), text.verdict(valid).alias("verdict"))
+
+
 @query(f"WITH {_RICH} SELECT code, count(DISTINCT k) AS posts FROM c GROUP BY code UNION ALL SELECT 'no_supplied_text_match', count(*) FROM rich WHERE k NOT IN (SELECT k FROM c) HAVING count(*) > 0")
 def evidence_codes(spark, sf_dir):
     return findings.code_counts(findings.findings(rich_posts(spark, sf_dir)))
