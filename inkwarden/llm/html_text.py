@@ -90,6 +90,7 @@ class Block:
     inside: int  # its container, -1 for none
     names: tuple[frozenset[str], frozenset[str]]  # what its own class, id and role say, surely and maybe
     tag: str
+    containers: list[Container]  # all of the page
 
 
 @dataclass
@@ -144,8 +145,8 @@ def _closings(page: str, tag: str) -> dict[int, int]:
     return found
 
 
-def parsed(page: str | None) -> tuple[list[Block], list[Container]]:
-    """The text blocks of a page in order, and its containers in the order of their start tags."""
+def blocks(page: str | None) -> list[Block]:
+    """The text blocks of a page in order; its containers are in the order of their start tags."""
     page = page or ""
     out: list[Block] = []
     held: list[Container] = []
@@ -164,7 +165,7 @@ def parsed(page: str | None) -> tuple[list[Block], list[Container]]:
             if text:
                 words = text.count(" ") + 1
                 linked = sum(len(html.unescape(t).split()) for t, a in pieces if a)
-                out.append(Block(text, words, min(1.0, linked / words), stack[-1] if stack else -1, leaf_names, leaf))
+                out.append(Block(text, words, min(1.0, linked / words), stack[-1] if stack else -1, leaf_names, leaf, held))
             pieces = []
 
     def close() -> None:
@@ -226,11 +227,7 @@ def parsed(page: str | None) -> tuple[list[Block], list[Container]]:
     flush()
     while stack:
         close()
-    return out, held
-
-
-def blocks(page: str | None) -> list[Block]:
-    return parsed(page)[0]
+    return out
 
 
 def _known(names: tuple[frozenset[str], frozenset[str]], most: bool, whole: bool) -> frozenset[str]:
@@ -282,8 +279,9 @@ def _sign(said: frozenset[str], *good: str) -> int:
     return -1 if said & BAD else int(not said.isdisjoint(good))
 
 
-def matrix(found: list[Block], held: list[Container]) -> np.ndarray:
-    """A row of ``FEATURES`` for each block."""
+def matrix(found: list[Block]) -> np.ndarray:
+    """A row of ``FEATURES`` for each block of a page."""
+    held = found[0].containers if found else []
     out = np.zeros((len(found), len(FEATURES)))
     for i, (b, (elements, names), comment) in enumerate(zip(found, places(found, held), under_comments(found, held), strict=True)):
         out[i, 0], out[i, 1] = b.words, b.link
@@ -394,17 +392,17 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[str, list[bool]]]:
 def trained() -> Node:
     x, y = [], []
     for page, labels in [*labelled_pages(), *(labelled(p) for p in PAGES for _ in range(BY_HAND))]:
-        found, held = parsed(page)
+        found = blocks(page)
         if len(found) != len(labels):
             raise ValueError("a labelled page does not match its labels")
-        x.append(matrix(found, held))
+        x.append(matrix(found))
         y.append(np.array(labels, float))
     return fit(np.concatenate(x), np.concatenate(y))
 
 
 def main_text(page: str | None, tree: Node) -> str:
-    found, held = parsed(page)
-    return "\n\n".join(b.text for b, row in zip(found, matrix(found, held).tolist(), strict=True) if judge(tree, row)) if found else ""
+    found = blocks(page)
+    return "\n\n".join(b.text for b, row in zip(found, matrix(found).tolist(), strict=True) if judge(tree, row)) if found else ""
 
 
 def main_texts(pages: DataFrame, columns: list[str], source: str = "html", tree: Node | None = None) -> DataFrame:

@@ -318,8 +318,8 @@ def test_model_beats_its_base_on_held_out_texts(spark):
 def test_tree_on_pages_it_has_not_seen():
     tree, right, n = html_text.trained(), 0, 0
     for page, labels in html_text.labelled_pages(200, seed=123):
-        found, held = html_text.parsed(page)
-        right += sum(html_text.judge(tree, r) == y for r, y in zip(html_text.matrix(found, held).tolist(), labels, strict=True))
+        found = html_text.blocks(page)
+        right += sum(html_text.judge(tree, r) == y for r, y in zip(html_text.matrix(found).tolist(), labels, strict=True))
         n += len(labels)
     assert right / n > 0.98
 
@@ -370,8 +370,8 @@ def test_pages_labelled_by_hand_that_the_tree_has_not_seen():
     tree, right, n = html_text.trained(), 0, 0
     for page in _HELD_OUT:
         text, labels = labelled(page)
-        found, held = html_text.parsed(text)
-        got = [html_text.judge(tree, r) for r in html_text.matrix(found, held).tolist()]
+        found = html_text.blocks(text)
+        got = [html_text.judge(tree, r) for r in html_text.matrix(found).tolist()]
         right += sum(a == b for a, b in zip(got, labels, strict=True))
         n += len(labels)
     assert right / n >= 0.95
