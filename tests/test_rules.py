@@ -74,6 +74,25 @@ def test_signatures_lose_no_pair(spark, seed):
         assert got == {k: pytest.approx(j) for k, (_, _, j) in _pairs(texts).items() if j >= threshold}
 
 
+def test_blocks_of_maps_lose_no_pair_and_leave_few(spark):
+    import random
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(400)]
+    texts = ["".join(rng.sample(words, 300)) for _ in range(40)]  # half their grams are common to all
+    texts += [t[:900] + "".join(rng.sample(words, 10)) + t[960:] for t in texts[:10]]
+    base = near._grammed(make(spark, [{"text": t} for t in texts]))
+    want = {k for k, (_, _, j) in _pairs(texts).items() if j >= 0.84}
+    assert len(want) >= 10
+    for block in (3, 4096):
+        pairs = near.candidate_pairs(base, 0.84, "n", 0.84, 6 * near.differing(0.84), block)
+        met = {(str(r["later"]), str(r["earlier"])) for r in pairs.collect()}
+        assert met >= want and len(met) < 3 * len(want)
+        for least in (4, 4096):
+            got = [(r["id"], r["other"]) for r in near.compared(pairs, base, 0.84, least=least).collect()]
+            assert len(got) == len(want) and set(got) == want
+
+
 def test_pieces_of_similar_sets_agree():
     import math
 
