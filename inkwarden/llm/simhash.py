@@ -18,9 +18,10 @@ whose keys are all of one component already is not descended.
 Components come from alternating large-star and small-star steps over staged
 tables; no links or components reach the driver.
 
-``representatives``, a stage of the pipeline, does not use fingerprints: most texts of
-Jaccard similarity 0.8 differ in more than three bits. It joins the sets of
-5-word shingles exactly, by prefixes in the order of frequency and by position.
+``representatives``, a stage of the pipeline, takes its first links from the classes of
+fingerprints, each checked in full by the Jaccard similarity of its sets of 5-word
+shingles. Most texts of similarity 0.8 differ in more than three bits: beside these
+links, the sets are joined exactly, by prefixes in the order of frequency and by position.
 
 Defined results: null and empty texts, and texts of white space, have the
 fingerprint zero and link like any other; texts of one or two words have one
@@ -415,10 +416,20 @@ def prefixes(shared: DataFrame, known: DataFrame) -> DataFrame:
     return found.select("sid", "n", F.col("s.h").alias("h"), (F.col("n") - 9 * (F.col("alone") + F.col("k"))).alias("slack"))
 
 
-def jaccard_links(heads: DataFrame, sets: DataFrame) -> DataFrame:
+def fingerprint_pairs(keyed: DataFrame, named: DataFrame) -> DataFrame:
+    """a and b: the sets of a class of fingerprints, each with the class's first; ``keyed`` has key and text, ``named`` key and sid."""
+    found = fingerprints(keyed.select(F.col("key").alias("doc_id"), "text")).toDF("key", "fp")
+    told = stage(found.groupBy("key").agg(F.min("fp").alias("fp")).join(named, "key").groupBy("sid").agg(F.min("fp").alias("fp")), "set-fingerprints")
+    linked = components(links(told.select("fp").distinct()))
+    members = stage(told.join(linked, told["fp"] == linked["node"], "left").select("sid", F.coalesce("root", "fp").alias("root")), "fingerprint-classes")
+    firsts = members.groupBy("root").agg(F.min("sid").alias("a"))
+    return stage(members.join(firsts, "root").where("a <> sid").select("a", F.col("sid").alias("b")), "fingerprint-pairs")
+
+
+def jaccard_links(heads: DataFrame, sets: DataFrame, told: DataFrame) -> DataFrame:
     """a and b: links between distinct sets (``sid``, ``n``, ``hs``) that join all pairs of similarity 0.8 or more.
 
-    Sets that meet in ``heads`` with slack enough are compared in full: the members
+    The pairs ``told`` by fingerprints are compared in full with the first ones. Sets that meet in ``heads`` with slack enough are compared in full: the members
     of a shingle with the one of most slack first, and then across the components
     found only. Sets that share a common passage and little else all come near the
     one that has least beside it, or have no slack, so a passage of many documents
@@ -427,7 +438,7 @@ def jaccard_links(heads: DataFrame, sets: DataFrame) -> DataFrame:
     hubs = heads.groupBy("h").agg(F.max(F.struct("slack", "sid")).alias("hub"), F.count("*").alias("m")).where("m > 1").select("h", "hub")
     able = stage(heads.join(hubs, "h").where("slack + hub.slack >= 0").select("h", "sid", "n", "slack", F.col("hub.sid").alias("a")), "able")
     star = able.where("a <> sid").select("a", F.col("sid").alias("b")).distinct()
-    first = stage(near(star, sets), "star")
+    first = stage(near(star.unionByName(told).distinct(), sets), "star")
     joined = stage(components(first).select(F.col("node").alias("sid"), "root"), "joined")
     labelled = stage(able.join(joined, "sid", "left").select("h", "sid", "n", "slack", F.coalesce("root", "sid").alias("root")), "labelled")
     unstage(able)
@@ -447,7 +458,7 @@ BROADCAST_BYTES = 32 << 20
 def near_classes(docs: DataFrame) -> DataFrame:
     """doc_id and component_id by exact Jaccard similarity of ``NEAR_SHINGLE``-word shingles, over any chain of links.
 
-    Frequencies of all shingles are counted over packed rows; only shingles that two
+    Classes of fingerprints tell the first pairs; the others are met by shingles. Frequencies of all shingles are counted over packed rows; only shingles that two
     documents share become rows of their own, and only sets that meet in a prefix are
     made again, from one text of each, to be compared in full.
     """
@@ -461,12 +472,14 @@ def near_classes(docs: DataFrame) -> DataFrame:
     unstage(shared)
     met = heads.groupBy("h").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low < high").select("h")
     heads = stage(heads.join(met, "h"), "met")
-    keys = known.join(heads.select("sid").distinct(), "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key")
+    named = known.select("key", "sid").distinct()
+    told = fingerprint_pairs(keyed, named)
+    asked = heads.select("sid").unionByName(told.select(F.explode(F.array("a", "b")).alias("sid"))).distinct()
+    keys = known.join(asked, "sid", "left_semi").groupBy("sid").agg(F.min("key").alias("key")).select("key")
     keys = stage(keys, "candidates")
     few = F.broadcast(keys) if 16 * keys.count() <= BROADCAST_BYTES else keys
     sets = stage(whole_sets(keyed.join(few, "key", "left_semi").dropDuplicates(["key"])), "sets")
-    linked = components(stage(jaccard_links(heads, sets), "links"))
-    named = known.select("key", "sid").distinct()
+    linked = components(stage(jaccard_links(heads, sets, told), "links"))
     joined = keyed.select("doc_id", "key").join(named, "key")
     smallest = joined.groupBy("sid").agg(F.min("doc_id").alias("first"))
     members = stage(smallest.join(linked, smallest["sid"] == linked["node"], "left").select("sid", "first", F.coalesce("root", "sid").alias("root")), "members")

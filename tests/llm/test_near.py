@@ -110,3 +110,19 @@ def test_common_passage_with_little_beside_it(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(docs).collect()}
     assert got == {i: root(i) for i in range(len(texts))} and len(set(got.values())) > 10
+
+
+def test_classes_begin_with_fingerprints(spark):
+    rng = random.Random(21)
+    base = " ".join(f"w{rng.randrange(10**6)}" for _ in range(400))
+    texts = [base, base + " more", base + " other", "alone " + " ".join(f"v{k}" for k in range(50))]
+    assert all((simhash.fingerprint(base) ^ simhash.fingerprint(t)).bit_count() <= 3 for t in texts[:3])
+    keyed = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "key long, text string")
+    named = spark.createDataFrame([(k, simhash.set_id(simhash.shingle_set(t))) for k, t in enumerate(texts)], "key long, sid long")
+    sids = sorted(r["sid"] for r in named.where("key < 3").collect())
+    told = simhash.fingerprint_pairs(keyed, named)
+    assert sorted(map(tuple, told.collect())) == [(sids[0], sids[1]), (sids[0], sids[2])]
+    sets = simhash.whole_sets(keyed)
+    heads = spark.createDataFrame([], "h long, sid long, n int, slack int")
+    got = simhash.jaccard_links(heads, sets, told).distinct().count()
+    assert got == 2  # no shingle told of them
