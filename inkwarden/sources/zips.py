@@ -1,10 +1,10 @@
-"""ZIP archives as a Spark data source: a partition for each member, read by ranges.
+"""ZIP archives as a Spark data source: a partition for each member of a large archive, or for many small archives, read by ranges.
 
     spark.dataSource.register(ZipMembers)
     spark.read.format("zip_members").option("paths", json.dumps([...])).load()
 
-Planning reads the directories, which are small beside the archives; a task opens its
-archive, checks the member's own header against the directory and streams the member.
+Planning reads the directories of large archives, which are small beside them, and the
+sizes alone of others, whose directories tasks read and check; a task opens its archive, checks the member's own header against the directory and streams the member.
 No archive is held in memory, so its size has no bound; texts of posts are, one a task.
 """
 
@@ -98,6 +98,22 @@ def reconciled(file, m: zipfile.ZipInfo) -> None:
         raise ValueError(f"{m.filename} differs from its own header")
 
 
+#: Bytes of an archive from which on each member is a partition, and of the smaller ones that make one together, and their number.
+LARGE, PACKED, MANY = 32 << 20, 16 << 20, 64
+
+
+def sized(path: str) -> int:
+    with opened(path) as file:
+        return file.size()
+
+
+class Archives(InputPartition):
+    """Small archives that one task reads, one after another."""
+
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+
 class Member(InputPartition):
     def __init__(self, path: str, name: str, post: bool):
         self.path, self.name, self.post = path, name, post
@@ -111,35 +127,59 @@ class ZipReader(DataSourceReader):
         self.entries, self.bytes = (int(options[k]) if options.get(k) else None for k in ("zip_entries", "zip_bytes"))
         self.public, self.private = readers.PUBLIC_FILE, readers.PRIVATE_PART
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"paths": []}  # tasks have their own; all of them to each would grow with the square
+
+    def members(self, path: str) -> list[Member]:
+        """The post files and media of an archive, or an error for one that is over a limit or not safe to read."""
+        members = directory(path, self.entries)
+        named = [m for m in members if not any(re.search(self.private, p) for p in PurePosixPath(m.filename.replace("\\", "/")).parts)]
+        posts = [m for m in named if re.fullmatch(self.public, PurePosixPath(m.filename.replace("\\", "/")).name)]
+        media = [m for m in named if m.filename.lower().endswith(MEDIA_SUFFIXES)]
+        if not posts:
+            raise ValueError("no public post file in the ZIP")
+        if self.bytes is not None and sum(m.file_size for m in posts) > self.bytes:
+            raise ValueError("post files unpack beyond the limit")
+        for m in (*posts, *media):
+            if m.flag_bits & ENCRYPTED:
+                raise ValueError(f"{m.filename} is encrypted")
+        return [Member(path, m.filename, m in posts) for m in (*posts, *media)]
+
     def partitions(self) -> Sequence[InputPartition]:
         out: list[InputPartition] = []
+        held, size = [], 0
         for path in self.paths:
-            members = directory(path, self.entries)
-            named = [m for m in members if not any(re.search(self.private, p) for p in PurePosixPath(m.filename.replace("\\", "/")).parts)]
-            posts = [m for m in named if re.fullmatch(self.public, PurePosixPath(m.filename.replace("\\", "/")).name)]
-            media = [m for m in named if m.filename.lower().endswith(MEDIA_SUFFIXES)]
-            if not posts:
-                raise ValueError("no public post file in the ZIP")
-            if self.bytes is not None and sum(m.file_size for m in posts) > self.bytes:
-                raise ValueError("post files unpack beyond the limit")
-            for m in (*posts, *media):
-                if m.flag_bits & ENCRYPTED:
-                    raise ValueError(f"{m.filename} is encrypted")
-                out.append(Member(path, m.filename, m in posts))
-        return out
-
-    def read(self, part: Member) -> Iterator[tuple]:
-        with opened(part.path) as file, zipfile.ZipFile(file) as archive:
-            m = archive.getinfo(part.name)
-            reconciled(file, m)
-            with archive.open(m) as stream:
-                if part.post:
-                    yield part.path, m.filename, m.file_size, "post", stream.read(), None
-                    return
-                digest = hashlib.sha256()
-                while block := stream.read(1 << 20):
-                    digest.update(block)
-                yield part.path, m.filename, m.file_size, "media", None, digest.hexdigest()
+            bytes_ = sized(path)
+            if bytes_ >= LARGE:
+                out += self.members(path)
+                continue
+            if held and (size + bytes_ > PACKED or len(held) == MANY):
+                out.append(Archives(held))
+                held, size = [], 0
+            held.append(path)
+            size += bytes_
+        return [*out, *([Archives(held)] if held else [])]
+
+    def read(self, part: InputPartition) -> Iterator[tuple]:
+        if isinstance(part, Archives):
+            for path in part.paths:
+                yield from self.rows(path, self.members(path))
+        else:
+            yield from self.rows(part.path, [part])
+
+    def rows(self, path: str, members: list[Member]) -> Iterator[tuple]:
+        with opened(path) as file, zipfile.ZipFile(file) as archive:
+            for member in members:
+                m = archive.getinfo(member.name)
+                reconciled(file, m)
+                with archive.open(m) as stream:
+                    if member.post:
+                        yield path, m.filename, m.file_size, "post", stream.read(), None
+                        continue
+                    digest = hashlib.sha256()
+                    while block := stream.read(1 << 20):
+                        digest.update(block)
+                    yield path, m.filename, m.file_size, "media", None, digest.hexdigest()
 
 
 class ZipMembers(DataSource):

@@ -361,3 +361,17 @@ def test_headers_that_differ_from_the_directory_fail(spark, tmp_path, place):
     path.write_bytes(raw)
     with pytest.raises(Exception, match="own header|File name|Bad CRC"):
         readers.zip_members(spark, [str(path)]).collect()
+
+
+def test_small_zips_share_a_task(spark, tmp_path):
+    paths = []
+    for k in range(70):
+        paths.append(str(tmp_path / f"{k}.zip"))
+        with zipfile.ZipFile(paths[-1], "w") as z:
+            z.writestr("data/tweets.js", f"post {k}")
+            z.writestr("media/p.png", b"x")
+    found = readers.zip_members(spark, paths)
+    assert found.rdd.getNumPartitions() == 2
+    rows = found.collect()
+    assert len(rows) == 140 and {bytes(r["content"]) for r in rows if r["kind"] == "post"} == {f"post {k}".encode() for k in range(70)}
+    assert {r["file"] for r in rows if r["sha256"]} == set(paths)
