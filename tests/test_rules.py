@@ -136,6 +136,14 @@ def test_containment_by_both_ways(spark, sent):
     assert near.contained(posts_.limit(0), sources, sent).count() == 0
 
 
+def test_grams_of_sources_stay_in_one_step(spark):
+    posts_ = spark.createDataFrame([(1, LONG)], "id int, text string")
+    sources = spark.createDataFrame([(k, LONG + str(k)) for k in range(600)] + [(600, "")], "source_id int, text string")
+    hits = near.contained(posts_, sources)
+    assert hits._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r["source_id"], r["overlap"]) for r in hits.collect()) == [(k, 1.0) for k in range(600)]
+
+
 @pytest.mark.parametrize(
     ("post", "codes"),
     [
