@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwarden.functions.text import COMPARABLE, bound, clean, containment, grams
+from inkwarden.functions.text import COMPARABLE, bound, clean, contained_shares
 from inkwarden.operators.near import PARTIAL, WHOLE
 from inkwarden.operators.posts import STATUSES
 from inkwarden.session import stage
@@ -95,12 +95,11 @@ def _repeated(narrow: DataFrame, least: int = 3) -> DataFrame:
 
 
 def _source_codes() -> Column:
-    """Array of (level, code, overlap), one or two for each source of a row that has clean, contribution and sources."""
+    """Array of (level, code, overlap), one or two for each source of a row that has clean, contribution, sources and what ``_compared`` adds."""
 
-    def judged(s: Column, text: Column) -> Column:
+    def judged(s: Column, text: Column, share: Column) -> Column:
         short = F.least(F.length("clean"), F.length(text)) < COMPARABLE
-        overlap = F.when((text != "") & ~short, F.when(F.col("clean") == text, 1.0).otherwise(containment(grams(F.col("clean")), grams(text))))
-        return bound(overlap, lambda o: coded(s, text, short, o))
+        return bound(F.when((text != "") & ~short, F.when(F.col("clean") == text, 1.0).otherwise(share)), lambda o: coded(s, text, short, o))
 
     def coded(s: Column, text: Column, short: Column, overlap: Column) -> Column:
         meaningful, own = F.length(clean(F.col("contribution"))) >= MEANINGFUL, s["owner"] == "self"
@@ -117,12 +116,20 @@ def _source_codes() -> Column:
             .otherwise(F.array(told(None, "source_no_high_overlap"), told("review", "source_contribution_unexplained")))
         )
 
-    return F.flatten(F.transform("sources", lambda s: bound(clean(s["text"]), lambda text: judged(s, text))))
+    return F.flatten(F.transform("sources", lambda s, i: judged(s, F.get("_cleaned", i), F.get("_shares", i))))
+
+
+def _compared(posts: DataFrame) -> DataFrame:
+    """``posts`` with the clean texts of their sources and, where both are long enough and differ, the share of the post's grams in each."""
+    cleaned = posts.withColumn("_cleaned", F.transform("sources", lambda s: clean(s["text"])))
+    asked = F.transform("_cleaned", lambda c: F.when((F.length(c) >= COMPARABLE) & (c != F.col("clean")), c))
+    able = (F.length("clean") >= COMPARABLE) & F.exists(asked, lambda c: c.isNotNull())
+    return cleaned.withColumn("_shares", contained_shares(F.when(able, F.col("clean")), F.when(able, asked)))
 
 
 def source_codes(posts: DataFrame) -> DataFrame:
     """id, level, code and overlap for each source that a post names. ``posts`` has clean."""
-    return posts.where(F.size("sources") > 0).select("id", F.explode(_source_codes()).alias("c")).select("id", "c.level", "c.code", "c.overlap")
+    return _compared(posts.where(F.size("sources") > 0)).select("id", F.explode(_source_codes()).alias("c")).select("id", "c.level", "c.code", "c.overlap")
 
 
 def findings(posts: DataFrame, near: DataFrame | None = None, phrases: tuple[str, ...] = PHRASES) -> DataFrame:
@@ -148,7 +155,7 @@ def findings(posts: DataFrame, near: DataFrame | None = None, phrases: tuple[str
     ]
     none = F.array().cast("array<struct<level:string,code:string>>")
     codes = F.flatten(F.array(*[F.coalesce(a, none) for a in alone]))
-    narrow = stage(posts.select("id", "ord", "type", "media", "thread_id", "thread_order", "thread_total", "thread_complete", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("key"), _held(phrases).alias("held"), codes.alias("codes")), "narrow-posts")
+    narrow = stage(_compared(posts).select("id", "ord", "type", "media", "thread_id", "thread_order", "thread_total", "thread_complete", F.length("clean").alias("n_clean"), F.sha2("clean", 256).alias("key"), _held(phrases).alias("held"), codes.alias("codes")), "narrow-posts")
     rules = [
         narrow.select("id", F.explode("codes").alias("c")).select("id", "c.level", "c.code", F.lit(None).cast("long").alias("total")),
         _finding(_exact_groups(narrow), "high_risk", "internal_exact", F.col("members") - 1),

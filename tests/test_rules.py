@@ -136,6 +136,18 @@ def test_containment_by_both_ways(spark, sent):
     assert near.contained(posts_.limit(0), sources, sent).count() == 0
 
 
+def test_source_overlap_makes_no_lists_of_grams(spark):
+    """Lists of strings, one a character, took most of the time."""
+    from inkwarden.functions import text as T
+
+    p = make(spark, [{"text": LONG, "sources": [{"text": LONG[:30], "url": "", "owner": "other"}, {"text": "", "url": "u", "owner": "other"}, {"text": LONG, "url": "", "owner": "self"}]}])
+    codes = findings.source_codes(p)
+    assert "array_intersect" not in codes._jdf.queryExecution().optimizedPlan().toString()
+    rows = {r["code"]: r["overlap"] for r in codes.collect()}
+    mine, its = _grams(T.clean_value(LONG)), _grams(T.clean_value(LONG[:30]))
+    assert rows == {"source_partial_overlap": len(mine & its) / len(mine), "source_link_unchecked": None, "self_crosspost_claim": 1.0}
+
+
 def test_grams_of_sources_stay_in_one_step(spark):
     posts_ = spark.createDataFrame([(1, LONG)], "id int, text string")
     sources = spark.createDataFrame([(k, LONG + str(k)) for k in range(600)] + [(600, "")], "source_id int, text string")
