@@ -148,6 +148,20 @@ def test_source_overlap_makes_no_lists_of_grams(spark):
     assert rows == {"source_partial_overlap": len(mine & its) / len(mine), "source_link_unchecked": None, "self_crosspost_claim": 1.0}
 
 
+@pytest.mark.parametrize("sent", [0, 1 << 21])
+def test_comparison_by_both_ways(spark, sent):
+    from inkwarden.functions import text as T
+
+    mixed = "".join(LONG[i : i + 7] + LONG[i + 3 : i + 7] for i in range(0, len(LONG), 4))  # its grams, without a long run
+    posts_ = spark.createDataFrame([("a", LONG), ("b", LONG[8:]), ("c", None), ("d", "short")], "id string, text string")
+    texts = {1: "x" * 30 + LONG + "y" * 30, 2: mixed, 3: None, 4: LONG[:43] + "，" + LONG[43:]}
+    sources = spark.createDataFrame(list(texts.items()), "source_id int, text string")
+    got = {(r["id"], r["source_id"]): (r["score"], r["matched_chars"], r["post_excerpt"], r["source_excerpt"]) for r in near.compared_texts(posts_, sources, sent=sent).collect()}
+    none = (None,) * 4
+    assert got == {(i, k): tuple((T.compare_values(t, texts[k]) or dict.fromkeys("abcd")).values()) for i, t in (("a", LONG), ("b", LONG[8:])) for k in (1, 2, 4)}
+    assert got["a", 2] == none and got["a", 1][0] == 1.0 and near.compared_texts(posts_.limit(0), sources, sent=sent).count() == 0
+
+
 def test_grams_of_sources_stay_in_one_step(spark):
     posts_ = spark.createDataFrame([(1, LONG)], "id int, text string")
     sources = spark.createDataFrame([(k, LONG + str(k)) for k in range(600)] + [(600, "")], "source_id int, text string")
