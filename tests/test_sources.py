@@ -375,3 +375,12 @@ def test_small_zips_share_a_task(spark, tmp_path):
     rows = found.collect()
     assert len(rows) == 140 and {bytes(r["content"]) for r in rows if r["kind"] == "post"} == {f"post {k}".encode() for k in range(70)}
     assert {r["file"] for r in rows if r["sha256"]} == set(paths)
+
+
+def test_pages_of_a_batch_are_parsed_by_parts(spark):
+    pages = spark.createDataFrame([(k, PAGE.replace("second", f"second {k}") if k % 9 else None, f"u{k}") for k in range(150)], "page_id int, html string, url string").coalesce(1)
+    read = web.page_texts(pages)
+    assert "ArrowEvalPython" not in read._jdf.queryExecution().optimizedPlan().toString()
+    assert read.columns == ["page_id", "url", "text", "title", "published_at", "text_truncated"]
+    assert [tuple(r) for r in read.orderBy("page_id").collect()] == [(r["page_id"], r["url"], *web.parse_page(r["html"])) for r in pages.orderBy("page_id").collect()]
+    assert web.page_texts(pages.limit(0)).count() == 0
