@@ -249,6 +249,24 @@ def test_interleaving_and_matches(spark):
     assert [(r["url"], r["total"]) for r in posts.ordered_matches(matches).orderBy("place").collect()] == [("c", 4), ("b", 4), ("s", 4)]
 
 
+def test_hits_are_dealt_by_their_number(spark):
+    import re
+
+    rows = [(k % 40, f"u{k * 7 % 11}", k // 40 % 6, k % 3) for k in range(2000)]
+    df = spark.createDataFrame(rows, "id int, url string, rank int, query_no int")
+    want = {}
+    for i in range(40):
+        first = {}
+        for _, url, rank, query in sorted((r for r in rows if r[0] == i), key=lambda r: (r[2], r[3], r[1])):
+            first.setdefault(url, (rank, query, url))
+        want |= {(i, url): place for place, url in enumerate(sorted(first, key=first.get)[:5], 1)}
+    for held in (100, 1 << 20):
+        found = posts.interleaved(df, held=held)
+        assert {(r["id"], r["url"]): r["place"] for r in found.collect()} == want
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"hashpartitioning\(id#\w+, url", plan) and (held > 100 or re.search(r"hashpartitioning\(id#\w+, 20\)", plan))
+
+
 def test_reply_groups_with_a_cycle_and_a_long_chain(spark):
     edges = [(i, i - 1 if i else None) for i in range(150)] + [(1000, 1001), (1001, 1000), (2000, 9999), (3000, 3000)]
     roots = {r["node"]: r["root"] for r in posts.reply_groups(spark.createDataFrame(edges, "node long, parent long")).collect()}
