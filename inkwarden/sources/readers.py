@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from inkwarden.session import stage
+
 
 @dataclass(frozen=True)
 class Limits:
@@ -106,9 +108,14 @@ def read_texts(spark: SparkSession, paths: list[str], limits: Limits = Limits())
 ASSIGNMENT = r"^\s*window\.YTD\.(?:tweets?|posts?)(?:_part\d+)?\.part\d+\s*=\s*"
 
 
+#: Fixed value: what the pattern of an assignment takes for space.
+SPACE = " \t\n\x0b\f\r"
+
+
 def assigned(text: Column) -> Column:
     """The JSON of an archive's assignment; nothing is executed, and other text fails."""
-    inner = F.regexp_replace(F.regexp_replace(text, ASSIGNMENT, ""), r"\s*;?\s*$", "")
+    behind = F.rtrim(text.substr(F.length(F.regexp_extract(text, ASSIGNMENT, 0)) + 1, F.length(text)), F.lit(SPACE))
+    inner = F.when(behind.endswith(";"), F.rtrim(behind.substr(F.lit(1), F.length(behind) - 1), F.lit(SPACE))).otherwise(behind)
     return F.when(text.isNull() | text.rlike(ASSIGNMENT), inner).otherwise(F.raise_error(F.lit("not an archive assignment")).cast("string"))
 
 
@@ -373,7 +380,11 @@ def link_media(posts: DataFrame, members: DataFrame) -> DataFrame:
 
 
 def ordered(records: DataFrame) -> DataFrame:
-    """``records`` with ``ord``, their place by part number, file and row; places are numbered file by file."""
+    """``records`` with ``ord``, their place by part number, file and row; places are numbered file by file.
+
+    Records are read once and written: they are counted before they are numbered.
+    """
+    records = stage(records, "records")
     sizes = records.groupBy("file").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.orderBy(part_number(F.col("file")), "file")) - F.col("n")  # one row per file
     return records.join(sizes.withColumn("before", before).select("file", "before"), "file").withColumn("ord", F.col("before") + F.col("row_no") + 1).drop("before")

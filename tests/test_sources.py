@@ -384,3 +384,11 @@ def test_pages_of_a_batch_are_parsed_by_parts(spark):
     assert read.columns == ["page_id", "url", "text", "title", "published_at", "text_truncated"]
     assert [tuple(r) for r in read.orderBy("page_id").collect()] == [(r["page_id"], r["url"], *web.parse_page(r["html"])) for r in pages.orderBy("page_id").collect()]
     assert web.page_texts(pages.limit(0)).count() == 0
+
+
+def test_records_are_parsed_once_to_be_numbered(spark):
+    texts = [("tweets-part1.js", 'window.YTD.tweets.part1 = [{"tweet": {"id_str": "c", "full_text": "z"}}] \n;\t\n'), ("tweets.js", ' window.YTD.tweets.part0 = [{"id_str": "a", "full_text": "x;"}, {"id_str": "b"}];')]
+    found = readers.ordered(readers.records_of(spark.createDataFrame(texts, "file string, text string"), "js"))
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    rows = found.select("ord", F.try_variant_get("record", "$.id_str", "string").alias("id"), F.try_variant_get("record", "$.full_text", "string").alias("text")).orderBy("ord").collect()
+    assert [tuple(r) for r in rows] == [(1, "a", "x;"), (2, "b", None), (3, "c", "z")]
