@@ -29,19 +29,22 @@ raises ``ValueError``.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from inkwarden.llm.bpe import SLICE_BYTES, Chunked, byte_characters, vocabulary_path
+from inkwarden.llm.bpe import byte_characters, vocabulary_path
 from inkwarden.llm.text import read
 from inkwarden.session import fresh_path, stage, unstage
 
@@ -49,8 +52,10 @@ END_ID = 0
 #: Ids: least and most of a chunk, and the mean length beyond the least as a power of two.
 LEAST, MOST, MEAN_BITS, WINDOW = 64, 2048, 8, 32
 DIGEST = 16
-#: Entries of a worker's memo before the next generation begins.
-MEMO = 300_000
+#: Bytes of a worker's memo of pieces and their ids before it begins anew with those of the last slice.
+MEMO = 64 << 20
+#: Bytes of text that are looked up together, and ids that are cut into chunks together.
+SLICE, PLACES = 16 << 20, 1 << 20
 
 
 def digest(data: bytes) -> bytes:
@@ -93,13 +98,21 @@ def cuts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int
 
 
 class Encoder:
-    """The tokenizers library, asked once for each chunk of text between spaces that a worker has not seen lately.
-
-    New chunks are joined into long texts: a chunk begins with a space and holds no
-    other, so its first id is the only one whose token begins with a space.
+    """The tokenizers library, asked once for each piece of text that a worker has not seen lately.
+
+    A text is cut before each space that no white space follows, and what lies between
+    the spaces, once for all its copies in a slice of texts, around single line feeds and
+    between a letter or digit and a sign: no pre-token spans these places. New pieces are
+    joined into long texts: by their spaces, as a piece holds no other, or by line feeds,
+    as each of these is a token of its own there. Texts with a special string, or with
+    white space behind a space, go to the library whole.
     """
 
-    JOINED = 1000
+    JOINED, STEP = 100, 200
+    #: No white space but single line feeds inside.
+    PLAIN = r"\A{0}+(?:\n{0}+)*\z".format(r"[^\x00-\x20\x7f-\xa0\x{1680}\x{180e}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
+    #: Letters and digits that all Unicode tables know as such, and the signs of ASCII but the apostrophe.
+    SIGN = r"([0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{400}-\x{481}])([!-&(-/:-@\[-`{-~])"
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -107,36 +120,149 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         if resize := getattr(self.tokenizer.model, "_resize_cache", None):
-            resize(0)  # no chunk is asked for twice
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+            resize(0)  # no piece is asked for twice
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         n = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if n <= 1 << 16 else "<u4")
-        space = next(c for c, b in byte_characters().items() if b == 32)
-        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(space) for i in range(n)])
-        self.chunked = Chunked(self._chunks, self._each, special, limit=MEMO)
-
-    def _each(self, texts: list[str]) -> Iterator[bytes]:
-        for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(found.ids, self.kind).tobytes()
-
-    def _chunks(self, chunks: list[str]) -> list[bytes]:
-        if not chunks or chunks[0][:1] != " ":  # the first chunks of texts
-            return list(self._each(chunks))
-        parts = [chunks[i : i + self.JOINED] for i in range(0, len(chunks), self.JOINED)]
-        out: list[bytes] = []
-        for part, found in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, self.kind)
-            starts = np.flatnonzero(self.opens[ids])
-            if len(starts) != len(part):
-                out += self._each(part)
-                continue
-            data, ends = ids.tobytes(), [*(starts[1:] * self.kind.itemsize).tolist(), len(ids) * self.kind.itemsize]
-            out += [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        shown = {b: c for c, b in byte_characters().items()}
+        self.opens = np.array([(self.tokenizer.id_to_token(i) or "").startswith(shown[32]) for i in range(n)])
+        self.feed = self.tokenizer.token_to_id(shown[10])
+        # other vocabularies than byte-level ones with the usual pattern may have pre-tokens over signs and line feeds
+        self.usual = json.loads(self.tokenizer.pre_tokenizer.__getstate__()) if self.tokenizer.pre_tokenizer else {}
+        self.usual = self.usual.get("type") == "ByteLevel" and self.usual.get("use_regex", True) and self.feed is not None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.records = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def _asked(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for at in range(0, len(texts), self.STEP):
+            for found in self.tokenizer.encode_batch_fast(texts[at : at + self.STEP], add_special_tokens=False):
+                yield np.array(found.ids, self.kind)
+
+    def _joined(self, pieces: list[str], between: str) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """The ids of all pieces, and how many each has."""
+        parts = [pieces[i : i + self.JOINED] for i in range(0, len(pieces), self.JOINED)]
+        out, sizes = [], []
+        for part, ids in zip(parts, self._asked([between.join(p) for p in parts]), strict=True):
+            if between:
+                feeds = ids == self.feed
+                n, ids = np.diff(np.r_[-1, np.flatnonzero(feeds), len(ids)]) - 1, ids[~feeds]
+            else:
+                n = np.diff(np.r_[np.flatnonzero(self.opens[ids]), len(ids)])
+            if len(n) != len(part):
+                each = list(self._asked(part))
+                n, ids = np.array([len(x) for x in each]), np.concatenate(each)
+            out.append(ids)
+            sizes.append(n)
+        return out, sizes
+
+    def _new(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each piece, from the library."""
+        spaced = pc.starts_with(pieces, " ").to_numpy(zero_copy_only=False)
+        bare = np.array([self.usual and x.split() == [x] for x in pieces.filter(pa.array(~spaced)).to_pylist()], bool)
+        places = np.flatnonzero(spaced), np.flatnonzero(~spaced)[bare], np.flatnonzero(~spaced)[~bare]
+        kinds = [pieces.take(pa.array(p)).to_pylist() for p in places]  # behind a space, without white space, others
+        others = list(self._asked(kinds[2]))
+        found = self._joined(kinds[0], ""), self._joined(kinds[1], "\n"), (others, [np.array([len(x)]) for x in others])
+        ids = np.concatenate([np.empty(0, self.kind), *(x for out, _ in found for x in out)])
+        sizes = np.concatenate([np.empty(0, np.int64), *(n for _, sizes in found for n in sizes)])
+        at = np.empty(len(pieces), np.int64)
+        at[np.concatenate(places)] = np.arange(len(pieces))
+        return _cells(ids, np.r_[0, np.cumsum(sizes)]).take(pa.array(at))
+
+    def _known(self, pieces: pa.LargeStringArray) -> pa.LargeBinaryArray:
+        """The ids of each of these distinct pieces."""
+        at = pc.index_in(pieces, value_set=self.words)
+        missing = pieces.filter(pc.is_null(at))
+        words, records = pa.concat_arrays([self.words, missing]), pa.concat_arrays([self.records, self._new(missing)])
+        at = at.to_numpy(zero_copy_only=False)
+        if len(missing):
+            gone = np.isnan(at)
+            at[gone] = len(self.words) + np.arange(len(missing))
+        out = records.take(pa.array(at.astype(np.int64)))
+        if words.nbytes + records.nbytes <= MEMO:
+            self.words, self.records = words, records
+        elif pieces.nbytes + out.nbytes <= MEMO:
+            self.words, self.records = pieces, out
+        else:
+            self._forget()
         return out
 
+    def _chunks(self, chunks: pa.LargeStringArray, behind: np.ndarray) -> pa.LargeBinaryArray:
+        """The ids of each chunk, that holds no space; those that are ``behind`` one include it."""
+        if self.usual:
+            marked = pc.replace_substring(pc.replace_substring_regex(chunks, self.SIGN, r"\1 \2"), "\n", " \n ")
+            chunks = pc.if_else(pc.match_substring_regex(chunks, self.PLAIN), marked, chunks)
+        cut = pc.split_pattern(chunks, " ")
+        begin = cut.offsets.to_numpy()
+        space = np.zeros(begin[-1], bool)
+        space[begin[:-1]] = behind
+        flat = cut.flatten()
+        nothing = pa.scalar("", pa.large_string())
+        coded = pc.binary_join_element_wise(pc.if_else(pa.array(space), pa.scalar(" ", pa.large_string()), nothing), flat, nothing).dictionary_encode()
+        found = self._known(coded.dictionary).take(coded.indices)
+        ids, ends = _flat(found, self.kind)
+        return _cells(ids, ends[begin])
+
+    def streams(self, texts: pa.StringArray, end: bytes = b"") -> pa.LargeBinaryArray:
+        """The ids of each text and ``end``, as bytes of ``kind``."""
+        if not len(texts):
+            return pa.array([], pa.large_binary())
+        texts, whole = texts.cast(pa.large_string()), np.zeros(len(texts), bool)
+        for s in self.special:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        cut = pc.split_pattern(texts if not whole.any() else pc.if_else(pa.array(whole), "", texts), " ")
+        begin = cut.offsets.to_numpy().astype(np.int64)
+        coded = cut.flatten().dictionary_encode()
+        at, n = coded.indices.to_numpy(), len(coded.dictionary)
+        firsts, first_at = np.unique(at[begin[:-1]], return_inverse=True)
+        opening = pc.utf8_slice_codeunits(coded.dictionary, 0, 1)
+        blank = pa.array([x for x in pc.unique(opening).to_pylist() if not x or x.isspace()], pa.large_string())
+        odd = pc.is_in(opening, value_set=blank)
+        rest = pc.if_else(odd, "", coded.dictionary)
+        odd = odd.to_numpy(zero_copy_only=False)
+        chunks = pa.concat_arrays([rest, coded.dictionary.take(pa.array(firsts))])
+        records = self._chunks(chunks, np.r_[~odd, np.zeros(len(firsts), bool)])
+        is_odd = odd[at]
+        at = at.astype(np.int64)
+        at[begin[:-1]], is_odd[begin[:-1]] = n + first_at, False
+        whole |= np.logical_or.reduceat(is_odd, begin[:-1])
+        size = np.diff(begin)
+        if whole.any():
+            kept = np.repeat(~whole, size)
+            kept[begin[:-1]] = True
+            at[begin[:-1][whole]] = len(chunks) + np.arange(whole.sum())
+            at, size = at[kept], np.where(whole, 1, size)
+        asked = [x.tobytes() for x in self._asked(texts.filter(pa.array(whole)).to_pylist())]
+        records = pa.concat_arrays([records, pa.array([*asked, end], pa.large_binary())])
+        upto = np.cumsum(size)
+        ids, ends = _flat(records.take(pa.array(np.insert(at, upto, len(records) - 1))), self.kind)
+        return _cells(ids, ends[np.r_[0, upto + np.arange(1, len(upto) + 1)]])
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``kind``."""
-        return [ids for (ids,) in self.chunked.of(texts)]
+        return self.streams(pa.array(texts, pa.string())).to_pylist()
+
+
+def _cells(ids: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """Binary values that lie one after the other, from their bounds in ``ids``."""
+    offsets = np.ascontiguousarray(ends, np.int64) * ids.dtype.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(ids))])
+
+
+def _flat(cells: pa.LargeBinaryArray, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all values and their bounds, the reverse of ``_cells``."""
+    _, offsets, data = cells.buffers()
+    ends = np.frombuffer(offsets, np.int64)[cells.offset : cells.offset + len(cells) + 1]
+    ids = np.frombuffer(data, kind, int(ends[-1] - ends[0]) // kind.itemsize, int(ends[0])) if data is not None and ends[-1] > ends[0] else np.empty(0, kind)
+    return ids, (ends - ends[0]) // kind.itemsize
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of about ``most`` in all, or of one that is larger."""
+    marks = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
+    yield from pairwise([0, *marks.tolist(), len(sizes)])
 
 
 _encoders: dict[str, Encoder] = {}
@@ -153,35 +279,31 @@ def pieces(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
         encoder = _encoders[path]
         end, seen = np.array([end_id], encoder.kind).tobytes(), set()
         row = TaskContext.get().partitionId() << 36
+        width = encoder.kind.itemsize
+        names = ["doc_id", "row", "n_tokens", "digests", "after", "root", "payloads"]
+        kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text")
-            begin, size = 0, 0
-            for i in range(batch.num_rows):
-                size += len(texts[i].as_py() or "")
-                if size < SLICE_BYTES and i + 1 < batch.num_rows:
-                    continue
-                streams = [x + end for x in encoder.encode([t.as_py() or "" for t in texts[begin : i + 1]])]
-                width = encoder.kind.itemsize
-                ends = np.cumsum([len(s) // width for s in streams])
-                joined = b"".join(streams)
-                columns: tuple[list, ...] = [], [], [], [], []
-                at = 0
-                for found in cuts(np.frombuffer(joined, encoder.kind), np.r_[0, ends[:-1]], ends):
-                    start, digests, payloads = at, [], []
-                    for to in found:
-                        data = joined[at * width : to * width]
-                        name = digest(data)
-                        payloads.append(None if name in seen else data)
-                        seen.add(name)
-                        digests.append(name)
-                        at = to
-                    for c, v in zip(columns, (at - start, digests, [at - to for to in found], merkle(digests), payloads), strict=True):
-                        c.append(v)
-                n = len(streams)
-                kinds = (pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.binary()))
-                arrays = [ids[begin : i + 1], pa.array(np.arange(row, row + n)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "row", "n_tokens", "digests", "after", "root", "payloads"])
-                row, begin, size = row + n, i + 1, 0
+            doc_ids, texts = batch.column("doc_id"), pc.fill_null(batch.column("text"), "")
+            for begin, stop in _runs(pc.binary_length(texts).to_numpy().astype(np.int64), SLICE) if batch.num_rows else ():
+                stream, ends = _flat(encoder.streams(texts.slice(begin, stop - begin), end), encoder.kind)
+                data = memoryview(stream).cast("B")
+                for i, j in _runs(np.diff(ends), PLACES):
+                    columns: tuple[list, ...] = [], [], [], [], []
+                    base = at = int(ends[i])
+                    for found in cuts(stream[base : ends[j]], ends[i:j] - base, ends[i + 1 : j + 1] - base):
+                        start, digests, payloads = at, [], []
+                        for to in found:
+                            part = data[at * width : (base + to) * width]
+                            name = digest(part)
+                            payloads.append(None if name in seen else bytes(part))
+                            seen.add(name)
+                            digests.append(name)
+                            at = base + to
+                        for c, v in zip(columns, (at - start, digests, [at - base - to for to in found], merkle(digests), payloads), strict=True):
+                            c.append(v)
+                    arrays = [doc_ids.slice(begin + i, j - i), pa.array(np.arange(row, row + j - i)), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]]
+                    yield pa.RecordBatch.from_arrays(arrays, names=names)
+                    row += j - i
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {PIECES}")

@@ -184,6 +184,37 @@ def test_store_on_odd_rows(odd, tmp_path):
     assert content_store.read_back(spark, f"{tmp_path}/none").count() == 0
 
 
+class _Counting:
+    """A tokenizer that counts the characters it is asked for."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer, self.asked = tokenizer, 0
+
+    def encode_batch_fast(self, texts, **kw):
+        self.asked += sum(map(len, texts))
+        return self.tokenizer.encode_batch_fast(texts, **kw)
+
+
+@pytest.mark.parametrize("memo", [0, 2000, content_store.MEMO])
+def test_store_asks_once_for_a_word_with_any_signs(memo, monkeypatch):
+    monkeypatch.setattr(content_store, "MEMO", memo)
+    rng, library = random.Random(4), _library()
+    words = ["".join(rng.choice("abcdefghijéñßжя漢0") for _ in range(rng.randint(1, 9))) for _ in range(60)]
+    signs = ["", ".", ",", "***", "'s", "'", "'s.", ")", " (", "\n", ".\n", "\n\n", "\n'", "\t", "\u0301.", "\u00a0", "\x1c", ".5", "://"]
+    encoder = content_store.Encoder(bpe.vocabulary_path())
+    encoder.tokenizer = counting = _Counting(encoder.tokenizer)
+    for odd in ([], ["  ", "<|endoftext|>", " \n"]):
+        texts = ["", *("".join(rng.choice(words) + rng.choice(signs + odd) + rng.choice(["", " "]) for _ in range(rng.randint(0, 30))) for _ in range(400))]
+        for text, got, want in zip(texts, encoder.encode(texts), library.encode_batch(texts, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, encoder.kind).tolist() == want.ids, ascii(text)
+    plain = [x for x in words if "漢" not in x]
+    text = [" ".join(rng.choice(plain) + rng.choice([".", ",", ".\n", "\n", ",\n"]) + rng.choice(plain) for _ in range(3000)) for _ in range(2)]
+    for i in range(2):
+        counting.asked = 0
+        assert encoder.encode(text[i : i + 1]) == [np.array(library.encode(text[i]).ids, encoder.kind).tobytes()]
+        assert counting.asked < 2000
+
+
 def test_broken_chunk_is_found(spark, tmp_path):
     path = f"{tmp_path}/store"
     content_store.write_store(spark.createDataFrame([(1, "some text")], "doc_id long, text string"), path)
