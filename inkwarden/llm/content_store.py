@@ -81,9 +81,7 @@ def cuts(ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[list[int
     h *= np.uint64(0xBF58476D1CE4E5B9)
     width = 1
     while width < WINDOW:
-        older = np.zeros_like(h)
-        older[width:] = h[:-width]
-        h = h + (older << np.uint64(width))
+        h[width:] += h[:-width] << np.uint64(width)
         width *= 2
     marks = (np.flatnonzero((h >> np.uint64(40)) & np.uint64((1 << MEAN_BITS) - 1) == 0) + 1).tolist()
     out = []
@@ -397,15 +395,14 @@ def stored_chunks(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, crc = [], []
-            for name, data in zip(batch.column("digest"), batch.column("payload"), strict=True):
-                data = data.as_py()
-                if digest(data) != name.as_py():
-                    raise ValueError(f"stored chunk {name.as_py().hex()} does not match its digest")
-                ids = np.frombuffer(data, f"<u{width}")
-                n.append(len(ids))
-                crc.append(zlib.crc32(ids.astype("<u4").tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
+            found = batch.column("payload").to_pylist()
+            for name, data in zip(batch.column("digest").to_pylist(), found, strict=True):
+                if digest(data) != name:
+                    raise ValueError(f"stored chunk {name.hex()} does not match its digest")
+            ends = np.cumsum([0, *map(len, found)]) // width
+            wide = memoryview(np.frombuffer(b"".join(found), f"<u{width}").astype("<u4").tobytes())
+            crc = [zlib.crc32(wide[4 * i : 4 * j]) for i, j in pairwise(ends.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], names=["digest", "n", "crc"])
 
     return spark.read.parquet(f"{path}/chunks").mapInArrow(run, "digest binary, n long, crc long")
 
