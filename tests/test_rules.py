@@ -110,6 +110,40 @@ def test_pieces_of_similar_sets_agree():
             assert set(near.signatures(a, threshold)) & set(near.signatures(short, threshold))
 
 
+def test_short_texts_of_one_language_are_no_candidates(spark):
+    import random
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(rng.randrange(2, 6))) for _ in range(90)]
+    texts = ["".join(rng.choices(words, [1 / (k + 1) for k in range(90)], k=460 + 40 * (i % 4))) for i in range(40)]
+    texts += [t[:600] + "".join(rng.choices(words, k=30)) + t[700:] for t in texts[:8]]
+    texts += ["".join(chr(ord(c) + 12) for c in t) for t in texts[:20]]  # another language
+    base = near._grammed(make(spark, [{"text": t} for t in texts])).where(F.col("len") <= near.RATIO_LENGTH)
+    near_ones = {k for k, (_, _, j) in _pairs(texts).items() if j >= 0.4}
+    for block in (16, 4096):
+        met = {(str(r["later"]), str(r["earlier"])) for r in near.candidate_pairs(base, 0.4, "len", 0.7, 6.4, block).collect()}
+        assert met >= {k for k in near_ones if min(len(texts[int(x) - 1]) for x in k) >= 0.7 * max(len(texts[int(x) - 1]) for x in k)}
+        assert len(met) < 2 * len(near_ones)
+
+
+def test_halved_maps_leave_what_whole_ones_do(monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    common = rng.integers(0, 1 << 62, 3000).astype(np.uint64)
+    sets = [np.unique(np.r_[rng.choice(common, 400, replace=False), rng.integers(0, 1 << 62, 300).astype(np.uint64)]) for _ in range(60)]
+    sets += [np.r_[s[40:], rng.integers(0, 1 << 62, 40).astype(np.uint64)] for s in sets[:10]]
+    maps, n = np.stack([near.parity_map(s, 8192) for s in sets]), np.array([len(s) for s in sets])
+    most = near.differing(0.4) * n
+    apart = np.bitwise_count(maps[:, None] ^ maps[None]).sum(axis=2, dtype=np.int64)
+    want = set(zip(*(x.tolist() for x in np.nonzero(apart <= most[:, None] + most[None])), strict=True))
+    for look in (0, 1 << 40):  # the most halved, and none
+        monkeypatch.setattr(near, "LOOK", look)
+        x, y = near._near_tile((maps, maps), (most, most), {})
+        assert set(zip(x.tolist(), y.tolist(), strict=True)) == want
+    assert len(want) >= len(sets) + 20
+
+
 @pytest.mark.parametrize("block", [4, 4096])
 def test_ratio_in_blocks_against_brute_force(spark, block):
     import difflib
